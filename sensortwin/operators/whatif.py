@@ -39,20 +39,36 @@ def validate_scenarios(scenarios: DataFrame) -> tuple[DataFrame, DataFrame]:
     return s.filter(ok), s.filter(~ok).withColumn("reason", reason)
 
 
+BASELINE_COLUMNS = ("avg_viscosity_cp", "avg_protein_pct", "avg_fat_pct", "total_energy_kwh", "ftr_rate_pct",
+                    "alarm_count")
+
+
 def scenario_grid(batches: DataFrame, step: float = C.DELTA_STEP, presets=C.HEAT_PRESETS) -> DataFrame:
-    """Per batch, every fat and protein delta on the slider grid x the heat presets.
+    """Per batch row, every fat and protein delta on the slider grid x the heat presets.
 
-    A fixed-size fan-out per batch row with ``explode`` -- no join.
+    A fixed-size fan-out per batch row with ``explode`` -- no join.  All columns of
+    ``batches`` are kept, so a grid built from the batch table already carries its
+    baseline and can be scored directly (``score_scenarios``) without joining back.
     """
     steps = int(round(1.0 / step))
     deltas = F.transform(F.sequence(F.lit(-steps), F.lit(steps)), lambda i: i / F.lit(float(steps)))
     heats = F.array(*[F.struct(F.lit(name).alias("preset"), F.lit(float(t)).alias("heat_setting_c"))
                       for name, t in presets])
-    return (batches.select("batch_id", "plant_id")
+    return (batches
             .select("*", F.explode(deltas).alias("fat_delta_pct"))
             .select("*", F.explode(deltas).alias("protein_delta_pct"))
             .select("*", F.explode(heats).alias("_h"))
-            .select("batch_id", "plant_id", "fat_delta_pct", "protein_delta_pct",
+            .select(*batches.columns, "fat_delta_pct", "protein_delta_pct",
+                    F.col("_h.heat_setting_c").alias("heat_setting_c"), F.col("_h.preset").alias("preset")))
+
+
+def preset_requests(batch_ids: DataFrame, presets=C.HEAT_PRESETS) -> DataFrame:
+    """Simulator requests for listed batches: each heat preset with unchanged milk."""
+    heats = F.array(*[F.struct(F.lit(name).alias("preset"), F.lit(float(t)).alias("heat_setting_c"))
+                      for name, t in presets])
+    return (batch_ids.select("batch_id").distinct()
+            .select("batch_id", F.explode(heats).alias("_h"))
+            .select("batch_id", F.lit(0.0).alias("fat_delta_pct"), F.lit(0.0).alias("protein_delta_pct"),
                     F.col("_h.heat_setting_c").alias("heat_setting_c"), F.col("_h.preset").alias("preset")))
 
 
@@ -62,17 +78,21 @@ def _or(col: str, default):
 
 
 def what_if(scenarios: DataFrame, gold_batch: DataFrame) -> DataFrame:
-    """K10 + J3: score scenarios against their batch baseline.
+    """K10 + J3: score scenario requests against their batch baseline.
 
-    Scenarios carry ``batch_id`` (and optionally ``plant_id``); an inner equi-join picks
-    every (batch, plant) baseline row -- a batch seen in two plants scores twice.
+    Requests carry ``batch_id`` (and optionally ``plant_id``); an inner equi-join picks
+    the baseline rows -- without a plant, every plant's row, so a batch seen in two
+    plants scores twice.  No broadcast hint: AQE picks broadcast from measured sizes.
     """
     s = with_scenario_defaults(scenarios)
-    base_cols = gold_batch.select("batch_id", "plant_id", "avg_viscosity_cp", "avg_protein_pct", "avg_fat_pct",
-                                  "total_energy_kwh", "ftr_rate_pct", "alarm_count")
-    # With a plant the scenario names one baseline row; without, every plant's row.
+    base_cols = gold_batch.select("batch_id", "plant_id", *BASELINE_COLUMNS)
     keys = ["batch_id", "plant_id"] if "plant_id" in s.columns else ["batch_id"]
-    j = s.join(base_cols, keys)
+    return score_scenarios(s.join(base_cols, keys))
+
+
+def score_scenarios(j: DataFrame) -> DataFrame:
+    """The what-if model on rows holding both a scenario and its baseline columns."""
+    j = with_scenario_defaults(j)
 
     energy = F.coalesce(F.nullif(F.col("total_energy_kwh").cast("double"), F.lit(0.0)), F.lit(0.0))
     visc, fat, prot, ftr = (_or("avg_viscosity_cp", C.DEFAULT_VISCOSITY), _or("avg_fat_pct", C.DEFAULT_FAT),
@@ -80,8 +100,7 @@ def what_if(scenarios: DataFrame, gold_batch: DataFrame) -> DataFrame:
     alarms = F.coalesce(F.nullif(F.col("alarm_count").cast("long"), F.lit(0)), F.lit(C.DEFAULT_ALARM_COUNT))
     dfat, dprot, heat = F.col("fat_delta_pct"), F.col("protein_delta_pct"), F.col("heat_setting_c")
 
-    m = j.select(*[c for c in j.columns if c not in ("avg_viscosity_cp", "avg_protein_pct", "avg_fat_pct",
-                                                       "total_energy_kwh", "ftr_rate_pct", "alarm_count")],
+    m = j.select(*[c for c in j.columns if c not in BASELINE_COLUMNS],
                  energy.alias("_e"), visc.alias("_v"), fat.alias("_f"), prot.alias("_p"), ftr.alias("_ftr"),
                  F.greatest(alarms * 0.5, F.lit(1.0)).alias("_vol"))
     e, v, vol = F.col("_e"), F.col("_v"), F.col("_vol")

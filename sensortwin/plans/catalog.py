@@ -330,17 +330,28 @@ def _alarm_impact(t: Inputs):
 # --- what-if ------------------------------------------------------------------------------
 
 def _what_if(t: Inputs):
-    grid = whatif.scenario_grid(t.gold_batch)
-    ok, _rejected = whatif.validate_scenarios(grid)
-    return whatif.what_if(ok, t.gold_batch)
+    base = t.gold_batch.select("batch_id", "plant_id", *whatif.BASELINE_COLUMNS)
+    ok, _rejected = whatif.validate_scenarios(whatif.scenario_grid(base))
+    return whatif.score_scenarios(ok)
 
 
 @_reg("what_if_grid")
 def _what_if_grid(t: Inputs):
-    """K12 -> K11 -> J3 + K10: every batch scored on the full slider grid x heat presets."""
+    """K12 -> K11 -> K10: every (batch, plant) scored on the full slider grid x heat presets.
+
+    The grid is exploded from the batch rows themselves, so it carries the baseline:
+    one aggregate of silver, no join back to it."""
     return _what_if(t)
 
 
+@_reg("what_if_presets")
+def _what_if_presets(t: Inputs):
+    """K16 -> J3 + K10: the simulator's requests (listed batches x heat presets, by batch id
+    only) joined to the batch table and scored; a batch in two plants scores twice (T7)."""
+    requests = whatif.preset_requests(serving.simulatable_batches(t.gold_batch))
+    return whatif.what_if(requests, t.gold_batch)
+
+
 @_reg("what_if_scores")
 def _what_if_scores(t: Inputs):
     """K13."""
