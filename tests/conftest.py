@@ -19,7 +19,8 @@ SF_MEDIUM = "/root/testdata/sf0.01"
 @pytest.fixture(scope="session")
 def spark():
     s = build_session("local[*]", 8, app_name="sensortwin-tests",
-                      extra={"spark.checkpoint.dir": tempfile.mkdtemp(prefix="sensortwin-test-ckpt-")})
+                      extra={"spark.checkpoint.dir": tempfile.mkdtemp(prefix="sensortwin-test-ckpt-"),
+                             "spark.sql.warehouse.dir": tempfile.mkdtemp(prefix="sensortwin-test-wh-")})
     s.sparkContext.setCheckpointDir(s.conf.get("spark.checkpoint.dir"))
     yield s
     s.stop()
