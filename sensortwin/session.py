@@ -10,8 +10,14 @@ from pyspark.sql import SparkSession
 
 # Session settings every entry point relies on: UTC so date/hour/bucket values do not
 # depend on the machine, AQE for runtime coalescing, skew splitting and broadcast
-# conversion based on *measured* shuffle sizes.
+# conversion based on *measured* shuffle sizes.  Static (estimate-based) broadcast is
+# off: a join side is broadcast only after AQE has measured it below the threshold.
+BROADCAST_CONF = {
+    "spark.sql.autoBroadcastJoinThreshold": "-1",
+    "spark.sql.adaptive.autoBroadcastJoinThreshold": "32MB",
+}
 BASE_CONF = {
+    **BROADCAST_CONF,
     "spark.sql.session.timeZone": "UTC",
     "spark.sql.adaptive.enabled": "true",
     "spark.sql.adaptive.coalescePartitions.enabled": "true",
@@ -42,6 +48,9 @@ def apply_session_defaults(spark: SparkSession) -> SparkSession:
     """Pin the settings results depend on (time zone) on an existing session."""
     spark.conf.set("spark.sql.session.timeZone", "UTC")
     spark.conf.set("spark.sql.sources.partitionOverwriteMode", "dynamic")
+    spark.conf.set("spark.sql.adaptive.enabled", "true")
+    for k, v in BROADCAST_CONF.items():
+        spark.conf.set(k, v)
     return spark
 
 
