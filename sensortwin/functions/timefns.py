@@ -52,16 +52,17 @@ def as_of_col(as_of=None) -> Column:
     raise TypeError(f"unsupported as_of {as_of!r}")
 
 
-def latest_ts(df: DataFrame, name: str = "event_ts", date_col: str = "event_date") -> Column:
+def latest_ts(df: DataFrame, name: str = "event_ts", partitioned: bool = False,
+              date_col: str = "event_date") -> Column:
     """``(SELECT MAX(ts) FROM df)`` as an uncorrelated scalar subquery.
 
     Planned as a one-row aggregate executed once; nothing is collected by user code.
-    When the frame has the date partition column, the maximum is taken inside the newest
-    date only (``to_date`` is monotone), so a date-partitioned table reads one partition.
+    ``partitioned=True`` is for a stored table partitioned by ``date_col``: the maximum is
+    taken inside the newest date only (``to_date`` is monotone), so one partition is read.
     """
-    if date_col in df.columns:
+    if partitioned:
         newest_day = df.select(F.max(date_col)).scalar()
-        return df.filter(F.col(date_col) == newest_day).select(F.max(name)).scalar()
+        df = df.filter(F.col(date_col) == newest_day)
     return df.select(F.max(name)).scalar()
 
 

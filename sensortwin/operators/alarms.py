@@ -53,9 +53,9 @@ def _alert_text(df: DataFrame) -> DataFrame:
                         F.col("plant_id")).alias("meta"))
 
 
-def alerts(gold_eq: DataFrame) -> DataFrame:
+def alerts(gold_eq: DataFrame, partitioned: bool = False) -> DataFrame:
     """K2: one alert per machine with alarms in the latest window; critical at >= 3."""
-    w = latest_window(gold_eq).filter(F.col("alarm_count") > 0)
+    w = latest_window(gold_eq, partitioned).filter(F.col("alarm_count") > 0)
     picked = w.groupBy("equipment_id").agg(
         F.min_by(F.struct("equipment_name", "equipment_type", "line_id", "plant_id", "alarm_count",
                           "avg_temperature_c", "window_5min"),

@@ -76,13 +76,19 @@ def resolve_edges(edges: DataFrame, nodes: DataFrame) -> DataFrame:
 
 
 def dangling_edges(edges: DataFrame, nodes: DataFrame) -> DataFrame:
-    """J5 (complement): edges with an endpoint that is not among the nodes, flagged."""
+    """J5 (complement): edges with an endpoint that is not among the nodes, flagged.
+
+    Two left joins of the edges to the *distinct* node ids (no fan-out), so the edge
+    list is computed once.
+    """
     ids = nodes.select(F.col("id").alias("_nid")).distinct()
-    has_src = edges.join(ids, edges["source"] == ids["_nid"], "left_semi").select("id").withColumn("_s", F.lit(True))
-    has_tgt = edges.join(ids, edges["target"] == ids["_nid"], "left_semi").select("id").withColumn("_t", F.lit(True))
-    e = edges.join(has_src, "id", "left").join(has_tgt, "id", "left")
-    return (e.select(*edges.columns, F.coalesce("_s", F.lit(False)).alias("source_known"),
-                     F.coalesce("_t", F.lit(False)).alias("target_known"))
+    src = ids.select(F.col("_nid").alias("_sid"), F.lit(True).alias("source_known"))
+    tgt = ids.select(F.col("_nid").alias("_tid"), F.lit(True).alias("target_known"))
+    e = (edges.join(src, edges["source"] == src["_sid"], "left")
+         .join(tgt, F.col("target") == tgt["_tid"], "left"))
+    known_s = F.coalesce(F.col("source_known"), F.lit(False))
+    known_t = F.coalesce(F.col("target_known"), F.lit(False))
+    return (e.select(*edges.columns, known_s.alias("source_known"), known_t.alias("target_known"))
             .filter(~F.col("source_known") | ~F.col("target_known")))
 
 

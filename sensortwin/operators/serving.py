@@ -19,23 +19,25 @@ from ..functions import since
 # ---------------------------------------------------------------------------
 
 
-def latest_window(gold_eq: DataFrame) -> DataFrame:
+def latest_window(gold_eq: DataFrame, partitioned: bool = False) -> DataFrame:
     """Rows of the single newest 5-minute window (global, not per machine).
 
-    ``MAX(window_5min)`` as uncorrelated scalar subqueries, two-level: a 5-minute bucket
-    never crosses midnight, so the newest window lies in the newest ``event_date``; on a
-    date-partitioned gold table both the subquery and the final filter then read one
-    partition instead of the whole table.
+    ``MAX(window_5min)`` is an uncorrelated scalar subquery: one small aggregate job whose
+    value then filters the scan.  ``partitioned=True`` is for a stored gold table
+    partitioned by ``event_date``: a 5-minute bucket never crosses midnight, so the newest
+    window lies in the newest date, and both the subquery and the filter read that one
+    partition.  (On a computed frame the extra level would only add a scan.)
     """
-    newest_date = gold_eq.select(F.max("event_date")).scalar()
-    day = gold_eq.filter(F.col("event_date") == newest_date)
-    newest = day.select(F.max("window_5min")).scalar()
-    return day.filter(F.col("window_5min") == newest)
+    if partitioned:
+        newest_date = gold_eq.select(F.max("event_date")).scalar()
+        gold_eq = gold_eq.filter(F.col("event_date") == newest_date)
+    newest = gold_eq.select(F.max("window_5min")).scalar()
+    return gold_eq.filter(F.col("window_5min") == newest)
 
 
-def latest_equipment_metrics(gold_eq: DataFrame) -> DataFrame:
+def latest_equipment_metrics(gold_eq: DataFrame, partitioned: bool = False) -> DataFrame:
     """All machines in the latest window, API projection, sorted."""
-    return (latest_window(gold_eq)
+    return (latest_window(gold_eq, partitioned)
             .select("equipment_id", "equipment_name", "equipment_type", "plant_id", "line_id",
                     F.col("window_5min").cast("string").alias("window_5min"),
                     F.col("avg_temperature_c").cast("double").alias("avg_temperature_c"),
@@ -82,14 +84,15 @@ def machine_status(alarm_count: Column, avg_temperature: Column,
             .otherwise(F.lit("ok")))
 
 
-def equipment_status(registry: DataFrame, gold_eq: DataFrame) -> DataFrame:
+def equipment_status(registry: DataFrame, gold_eq: DataFrame, partitioned: bool = False) -> DataFrame:
     """J1 + K3: every registered machine with its latest-window metrics or 0 defaults.
 
     A left outer equi-join of the registry to the latest window.  No broadcast hint:
     AQE turns it into a broadcast join when the *measured* latest-window side is
     small and keeps a sort-merge join otherwise.
     """
-    m = latest_window(gold_eq).select("equipment_id", "avg_temperature_c", "total_energy_kwh", "alarm_count")
+    m = latest_window(gold_eq, partitioned).select("equipment_id", "avg_temperature_c", "total_energy_kwh",
+                                                  "alarm_count")
     j = registry.join(m, "equipment_id", "left")
     temp = F.coalesce(F.col("avg_temperature_c").cast("double"), F.lit(0.0))
     energy = F.coalesce(F.col("total_energy_kwh").cast("double"), F.lit(0.0))
@@ -101,9 +104,9 @@ def equipment_status(registry: DataFrame, gold_eq: DataFrame) -> DataFrame:
             .orderBy("plant_id", "equipment_type", "equipment_id"))
 
 
-def equipment_grid(gold_eq: DataFrame, full_scale: float = C.FLOW_FULL_SCALE) -> DataFrame:
+def equipment_grid(gold_eq: DataFrame, full_scale: float = C.FLOW_FULL_SCALE, partitioned: bool = False) -> DataFrame:
     """K15 + K3: latest-window cards with status and flow utilisation (capped at 100 %)."""
-    m = latest_equipment_metrics(gold_eq)
+    m = latest_equipment_metrics(gold_eq, partitioned)
     util = F.least(F.lit(100.0), F.coalesce(F.col("avg_flow_rate_l_min"), F.lit(0.0)) / F.lit(full_scale) * 100.0)
     return m.select("*", machine_status(F.col("alarm_count"), F.col("avg_temperature_c")).alias("status"),
                     util.alias("flow_utilisation_pct"))
@@ -156,13 +159,14 @@ def batch_badges(gold_batch: DataFrame, n: int = C.NEWEST_BATCHES) -> DataFrame:
 # ---------------------------------------------------------------------------
 
 
-def dashboard_kpis(gold_eq: DataFrame, gold_batch: DataFrame, n: int = C.NEWEST_BATCHES) -> DataFrame:
+def dashboard_kpis(gold_eq: DataFrame, gold_batch: DataFrame, n: int = C.NEWEST_BATCHES,
+                   partitioned: bool = False) -> DataFrame:
     """A6 + K6: the five dashboard KPIs and their trend flags, one row.
 
     Latest-window machines and the newest batches are unioned and reduced by a single
     global aggregate; NULL metrics count as 0 and an empty side yields 0.
     """
-    eq = latest_window(gold_eq).select(
+    eq = latest_window(gold_eq, partitioned).select(
         F.lit(True).alias("_eq"), F.col("alarm_count").cast("long").alias("_alarms"),
         F.col("avg_temperature_c").alias("_temp"), F.col("total_energy_kwh").alias("_energy"),
         F.lit(None).cast("double").alias("_ftr"), F.lit(None).cast("double").alias("_compliance"))
