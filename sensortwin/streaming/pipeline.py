@@ -44,12 +44,13 @@ def silver_schema(spark: SparkSession) -> T.StructType:
 class TwinPaths:
     """Every table and checkpoint of one pipeline, below one shared root."""
     root: str
+    landing_dir: str | None = None  # where event files arrive; default ROOT/landing
 
     def path(self, name: str) -> str:
         return f"{self.root.rstrip('/')}/{name}"
 
     @property
-    def landing(self): return self.path("landing")
+    def landing(self): return self.landing_dir or self.path("landing")
     @property
     def bronze(self): return self.path("bronze")
     @property
