@@ -222,8 +222,8 @@ def read_gold(spark: SparkSession, paths: TwinPaths) -> dict[str, DataFrame]:
     }
 
 
-def run_available(spark: SparkSession, paths: TwinPaths, quarantine: bool = True) -> None:
-    """Drain everything that has landed: bronze, (quarantine), silver, gold, in order.
+def run_available(spark: SparkSession, paths: TwinPaths, quarantine: bool = True, gold: bool = True) -> None:
+    """Drain everything that has landed: bronze, (quarantine), silver, (gold), in order.
 
     Each stage runs with ``availableNow`` and restarts from its checkpoint, so calling
     this after every landing instalment behaves like a continuously running pipeline.
@@ -232,8 +232,9 @@ def run_available(spark: SparkSession, paths: TwinPaths, quarantine: bool = True
     first = [start_bronze(spark, paths)] + ([start_quarantine(spark, paths)] if quarantine else [])
     for q in first:
         _await(q)
-    for start in (start_silver, start_gold):
-        _await(start(spark, paths))
+    _await(start_silver(spark, paths))
+    if gold:
+        _await(start_gold(spark, paths))
 
 
 def _await(q: StreamingQuery) -> None:

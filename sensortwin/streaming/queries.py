@@ -34,12 +34,14 @@ def _start_alerts(spark: SparkSession, paths: TwinPaths):
     return w.start(paths.path("alerts"))
 
 
-def run_pipeline(spark: SparkSession, sf_dir: str, alerts: bool = False) -> TwinPaths:
+def run_pipeline(spark: SparkSession, sf_dir: str, gold: bool = True, alerts: bool = False) -> TwinPaths:
+    """Replay the whole table in instalments; after each, drain bronze + quarantine +
+    silver, then the incremental gold refresh (``gold``) and/or the alert stream."""
     t = Inputs(spark, sf_dir)
     paths = new_paths(spark, "twin")
     for part in _instalments(t.raw):
         replay_to_landing(part, paths.landing, files=4)
-        run_available(spark, paths)
+        run_available(spark, paths, gold=gold)
         if alerts:
             q = _start_alerts(spark, paths)
             q.awaitTermination()
@@ -49,7 +51,7 @@ def run_pipeline(spark: SparkSession, sf_dir: str, alerts: bool = False) -> Twin
 @register("stream_silver_events")
 def stream_silver_events(spark: SparkSession, sf_dir: str) -> DataFrame:
     """X1 + X2 + S8 + S9: silver produced by the chained streams."""
-    return present(to_ntz(read_silver(spark, run_pipeline(spark, sf_dir))))
+    return present(to_ntz(read_silver(spark, run_pipeline(spark, sf_dir, gold=False))))
 
 
 @register("stream_equipment_metrics")
@@ -73,7 +75,7 @@ def stream_sustainability_hourly(spark: SparkSession, sf_dir: str) -> DataFrame:
 @register("stream_alerts")
 def stream_alerts(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Machines that ever raised an alarm, each emitted once across restarts."""
-    paths = run_pipeline(spark, sf_dir, alerts=True)
+    paths = run_pipeline(spark, sf_dir, gold=False, alerts=True)
     return spark.read.parquet(paths.path("alerts")).select("equipment_id")
 
 
