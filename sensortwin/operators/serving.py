@@ -248,8 +248,8 @@ def sustainability_kpis(summary: DataFrame, target: float = C.ENERGY_INTENSITY_T
                     F.coalesce(F.sum(z("cip_water_liters")), F.lit(0.0)).alias("total_cip_water_liters"))
     intensity = F.when(F.col("total_water_liters") != 0,
                        F.col("total_energy_kwh") / (F.col("total_water_liters") / 1000.0))
-    return t.select("*", intensity.alias("energy_intensity_kwh_per_kl"),
-                    F.coalesce(intensity <= target, F.lit(False)).alias("meets_target"))
+    meets = F.when(F.col("total_water_liters") > 0, intensity <= target).otherwise(F.lit(False))
+    return t.select("*", intensity.alias("energy_intensity_kwh_per_kl"), meets.alias("meets_target"))
 
 
 def plant_energy_share(summary: DataFrame) -> DataFrame:

@@ -151,7 +151,11 @@ def _overwrite(df: DataFrame, path: str, partition: str) -> None:
      .partitionBy(partition).parquet(path))
 
 
-def refresh_gold(spark: SparkSession, paths: TwinPaths, dates, buckets, computed_at=None) -> None:
+GOLD_TABLES = ("equipment_metrics", "sustainability_hourly", "batch_yield")
+
+
+def refresh_gold(spark: SparkSession, paths: TwinPaths, dates, buckets, computed_at=None,
+                 tables=GOLD_TABLES) -> None:
     """Recompute gold for the touched ``dates`` / batch ``buckets`` and overwrite them.
 
     Reads only the touched date partitions of silver (static partition pruning on the
@@ -165,12 +169,13 @@ def refresh_gold(spark: SparkSession, paths: TwinPaths, dates, buckets, computed
     silver = read_silver(spark, paths).filter(F.col("event_date").isin(list(dates))) \
         .persist(StorageLevel.MEMORY_AND_DISK)
     try:
-        _refresh_from(spark, paths, silver, buckets, computed_at)
+        _refresh_from(spark, paths, silver, buckets, computed_at, tables)
     finally:
         silver.unpersist()
 
 
-def _refresh_from(spark: SparkSession, paths: TwinPaths, silver: DataFrame, buckets, computed_at) -> None:
+def _refresh_from(spark: SparkSession, paths: TwinPaths, silver: DataFrame, buckets, computed_at,
+                  tables=GOLD_TABLES) -> None:
     def last(df: DataFrame, col: str) -> DataFrame:
         return df.select(*[c for c in df.columns if c != col], col)
 
@@ -189,13 +194,14 @@ def _refresh_from(spark: SparkSession, paths: TwinPaths, silver: DataFrame, buck
             gb = batch_yield_from_partials(p, computed_at=computed_at).withColumn("batch_bucket", _bucket())
             _overwrite(gb, paths.gold_batch, "batch_bucket")
 
-    # three independent jobs over the same persisted slice: submit them concurrently
+    # independent jobs over the same persisted slice: submit them concurrently
+    jobs = {"equipment_metrics": eq, "sustainability_hourly": sus, "batch_yield": batches}
     with ThreadPoolExecutor(max_workers=3) as pool:
-        for f in [pool.submit(fn) for fn in (eq, sus, batches)]:
+        for f in [pool.submit(jobs[t]) for t in tables]:
             f.result()
 
 
-def gold_foreach_batch(paths: TwinPaths, computed_at=None):
+def gold_foreach_batch(paths: TwinPaths, computed_at=None, tables=GOLD_TABLES):
     """The ``foreachBatch`` function. No watermark: late rows are always counted."""
     def run(batch_df: DataFrame, epoch_id: int) -> None:
         spark = batch_df.sparkSession
@@ -203,26 +209,32 @@ def gold_foreach_batch(paths: TwinPaths, computed_at=None):
                 .distinct().collect())  # bounded: days x buckets touched by one micro-batch
         dates = sorted({r["event_date"] for r in keys if r["event_date"] is not None})
         buckets = sorted({r["b"] for r in keys if r["b"] is not None})
-        refresh_gold(spark, paths, dates, buckets, computed_at)
+        refresh_gold(spark, paths, dates, buckets, computed_at, tables)
     return run
 
 
-def start_gold(spark: SparkSession, paths: TwinPaths, trigger=None, computed_at=None) -> StreamingQuery:
+def start_gold(spark: SparkSession, paths: TwinPaths, trigger=None, computed_at=None,
+               tables=GOLD_TABLES) -> StreamingQuery:
     src = spark.readStream.schema(silver_schema(spark)).parquet(paths.silver)
-    w = (src.writeStream.foreachBatch(gold_foreach_batch(paths, computed_at))
+    w = (src.writeStream.foreachBatch(gold_foreach_batch(paths, computed_at, tables))
          .option("checkpointLocation", paths.ckpt("gold")))
     return _trigger(w, trigger).start()
 
 
-def read_gold(spark: SparkSession, paths: TwinPaths) -> dict[str, DataFrame]:
-    return {
-        "equipment_metrics": spark.read.parquet(paths.gold_eq),
-        "sustainability_hourly": spark.read.parquet(paths.gold_sus),
-        "batch_yield": spark.read.parquet(paths.gold_batch).drop("batch_bucket"),
+def read_gold(spark: SparkSession, paths: TwinPaths, table: str | None = None):
+    """The stored gold tables (all as a dict, or one by name)."""
+    readers = {
+        "equipment_metrics": lambda: spark.read.parquet(paths.gold_eq),
+        "sustainability_hourly": lambda: spark.read.parquet(paths.gold_sus),
+        "batch_yield": lambda: spark.read.parquet(paths.gold_batch).drop("batch_bucket"),
     }
+    if table is not None:
+        return readers[table]()
+    return {k: r() for k, r in readers.items()}
 
 
-def run_available(spark: SparkSession, paths: TwinPaths, quarantine: bool = True, gold: bool = True) -> None:
+def run_available(spark: SparkSession, paths: TwinPaths, quarantine: bool = True, gold: bool = True,
+                  tables=GOLD_TABLES) -> None:
     """Drain everything that has landed: bronze, (quarantine), silver, (gold), in order.
 
     Each stage runs with ``availableNow`` and restarts from its checkpoint, so calling
@@ -234,7 +246,7 @@ def run_available(spark: SparkSession, paths: TwinPaths, quarantine: bool = True
         _await(q)
     _await(start_silver(spark, paths))
     if gold:
-        _await(start_gold(spark, paths))
+        _await(start_gold(spark, paths, tables=tables))
 
 
 def _await(q: StreamingQuery) -> None:

@@ -15,7 +15,7 @@ from ..plans.catalog import register, to_ntz
 from ..plans.inputs import Inputs
 from ..plans.present import present
 from ..sources.events import replay_to_landing
-from .pipeline import (TwinPaths, alert_stream, bronze_stream, dedup_stream, new_paths, read_gold, read_silver,
+from .pipeline import (GOLD_TABLES, TwinPaths, alert_stream, bronze_stream, dedup_stream, new_paths, read_gold, read_silver,
                        run_available, silver_stream)
 from ..operators.layers import to_silver
 
@@ -34,14 +34,15 @@ def _start_alerts(spark: SparkSession, paths: TwinPaths):
     return w.start(paths.path("alerts"))
 
 
-def run_pipeline(spark: SparkSession, sf_dir: str, gold: bool = True, alerts: bool = False) -> TwinPaths:
+def run_pipeline(spark: SparkSession, sf_dir: str, gold: bool = True, alerts: bool = False,
+                 tables=GOLD_TABLES) -> TwinPaths:
     """Replay the whole table in instalments; after each, drain bronze + quarantine +
-    silver, then the incremental gold refresh (``gold``) and/or the alert stream."""
+    silver, then the incremental refresh of the gold ``tables`` and/or the alert stream."""
     t = Inputs(spark, sf_dir)
     paths = new_paths(spark, "twin")
     for part in _instalments(t.raw):
         replay_to_landing(part, paths.landing, files=4)
-        run_available(spark, paths, gold=gold)
+        run_available(spark, paths, gold=gold, tables=tables)
         if alerts:
             q = _start_alerts(spark, paths)
             q.awaitTermination()
@@ -57,19 +58,22 @@ def stream_silver_events(spark: SparkSession, sf_dir: str) -> DataFrame:
 @register("stream_equipment_metrics")
 def stream_equipment_metrics(spark: SparkSession, sf_dir: str) -> DataFrame:
     """S10 + X3 + X5: A1 kept by the incremental foreachBatch refresh."""
-    return present(to_ntz(read_gold(spark, run_pipeline(spark, sf_dir))["equipment_metrics"]))
+    paths = run_pipeline(spark, sf_dir, tables=("equipment_metrics",))
+    return present(to_ntz(read_gold(spark, paths, "equipment_metrics")))
 
 
 @register("stream_batch_yield")
 def stream_batch_yield(spark: SparkSession, sf_dir: str) -> DataFrame:
     """S10 + X5: A2 through daily partials and batch buckets."""
-    return present(to_ntz(read_gold(spark, run_pipeline(spark, sf_dir))["batch_yield"]))
+    paths = run_pipeline(spark, sf_dir, tables=("batch_yield",))
+    return present(to_ntz(read_gold(spark, paths, "batch_yield")))
 
 
 @register("stream_sustainability_hourly")
 def stream_sustainability_hourly(spark: SparkSession, sf_dir: str) -> DataFrame:
     """S10 + X4 + X5: A3 kept by the incremental refresh."""
-    return present(to_ntz(read_gold(spark, run_pipeline(spark, sf_dir))["sustainability_hourly"]))
+    paths = run_pipeline(spark, sf_dir, tables=("sustainability_hourly",))
+    return present(to_ntz(read_gold(spark, paths, "sustainability_hourly")))
 
 
 @register("stream_alerts")
