@@ -78,9 +78,10 @@ def since(df: DataFrame, ts: str, as_of, *, seconds=None, hours=None,
           date_col: str | None = None) -> DataFrame:
     """Rows with ``ts >= as_of - interval`` (no upper bound, as in the application).
 
-    When the frame carries a date partition column (``date_col``), an implied
-    ``date_col >= to_date(as_of - interval)`` predicate is added so the scan prunes
-    whole date partitions -- Spark does not derive it from the timestamp predicate.
+    When the frame carries the date column (``date_col``), an implied
+    ``date_col >= to_date(as_of - interval)`` predicate is added: on a table partitioned
+    by that column the scan then prunes whole date partitions (Spark does not derive it
+    from the timestamp predicate); on a computed frame it is just a redundant filter.
     """
     span = interval_seconds(seconds) if seconds is not None else interval_hours(hours)
     lower = as_of_col(as_of) - span

@@ -1,8 +1,9 @@
 """Gold aggregates (A1-A3) and the mergeable daily partials behind incremental refresh.
 
-Each aggregate is one ``groupBy().agg()``: Spark plans a partial (map-side) hash
-aggregate, one shuffle on the group keys, and a final merge, so a hot key costs one
-partial row per input partition, never a skewed task.  Distinct counts use Spark's
+Each aggregate is one ``groupBy().agg()``: Spark plans a partial (map-side) aggregate
+(hash-based; object-hash for the collected sets of batch yield), one shuffle on the
+group keys, and a final merge, so a hot key costs one partial row per input partition,
+never a skewed task.  Distinct counts use Spark's
 distinct-aggregate rewrite (two-level partial aggregation) rather than collecting sets.
 """
 

@@ -377,8 +377,9 @@ DEDUP_KEYS = ("event_ts", "equipment_id", "event_type")
 def dedup_events(events: DataFrame, keys=DEDUP_KEYS, order_col: str = "event_id") -> DataFrame:
     """D3 (batch): one event per key, deterministically the smallest ``order_col``.
 
-    A hash aggregate with ``min_by``: duplicates collapse map-side before the shuffle,
-    so a hot key does not become a hot task.
+    A grouped ``min_by`` aggregate (sort-based: its struct-of-strings buffer is not
+    fixed-width, so it spills rather than failing); duplicates still collapse map-side
+    before the shuffle, so a hot key does not become a hot task.
     """
     rest = [c for c in events.columns if c not in keys]
     picked = F.min_by(F.struct(*[F.col(c) for c in rest]), F.col(order_col)).alias("_row")

@@ -127,7 +127,8 @@ def _latest(t: Inputs):
 
 @_reg("equipment_history")
 def _history(t: Inputs):
-    """K17 + P11/P12: every machine's windows of the last hour."""
+    """K17 + P12: every machine's windows of the last hour (the single-machine P11 form of
+    the same function is unit-tested)."""
     return serving.equipment_history(t.gold_eq, None, hours=1, as_of=t.as_of)
 
 
