@@ -12,7 +12,7 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from .. import config as C
-from ..functions import since
+from ..functions import since, trunc_like
 
 # ---------------------------------------------------------------------------
 # equipment
@@ -361,7 +361,7 @@ def event_feed(silver: DataFrame, as_of=None, rows: int = C.FEED_ROWS,
 
 def live_series(events: DataFrame) -> DataFrame:
     """Per-second averages over non-NULL values, 2 decimals."""
-    sec = F.date_trunc("second", F.col("event_ts"))
+    sec = trunc_like(events, "second")
     return (events.groupBy(sec.alias("second"))
             .agg(F.round(F.avg("temperature_c"), 2).alias("temp"),
                  F.round(F.avg("energy_kwh"), 2).alias("energy"),
