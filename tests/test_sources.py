@@ -102,3 +102,17 @@ def test_live_tail_stream(spark):
     q.awaitTermination()
     rows = spark.table("tail_test").collect()
     assert sorted(r["temperature_c"] for r in rows) == [1.0, 2.0] and "flow_rate_lph" in rows[0].asDict()
+
+
+def test_pipeline_cli_available_now(spark):
+    from sensortwin.plans.inputs import Inputs
+    from sensortwin.sources.events import replay_to_landing
+    from sensortwin.streaming.__main__ import main
+    from sensortwin.streaming.pipeline import TwinPaths, read_gold
+
+    root = scratch_path(spark, "cli")
+    landing = scratch_path(spark, "cli-landing")
+    replay_to_landing(Inputs(spark, "/root/testdata/sf0.001").raw, landing, files=2)
+    main(["--root", root, "--landing", landing, "--available-now"])
+    gold = read_gold(spark, TwinPaths(root, landing))
+    assert gold["equipment_metrics"].count() > 0 and gold["batch_yield"].count() > 0
