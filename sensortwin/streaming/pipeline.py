@@ -164,8 +164,8 @@ def refresh_gold(spark: SparkSession, paths: TwinPaths, dates, buckets, computed
     """
     if not dates:
         return
-    # the touched slice feeds four outputs: keep it after the first scan (memory, spilling
-    # to disk; recomputed from silver if an executor holding blocks is lost)
+    # the touched slice feeds up to three aggregates: keep it after the first scan (memory,
+    # spilling to disk; recomputed from silver if an executor holding blocks is lost)
     silver = read_silver(spark, paths).filter(F.col("event_date").isin(list(dates))) \
         .persist(StorageLevel.MEMORY_AND_DISK)
     try:
