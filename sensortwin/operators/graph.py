@@ -24,8 +24,8 @@ def batch_status(compliance, threshold: float = C.BATCH_STATUS_COMPLIANCE):
     return F.when(c < threshold, F.lit("warning")).otherwise(F.lit("ok"))
 
 
-def equipment_nodes(registry: DataFrame, gold_eq: DataFrame) -> DataFrame:
-    s = equipment_status(registry, gold_eq)
+def equipment_nodes(registry: DataFrame, gold_eq: DataFrame, partitioned: bool = False) -> DataFrame:
+    s = equipment_status(registry, gold_eq, partitioned)
     return s.select(F.col("equipment_id").alias("id"), F.lit("equipment").alias("type"),
                     F.col("equipment_name").alias("label"), "equipment_type", "plant_id", "line_id",
                     "avg_temperature_c", "total_energy_kwh", "alarm_count", "status")
@@ -43,9 +43,9 @@ def batch_nodes(gold_batch: DataFrame, n: int = C.GRAPH_BATCHES) -> DataFrame:
 
 
 def graph_nodes(registry: DataFrame, gold_eq: DataFrame, gold_batch: DataFrame,
-                n: int = C.GRAPH_BATCHES) -> DataFrame:
+                n: int = C.GRAPH_BATCHES, partitioned: bool = False) -> DataFrame:
     """K8 + D1: batch nodes then equipment nodes, concatenated without dedup."""
-    nodes = batch_nodes(gold_batch, n).unionByName(equipment_nodes(registry, gold_eq),
+    nodes = batch_nodes(gold_batch, n).unionByName(equipment_nodes(registry, gold_eq, partitioned),
                                                    allowMissingColumns=True)
     return nodes.select(*NODE_COLUMNS)
 
