@@ -15,8 +15,8 @@ from ..plans.catalog import register, to_ntz
 from ..plans.inputs import Inputs
 from ..plans.present import present
 from ..sources.events import replay_to_landing
-from .pipeline import (GOLD_TABLES, TwinPaths, alert_stream, bronze_stream, dedup_stream, new_paths, read_gold, read_silver,
-                       run_available, silver_stream)
+from .pipeline import (GOLD_TABLES, TwinPaths, alert_stream, bronze_stream, dedup_stream, live_tail, new_paths,
+                       read_gold, read_silver, run_available, silver_stream)
 from ..operators.layers import to_silver
 
 INSTALMENTS = 3
@@ -83,6 +83,23 @@ def stream_alerts(spark: SparkSession, sf_dir: str) -> DataFrame:
     return spark.read.parquet(paths.path("alerts")).select("equipment_id")
 
 
+@register("stream_live_tail")
+def stream_live_tail(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """X6 + P17: the live-event projection as an append stream over silver, drained after
+    every instalment (a streamed tail carries no order)."""
+    t = Inputs(spark, sf_dir)
+    paths = new_paths(spark, "tail")
+    out = paths.path("live_tail")
+    for part in _instalments(t.raw):
+        replay_to_landing(part, paths.landing, files=4)
+        run_available(spark, paths, quarantine=False, gold=False)
+        q = (live_tail(silver_stream(spark, paths.bronze)).writeStream.format("parquet")
+             .option("checkpointLocation", paths.ckpt("live_tail")).outputMode("append")
+             .trigger(availableNow=True).start(out))
+        q.awaitTermination()
+    return present(spark.read.parquet(out))
+
+
 @register("stream_dedup")
 def stream_dedup(spark: SparkSession, sf_dir: str, delay: str = "10 minutes") -> DataFrame:
     """Watermark dedup over a time-ordered replay (three slices, restart between)."""
