@@ -284,10 +284,20 @@ def alert_stream(silver: DataFrame) -> DataFrame:
 
 
 def dedup_stream(events: DataFrame, delay: str = "10 minutes",
-                 keys=("event_ts", "equipment_id", "event_type")) -> DataFrame:
+                 keys=("event_ts", "equipment_id", "event_type"), salt_buckets: int = 1) -> DataFrame:
     """Drop repeats of (event_ts, machine, type) seen within ``delay``; state is
-    evicted as the watermark passes, so memory stays bounded."""
-    return events.withWatermark("event_ts", delay).dropDuplicatesWithinWatermark(list(keys))
+    evicted as the watermark passes, so memory stays bounded.
+
+    ``salt_buckets > 1`` splits hot groups of copies: a first dedup on the key plus the
+    input partition id (mod the bucket count) spreads the copies of one key over up to
+    that many tasks and leaves at most one copy per bucket; the second dedup on the key
+    alone then sees at most ``salt_buckets`` copies per key.  Same surviving keys.
+    """
+    w = events.withWatermark("event_ts", delay)
+    if salt_buckets > 1:
+        salted = w.withColumn("_salt", F.pmod(F.spark_partition_id(), F.lit(salt_buckets)))
+        w = salted.dropDuplicatesWithinWatermark([*keys, "_salt"]).drop("_salt")
+    return w.dropDuplicatesWithinWatermark(list(keys))
 
 
 def live_tail(silver: DataFrame) -> DataFrame:

@@ -101,8 +101,9 @@ def stream_live_tail(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 @register("stream_dedup")
-def stream_dedup(spark: SparkSession, sf_dir: str, delay: str = "10 minutes") -> DataFrame:
-    """Watermark dedup over a time-ordered replay (three slices, restart between)."""
+def stream_dedup(spark: SparkSession, sf_dir: str, delay: str = "10 minutes", salt_buckets: int = 8) -> DataFrame:
+    """Salted two-stage watermark dedup over a time-ordered replay (three slices,
+    restart between)."""
     t = Inputs(spark, sf_dir)
     paths = new_paths(spark, "dedup")
     secs = F.col("event_ts").cast("timestamp").cast("long")
@@ -112,7 +113,7 @@ def stream_dedup(spark: SparkSession, sf_dir: str, delay: str = "10 minutes") ->
     for part in slices:
         replay_to_landing(part, paths.landing, files=4)
         s = to_silver(bronze_stream(spark, paths.landing))
-        q = (dedup_stream(s, delay).select("event_ts", "equipment_id", "event_type").writeStream
+        q = (dedup_stream(s, delay, salt_buckets=salt_buckets).select("event_ts", "equipment_id", "event_type").writeStream
              .format("parquet").option("checkpointLocation", paths.ckpt("dedup")).outputMode("append")
              .trigger(availableNow=True).start(out))
         q.awaitTermination()

@@ -141,3 +141,29 @@ def test_gold_recovers_from_a_failed_micro_batch(spark):
         "window_5min", F.col("window_5min").cast("timestamp_ntz"))
     keys = ("equipment_id", "equipment_name", "equipment_type", "line_id", "plant_id", "window_5min")
     _same(_rows(got, keys), _rows(equipment_metrics(t.silver, computed_at=False), keys))
+
+
+def test_salted_stream_dedup_handles_a_hot_group_of_copies(spark):
+    """A third of the rows are copies of one event; the salted two-stage dedup keeps every
+    distinct key exactly once, like the plain one."""
+    from sensortwin.streaming.pipeline import dedup_stream
+    from conftest import make_raw, ts
+
+    base = [{"event_id": f"u{i}", "event_ts": ts("2024-01-01T00:00:00").replace(second=i % 60, minute=i // 60),
+             "temperature_c": float(i)} for i in range(200)]
+    hot = [{"event_id": f"c{i}", "event_ts": ts("2024-01-01T00:00:30"), "equipment_id": "EQ-HOT"}
+           for i in range(100)]
+    raw = make_raw(spark, base + hot)
+    for salt in (1, 4):
+        paths = new_paths(spark, f"test-salt{salt}")
+        replay_to_landing(raw, paths.landing, files=4)
+        from sensortwin.operators.layers import to_silver
+        from sensortwin.streaming.pipeline import bronze_stream
+        out = paths.path("dedup")
+        q = (dedup_stream(to_silver(bronze_stream(spark, paths.landing)), salt_buckets=salt)
+             .select("event_ts", "equipment_id", "event_type").writeStream.format("parquet")
+             .option("checkpointLocation", paths.ckpt("dedup")).trigger(availableNow=True).start(out))
+        q.awaitTermination()
+        got = spark.read.parquet(out)
+        assert got.count() == 201
+        assert got.filter(F.col("equipment_id") == "EQ-HOT").count() == 1
