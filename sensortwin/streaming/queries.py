@@ -29,7 +29,7 @@ def _instalments(raw: DataFrame, n: int = INSTALMENTS) -> list[DataFrame]:
 
 
 def _start_alerts(spark: SparkSession, paths: TwinPaths):
-    w = (alert_stream(silver_stream(spark, paths.bronze)).writeStream.format("parquet")
+    w = (alert_stream(silver_stream(spark, paths.bronze), salt_buckets=8).writeStream.format("parquet")
          .option("checkpointLocation", paths.ckpt("alerts")).outputMode("append").trigger(availableNow=True))
     return w.start(paths.path("alerts"))
 
@@ -78,7 +78,8 @@ def stream_sustainability_hourly(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 @register("stream_alerts")
 def stream_alerts(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """Machines that ever raised an alarm, each emitted once across restarts."""
+    """Machines that ever raised an alarm, each emitted once across restarts (salted
+    two-stage dedup)."""
     paths = run_pipeline(spark, sf_dir, gold=False, alerts=True)
     return spark.read.parquet(paths.path("alerts")).select("equipment_id")
 
