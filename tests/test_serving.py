@@ -157,3 +157,25 @@ def test_plant_energy_share_floor(spark):
     s = spark.createDataFrame([("P1", 0.5), ("P2", 0.25)], "plant_id string, total_energy_kwh double")
     got = {r["plant_id"]: r["energy_share_pct"] for r in serving.plant_energy_share(s).collect()}
     assert got == {"P1": 50.0, "P2": 25.0}
+
+
+def test_alarm_impact_joins_alarm_machines_to_their_batches(spark):
+    from sensortwin.operators.graph import NODE_COLUMNS
+    cols = ", ".join(f"{c} {'double' if c.startswith(('avg_', 'total_', 'ftr_', 'moisture_')) else 'int' if c == 'alarm_count' else 'string'}"
+                     for c in NODE_COLUMNS)
+    nodes = spark.createDataFrame([
+        ("B1", "batch", "B1", None, "P1", "L", None, None, None, 4.0, 31.0, 25.0, 96.0, 92.0, "ok"),
+        ("B1", "batch", "B1", None, "P2", "L", None, None, None, 4.1, 32.0, 26.0, 97.0, 88.0, "warning"),
+        ("B2", "batch", "B2", None, "P1", "L", None, None, None, 4.2, 33.0, 27.0, 98.0, 99.0, "ok"),
+        ("EQ-1", "equipment", "M1", "mixer", "P1", "L", 70.0, 5.0, 2, None, None, None, None, None, "alarm"),
+        ("EQ-2", "equipment", "M2", "mixer", "P1", "L", 90.0, 5.0, 0, None, None, None, None, None, "warning"),
+    ], cols)
+    edges = spark.createDataFrame([("B1->EQ-1", "B1", "EQ-1", "processed_by", 5, "M1", "mixer"),
+                                   ("B2->EQ-2", "B2", "EQ-2", "processed_by", 3, "M2", "mixer"),
+                                   ("B9->EQ-1", "B9", "EQ-1", "processed_by", 1, "M1", "mixer")],
+                                  "id string, source string, target string, label string, event_count long, "
+                                  "equipment_name string, equipment_type string")
+    rows = sorted((r["batch_id"], r["batch_plant_id"], r["equipment_id"], r["event_count"])
+                  for r in graph.alarm_impact(nodes, edges).collect())
+    # only the alarm machine EQ-1; its batch B1 is listed in two plants; B9 is not a node
+    assert rows == [("B1", "P1", "EQ-1", 5), ("B1", "P2", "EQ-1", 5)]
