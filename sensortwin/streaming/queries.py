@@ -35,14 +35,14 @@ def _start_alerts(spark: SparkSession, paths: TwinPaths):
 
 
 def run_pipeline(spark: SparkSession, sf_dir: str, gold: bool = True, alerts: bool = False,
-                 tables=GOLD_TABLES) -> TwinPaths:
-    """Replay the whole table in instalments; after each, drain bronze + quarantine +
+                 tables=GOLD_TABLES, quarantine: bool = False) -> TwinPaths:
+    """Replay the whole table in instalments; after each, drain bronze (+ quarantine) +
     silver, then the incremental refresh of the gold ``tables`` and/or the alert stream."""
     t = Inputs(spark, sf_dir)
     paths = new_paths(spark, "twin")
     for part in _instalments(t.raw):
         replay_to_landing(part, paths.landing, files=4)
-        run_available(spark, paths, gold=gold, tables=tables)
+        run_available(spark, paths, quarantine=quarantine, gold=gold, tables=tables)
         if alerts:
             q = _start_alerts(spark, paths)
             q.awaitTermination()
@@ -51,8 +51,9 @@ def run_pipeline(spark: SparkSession, sf_dir: str, gold: bool = True, alerts: bo
 
 @register("stream_silver_events")
 def stream_silver_events(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """X1 + X2 + S8 + S9: silver produced by the chained streams."""
-    return present(to_ntz(read_silver(spark, run_pipeline(spark, sf_dir, gold=False))))
+    """X1 + X2 + S3 + S8 + S9: silver (and the quarantine beside it) produced by the chained
+    streams."""
+    return present(to_ntz(read_silver(spark, run_pipeline(spark, sf_dir, gold=False, quarantine=True))))
 
 
 @register("stream_equipment_metrics")
