@@ -28,11 +28,16 @@ def main() -> None:
         sys.exit(f"no event log in {folder}")
     stage_query: dict[int, str] = {}
     acc = defaultdict(lambda: defaultdict(int))
+    current = "?"  # bench runs one query at a time
     for line in _lines(files):
         ev = json.loads(line)
         kind = ev.get("Event")
         if kind == "SparkListenerJobStart":
-            desc = (ev.get("Properties") or {}).get("spark.job.description", "?")
+            desc = (ev.get("Properties") or {}).get("spark.job.description") or "?"
+            if "runId" in desc or "\n" in desc or desc.startswith("Listing leaf files"):
+                desc = current  # a micro-batch job: belongs to the query that started the stream
+            else:
+                current = desc
             for sid in ev.get("Stage IDs", []):
                 stage_query[sid] = desc
         elif kind == "SparkListenerTaskEnd":

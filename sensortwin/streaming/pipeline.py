@@ -194,13 +194,29 @@ def _refresh_from(spark: SparkSession, paths: TwinPaths, silver: DataFrame, buck
             gb = batch_yield_from_partials(p, computed_at=computed_at).withColumn("batch_bucket", _bucket())
             _overwrite(gb, paths.gold_batch, "batch_bucket")
 
-    # independent jobs over the same persisted slice: submit them concurrently
+    # independent jobs over the same persisted slice: submit them concurrently, carrying the
+    # caller's job group / description so that stopping the stream cancels them too
     jobs = {"equipment_metrics": eq, "sustainability_hourly": sus, "batch_yield": batches}
+    sc = spark.sparkContext
+    props = {k: sc.getLocalProperty(k) for k in _INHERITED_PROPERTIES}
+
+    def with_props(fn):
+        def run():
+            for k, v in props.items():
+                if v is not None:
+                    sc.setLocalProperty(k, v)
+            fn()
+        return run
+
     with ThreadPoolExecutor(max_workers=3) as pool:
-        for f in [pool.submit(jobs[t]) for t in tables]:
+        for f in [pool.submit(with_props(jobs[t])) for t in tables]:
             f.result()
 
 
+_INHERITED_PROPERTIES = ("spark.jobGroup.id", "spark.job.description", "spark.job.interruptOnCancel",
+                         "spark.scheduler.pool", "sql.streaming.queryId", "streaming.sql.batchId")
+
+
 def gold_foreach_batch(paths: TwinPaths, computed_at=None, tables=GOLD_TABLES):
     """The ``foreachBatch`` function. No watermark: late rows are always counted."""
     def run(batch_df: DataFrame, epoch_id: int) -> None:
