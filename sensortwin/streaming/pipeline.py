@@ -89,14 +89,18 @@ def _trigger(writer, trigger):
 
 
 def bronze_stream(spark: SparkSession, landing: str, max_files: int | None = None) -> DataFrame:
-    """Typed permissive JSON stream + ingest metadata -> bronze rows (good ones)."""
-    raw = with_ingest_metadata(read_events_stream(spark, landing, max_files))
-    good, _bad = split_corrupt(raw)
-    return to_bronze(good)
+    """Typed permissive JSON stream + ingest metadata -> bronze rows.
+
+    Like the application's bronze table, every landed line is kept (a broken line is an
+    all-NULL row); silver's null guard drops what is unusable, and the quarantine stream
+    lists those rows with their raw text.
+    """
+    return to_bronze(with_ingest_metadata(read_events_stream(spark, landing, max_files)))
 
 
 def quarantine_stream(spark: SparkSession, landing: str, max_files: int | None = None) -> DataFrame:
-    """S3: the rows silver would drop, with the raw line when Spark kept it."""
+    """S3: the rows silver will drop (no id / unusable timestamp), with the raw line when
+    Spark kept it."""
     raw = with_ingest_metadata(read_events_stream(spark, landing, max_files))
     _good, bad = split_corrupt(raw)
     return bad

@@ -108,6 +108,7 @@ def test_malformed_lines_are_quarantined_not_fatal(spark):
     with open(os.path.join(local_path(paths.landing), "part-0.json"), "w") as fh:
         fh.write("\n".join(lines) + "\n")
     run_available(spark, paths)
+    assert spark.read.parquet(paths.bronze).count() == 5   # bronze keeps every line, as landed
     assert read_silver(spark, paths).count() == 2
     assert spark.read.parquet(paths.quarantine).count() == 3
 
