@@ -20,6 +20,7 @@ from pyspark import StorageLevel
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
+from pyspark.errors import AnalysisException
 from pyspark.sql.streaming import StreamingQuery
 
 from ..operators.gold import batch_partials, batch_yield_from_partials, equipment_metrics, sustainability_hourly
@@ -131,8 +132,30 @@ def start_silver(spark: SparkSession, paths: TwinPaths, trigger=None) -> Streami
     return _trigger(w, trigger).start(paths.silver)
 
 
+def read_or_empty(spark: SparkSession, path: str, schema: T.StructType) -> DataFrame:
+    """The parquet table at ``path`` read with its known schema; an empty frame of that
+    schema when nothing has been written there yet (no data has arrived)."""
+    try:
+        return spark.read.schema(schema).parquet(path)
+    except AnalysisException:
+        return spark.createDataFrame([], schema)
+
+
 def read_silver(spark: SparkSession, paths: TwinPaths) -> DataFrame:
-    return spark.read.schema(silver_schema(spark)).parquet(paths.silver)
+    return read_or_empty(spark, paths.silver, silver_schema(spark))
+
+
+def gold_schemas(spark: SparkSession) -> dict[str, T.StructType]:
+    """Stored gold schemas (partition column last), derived from the gold functions."""
+    empty = spark.createDataFrame([], silver_schema(spark))
+
+    def last(df: DataFrame, col: str) -> T.StructType:
+        return df.select(*[c for c in df.columns if c != col], col).schema
+
+    gb = batch_yield_from_partials(batch_partials(empty)).withColumn("batch_bucket", F.lit(0))
+    return {"equipment_metrics": last(equipment_metrics(empty), "event_date"),
+            "sustainability_hourly": last(sustainability_hourly(empty), "event_date"),
+            "batch_yield": gb.schema}
 
 
 # ---------------------------------------------------------------------------
@@ -242,15 +265,18 @@ def start_gold(spark: SparkSession, paths: TwinPaths, trigger=None, computed_at=
 
 
 def read_gold(spark: SparkSession, paths: TwinPaths, table: str | None = None):
-    """The stored gold tables (all as a dict, or one by name)."""
-    readers = {
-        "equipment_metrics": lambda: spark.read.parquet(paths.gold_eq),
-        "sustainability_hourly": lambda: spark.read.parquet(paths.gold_sus),
-        "batch_yield": lambda: spark.read.parquet(paths.gold_batch).drop("batch_bucket"),
-    }
+    """The stored gold tables (all as a dict, or one by name); empty until data arrives."""
+    schemas = gold_schemas(spark)
+    locations = {"equipment_metrics": paths.gold_eq, "sustainability_hourly": paths.gold_sus,
+                 "batch_yield": paths.gold_batch}
+
+    def read(name: str) -> DataFrame:
+        df = read_or_empty(spark, locations[name], schemas[name])
+        return df.drop("batch_bucket") if name == "batch_yield" else df
+
     if table is not None:
-        return readers[table]()
-    return {k: r() for k, r in readers.items()}
+        return read(table)
+    return {k: read(k) for k in locations}
 
 
 def run_available(spark: SparkSession, paths: TwinPaths, quarantine: bool = True, gold: bool = True,

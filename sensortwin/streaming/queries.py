@@ -16,7 +16,7 @@ from ..plans.inputs import Inputs
 from ..plans.present import present
 from ..sources.events import replay_to_landing
 from .pipeline import (GOLD_TABLES, TwinPaths, alert_stream, bronze_stream, dedup_stream, live_tail, new_paths,
-                       read_gold, read_silver, run_available, silver_stream)
+                       read_gold, read_or_empty, read_silver, run_available, silver_schema, silver_stream)
 from ..operators.layers import to_silver
 
 INSTALMENTS = 3
@@ -82,7 +82,8 @@ def stream_alerts(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Machines that ever raised an alarm, each emitted once across restarts (salted
     two-stage dedup)."""
     paths = run_pipeline(spark, sf_dir, gold=False, alerts=True)
-    return spark.read.parquet(paths.path("alerts")).select("equipment_id")
+    schema = alert_stream(spark.createDataFrame([], silver_schema(spark))).schema
+    return read_or_empty(spark, paths.path("alerts"), schema).select("equipment_id")
 
 
 @register("stream_live_tail")
@@ -99,7 +100,8 @@ def stream_live_tail(spark: SparkSession, sf_dir: str) -> DataFrame:
              .option("checkpointLocation", paths.ckpt("live_tail")).outputMode("append")
              .trigger(availableNow=True).start(out))
         q.awaitTermination()
-    return present(spark.read.parquet(out))
+    schema = live_tail(spark.createDataFrame([], silver_schema(spark))).schema
+    return present(read_or_empty(spark, out, schema))
 
 
 @register("stream_dedup")
@@ -109,8 +111,12 @@ def stream_dedup(spark: SparkSession, sf_dir: str, delay: str = "10 minutes", sa
     t = Inputs(spark, sf_dir)
     paths = new_paths(spark, "dedup")
     secs = F.col("event_ts").cast("timestamp").cast("long")
-    b1, b2 = t.raw.select(F.percentile_approx(secs, [1 / 3, 2 / 3], 10000)).first()[0]  # two scalars
-    slices = [t.raw.filter(secs < b1), t.raw.filter((secs >= b1) & (secs < b2)), t.raw.filter(secs >= b2)]
+    bounds = t.raw.select(F.percentile_approx(secs, [1 / 3, 2 / 3], 10000)).first()[0]  # two scalars
+    if bounds is None:  # no events at all: one (empty) slice
+        slices = [t.raw]
+    else:
+        b1, b2 = bounds
+        slices = [t.raw.filter(secs < b1), t.raw.filter((secs >= b1) & (secs < b2)), t.raw.filter(secs >= b2)]
     out = paths.path("dedup")
     for part in slices:
         replay_to_landing(part, paths.landing, files=4)
@@ -119,4 +125,5 @@ def stream_dedup(spark: SparkSession, sf_dir: str, delay: str = "10 minutes", sa
              .format("parquet").option("checkpointLocation", paths.ckpt("dedup")).outputMode("append")
              .trigger(availableNow=True).start(out))
         q.awaitTermination()
-    return to_ntz(spark.read.parquet(out))
+    schema = spark.createDataFrame([], silver_schema(spark)).select("event_ts", "equipment_id", "event_type").schema
+    return to_ntz(read_or_empty(spark, out, schema))
