@@ -2,7 +2,6 @@
 
 from __future__ import annotations
 
-import os
 import tempfile
 import uuid
 
@@ -80,11 +79,6 @@ def scratch_path(spark: SparkSession, name: str) -> str:
 
 
 def local_path(path: str) -> str:
-    """Strip a ``file:`` scheme for local filesystem calls in tests."""
+    """Strip a ``file:`` scheme (tests write hand-made fixture files with plain Python)."""
     return path[5:] if path.startswith("file:") else path
 
-
-def ensure_dir(path: str) -> str:
-    if "://" not in path and not path.startswith("file:"):
-        os.makedirs(path, exist_ok=True)
-    return path
