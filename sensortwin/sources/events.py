@@ -67,9 +67,10 @@ def to_landing_json(df: DataFrame) -> DataFrame:
     ts = df.schema["event_ts"].dataType
     if isinstance(ts, T.StringType):
         iso = F.col("event_ts")
-    else:
-        iso = F.concat(F.date_format(F.col("event_ts").cast("timestamp_ntz"),
-                                     "yyyy-MM-dd'T'HH:mm:ss.SSSSSS"), F.lit("+00:00"))
+    elif isinstance(ts, T.TimestampNTZType):  # zone-less wall time, UTC by convention
+        iso = F.concat(F.date_format(F.col("event_ts"), "yyyy-MM-dd'T'HH:mm:ss.SSSSSS"), F.lit("+00:00"))
+    else:  # an instant: rendered with the session zone's offset, so it parses back exactly
+        iso = F.date_format(F.col("event_ts"), "yyyy-MM-dd'T'HH:mm:ss.SSSSSSXXX")
     cols = [iso.alias("event_ts") if c == "event_ts" else F.col(c) for c in EVENT_COLUMNS]
     return df.select(*cols)
 

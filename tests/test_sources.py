@@ -116,3 +116,18 @@ def test_pipeline_cli_available_now(spark):
     main(["--root", root, "--landing", landing, "--available-now"])
     gold = read_gold(spark, TwinPaths(root, landing))
     assert gold["equipment_metrics"].count() > 0 and gold["batch_yield"].count() > 0
+
+
+def test_landing_text_round_trips_in_any_session_zone(spark):
+    """An instant written in a non-UTC session zone parses back to the same instant."""
+    raw = make_raw(spark, [{"event_ts": ts("2024-01-01T00:00:07.179575")}])
+    before = raw.select(F.unix_micros("event_ts")).first()[0]
+    old = spark.conf.get("spark.sql.session.timeZone")
+    try:
+        spark.conf.set("spark.sql.session.timeZone", "Europe/Paris")
+        text = to_landing_json(raw).first()["event_ts"]
+        assert text.endswith("+01:00")
+        back = spark.createDataFrame([(text,)], "t string").select(F.unix_micros(F.col("t").cast("timestamp")))
+        assert back.first()[0] == before
+    finally:
+        spark.conf.set("spark.sql.session.timeZone", old)
