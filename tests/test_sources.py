@@ -19,12 +19,12 @@ from sensortwin.streaming.pipeline import live_tail, new_paths, run_available, s
 from conftest import make_raw, ts
 
 EQUIPMENT_CSV = """equipment_id,name,type,line_id,plant_id,capacity_kg_h,commissioned_year
-EQ-A,Dryer Ä,spray_dryer,LINE-A,PLANT-OPGLIÈRES,12000,2018
-EQ-F,Flow meter,flow_meter,LINE-B,PLANT-ALMERÍA,,2019
+EQ-A,Dryer Ä,spray_dryer,LINE-A,PLANT-ÉTOILE,12000,2018
+EQ-F,Flow meter,flow_meter,LINE-B,PLANT-ÅSBERG,,2019
 """
 BATCHES_CSV = """batch_id,plant_id,milk_origin,product_type,protein_pct,fat_pct,lactose_pct,moisture_pct,viscosity_cp,volume_liters,received_at,supplier_id,quality_grade
-B-2,PLANT-ALMERÍA,Spain ES,infant,34.0,27.5,35.2,3.7,950,35000,2026-03-01T07:00:00Z,SUP-1,A+
-B-1,PLANT-OPGLIÈRES,Normandy FR,infant,32.1,26.4,38.2,4.1,850,45000,2026-03-01T06:00:00Z,SUP-2,A
+B-2,PLANT-ÅSBERG,Øster Ñ,infant,34.0,27.5,35.2,3.7,950,35000,2026-03-01T07:00:00Z,SUP-1,A+
+B-1,PLANT-ÉTOILE,Vallée Ä,infant,32.1,26.4,38.2,4.1,850,45000,2026-03-01T06:00:00Z,SUP-2,A
 """
 
 
@@ -41,10 +41,10 @@ def test_reference_csvs_utf8_and_types(spark):
     eq = read_equipment_csv(spark, _write(spark, "equipment", EQUIPMENT_CSV))
     assert eq.schema == EQUIPMENT_SCHEMA
     rows = {r["equipment_id"]: r for r in eq.collect()}
-    assert rows["EQ-A"]["plant_id"] == "PLANT-OPGLIÈRES" and rows["EQ-A"]["name"] == "Dryer Ä"
+    assert rows["EQ-A"]["plant_id"] == "PLANT-ÉTOILE" and rows["EQ-A"]["name"] == "Dryer Ä"
     assert rows["EQ-F"]["capacity_kg_h"] is None and rows["EQ-A"]["capacity_kg_h"] == 12000
     ref = serving.equipment_reference(eq).collect()
-    assert [r["equipment_id"] for r in ref] == ["EQ-F", "EQ-A"]  # PLANT-ALMERÍA sorts first
+    assert [r["equipment_id"] for r in ref] == ["EQ-F", "EQ-A"]  # PLANT-ÅSBERG sorts first
     assert "install_year" in ref[0].asDict()
 
     b = read_batches_csv(spark, _write(spark, "batches", BATCHES_CSV))
