@@ -11,7 +11,8 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 
 from . import config as C
-from .operators import graph, serving, whatif
+from .functions import latest_ts, since
+from .operators import alarms, graph, serving, whatif
 from .schemas import SCENARIO_SCHEMA
 from .streaming.pipeline import TwinPaths, read_gold, read_silver
 
@@ -97,6 +98,43 @@ class TwinService:
     def stream_history(self, as_of=None) -> DataFrame:
         return serving.event_history(self.silver(), as_of, C.HISTORY_SECONDS, C.HISTORY_LIMIT)
 
+    # views the UI derives from the endpoints ------------------------------------------------------------
+    def dashboard_kpis(self) -> DataFrame:
+        return serving.dashboard_kpis(self.gold_eq(), self.gold_batch(), partitioned=True)
+
+    def alerts(self) -> DataFrame:
+        return alarms.alerts(self.gold_eq(), partitioned=True)
+
+    def equipment_grid(self) -> DataFrame:
+        return serving.equipment_grid(self.gold_eq(), partitioned=True)
+
+    def batch_badges(self) -> DataFrame:
+        return serving.batch_badges(self.gold_batch())
+
+    def sustainability_kpis(self) -> DataFrame:
+        return serving.sustainability_kpis(self.sustainability_summary())
+
+    def plant_energy_share(self) -> DataFrame:
+        return serving.plant_energy_share(self.sustainability_summary())
+
+    def hourly_trend(self, hours: int = 720, as_of=None) -> DataFrame:
+        return serving.hourly_trend(self.gold_sus(), as_of=as_of, hours=hours)
+
+    def carbon_insight(self) -> DataFrame:
+        return serving.carbon_insight(self.batch_carbon_traceback())
+
+    def graph_stats(self, as_of=None) -> DataFrame:
+        nodes, edges = self.graph(as_of)
+        return graph.graph_stats(nodes, edges)
+
+    def live_series(self, as_of=None) -> DataFrame:
+        """Per-second averages over the feed's history window."""
+        s = self.silver()
+        return serving.live_series(since(s, "event_ts", as_of, seconds=C.HISTORY_SECONDS, date_col="event_date"))
+
+    def event_feed(self, as_of=None) -> DataFrame:
+        return serving.event_feed(self.silver(), as_of)
+
     # ----------------------------------------------------------------------------------------------------
     def _registry(self) -> DataFrame:
         if self.registry is None:
@@ -105,9 +143,7 @@ class TwinService:
 
     def latest_event_time(self):
         """A reproducible ``as_of`` for stored data: the newest event, newest partition only."""
-        from .functions import latest_ts
-        s = self.silver()
-        return latest_ts(s, partitioned=True)
+        return latest_ts(self.silver(), partitioned=True)
 
 
 __all__ = ["TwinService"]

@@ -51,3 +51,13 @@ def test_service_endpoints(spark):
     assert scored.count() == 0 and rejected.count() == 0   # the 404 case: valid but unknown
     scored, rejected = svc.simulate(batch, 2.0)
     assert scored.count() == 0 and rejected.first()["reason"] == "fat_delta_pct out of range"
+
+    # the views the UI derives
+    assert svc.dashboard_kpis().count() == 1 and svc.sustainability_kpis().count() == 1
+    assert svc.graph_stats(as_of=as_of).first()["equipment"] == t.registry.count()
+    assert svc.alerts().count() == serving.latest_equipment_metrics(t.gold_eq).filter("alarm_count > 0").count()
+    assert svc.equipment_grid().count() == svc.equipment_metrics().count()
+    assert svc.batch_badges().count() == 20 and svc.plant_energy_share().count() == t.summary.count()
+    assert svc.hourly_trend(hours=0).count() == t.gold_sus.select("hour_bucket").distinct().count()
+    assert svc.carbon_insight().count() == 1
+    assert svc.live_series(as_of=as_of).count() >= 1 and 1 <= svc.event_feed(as_of=as_of).count() <= 8
