@@ -38,7 +38,12 @@ BRONZE_SCHEMA = T.StructType(
 
 
 def silver_schema(spark: SparkSession) -> T.StructType:
-    return to_silver(spark.createDataFrame([], BRONZE_SCHEMA)).schema
+    """Schema of the stored silver table: the silver columns with the ``event_date``
+    partition column last.  Spark appends partition columns after the data columns; a
+    stream that starts before any partition directory exists would otherwise read every
+    column after ``batch_id`` shifted by one once the partitions appear."""
+    s = to_silver(spark.createDataFrame([], BRONZE_SCHEMA)).schema
+    return T.StructType([f for f in s.fields if f.name != "event_date"] + [s["event_date"]])
 
 
 @dataclass(frozen=True)
@@ -248,7 +253,9 @@ def gold_foreach_batch(paths: TwinPaths, computed_at=None, tables=GOLD_TABLES):
     """The ``foreachBatch`` function. No watermark: late rows are always counted."""
     def run(batch_df: DataFrame, epoch_id: int) -> None:
         spark = batch_df.sparkSession
-        keys = (batch_df.select("event_date", F.when(F.col("batch_id").isNotNull(), _bucket()).alias("b"))
+        # dates from the event time itself (event_date is to_date(event_ts) by definition)
+        keys = (batch_df.select(F.to_date("event_ts").alias("event_date"),
+                                F.when(F.col("batch_id").isNotNull(), _bucket()).alias("b"))
                 .distinct().collect())  # bounded: days x buckets touched by one micro-batch
         dates = sorted({r["event_date"] for r in keys if r["event_date"] is not None})
         buckets = sorted({r["b"] for r in keys if r["b"] is not None})

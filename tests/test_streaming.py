@@ -168,3 +168,32 @@ def test_salted_stream_dedup_handles_a_hot_group_of_copies(spark):
         got = spark.read.parquet(out)
         assert got.count() == 201
         assert got.filter(F.col("equipment_id") == "EQ-HOT").count() == 1
+
+
+def test_continuous_trigger_picks_up_new_files(spark):
+    """The four streams running with a processing-time trigger, as in production: files that
+    land while they run reach gold without a restart."""
+    import time as _time
+
+    from sensortwin.streaming.pipeline import start_bronze, start_gold, start_quarantine, start_silver
+
+    t = Inputs(spark, SF_SMALL)
+    paths = new_paths(spark, "test-continuous")
+    first, second = (t.raw.filter(F.col("event_id").cast("long") % 2 == i) for i in (0, 1))
+    replay_to_landing(first, paths.landing, files=1)
+    qs = [start(spark, paths, "1 second") for start in (start_bronze, start_quarantine, start_silver, start_gold)]
+    try:
+        replay_to_landing(second, paths.landing, files=1)   # lands while the streams run
+        want = t.gold_eq.count()
+        deadline = _time.time() + 120
+        got = -1
+        while _time.time() < deadline:
+            got = read_gold(spark, paths, "equipment_metrics").count()
+            if got == want and read_silver(spark, paths).count() == t.silver.count():
+                break
+            _time.sleep(2)
+        assert got == want
+        assert all(q.isActive for q in qs) and all(q.exception() is None for q in qs)
+    finally:
+        for q in qs:
+            q.stop()
