@@ -197,3 +197,16 @@ def test_continuous_trigger_picks_up_new_files(spark):
     finally:
         for q in qs:
             q.stop()
+
+
+def test_max_files_per_trigger_splits_the_backlog(spark):
+    from sensortwin.streaming.pipeline import start_bronze
+
+    t = Inputs(spark, SF_SMALL)
+    paths = new_paths(spark, "test-maxfiles")
+    replay_to_landing(t.raw, paths.landing, files=4)
+    q = start_bronze(spark, paths, max_files=1)
+    q.awaitTermination()
+    batches = [p for p in q.recentProgress if p["numInputRows"] > 0]
+    assert len(batches) == 4 and sum(p["numInputRows"] for p in batches) == t.raw.count()
+    assert spark.read.parquet(paths.bronze).count() == t.raw.count()
