@@ -15,6 +15,7 @@ from __future__ import annotations
 
 from concurrent.futures import ThreadPoolExecutor
 from dataclasses import dataclass
+from functools import lru_cache
 
 from pyspark import StorageLevel
 from pyspark.sql import DataFrame, SparkSession
@@ -37,6 +38,7 @@ BRONZE_SCHEMA = T.StructType(
        T.StructField("_file_modified_at", T.TimestampType())])
 
 
+@lru_cache(maxsize=8)
 def silver_schema(spark: SparkSession) -> T.StructType:
     """Schema of the stored silver table: the silver columns with the ``event_date``
     partition column last.  Spark appends partition columns after the data columns; a
@@ -150,6 +152,7 @@ def read_silver(spark: SparkSession, paths: TwinPaths) -> DataFrame:
     return read_or_empty(spark, paths.silver, silver_schema(spark))
 
 
+@lru_cache(maxsize=8)
 def gold_schemas(spark: SparkSession) -> dict[str, T.StructType]:
     """Stored gold schemas (partition column last), derived from the gold functions."""
     empty = spark.createDataFrame([], silver_schema(spark))
