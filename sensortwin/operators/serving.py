@@ -255,10 +255,11 @@ def sustainability_kpis(summary: DataFrame, target: float = C.ENERGY_INTENSITY_T
 def plant_energy_share(summary: DataFrame) -> DataFrame:
     """Plant energy as % of the largest plant (denominator at least 1), capped at 100.
 
-    The maximum is a window over the per-plant summary, i.e. over one row per plant.
+    The maximum is an uncorrelated scalar subquery (partial max per partition, one value
+    back), so no rows are gathered into one task whatever the size of ``summary``.
     """
     e = F.coalesce(F.col("total_energy_kwh"), F.lit(0.0))
-    top = F.greatest(F.max(e).over(Window.partitionBy()), F.lit(1.0))
+    top = F.greatest(summary.select(F.max(e)).scalar(), F.lit(1.0))
     return summary.select("plant_id", "total_energy_kwh",
                           F.least(F.lit(100.0), e / top * 100.0).alias("energy_share_pct"))
 
