@@ -20,8 +20,20 @@ def _json_reader(reader, max_files: int | None = None):
 
 
 def read_events_stream(spark: SparkSession, path: str, max_files: int | None = None) -> DataFrame:
-    """Incremental, typed, permissive read of a landing directory."""
-    return _json_reader(spark.readStream, max_files).json(path)
+    """Incremental, typed, permissive read of a landing directory.
+
+    A landing folder that does not exist yet (nothing has arrived) is created empty, so
+    the stream starts and picks files up as they land.
+    """
+    try:
+        return _json_reader(spark.readStream, max_files).json(path)
+    except AnalysisException as e:
+        if getattr(e, "getCondition", lambda: None)() != "PATH_NOT_FOUND":
+            raise
+        # an empty write creates the folder on any filesystem; its _SUCCESS marker is
+        # ignored by file sources (names starting with "_")
+        spark.createDataFrame([], "value string").write.mode("append").text(path)
+        return _json_reader(spark.readStream, max_files).json(path)
 
 
 def read_events_batch(spark: SparkSession, path: str) -> DataFrame:

@@ -210,3 +210,13 @@ def test_max_files_per_trigger_splits_the_backlog(spark):
     batches = [p for p in q.recentProgress if p["numInputRows"] > 0]
     assert len(batches) == 4 and sum(p["numInputRows"] for p in batches) == t.raw.count()
     assert spark.read.parquet(paths.bronze).count() == t.raw.count()
+
+
+def test_pipeline_starts_before_the_first_file_lands(spark):
+    t = Inputs(spark, SF_SMALL)
+    paths = new_paths(spark, "test-nolanding")
+    run_available(spark, paths)                      # no landing folder yet: nothing to do, no error
+    assert read_gold(spark, paths, "equipment_metrics").count() == 0
+    replay_to_landing(t.raw, paths.landing, files=2)
+    run_available(spark, paths)
+    assert read_gold(spark, paths, "equipment_metrics").count() == t.gold_eq.count()
