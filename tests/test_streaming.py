@@ -220,3 +220,18 @@ def test_pipeline_starts_before_the_first_file_lands(spark):
     replay_to_landing(t.raw, paths.landing, files=2)
     run_available(spark, paths)
     assert read_gold(spark, paths, "equipment_metrics").count() == t.gold_eq.count()
+
+
+def test_event_time_offsets_are_normalised_to_utc(spark):
+    landing = local_path(scratch_path(spark, "tz-landing"))
+    os.makedirs(landing, exist_ok=True)
+    rows = [{"event_id": "a", "event_ts": "2026-03-01T01:30:00+02:00", "event_type": "sensor_reading"},
+            {"event_id": "b", "event_ts": "2026-03-01T01:30:00-05:00", "event_type": "sensor_reading"},
+            {"event_id": "c", "event_ts": "2026-03-01T01:30:00", "event_type": "sensor_reading"}]
+    with open(os.path.join(landing, "part-0.json"), "w") as fh:
+        fh.write("\n".join(json.dumps(r) for r in rows) + "\n")
+    from sensortwin.operators.layers import to_bronze, to_silver
+    s = {r["event_id"]: r for r in to_silver(to_bronze(read_events_batch(spark, landing))).collect()}
+    assert (str(s["a"]["event_date"]), s["a"]["event_hour"]) == ("2026-02-28", 23)
+    assert (str(s["b"]["event_date"]), s["b"]["event_hour"]) == ("2026-03-01", 6)
+    assert (str(s["c"]["event_date"]), s["c"]["event_hour"]) == ("2026-03-01", 1)
