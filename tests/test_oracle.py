@@ -13,7 +13,6 @@ from __spark_entry__ import entry, oracle_sql, queries
 from conftest import SF_SMALL
 
 TABLES = ("events", "supplier")
-STREAMING = {n for n in oracle_sql() if n.startswith("stream_")}
 
 
 def _norm(v):
@@ -39,7 +38,7 @@ def test_entry_smoke(spark):
     assert df.count() > 0 and "estimated_co2_kg" in df.columns
 
 
-@pytest.mark.parametrize("name", sorted(n for n in oracle_sql() if n not in STREAMING))
+@pytest.mark.parametrize("name", sorted(oracle_sql()))
 def test_query_matches_oracle(spark, duck, name):
     sdf = queries()[name](spark, SF_SMALL)
     cols = sorted(sdf.columns)
