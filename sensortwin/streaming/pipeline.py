@@ -17,7 +17,6 @@ from concurrent.futures import ThreadPoolExecutor
 from dataclasses import dataclass
 from functools import lru_cache
 
-from pyspark import StorageLevel
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
@@ -189,49 +188,49 @@ def _overwrite(df: DataFrame, path: str, partition: str) -> None:
 GOLD_TABLES = ("equipment_metrics", "sustainability_hourly", "batch_yield")
 
 
+MAX_DATES_PER_PASS = 31
+
+
 def refresh_gold(spark: SparkSession, paths: TwinPaths, dates, buckets, computed_at=None,
-                 tables=GOLD_TABLES) -> None:
+                 tables=GOLD_TABLES, max_dates: int = MAX_DATES_PER_PASS) -> None:
     """Recompute gold for the touched ``dates`` / batch ``buckets`` and overwrite them.
 
-    Reads only the touched date partitions of silver (static partition pruning on the
-    literal list).  Equipment and sustainability rows are keyed by date, so their
-    date partitions are replaced whole; batch yield goes through the daily partials.
+    Dates are processed in passes of at most ``max_dates`` (a rebuild over years of
+    history is many bounded passes, not one pass over everything).  Each pass reads only
+    its date partitions of silver (static partition pruning on the literal list); the
+    aggregates of a pass run as concurrent jobs, each scanning just the columns it uses.
+    Equipment and sustainability rows are keyed by date, so their date partitions are
+    replaced whole; batch yield goes through daily partials and is merged once at the end
+    for the touched buckets.  Every write is a dynamic partition overwrite, so re-running
+    the refresh (after any failure) converges to the same tables.
     """
+    dates = sorted(dates)
     if not dates:
         return
-    # the touched slice feeds up to three aggregates: keep it after the first scan (memory,
-    # spilling to disk; recomputed from silver if an executor holding blocks is lost)
-    silver = read_silver(spark, paths).filter(F.col("event_date").isin(list(dates))) \
-        .persist(StorageLevel.MEMORY_AND_DISK)
-    try:
-        _refresh_from(spark, paths, silver, buckets, computed_at, tables)
-    finally:
-        silver.unpersist()
+    for i in range(0, len(dates), max_dates):
+        silver = read_silver(spark, paths).filter(F.col("event_date").isin(dates[i:i + max_dates]))
+        _refresh_dates(spark, paths, silver, computed_at, tables)
+    if "batch_yield" in tables and buckets:
+        p = spark.read.parquet(paths.partials).filter(_bucket().isin(list(buckets)))
+        gb = batch_yield_from_partials(p, computed_at=computed_at).withColumn("batch_bucket", _bucket())
+        _overwrite(gb, paths.gold_batch, "batch_bucket")
 
 
-def _refresh_from(spark: SparkSession, paths: TwinPaths, silver: DataFrame, buckets, computed_at,
-                  tables=GOLD_TABLES) -> None:
+def _refresh_dates(spark: SparkSession, paths: TwinPaths, silver: DataFrame, computed_at,
+                   tables=GOLD_TABLES) -> None:
     def last(df: DataFrame, col: str) -> DataFrame:
         return df.select(*[c for c in df.columns if c != col], col)
 
-    def eq():
-        _overwrite(last(equipment_metrics(silver, computed_at=computed_at), "event_date"), paths.gold_eq,
-                   "event_date")
-
-    def sus():
-        _overwrite(last(sustainability_hourly(silver, computed_at=computed_at), "event_date"), paths.gold_sus,
-                   "event_date")
-
-    def batches():
-        _overwrite(last(batch_partials(silver), "event_date"), paths.partials, "event_date")
-        if buckets:
-            p = spark.read.parquet(paths.partials).filter(_bucket().isin(list(buckets)))
-            gb = batch_yield_from_partials(p, computed_at=computed_at).withColumn("batch_bucket", _bucket())
-            _overwrite(gb, paths.gold_batch, "batch_bucket")
-
-    # independent jobs over the same persisted slice: submit them concurrently, carrying the
+    jobs = {
+        "equipment_metrics": lambda: _overwrite(last(equipment_metrics(silver, computed_at=computed_at),
+                                                     "event_date"), paths.gold_eq, "event_date"),
+        "sustainability_hourly": lambda: _overwrite(last(sustainability_hourly(silver, computed_at=computed_at),
+                                                         "event_date"), paths.gold_sus, "event_date"),
+        "batch_yield": lambda: _overwrite(last(batch_partials(silver), "event_date"), paths.partials,
+                                          "event_date"),
+    }
+    # independent jobs over the same date slice: submit them concurrently, carrying the
     # caller's job group / description so that stopping the stream cancels them too
-    jobs = {"equipment_metrics": eq, "sustainability_hourly": sus, "batch_yield": batches}
     sc = spark.sparkContext
     props = {k: sc.getLocalProperty(k) for k in _INHERITED_PROPERTIES}
 
