@@ -19,7 +19,7 @@ def main(argv=None) -> None:
     ap.add_argument("--root", required=True, help="shared folder for tables and checkpoints")
     ap.add_argument("--landing", help="landing folder of JSON-lines event files (default ROOT/landing)")
     ap.add_argument("--trigger", default="1 minute", help="processing-time trigger, e.g. '30 seconds'")
-    ap.add_argument("--max-files", type=int, default=None, help="max landing files per bronze micro-batch")
+    ap.add_argument("--max-files", type=int, default=None, help="max new files per micro-batch of each stream")
     ap.add_argument("--available-now", action="store_true", help="drain what has landed, then stop")
     ap.add_argument("--master", default=None)
     args = ap.parse_args(argv)
@@ -30,7 +30,8 @@ def main(argv=None) -> None:
         run_available(spark, paths)
         return
     queries = [start_bronze(spark, paths, args.trigger, args.max_files), start_quarantine(spark, paths, args.trigger),
-               start_silver(spark, paths, args.trigger), start_gold(spark, paths, args.trigger)]
+               start_silver(spark, paths, args.trigger, args.max_files),
+               start_gold(spark, paths, args.trigger, max_files=args.max_files)]
     try:
         spark.streams.awaitAnyTermination()
     finally:

@@ -126,14 +126,19 @@ def start_quarantine(spark: SparkSession, paths: TwinPaths, trigger=None) -> Str
     return _trigger(w, trigger).start(paths.quarantine)
 
 
-def silver_stream(spark: SparkSession, bronze_path: str) -> DataFrame:
-    """Bronze read as a stream -> silver rows."""
-    return to_silver(spark.readStream.schema(BRONZE_SCHEMA).parquet(bronze_path))
+def _file_stream(spark: SparkSession, schema: T.StructType, max_files: int | None = None):
+    r = spark.readStream.schema(schema)
+    return r.option("maxFilesPerTrigger", int(max_files)) if max_files else r
 
 
-def start_silver(spark: SparkSession, paths: TwinPaths, trigger=None) -> StreamingQuery:
+def silver_stream(spark: SparkSession, bronze_path: str, max_files: int | None = None) -> DataFrame:
+    """Bronze read as a stream -> silver rows (``max_files`` bronze files per micro-batch)."""
+    return to_silver(_file_stream(spark, BRONZE_SCHEMA, max_files).parquet(bronze_path))
+
+
+def start_silver(spark: SparkSession, paths: TwinPaths, trigger=None, max_files: int | None = None) -> StreamingQuery:
     """Append silver parquet, partitioned by ``event_date`` for pruning."""
-    w = (silver_stream(spark, paths.bronze).writeStream.format("parquet")
+    w = (silver_stream(spark, paths.bronze, max_files).writeStream.format("parquet")
          .option("checkpointLocation", paths.ckpt("silver")).outputMode("append").partitionBy("event_date"))
     return _trigger(w, trigger).start(paths.silver)
 
@@ -266,8 +271,8 @@ def gold_foreach_batch(paths: TwinPaths, computed_at=None, tables=GOLD_TABLES):
 
 
 def start_gold(spark: SparkSession, paths: TwinPaths, trigger=None, computed_at=None,
-               tables=GOLD_TABLES) -> StreamingQuery:
-    src = spark.readStream.schema(silver_schema(spark)).parquet(paths.silver)
+               tables=GOLD_TABLES, max_files: int | None = None) -> StreamingQuery:
+    src = _file_stream(spark, silver_schema(spark), max_files).parquet(paths.silver)
     w = (src.writeStream.foreachBatch(gold_foreach_batch(paths, computed_at, tables))
          .option("checkpointLocation", paths.ckpt("gold")))
     return _trigger(w, trigger).start()
@@ -310,18 +315,21 @@ def _await(q: StreamingQuery) -> None:
         raise q.exception()
 
 
-def rebuild_all(spark: SparkSession, old: TwinPaths, name: str = "twin") -> TwinPaths:
+def rebuild_all(spark: SparkSession, old: TwinPaths, name: str = "twin",
+                max_files: int | None = None) -> TwinPaths:
     """Full refresh -- new checkpoints and empty tables over the same landing files.
 
     Old paths are left in place (nothing is deleted); the returned paths replace them.
+    ``max_files`` bounds every micro-batch of the replay (files per trigger), so a long
+    history is rebuilt in restartable steps rather than one giant batch per stage.
     """
     fresh = new_paths(spark, name)
-    bronze = (bronze_stream(spark, old.landing).writeStream.format("parquet")
+    bronze = (bronze_stream(spark, old.landing, max_files).writeStream.format("parquet")
               .option("checkpointLocation", fresh.ckpt("bronze")).outputMode("append")
               .trigger(availableNow=True).start(fresh.bronze))
     _await(bronze)
-    for start in (start_silver, start_gold):
-        _await(start(spark, fresh))
+    _await(start_silver(spark, fresh, max_files=max_files))
+    _await(start_gold(spark, fresh, max_files=max_files))
     return fresh
 
 
