@@ -121,6 +121,7 @@ def start_bronze(spark: SparkSession, paths: TwinPaths, trigger=None, max_files:
 
 
 def start_quarantine(spark: SparkSession, paths: TwinPaths, trigger=None) -> StreamingQuery:
+    """S3: append the rows silver will drop, with their raw text, for inspection."""
     w = (quarantine_stream(spark, paths.landing).writeStream.format("parquet")
          .option("checkpointLocation", paths.ckpt("quarantine")).outputMode("append"))
     return _trigger(w, trigger).start(paths.quarantine)
