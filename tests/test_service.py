@@ -61,3 +61,10 @@ def test_service_endpoints(spark):
     assert svc.hourly_trend(hours=0).count() == t.gold_sus.select("hour_bucket").distinct().count()
     assert svc.carbon_insight().count() == 1
     assert svc.live_series(as_of=as_of).count() >= 1 and 1 <= svc.event_feed(as_of=as_of).count() <= 8
+    from sensortwin.schemas import SCENARIO_SCHEMA
+    reqs = spark.createDataFrame([(batch, 0.1, 0.1, 72.0), ("NO-SUCH-BATCH", 0.0, 0.0, 72.0), (batch, 0.0, 0.0, 99.0)],
+                                 SCENARIO_SCHEMA)
+    scored, rejected, unknown = svc.simulate_many(reqs)
+    assert scored.select("batch_id").distinct().count() == 1
+    assert [r["batch_id"] for r in unknown.collect()] == ["NO-SUCH-BATCH"]
+    assert [r["reason"] for r in rejected.collect()] == ["heat_setting_c out of range"]
