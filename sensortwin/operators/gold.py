@@ -9,7 +9,7 @@ distinct-aggregate rewrite (two-level partial aggregation) rather than collectin
 
 from __future__ import annotations
 
-from pyspark.sql import Column, DataFrame
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from .. import config as C
@@ -166,13 +166,19 @@ def batch_yield_from_partials(partials: DataFrame, computed_at=None) -> DataFram
     def avg_of(c):
         return F.try_divide(F.sum(f"p_sum_{c}"), F.sum(f"p_n_{c}").cast("double"))
 
-    p = partials.withColumn("p_m_mean", F.try_divide(F.col("p_sum_moisture_pct"),
-                                                     F.col("p_n_moisture_pct").cast("double")))
+    # Chan et al.: M2 = sum(M2_i) + sum(n_i * (mean_i - mean)^2).  The group mean comes from a
+    # window over the group's partial rows (one per day the batch spans, so bounded even for
+    # a hot batch); the aggregate below reuses the window's partitioning.  This form does
+    # not cancel catastrophically for a large mean with a small spread.
+    group = Window.partitionBy(*BATCH_KEYS)
+    p = partials.select(
+        "*",
+        F.try_divide(F.col("p_sum_moisture_pct"), F.col("p_n_moisture_pct").cast("double")).alias("p_m_mean"),
+        F.try_divide(F.sum("p_sum_moisture_pct").over(group),
+                     F.sum("p_n_moisture_pct").over(group).cast("double")).alias("g_m_mean"))
     n = F.sum("p_n_moisture_pct").cast("double")
-    mean = F.try_divide(F.sum("p_sum_moisture_pct"), n)
-    m2 = (F.sum("p_m_m2")
-          + F.sum(F.col("p_n_moisture_pct") * F.col("p_m_mean") * F.col("p_m_mean"))
-          - n * mean * mean)
+    dev = F.col("p_m_mean") - F.col("g_m_mean")
+    m2 = F.sum("p_m_m2") + F.coalesce(F.sum(F.col("p_n_moisture_pct") * dev * dev), F.lit(0.0))
     in_spec, measured = F.sum("p_in_spec"), F.sum("p_n_moisture_pct")
     ftr, qc = F.sum("p_ftr").cast("long"), F.sum("p_qc").cast("long")
 
