@@ -1,7 +1,9 @@
 """What-if scoring (K10-K14, J3, J4): a scenario table in, one projected row per scenario.
 
 The application scores one request at a time in Python; here every scenario is a row
-and the model is a set of column expressions after one equi-join to the batch table.
+and the model is a set of column expressions -- applied after one equi-join of the
+requests to the batch table (``what_if``), or directly on a grid exploded from the batch
+rows, which already carry their baseline (``scenario_grid`` + ``score_scenarios``).
 Rounding uses SQL ``round`` (half up) throughout.
 """
 
