@@ -17,14 +17,14 @@ from .. import config as C
 SCENARIO_KEYS = ("batch_id", "plant_id", "fat_delta_pct", "protein_delta_pct", "heat_setting_c")
 
 
+SCENARIO_DEFAULTS = (("fat_delta_pct", 0.0), ("protein_delta_pct", 0.0), ("heat_setting_c", C.BASE_HEAT_C))
+
+
 def with_scenario_defaults(scenarios: DataFrame) -> DataFrame:
-    return scenarios.select(
-        "*",
-        *[F.coalesce(F.col(c).cast("double"), F.lit(d)).alias(f"_{c}")
-          for c, d in (("fat_delta_pct", 0.0), ("protein_delta_pct", 0.0), ("heat_setting_c", C.BASE_HEAT_C))]
-    ).drop("fat_delta_pct", "protein_delta_pct", "heat_setting_c") \
-        .withColumnsRenamed({"_fat_delta_pct": "fat_delta_pct", "_protein_delta_pct": "protein_delta_pct",
-                             "_heat_setting_c": "heat_setting_c"})
+    """Fill the optional request fields: a NULL or absent column takes its default (0, 0, 72)."""
+    filled = {c: (F.coalesce(F.col(c).cast("double"), F.lit(d)) if c in scenarios.columns else F.lit(d))
+              for c, d in SCENARIO_DEFAULTS}
+    return scenarios.withColumns(filled)
 
 
 def validate_scenarios(scenarios: DataFrame) -> tuple[DataFrame, DataFrame]:

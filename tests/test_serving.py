@@ -179,3 +179,11 @@ def test_alarm_impact_joins_alarm_machines_to_their_batches(spark):
                   for r in graph.alarm_impact(nodes, edges).collect())
     # only the alarm machine EQ-1; its batch B1 is listed in two plants; B9 is not a node
     assert rows == [("B1", "P1", "EQ-1", 5), ("B1", "P2", "EQ-1", 5)]
+
+
+def test_requests_may_omit_optional_fields(spark):
+    b = _batches(spark, [("B", "P", 800.0, 30.0, 25.0, 100.0, 90.0, 2)])
+    only_ids = spark.createDataFrame([("B",)], "batch_id string")
+    r = whatif.what_if(only_ids, b).first()
+    assert (r["fat_delta_pct"], r["protein_delta_pct"], r["heat_setting_c"]) == (0.0, 0.0, 72.0)
+    assert r["recommendation"] == C.RECOMMENDATIONS[4]
