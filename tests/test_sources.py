@@ -131,3 +131,10 @@ def test_landing_text_round_trips_in_any_session_zone(spark):
         assert back.first()[0] == before
     finally:
         spark.conf.set("spark.sql.session.timeZone", old)
+
+
+def test_point_lookup_takes_any_id_literally(spark):
+    raw = make_raw(spark, [{"equipment_id": "EQ-'1; DROP", "event_ts": ts("2024-01-01T10:00:00"), "temperature_c": 7.0}])
+    g = equipment_metrics(to_silver(to_bronze(raw)), computed_at=False)
+    h = serving.equipment_history(g, "EQ-'1; DROP", hours=1, as_of=ts("2024-01-01T10:30:00")).collect()
+    assert [r["avg_temperature_c"] for r in h] == [7.0]
