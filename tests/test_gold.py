@@ -157,3 +157,10 @@ def test_partials_stddev_large_mean_small_spread(spark):
     d = batch_yield(s, computed_at=False).first()["stddev_moisture_pct"]
     m = batch_yield_from_partials(batch_partials(s), computed_at=False).first()["stddev_moisture_pct"]
     assert math.isclose(d, m, rel_tol=1e-9)
+
+
+def test_zero_compliance_batch(spark):
+    s = _silver(spark, [{"batch_id": "B0", "moisture_pct": 6.0}, {"batch_id": "B0", "moisture_pct": 1.0}])
+    r = batch_yield(s, computed_at=False).first()
+    assert r["moisture_compliance_pct"] == 0.0 and r["moisture_out_of_spec_count"] == 2
+    assert r["quality_checks"] == 0 and r["ftr_rate_pct"] is None
