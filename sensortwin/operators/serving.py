@@ -384,7 +384,8 @@ def dedup_events(events: DataFrame, keys=DEDUP_KEYS, order_col: str = "event_id"
     """
     rest = [c for c in events.columns if c not in keys]
     picked = F.min_by(F.struct(*[F.col(c) for c in rest]), F.col(order_col)).alias("_row")
-    return events.groupBy(*keys).agg(picked).select(*keys, *[F.col(f"_row.{c}").alias(c) for c in rest])
+    out = events.groupBy(*keys).agg(picked).select(*keys, *[F.col(f"_row.{c}").alias(c) for c in rest])
+    return out.select(*events.columns)  # the input's column order
 
 
 def event_rate(events: DataFrame, tick: str = "5 seconds", tick_seconds: int = C.RATE_TICK_SECONDS,

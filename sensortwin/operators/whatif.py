@@ -127,7 +127,9 @@ def score_scenarios(j: DataFrame) -> DataFrame:
            .when(q < C.BASE_QUALITY - 5, C.RECOMMENDATIONS[3])
            .otherwise(C.RECOMMENDATIONS[4]))
     co2, base_co2 = ne * C.CO2_KG_PER_KWH, e * C.CO2_KG_PER_KWH
-    keep = [c for c in m.columns if not c.startswith("_")]
+    lead = [c for c in ("batch_id", "plant_id", "preset", "fat_delta_pct", "protein_delta_pct", "heat_setting_c")
+            if c in m.columns]
+    keep = lead + [c for c in m.columns if not c.startswith("_") and c not in lead]
     return m.select(
         *keep,
         F.col("_f").alias("base_fat_pct"), F.col("_p").alias("base_protein_pct"),

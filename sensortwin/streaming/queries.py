@@ -15,13 +15,23 @@ from ..plans.catalog import register, to_ntz
 from ..plans.inputs import Inputs
 from ..plans.present import present
 from ..sources.events import replay_to_landing
-from .pipeline import (GOLD_TABLES, TwinPaths, alert_stream, bronze_stream, dedup_stream, live_tail, new_paths,
+from .pipeline import (BRONZE_SCHEMA, GOLD_TABLES, TwinPaths, alert_stream, bronze_stream, dedup_stream, live_tail, new_paths,
                        read_gold, read_or_empty, read_silver, run_available, silver_schema, silver_stream)
+from ..operators.gold import batch_yield, equipment_metrics, sustainability_hourly
 from ..operators.layers import to_silver
 
 INSTALMENTS = 3
 
 
+def _canonical(df: DataFrame, like: DataFrame) -> DataFrame:
+    """Column order of the batch operator's output (stored tables put partition columns last)."""
+    return df.select(*[c for c in like.columns if c in df.columns])
+
+
+def _empty_silver(spark: SparkSession) -> DataFrame:
+    return to_silver(spark.createDataFrame([], BRONZE_SCHEMA))
+
+
 def _instalments(raw: DataFrame, n: int = INSTALMENTS) -> list[DataFrame]:
     """Hash-spread slices of the whole table (their union is every row)."""
     h = F.pmod(F.xxhash64("event_id"), F.lit(n))
@@ -53,28 +63,32 @@ def run_pipeline(spark: SparkSession, sf_dir: str, gold: bool = True, alerts: bo
 def stream_silver_events(spark: SparkSession, sf_dir: str) -> DataFrame:
     """X1 + X2 + S3 + S8 + S9: silver (and the quarantine beside it) produced by the chained
     streams."""
-    return present(to_ntz(read_silver(spark, run_pipeline(spark, sf_dir, gold=False, quarantine=True))))
+    silver = read_silver(spark, run_pipeline(spark, sf_dir, gold=False, quarantine=True))
+    return present(to_ntz(_canonical(silver, _empty_silver(spark))))
 
 
 @register("stream_equipment_metrics")
 def stream_equipment_metrics(spark: SparkSession, sf_dir: str) -> DataFrame:
     """S10 + X3 + X5: A1 kept by the incremental foreachBatch refresh."""
     paths = run_pipeline(spark, sf_dir, tables=("equipment_metrics",))
-    return present(to_ntz(read_gold(spark, paths, "equipment_metrics")))
+    like = equipment_metrics(_empty_silver(spark))
+    return present(to_ntz(_canonical(read_gold(spark, paths, "equipment_metrics"), like)))
 
 
 @register("stream_batch_yield")
 def stream_batch_yield(spark: SparkSession, sf_dir: str) -> DataFrame:
     """S10 + X5: A2 through daily partials and batch buckets."""
     paths = run_pipeline(spark, sf_dir, tables=("batch_yield",))
-    return present(to_ntz(read_gold(spark, paths, "batch_yield")))
+    like = batch_yield(_empty_silver(spark))
+    return present(to_ntz(_canonical(read_gold(spark, paths, "batch_yield"), like)))
 
 
 @register("stream_sustainability_hourly")
 def stream_sustainability_hourly(spark: SparkSession, sf_dir: str) -> DataFrame:
     """S10 + X4 + X5: A3 kept by the incremental refresh."""
     paths = run_pipeline(spark, sf_dir, tables=("sustainability_hourly",))
-    return present(to_ntz(read_gold(spark, paths, "sustainability_hourly")))
+    like = sustainability_hourly(_empty_silver(spark))
+    return present(to_ntz(_canonical(read_gold(spark, paths, "sustainability_hourly"), like)))
 
 
 @register("stream_alerts")

@@ -44,7 +44,7 @@ def test_query_matches_oracle(spark, duck, name):
     cols = sorted(sdf.columns)
     srows = Counter(tuple(_norm(r[c]) for c in cols) for r in sdf.collect())
     rel = duck.sql(oracle_sql()[name])
-    assert sorted(rel.columns) == cols
+    assert list(rel.columns) == sdf.columns  # same names in the same order
     idx = [rel.columns.index(c) for c in cols]
     drows = Counter(tuple(_norm(r[i]) for i in idx) for r in rel.fetchall())
     assert srows == drows
