@@ -13,6 +13,8 @@ from __spark_entry__ import entry, oracle_sql, queries
 from conftest import SF_SMALL
 
 TABLES = ("events", "supplier")
+SPARK_TO_DUCK = {"int": "INTEGER", "bigint": "BIGINT", "double": "DOUBLE", "string": "VARCHAR",
+                 "timestamp_ntz": "TIMESTAMP", "date": "DATE", "boolean": "BOOLEAN"}
 
 
 def _norm(v):
@@ -45,6 +47,7 @@ def test_query_matches_oracle(spark, duck, name):
     srows = Counter(tuple(_norm(r[c]) for c in cols) for r in sdf.collect())
     rel = duck.sql(oracle_sql()[name])
     assert list(rel.columns) == sdf.columns  # same names in the same order
+    assert [SPARK_TO_DUCK.get(f.dataType.simpleString()) for f in sdf.schema.fields] == [str(t) for t in rel.types]
     idx = [rel.columns.index(c) for c in cols]
     drows = Counter(tuple(_norm(r[i]) for i in idx) for r in rel.fetchall())
     assert srows == drows
