@@ -164,3 +164,16 @@ def test_zero_compliance_batch(spark):
     r = batch_yield(s, computed_at=False).first()
     assert r["moisture_compliance_pct"] == 0.0 and r["moisture_out_of_spec_count"] == 2
     assert r["quality_checks"] == 0 and r["ftr_rate_pct"] is None
+
+
+def test_approximate_distinct_counts_are_close(spark):
+    t = Inputs(spark, SF_SMALL)
+    exact = {(r["plant_id"], r["line_id"], r["hour_bucket"]): r for r in t.gold_sus.collect()}
+    approx = {(r["plant_id"], r["line_id"], r["hour_bucket"]): r
+              for r in sustainability_hourly(t.silver, computed_at=False, approx_rsd=0.01).collect()}
+    assert exact.keys() == approx.keys()
+    for k, e in exact.items():
+        for c in ("active_equipment_count", "batches_processed"):
+            assert abs(approx[k][c] - e[c]) <= max(1, 0.05 * e[c]), (k, c)
+    eq = equipment_metrics(t.silver, computed_at=False, approx_rsd=0.01)
+    assert eq.count() == t.gold_eq.count()
