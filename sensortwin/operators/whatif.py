@@ -79,15 +79,22 @@ def _or(col: str, default):
     return F.coalesce(F.nullif(F.col(col).cast("double"), F.lit(0.0)), F.lit(float(default)))
 
 
-def what_if(scenarios: DataFrame, gold_batch: DataFrame) -> DataFrame:
+def what_if(scenarios: DataFrame, gold_batch: DataFrame, one_per_batch: bool = False) -> DataFrame:
     """K10 + J3: score scenario requests against their batch baseline.
 
     Requests carry ``batch_id`` (and optionally ``plant_id``); an inner equi-join picks
     the baseline rows -- without a plant, every plant's row, so a batch seen in two
-    plants scores twice.  No broadcast hint: AQE picks broadcast from measured sizes.
+    plants scores twice.  ``one_per_batch=True`` keeps one baseline per batch instead,
+    deterministically the smallest plant id (T7: the application takes an arbitrary
+    ``LIMIT 1`` row), chosen by a ``min_by`` aggregate.  No broadcast hint: AQE picks
+    broadcast from measured sizes.
     """
     s = with_scenario_defaults(scenarios)
     base_cols = gold_batch.select("batch_id", "plant_id", *BASELINE_COLUMNS)
+    if one_per_batch:
+        s = s.drop("plant_id") if "plant_id" in s.columns else s
+        first = F.min_by(F.struct("plant_id", *BASELINE_COLUMNS), F.col("plant_id")).alias("_b")
+        base_cols = base_cols.groupBy("batch_id").agg(first).select("batch_id", "_b.*")
     keys = ["batch_id", "plant_id"] if "plant_id" in s.columns else ["batch_id"]
     return score_scenarios(s.join(base_cols, keys))
 

@@ -187,3 +187,12 @@ def test_requests_may_omit_optional_fields(spark):
     r = whatif.what_if(only_ids, b).first()
     assert (r["fat_delta_pct"], r["protein_delta_pct"], r["heat_setting_c"]) == (0.0, 0.0, 72.0)
     assert r["recommendation"] == C.RECOMMENDATIONS[4]
+
+
+def test_one_baseline_per_batch_option(spark):
+    b = _batches(spark, [("B", "P2", 800.0, 30.0, 25.0, 100.0, 90.0, 2),
+                         ("B", "P1", 700.0, 31.0, 26.0, 50.0, 95.0, 1)])
+    req = _scenarios(spark, [("B", 0.0, 0.0, 80.0)])
+    assert whatif.what_if(req, b).count() == 2                      # every plant's row
+    rows = whatif.what_if(req, b, one_per_batch=True).collect()    # one, the smallest plant id
+    assert len(rows) == 1 and rows[0]["plant_id"] == "P1" and rows[0]["base_viscosity_cp"] == 700.0
