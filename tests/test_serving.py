@@ -196,3 +196,15 @@ def test_one_baseline_per_batch_option(spark):
     assert whatif.what_if(req, b).count() == 2                      # every plant's row
     rows = whatif.what_if(req, b, one_per_batch=True).collect()    # one, the smallest plant id
     assert len(rows) == 1 and rows[0]["plant_id"] == "P1" and rows[0]["base_viscosity_cp"] == 700.0
+
+
+def test_renamed_machine_fans_out_like_the_application(spark):
+    raw = make_raw(spark, [
+        {"equipment_id": "EQ-1", "equipment_name": "Old", "event_ts": ts("2024-01-01T00:01:00"), "temperature_c": 1.0},
+        {"equipment_id": "EQ-1", "equipment_name": "New", "event_ts": ts("2024-01-01T00:02:00"), "temperature_c": 2.0},
+    ])
+    g = equipment_metrics(to_silver(to_bronze(raw)), computed_at=False)
+    registry = spark.createDataFrame([("EQ-1", "M1", "mixer", "L", "P", None, None)],
+                                     "equipment_id string, name string, type string, line_id string, plant_id string,"
+                                     " capacity_kg_h int, commissioned_year int")
+    assert serving.equipment_status(registry, g).count() == 2
