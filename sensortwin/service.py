@@ -75,12 +75,13 @@ class TwinService:
 
     # simulator -------------------------------------------------------------------------------------
     def simulate(self, batch_id: str, fat_delta_pct: float | None = None, protein_delta_pct: float | None = None,
-                 heat_setting_c: float | None = None) -> tuple[DataFrame, DataFrame]:
-        """One request: (scored rows -- empty means unknown batch, rejected request rows)."""
+                 heat_setting_c: float | None = None, one_per_batch: bool = True) -> tuple[DataFrame, DataFrame]:
+        """One request, like the endpoint: (scored row -- empty means unknown batch, rejected
+        request rows).  One baseline per batch (smallest plant id) unless ``one_per_batch=False``."""
         req = self.spark.createDataFrame([(batch_id, fat_delta_pct, protein_delta_pct, heat_setting_c)],
                                          SCENARIO_SCHEMA)
         ok, rejected = whatif.validate_scenarios(req)
-        return whatif.what_if(ok, self.gold_batch()), rejected
+        return whatif.what_if(ok, self.gold_batch(), one_per_batch=one_per_batch), rejected
 
     def simulate_many(self, requests: DataFrame) -> tuple[DataFrame, DataFrame, DataFrame]:
         """Many requests at once: (scored, rejected, unknown batch)."""

@@ -46,7 +46,9 @@ def test_service_endpoints(spark):
 
     batch = t.gold_batch.select("batch_id").first()[0]
     scored, rejected = svc.simulate(batch, 0.5, -0.2, 90.0)
-    assert scored.count() >= 1 and rejected.count() == 0
+    assert scored.count() == 1 and rejected.count() == 0          # one result, like the endpoint
+    all_plants, _ = svc.simulate(batch, 0.5, -0.2, 90.0, one_per_batch=False)
+    assert all_plants.count() == t.gold_batch.filter(F.col("batch_id") == batch).count()
     scored, rejected = svc.simulate("NO-SUCH-BATCH")
     assert scored.count() == 0 and rejected.count() == 0   # the 404 case: valid but unknown
     scored, rejected = svc.simulate(batch, 2.0)
