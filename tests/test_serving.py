@@ -208,3 +208,14 @@ def test_renamed_machine_fans_out_like_the_application(spark):
                                      "equipment_id string, name string, type string, line_id string, plant_id string,"
                                      " capacity_kg_h int, commissioned_year int")
     assert serving.equipment_status(registry, g).count() == 2
+
+
+def test_flow_utilisation_is_capped(spark):
+    raw = make_raw(spark, [
+        {"equipment_id": "A", "event_ts": ts("2024-01-01T00:01:00"), "flow_rate_l_min": 2500.0},
+        {"equipment_id": "B", "event_ts": ts("2024-01-01T00:02:00"), "flow_rate_l_min": 6000.0},
+        {"equipment_id": "C", "event_ts": ts("2024-01-01T00:03:00")},
+    ])
+    g = equipment_metrics(to_silver(to_bronze(raw)), computed_at=False)
+    got = {r["equipment_id"]: r["flow_utilisation_pct"] for r in serving.equipment_grid(g).collect()}
+    assert got == {"A": 50.0, "B": 100.0, "C": 0.0}
