@@ -219,3 +219,17 @@ def test_flow_utilisation_is_capped(spark):
     g = equipment_metrics(to_silver(to_bronze(raw)), computed_at=False)
     got = {r["equipment_id"]: r["flow_utilisation_pct"] for r in serving.equipment_grid(g).collect()}
     assert got == {"A": 50.0, "B": 100.0, "C": 0.0}
+
+
+def test_dashboard_trend_flags(spark):
+    raw = make_raw(spark, [
+        {"event_type": "alarm", "event_ts": ts("2024-01-01T00:01:00"), "temperature_c": 90.0, "energy_kwh": 5.0},
+        {"event_type": "quality_check", "batch_id": "B", "first_time_right": True, "moisture_pct": 4.0,
+         "event_ts": ts("2024-01-01T00:02:00")},
+    ])
+    s = to_silver(to_bronze(raw))
+    from sensortwin.operators.gold import batch_yield
+    r = serving.dashboard_kpis(equipment_metrics(s, computed_at=False), batch_yield(s, computed_at=False)).first()
+    assert r["total_alarms"] == 1 and r["alarms_trend"] == "down"
+    assert r["avg_ftr_rate_pct"] == 100.0 and r["ftr_trend"] == "up"
+    assert r["avg_moisture_compliance_pct"] == 100.0 and r["compliance_trend"] == "up"
