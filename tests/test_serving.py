@@ -233,3 +233,13 @@ def test_dashboard_trend_flags(spark):
     assert r["total_alarms"] == 1 and r["alarms_trend"] == "down"
     assert r["avg_ftr_rate_pct"] == 100.0 and r["ftr_trend"] == "up"
     assert r["avg_moisture_compliance_pct"] == 100.0 and r["compliance_trend"] == "up"
+
+
+def test_energy_intensity_and_target(spark):
+    cols = "plant_id string, total_energy_kwh double, total_water_liters double, cip_water_liters double, " \
+           "estimated_co2_kg double, water_alarm_count int"
+    dry = serving.sustainability_kpis(spark.createDataFrame([("P", 10.0, 0.0, 0.0, 2.33, 0)], cols)).first()
+    assert dry["energy_intensity_kwh_per_kl"] is None and dry["meets_target"] is False
+    wet = serving.sustainability_kpis(spark.createDataFrame([("P", 4.0, 1000.0, 0.0, 0.93, 0),
+                                                             ("Q", 0.0, 1000.0, 0.0, 0.0, 0)], cols)).first()
+    assert wet["energy_intensity_kwh_per_kl"] == 2.0 and wet["meets_target"] is True
