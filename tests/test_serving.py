@@ -243,3 +243,16 @@ def test_energy_intensity_and_target(spark):
     wet = serving.sustainability_kpis(spark.createDataFrame([("P", 4.0, 1000.0, 0.0, 0.93, 0),
                                                              ("Q", 0.0, 1000.0, 0.0, 0.0, 0)], cols)).first()
     assert wet["energy_intensity_kwh_per_kl"] == 2.0 and wet["meets_target"] is True
+
+
+def test_live_feed_order_and_limits(spark):
+    raw = make_raw(spark, [{"event_ts": ts(f"2024-01-01T00:00:{s:02d}"), "temperature_c": float(s)}
+                           for s in range(0, 50)])
+    s = to_silver(to_bronze(raw))
+    as_of = ts("2024-01-01T00:00:49")
+    poll = [r["temperature_c"] for r in serving.recent_events(s, as_of, seconds=30, limit=5).collect()]
+    assert poll == [49.0, 48.0, 47.0, 46.0, 45.0]                     # newest first, capped
+    hist = [r["temperature_c"] for r in serving.event_history(s, as_of, seconds=10, limit=500).collect()]
+    assert hist == [float(x) for x in range(39, 50)]                  # oldest first, horizon inclusive
+    feed = serving.event_feed(s, as_of, rows=3).collect()
+    assert [r["temperature_c"] for r in feed] == [49.0, 48.0, 47.0] and feed[0]["time"] == "00:00:49"
