@@ -256,3 +256,12 @@ def test_live_feed_order_and_limits(spark):
     assert hist == [float(x) for x in range(39, 50)]                  # oldest first, horizon inclusive
     feed = serving.event_feed(s, as_of, rows=3).collect()
     assert [r["temperature_c"] for r in feed] == [49.0, 48.0, 47.0] and feed[0]["time"] == "00:00:49"
+
+
+def test_event_rate_counts_new_events_once(spark):
+    rows = [{"event_id": f"e{i}", "event_ts": ts(f"2024-01-01T00:00:0{i % 5}")} for i in range(12)]
+    rows += [{"event_id": "dup", "event_ts": ts("2024-01-01T00:00:00")}]          # a repeat of e0's key
+    rows += [{"event_id": f"n{i}", "event_ts": ts("2024-01-01T00:00:07"), "equipment_id": f"EQ-{i}"} for i in range(3)]
+    s = to_silver(to_bronze(make_raw(spark, rows)))
+    got = [(r["tick_start"].second, r["new_events"], r["events_per_sec"]) for r in serving.event_rate(s).collect()]
+    assert got == [(0, 5, 1), (5, 3, 1)]   # 5 distinct keys in the first tick (12 rows + a repeat)
