@@ -265,3 +265,14 @@ def test_event_rate_counts_new_events_once(spark):
     s = to_silver(to_bronze(make_raw(spark, rows)))
     got = [(r["tick_start"].second, r["new_events"], r["events_per_sec"]) for r in serving.event_rate(s).collect()]
     assert got == [(0, 5, 1), (5, 3, 1)]   # 5 distinct keys in the first tick (12 rows + a repeat)
+
+
+def test_live_series_averages_non_null_values(spark):
+    raw = make_raw(spark, [
+        {"event_ts": ts("2024-01-01T10:00:00.100000"), "temperature_c": 1.0, "energy_kwh": 1.005},
+        {"event_ts": ts("2024-01-01T10:00:00.900000"), "temperature_c": 2.0},
+        {"event_ts": ts("2024-01-01T10:00:01"), "moisture_pct": 4.0},
+    ])
+    got = serving.live_series(to_silver(to_bronze(raw))).collect()
+    assert [(r["label"], r["temp"], r["energy"], r["moisture"]) for r in got] == [
+        ("10:00:00", 1.5, 1.01, None), ("10:00:01", None, None, 4.0)]
