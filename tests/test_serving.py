@@ -276,3 +276,15 @@ def test_live_series_averages_non_null_values(spark):
     got = serving.live_series(to_silver(to_bronze(raw))).collect()
     assert [(r["label"], r["temp"], r["energy"], r["moisture"]) for r in got] == [
         ("10:00:00", 1.5, 1.01, None), ("10:00:01", None, None, 4.0)]
+
+
+def test_hourly_trend_sums_across_plants(spark):
+    cols = ("plant_id string, line_id string, hour_bucket timestamp, event_date date, estimated_co2_kg double, "
+            "total_energy_kwh double, total_water_liters double, cip_water_liters double")
+    import datetime as dt
+    h = ts("2024-01-01T05:00:00")
+    sus = spark.createDataFrame([("P1", "L1", h, dt.date(2024, 1, 1), 1.0, 10.0, 100.0, None),
+                                 ("P2", "L2", h, dt.date(2024, 1, 1), None, 5.0, 50.0, 20.0)], cols)
+    r = serving.hourly_trend(sus, hours=0).collect()
+    assert len(r) == 1 and r[0]["label"] == "05:00"
+    assert (r[0]["co2_kg"], r[0]["energy_kwh"], r[0]["water_liters"], r[0]["cip_water_liters"]) == (1.0, 15.0, 150.0, 20.0)
