@@ -288,3 +288,18 @@ def test_hourly_trend_sums_across_plants(spark):
     r = serving.hourly_trend(sus, hours=0).collect()
     assert len(r) == 1 and r[0]["label"] == "05:00"
     assert (r[0]["co2_kg"], r[0]["energy_kwh"], r[0]["water_liters"], r[0]["cip_water_liters"]) == (1.0, 15.0, 150.0, 20.0)
+
+
+def test_carbon_insight_gap(spark):
+    import datetime as dt
+    e1, e2 = 10.0 / 0.233, 5.0 / 0.233   # -> 10.0 and 5.0 kg CO2 after rounding
+    gb = spark.createDataFrame(
+        [("HI", "P", ["L"], 1.0, 27.0, 900.0, e1, 1.0, dt.datetime(2024, 1, 2), 1.0, 1.0, 3),
+         ("LO", "P", ["L"], 1.0, 25.0, 800.0, e2, 1.0, dt.datetime(2024, 1, 1), 1.0, 1.0, 3)],
+        "batch_id string, plant_id string, line_ids array<string>, avg_protein_pct double, avg_fat_pct double, "
+        "avg_viscosity_cp double, total_energy_kwh double, ftr_rate_pct double, batch_first_seen timestamp, "
+        "avg_moisture_pct double, moisture_compliance_pct double, total_events long")
+    tb = {r["batch_id"]: r for r in serving.carbon_traceback(gb).collect()}
+    assert tb["HI"]["co2_rank"] == 1 and tb["HI"]["severity"] == "alarm" and tb["LO"]["severity"] == "ok"
+    ins = serving.carbon_insight(serving.carbon_traceback(gb)).first()
+    assert (ins["worst_batch_id"], ins["best_batch_id"]) == ("HI", "LO") and abs(ins["gap_pct"] - 100.0) < 1e-9
