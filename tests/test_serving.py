@@ -303,3 +303,15 @@ def test_carbon_insight_gap(spark):
     assert tb["HI"]["co2_rank"] == 1 and tb["HI"]["severity"] == "alarm" and tb["LO"]["severity"] == "ok"
     ins = serving.carbon_insight(serving.carbon_traceback(gb)).first()
     assert (ins["worst_batch_id"], ins["best_batch_id"]) == ("HI", "LO") and abs(ins["gap_pct"] - 100.0) < 1e-9
+
+
+def test_batch_badge_thresholds(spark):
+    import datetime as dt
+    gb = spark.createDataFrame(
+        [(f"B{i}", "P", dt.datetime(2024, 1, 1, i), c, f) for i, (c, f) in
+         enumerate([(95.0, 95.0), (94.9, 94.9), (80.0, None), (79.9, 100.0), (None, 96.0)])],
+        "batch_id string, plant_id string, batch_first_seen timestamp, moisture_compliance_pct double, "
+        "ftr_rate_pct double")
+    got = {r["batch_id"]: (r["compliance_badge"], r["ftr_badge"]) for r in serving.batch_badges(gb).collect()}
+    assert got == {"B0": ("ok", "ok"), "B1": ("warning", "warning"), "B2": ("warning", "warning"),
+                   "B3": ("alarm", "ok"), "B4": ("alarm", "ok")}
