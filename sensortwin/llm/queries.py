@@ -6,7 +6,7 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
-from sensortwin.llm import bpe, secrets, toxicity
+from sensortwin.llm import bpe, ngram_join, secrets, toxicity
 from sensortwin.llm.common import table
 
 
@@ -27,8 +27,14 @@ def op6_bpe(spark: SparkSession, sf_dir: str) -> DataFrame:
     return bpe.digests(table(spark, sf_dir, "documents"))
 
 
+def op8_ngram_join(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Components of documents whose 3-word shingle sets have a Jaccard similarity of 0.9 or more
+    (parity-sketch join)."""
+    return ngram_join.join(table(spark, sf_dir, "documents"), n=3, similarity=0.9)
+
+
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
-    return {f.__name__: f for f in (op1_toxicity, op2_secrets, op6_bpe)}
+    return {f.__name__: f for f in (op1_toxicity, op2_secrets, op6_bpe, op8_ngram_join)}
 
 
 def oracle_sql() -> dict[str, str]:
