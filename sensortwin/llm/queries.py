@@ -6,8 +6,9 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
-from sensortwin.llm import bpe, ngram_join, secrets, toxicity
+from sensortwin.llm import bpe, ngram_join, secrets, toxicity, warc
 from sensortwin.llm.common import table
+from sensortwin.session import scratch_path
 
 
 def op1_toxicity(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -33,8 +34,16 @@ def op8_ngram_join(spark: SparkSession, sf_dir: str) -> DataFrame:
     return ngram_join.join(table(spark, sf_dir, "documents"), n=3, similarity=0.9)
 
 
+def op9_warc(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Write every page as a WARC record, index the archive and read it back through the index."""
+    folder = scratch_path(spark, "llm-warc")
+    locations = warc.write_archive(table(spark, sf_dir, "pages"), folder, least=0)
+    master = warc.write_index(locations, folder)
+    return warc.read_archive(spark, folder, master).select("page_id", "payload_bytes", "payload_digest", "record_type", "refers_to")
+
+
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
-    return {f.__name__: f for f in (op1_toxicity, op2_secrets, op6_bpe, op8_ngram_join)}
+    return {f.__name__: f for f in (op1_toxicity, op2_secrets, op6_bpe, op8_ngram_join, op9_warc)}
 
 
 def oracle_sql() -> dict[str, str]:
