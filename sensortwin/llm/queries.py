@@ -6,7 +6,7 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
-from sensortwin.llm import bpe, ngram_join, secrets, toxicity, warc
+from sensortwin.llm import bpe, decontam, fingerprints, ngram_join, secrets, toxicity, warc
 from sensortwin.llm.common import table
 from sensortwin.session import scratch_path
 
@@ -23,6 +23,11 @@ def op2_secrets(spark: SparkSession, sf_dir: str) -> DataFrame:
     return secrets.digest(secrets.scan(table(spark, sf_dir, "documents")))
 
 
+def op5_fingerprints(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """One-permutation MinHash fingerprint of every document, of its edited text, and their likeness."""
+    return fingerprints.compare_with_next(table(spark, sf_dir, "documents"))
+
+
 def op6_bpe(spark: SparkSession, sf_dir: str) -> DataFrame:
     """BPE ids and decoded text of every document, as digests (segment tree over pair ranks)."""
     return bpe.digests(table(spark, sf_dir, "documents"))
@@ -42,8 +47,13 @@ def op9_warc(spark: SparkSession, sf_dir: str) -> DataFrame:
     return warc.read_archive(spark, folder, master).select("page_id", "payload_bytes", "payload_digest", "record_type", "refers_to")
 
 
+def op10_decontamination(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Documents that hold a passage of a benchmark item, with the item and the word edit distance."""
+    return decontam.find(table(spark, sf_dir, "documents"), table(spark, sf_dir, "benchmark"))
+
+
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
-    return {f.__name__: f for f in (op1_toxicity, op2_secrets, op6_bpe, op8_ngram_join, op9_warc)}
+    return {f.__name__: f for f in (op1_toxicity, op2_secrets, op5_fingerprints, op6_bpe, op8_ngram_join, op9_warc, op10_decontamination)}
 
 
 def oracle_sql() -> dict[str, str]:
