@@ -3,11 +3,15 @@
 A document's set is its distinct word shingles as 64-bit hashes.  Every shingle flips one bit of a
 sketch, so the Hamming distance of two sketches never exceeds the symmetric difference of the sets.
 Two sets of a and b shingles with Jaccard similarity of at least t differ in at most
-d = (a + b)(1 - t)/(1 + t) shingles.  Sizes are cut into bands; a band's sketch has d + 1 words of
-64 bits (d for the band's largest sizes), each shingle falling into one of the words.  As each
-differing shingle touches one word only, two linked sets share at least one equal word (pigeonhole):
-equal (band, word number, word) is the join key.  A set also takes part in the next band where a
-partner there can be large enough.
+d = (a + b)(1 - t)/(1 + t) shingles.  Sizes are cut into bands whose sets have partners in their own
+or the next band only, and take part in both.  A band's sketch has d + 1 words of 2^32 bits (held
+sparsely), and some to spare; each shingle falls into one word, so d differing shingles touch d words
+at most and linked sets share the others (pigeonhole).  (band, word number, word) is the join key.
+
+Unrelated sets share empty words by chance.  With fewer empty words than spare ones a set must share
+a word with bits with every partner, so empty ones are no keys.  A set with more of them takes part in
+a further sketch as well, and in the last one with all its words; two such sets meet there.  (Sets so
+small that d is 0 link with equal sets only.)
 
 Nothing emits all pairs of a key.  Equal keys inside a map batch are tied to their smallest id
 before the shuffle, so a hot key sends one row per batch; after it every id is paired with the key's
@@ -29,6 +33,7 @@ through it, else their component is null.  Only the id and the text are read.
 
 from __future__ import annotations
 
+import bisect
 import hashlib
 import math
 from collections.abc import Iterator
@@ -42,8 +47,10 @@ from pyspark.sql import functions as F
 
 from sensortwin.llm.common import components, map_rows, ship, slices, stored
 
-#: Band borders grow by this factor; wider bands waste sketch words, narrower ones need more sketches.
-BAND = 1.7
+#: Words of a sketch beyond the largest difference, as a share of it: so many empty words do no harm.
+SPARE = 0.1
+#: Sketches a set with too many empty words takes part in before its empty words become keys as well.
+SKETCHES = 4
 #: Sets of a group that one task compares with as many others.
 CHUNK = 256
 _U = np.uint64
@@ -84,48 +91,60 @@ class Bands:
     """Size bands and their sketches for a similarity threshold."""
 
     def __init__(self, similarity: Fraction):
+        if not 0 < similarity < 1:
+            raise ValueError("similarity must lie between 0 and 1")
         self.t = similarity
-        self.c = float((1 - similarity) / (1 + similarity))
+        self.c = (1 - similarity) / (1 + similarity)
+        self.borders = [1]  # smallest size of each band; partners lie in the same or the next one
+
+    def border(self, b: int) -> int:
+        while len(self.borders) <= b:
+            self.borders.append(max(self.borders[-1] + 1, math.ceil(self.borders[-1] / self.t)))
+        return self.borders[b]
 
     def band(self, size: int) -> int:
-        b = int(math.log(size) / math.log(BAND))
-        while self.border(b + 1) <= size:
-            b += 1
-        while b and self.border(b) > size:
-            b -= 1
-        return b
-
-    @staticmethod
-    def border(b: int) -> int:
-        """Smallest size of band b."""
-        return math.ceil(BAND**b) if b else 1
+        self.border(0)
+        while self.borders[-1] <= size:
+            self.border(len(self.borders))
+        return bisect.bisect_right(self.borders, size) - 1
 
     def of(self, size: int) -> list[int]:
         """The set's own band and the next one, where a partner could be there."""
         b = self.band(size)
         return [b, b + 1] if self.border(b + 1) * self.t <= size else [b]
 
-    def words(self, b: int) -> int:
-        """Differing shingles of a linked pair in band b at most, and one."""
-        largest = self.border(b + 1) - 1
-        return int(2 * largest * (1 - self.t) / (1 + self.t)) + 1
-
-    def sketch(self, s: np.ndarray, b: int) -> np.ndarray:
-        """Parity sketch of band b: one bit per shingle, ``words(b)`` words of 64 bits."""
-        n = self.words(b)
-        x = mix(s ^ _U(b + 1))
-        at = ((x >> _U(32)) % _U(n)).astype(np.int64) * 64 + (x & _U(63)).astype(np.int64)
-        odd = (np.bincount(at, minlength=64 * n) & 1).astype(np.uint8)
-        return np.packbits(odd, bitorder="little").view(np.uint64)
+    def apart(self, b: int) -> int:
+        """Differing shingles of a linked pair at most whose larger set lies in band b."""
+        return int(2 * (self.border(b + 1) - 1) * self.c)
 
     def keys(self, s: np.ndarray) -> np.ndarray:
-        """Join keys of a set: hashes of (band, word number, word)."""
+        """Join keys of a set: hashes of (band, sketch, word number, bits set in the word)."""
         out = []
         for b in self.of(len(s)):
-            words = self.sketch(s, b)
-            place = mix(np.arange(len(words), dtype=np.uint64) + _U(b << 32))
-            out.append(mix((words ^ place) * _M1 + place))
-        return np.concatenate(out)
+            most = self.apart(b)
+            if not most:
+                continue  # only equal sets link, and they are one node already
+            spare = 1 + math.ceil(SPARE * most)
+            words = most + spare
+            for again in range(SKETCHES):
+                x = mix(s ^ _U((b << 8) + again + 1))
+                at = np.sort(((x >> _U(32)) % _U(words)) << _U(32) | x & _U(0xFFFFFFFF))
+                # a bit is set if an odd number of shingles flips it
+                first = np.nonzero(np.r_[True, at[1:] != at[:-1]])[0]
+                odd = np.diff(np.r_[first, len(at)]) & 1 == 1
+                at = at[first[odd]]
+                number, begin = np.unique(at >> _U(32), return_index=True)
+                enough = words - len(number) < spare
+                acc = np.add.reduceat(mix(at * _M1 + _U(b << 8 | again)), begin) if len(at) else at
+                if enough or again < SKETCHES - 1:
+                    out.append(acc)
+                else:  # empty words count too
+                    full = np.zeros(words, np.uint64)
+                    full[number.astype(np.int64)] = acc
+                    out.append(mix(full + np.arange(words, dtype=np.uint64) * _M2 + _U(b)))
+                if enough:
+                    break
+        return np.concatenate(out) if out else np.empty(0, np.uint64)
 
     def linked(self, a: np.ndarray, b: np.ndarray) -> bool:
         return self.enough(len(np.intersect1d(a, b, assume_unique=True)), len(a), len(b))
@@ -196,6 +215,7 @@ def _compare(bands: Bands):
     """Links between different components among the sets of two chunks of a group."""
     schema = pa.schema([("a", pa.int64()), ("b", pa.int64())])
     width = 2048  # bits of the sketch that sorts out pairs before the exact check
+    c, t = float(bands.c), float(bands.t)
 
     def run(table: pa.Table) -> pa.Table:
         side, ids = table.column("side").to_numpy(), table.column("id").to_numpy()
@@ -226,10 +246,9 @@ def _compare(bands: Bands):
             apart = np.bitwise_count(words[others] ^ words[i]).sum(1, dtype=np.int64)
             order = np.argsort(apart, kind="stable")
             for j, d in zip(others[order], apart[order], strict=True):
-                if d > bands.c * (size[i] + size[j]) + 1e-9:
-                    break_at = bands.c * 2 * size[i] / float(bands.t)
-                    if d > break_at:
-                        break
+                if d > c * (size[i] + size[j]) + 1e-9:
+                    if d > c * size[i] * (1 + 1 / t):
+                        break  # too far for a partner of any size
                     continue
                 a, b = find(label[i]), find(label[j])
                 if a != b and bands.linked(sets[i], sets[j]):
