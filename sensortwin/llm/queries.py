@@ -6,7 +6,7 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
-from sensortwin.llm import bpe, decontam, fingerprints, ngram_join, secrets, suffix_dedup, toxicity, warc
+from sensortwin.llm import bpe, decontam, fingerprints, html_text, ngram_join, secrets, suffix_dedup, toxicity, warc
 from sensortwin.llm.common import table
 from sensortwin.session import scratch_path
 
@@ -23,6 +23,11 @@ def op2_secrets(spark: SparkSession, sf_dir: str) -> DataFrame:
     return secrets.digest(secrets.scan(table(spark, sf_dir, "documents")))
 
 
+def op3_html_text(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Visible text of every page, laid out."""
+    return html_text.extract(table(spark, sf_dir, "pages"))
+
+
 def op4_suffix_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Bytes of every document that lie in a 100-byte string with an earlier start, removed."""
     return suffix_dedup.digest(suffix_dedup.dedup(table(spark, sf_dir, "documents")))
@@ -58,7 +63,7 @@ def op10_decontamination(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
-    return {f.__name__: f for f in (op1_toxicity, op2_secrets, op4_suffix_dedup, op5_fingerprints, op6_bpe, op8_ngram_join, op9_warc, op10_decontamination)}
+    return {f.__name__: f for f in (op1_toxicity, op2_secrets, op3_html_text, op4_suffix_dedup, op5_fingerprints, op6_bpe, op8_ngram_join, op9_warc, op10_decontamination)}
 
 
 def oracle_sql() -> dict[str, str]:
