@@ -5,8 +5,9 @@ from __future__ import annotations
 from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import functions as F
 
-from sensortwin.llm import bpe, decontam, fingerprints, html_text, ngram_join, secrets, suffix_dedup, toxicity, warc
+from sensortwin.llm import bpe, decontam, fingerprints, html_text, ngram_join, secrets, suffix_dedup, token_counts, toxicity, warc
 from sensortwin.llm.common import table
 from sensortwin.session import scratch_path
 
@@ -43,6 +44,14 @@ def op6_bpe(spark: SparkSession, sf_dir: str) -> DataFrame:
     return bpe.digests(table(spark, sf_dir, "documents"))
 
 
+def op7_token_counts(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Write the documents to flat token files and count each document's tokens by its end ids."""
+    folder = scratch_path(spark, "llm-tokens")
+    order = token_counts.write_tokens(table(spark, sf_dir, "documents"), folder)
+    counts = token_counts.scan(spark, order, folder)
+    return order.join(counts, ["file", "n"]).select(F.col("id").alias("doc_id"), "n_tokens")
+
+
 def op8_ngram_join(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Components of documents whose 3-word shingle sets have a Jaccard similarity of 0.9 or more
     (parity-sketch join)."""
@@ -63,7 +72,7 @@ def op10_decontamination(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
-    return {f.__name__: f for f in (op1_toxicity, op2_secrets, op3_html_text, op4_suffix_dedup, op5_fingerprints, op6_bpe, op8_ngram_join, op9_warc, op10_decontamination)}
+    return {f.__name__: f for f in (op1_toxicity, op2_secrets, op3_html_text, op4_suffix_dedup, op5_fingerprints, op6_bpe, op7_token_counts, op8_ngram_join, op9_warc, op10_decontamination)}
 
 
 def oracle_sql() -> dict[str, str]:
