@@ -33,11 +33,12 @@ import string
 from dataclasses import dataclass, field
 
 import numpy as np
+import pyarrow as pa
 import xxhash
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from sensortwin.llm.common import map_rows
+from sensortwin.llm.common import map_rows, ship, slices
 
 #: Word edits allowed, as a share of the item's words.
 EDITS = 0.15
@@ -258,6 +259,20 @@ def find(docs: DataFrame, items: DataFrame, edits: float = EDITS, id_col: str =
     return out
 
 
-def clean(docs: DataFrame, found: DataFrame, id_col: str = "doc_id") -> DataFrame:
-    """The documents that hold no benchmark item (rows without an id stay)."""
-    return docs.join(found.select(id_col).distinct(), id_col, "left_anti")
+def clean(docs: DataFrame, items: DataFrame, edits: float = EDITS, text_col: str = "text", item_id_col: str = "item_id",
+          item_text_col: str = "text") -> DataFrame:
+    """The documents, all columns, that hold no benchmark item; texts are judged in place, so no join
+    is needed and rows of null or repeated ids are judged by their own text."""
+    ship(docs.sparkSession)
+    place = docs.columns.index(text_col)
+    for part in item_slices(items, item_id_col, item_text_col):
+        sent = docs.sparkSession.sparkContext.broadcast(Slice(part, edits))
+
+        def run(batches, sent=sent):
+            for batch in batches:
+                for rows in slices(batch):
+                    free = [not sent.value.matches(word_hashes(t)) for t in rows.column(place).to_pylist()]
+                    yield rows.filter(pa.array(free, pa.bool_()))
+
+        docs = docs.mapInArrow(run, docs.schema)
+    return docs

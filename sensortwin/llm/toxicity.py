@@ -35,10 +35,11 @@ from collections import Counter
 from dataclasses import dataclass, field
 
 import numpy as np
+import pyarrow as pa
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
-from sensortwin.llm.common import map_rows, stored, texts_of
+from sensortwin.llm.common import map_rows, ship, slices, stored, texts_of
 
 MAX_EXAMPLES = 20_000
 MAX_TERMS = 4_096
@@ -318,3 +319,20 @@ def score(docs: DataFrame, model: Model, evidence: int = 3, id_col: str = "doc_i
 
     return map_rows(docs.select(id_col, docs[text_col].alias("text")), run,
                     f"`{id_col}` {id_type}, score double, predicted int, evidence array<struct<example:long,cosine:double,toxic:int,clean:int>>")
+
+
+def keep(docs: DataFrame, model: Model, text_col: str = "text", threshold: float = 0.5) -> DataFrame:
+    """The documents, all columns, whose score is below the threshold; texts are scored in place, so
+    no join is needed and rows of null or repeated ids are judged by their own text."""
+    sent = docs.sparkSession.sparkContext.broadcast(model)
+    place = docs.columns.index(text_col)
+
+    def run(batches):
+        m = sent.value
+        for batch in batches:
+            for part in slices(batch):
+                low = [m.score(m.vocabulary.vector(m.vocabulary.count(t or "")))[0] < threshold for t in part.column(place).to_pylist()]
+                yield part.filter(pa.array(low, pa.bool_()))
+
+    ship(docs.sparkSession)
+    return docs.mapInArrow(run, docs.schema)
