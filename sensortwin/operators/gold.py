@@ -39,7 +39,9 @@ def equipment_metrics(silver: DataFrame, window: str = C.EQUIPMENT_WINDOW,
                       computed_at=None, approx_rsd: float | None = None) -> DataFrame:
     """A1: per machine identity x 5-minute bucket x date (measured event types only).
 
-    ``approx_rsd`` switches the distinct alarm-type count to an estimate (exact by default)."""
+    The distinct alarm types are counted in the same exchange as a set per group, which the
+    fixed alarm vocabulary bounds; ``approx_rsd`` switches to an estimate (exact by default)."""
+    alarm = F.when(F.col("is_alarm"), F.col("alarm_code"))
     s = silver.filter(F.col("event_type").isin(*C.MEASURED_EVENT_TYPES))
     qc = bool_count("is_quality_check")
     ftr = bool_count("first_time_right")
@@ -63,7 +65,8 @@ def equipment_metrics(silver: DataFrame, window: str = C.EQUIPMENT_WINDOW,
                  F.avg("fat_pct").alias("avg_fat_pct"),
                  F.avg("powder_output_kg_h").alias("avg_powder_output_kg_h"),
                  bool_count("is_alarm").alias("alarm_count"),
-                 _distinct(F.when(F.col("is_alarm"), F.col("alarm_code")), approx_rsd).alias("distinct_alarm_types"),
+                 (F.size(F.collect_set(alarm)).cast("long") if approx_rsd is None else F.approx_count_distinct(alarm, approx_rsd)
+                  ).alias("distinct_alarm_types"),
                  ftr.alias("ftr_pass_count"),
                  qc.alias("quality_check_count"),
                  F.when(qc > 0, pct(ftr, qc)).alias("ftr_rate_pct"),
@@ -194,13 +197,17 @@ def batch_yield_from_partials(partials: DataFrame, computed_at=None) -> DataFram
     in_spec, measured = F.sum("p_in_spec"), F.sum("p_n_moisture_pct")
     ftr, qc = F.sum("p_ftr").cast("long"), F.sum("p_qc").cast("long")
 
-    def merged_set(c):
-        return F.array_sort(F.array_distinct(F.flatten(F.collect_list(c))))
+    # sets of all days: one row per distinct member before they are collected, so the buffer is
+    # the result's own size and not days x members
+    def tagged(kind, c):
+        return F.transform(c, lambda v: F.struct(F.lit(kind).alias("k"), v.alias("v")))
 
-    return (p.groupBy(*BATCH_KEYS).agg(
-        merged_set("p_equipment_ids").alias("equipment_ids"),
-        merged_set("p_equipment_types").alias("equipment_types"),
-        merged_set("p_line_ids").alias("line_ids"),
+    kinds = {"equipment_ids": "p_equipment_ids", "equipment_types": "p_equipment_types", "line_ids": "p_line_ids"}
+    member = F.flatten(F.array(*[tagged(k, c) for k, c in kinds.items()]))
+    sets = (partials.select(*BATCH_KEYS, F.explode(member).alias("m")).select(*[F.col(k).alias(f"_{k}") for k in BATCH_KEYS], "m.k", "m.v").distinct()
+            .groupBy(*[f"_{k}" for k in BATCH_KEYS]).agg(*[F.sort_array(F.collect_set(F.when(F.col("k") == k, F.col("v")))).alias(k) for k in kinds]))
+
+    merged = (p.groupBy(*BATCH_KEYS).agg(
         F.min("p_first").alias("batch_first_seen"),
         F.max("p_last").alias("batch_last_seen"),
         F.sum("p_events").cast("long").alias("total_events"),
@@ -223,5 +230,8 @@ def batch_yield_from_partials(partials: DataFrame, computed_at=None) -> DataFram
         ftr.alias("ftr_pass_count"),
         qc.alias("quality_checks"),
         pct(ftr, qc).alias("ftr_rate_pct"),
-        F.sum("p_alarm").cast("long").alias("alarm_count"),
-        *_computed(computed_at)))
+        F.sum("p_alarm").cast("long").alias("alarm_count")))
+    same = [merged[k].eqNullSafe(sets[f"_{k}"]) for k in BATCH_KEYS]
+    values = [F.col(c) for c in merged.columns if c not in BATCH_KEYS]
+    return merged.join(sets, same, "left").select(
+        *BATCH_KEYS, *[F.coalesce(F.col(k), F.array().cast("array<string>")).alias(k) for k in kinds], *values, *_computed(computed_at))

@@ -31,9 +31,10 @@ def equipment_nodes(registry: DataFrame, gold_eq: DataFrame, partitioned: bool =
                     "avg_temperature_c", "total_energy_kwh", "alarm_count", "status")
 
 
-def batch_nodes(gold_batch: DataFrame, n: int = C.GRAPH_BATCHES) -> DataFrame:
+def batch_nodes(gold_batch: DataFrame, n: int | None = C.GRAPH_BATCHES) -> DataFrame:
+    """Batch nodes of the ``n`` newest batches (the page's limit), or of all with ``n=None``."""
     z = lambda c: F.coalesce(F.col(c).cast("double"), F.lit(0.0))
-    b = newest_batches(gold_batch, n)
+    b = gold_batch if n is None else newest_batches(gold_batch, n)
     return b.select(F.col("batch_id").alias("id"), F.lit("batch").alias("type"), F.col("batch_id").alias("label"),
                     "plant_id", F.array_join("line_ids", ",").alias("line_id"),
                     z("avg_moisture_pct").alias("avg_moisture_pct"), z("avg_protein_pct").alias("avg_protein_pct"),
@@ -43,7 +44,7 @@ def batch_nodes(gold_batch: DataFrame, n: int = C.GRAPH_BATCHES) -> DataFrame:
 
 
 def graph_nodes(registry: DataFrame, gold_eq: DataFrame, gold_batch: DataFrame,
-                n: int = C.GRAPH_BATCHES, partitioned: bool = False) -> DataFrame:
+                n: int | None = C.GRAPH_BATCHES, partitioned: bool = False) -> DataFrame:
     """K8 + D1: batch nodes then equipment nodes, concatenated without dedup."""
     nodes = batch_nodes(gold_batch, n).unionByName(equipment_nodes(registry, gold_eq, partitioned),
                                                    allowMissingColumns=True)
@@ -51,8 +52,9 @@ def graph_nodes(registry: DataFrame, gold_eq: DataFrame, gold_batch: DataFrame,
 
 
 def graph_edges(silver: DataFrame, as_of=None, hours: int = C.GRAPH_EDGE_HOURS,
-                n: int = C.GRAPH_EDGE_LIMIT) -> DataFrame:
-    """A5 + K9 + T5: batch -> machine event counts of the last ``hours``, top ``n``.
+                n: int | None = C.GRAPH_EDGE_LIMIT) -> DataFrame:
+    """A5 + K9 + T5: batch -> machine event counts of the last ``hours``, top ``n`` (the page's
+    limit) or all with ``n=None``.
 
     One partial/final aggregate on the four keys over the pruned recent slice of
     silver, then a bounded top-n with a full tie-break.
@@ -61,35 +63,32 @@ def graph_edges(silver: DataFrame, as_of=None, hours: int = C.GRAPH_EDGE_HOURS,
               "event_ts", as_of, hours=hours, date_col="event_date")
     counts = (s.groupBy("batch_id", "equipment_id", "equipment_name", "equipment_type")
               .agg(F.count(F.lit(1)).alias("event_count")))
-    top = counts.orderBy(F.col("event_count").desc(), "batch_id", "equipment_id", "equipment_name",
-                         "equipment_type").limit(n)
+    top = counts if n is None else counts.orderBy(
+        F.col("event_count").desc(), "batch_id", "equipment_id", "equipment_name", "equipment_type").limit(n)
     return top.select(F.concat_ws("->", "batch_id", "equipment_id").alias("id"),
                       F.col("batch_id").alias("source"), F.col("equipment_id").alias("target"),
                       F.lit("processed_by").alias("label"), "event_count", "equipment_name", "equipment_type")
 
 
-def resolve_edges(edges: DataFrame, nodes: DataFrame) -> DataFrame:
-    """Keep edges whose two endpoints are listed nodes (two left-semi joins)."""
-    ids = nodes.select(F.col("id").alias("_nid")).distinct()
-    src = edges.join(ids, edges["source"] == ids["_nid"], "left_semi")
-    return src.join(ids, src["target"] == ids["_nid"], "left_semi")
-
-
-def dangling_edges(edges: DataFrame, nodes: DataFrame) -> DataFrame:
-    """J5 (complement): edges with an endpoint that is not among the nodes, flagged.
-
-    Two left joins of the edges to the *distinct* node ids (no fan-out), so the edge
-    list is computed once.
-    """
+def _endpoints(edges: DataFrame, nodes: DataFrame) -> DataFrame:
+    """Edges with flags for listed endpoints: two left joins to the *distinct* node ids (no
+    fan-out), so the edge list is computed once."""
     ids = nodes.select(F.col("id").alias("_nid")).distinct()
     src = ids.select(F.col("_nid").alias("_sid"), F.lit(True).alias("source_known"))
     tgt = ids.select(F.col("_nid").alias("_tid"), F.lit(True).alias("target_known"))
     e = (edges.join(src, edges["source"] == src["_sid"], "left")
          .join(tgt, F.col("target") == tgt["_tid"], "left"))
-    known_s = F.coalesce(F.col("source_known"), F.lit(False))
-    known_t = F.coalesce(F.col("target_known"), F.lit(False))
-    return (e.select(*edges.columns, known_s.alias("source_known"), known_t.alias("target_known"))
-            .filter(~F.col("source_known") | ~F.col("target_known")))
+    return e.select(*edges.columns, *[F.coalesce(F.col(c), F.lit(False)).alias(c) for c in ("source_known", "target_known")])
+
+
+def resolve_edges(edges: DataFrame, nodes: DataFrame) -> DataFrame:
+    """Edges whose two endpoints are listed nodes."""
+    return _endpoints(edges, nodes).filter("source_known AND target_known").drop("source_known", "target_known")
+
+
+def dangling_edges(edges: DataFrame, nodes: DataFrame) -> DataFrame:
+    """J5 (complement): edges with an endpoint that is not among the nodes, flagged."""
+    return _endpoints(edges, nodes).filter("NOT source_known OR NOT target_known")
 
 
 def graph_stats(nodes: DataFrame, edges: DataFrame) -> DataFrame:
@@ -106,7 +105,8 @@ def alarm_impact(nodes: DataFrame, edges: DataFrame) -> DataFrame:
     """Batches processed by machines currently in alarm, with their fat and protein.
 
     alarm equipment nodes |x| edges (target) |x| batch nodes (source); equi-joins only.
-    A batch listed in two plants yields one row per plant.
+    A batch listed in two plants yields one row per plant.  Pass all nodes and edges
+    (``n=None``): the page's limits would hide affected batches.
     """
     eq = nodes.filter((F.col("type") == "equipment") & (F.col("status") == "alarm")).select(
         F.col("id").alias("equipment_id"), F.col("label").alias("equipment_name"),

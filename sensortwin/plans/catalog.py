@@ -86,7 +86,7 @@ def json_replay_silver(spark: SparkSession, sf_dir: str) -> DataFrame:
     timestamps, silver."""
     t = Inputs(spark, sf_dir)
     landing = scratch_path(spark, "landing")
-    replay_to_landing(t.raw, landing, files=8)
+    replay_to_landing(t.raw, landing)
     good, _bad = split_corrupt(read_events_batch(spark, landing))
     return present(to_ntz(to_silver(to_bronze(good))))
 
@@ -324,8 +324,9 @@ def _graph_stats(t: Inputs):
 
 @_reg("alarm_impact")
 def _alarm_impact(t: Inputs):
-    """J6."""
-    return graph.alarm_impact(_nodes(t), _edges(t))
+    """J6 over every batch and every edge of the recent window."""
+    return graph.alarm_impact(graph.graph_nodes(t.registry, t.gold_eq, t.gold_batch, n=None),
+                              graph.graph_edges(t.silver, as_of=t.as_of, n=None))
 
 
 # --- what-if ------------------------------------------------------------------------------

@@ -4,6 +4,7 @@ from __future__ import annotations
 
 import tempfile
 import uuid
+import warnings
 
 from pyspark.sql import SparkSession
 
@@ -21,7 +22,6 @@ BASE_CONF = {
     "spark.sql.adaptive.enabled": "true",
     "spark.sql.adaptive.coalescePartitions.enabled": "true",
     "spark.sql.adaptive.skewJoin.enabled": "true",
-    "spark.sql.sources.partitionOverwriteMode": "dynamic",
     "spark.ui.enabled": "false",
     "spark.ui.showConsoleProgress": "false",
 }
@@ -44,12 +44,11 @@ def build_session(master: str | None = None, shuffle_partitions: int | None = No
 
 
 def apply_session_defaults(spark: SparkSession) -> SparkSession:
-    """Pin the settings results depend on (time zone) on an existing session."""
+    """Pin the one setting results depend on (the time zone) on an existing session.  All other
+    settings stay the caller's; adaptive execution being off is only warned about."""
     spark.conf.set("spark.sql.session.timeZone", "UTC")
-    spark.conf.set("spark.sql.sources.partitionOverwriteMode", "dynamic")
-    spark.conf.set("spark.sql.adaptive.enabled", "true")
-    for k, v in BROADCAST_CONF.items():
-        spark.conf.set(k, v)
+    if spark.conf.get("spark.sql.adaptive.enabled", "true") != "true":
+        warnings.warn("adaptive execution is off: skewed joins and small partitions are not handled", stacklevel=2)
     return spark
 
 
@@ -57,14 +56,15 @@ def checkpoint_root(spark: SparkSession) -> str:
     """The shared folder for checkpoints and intermediate tables.
 
     Reads ``spark.checkpoint.dir`` from the session (on a cluster this names shared
-    storage).  Only when it is unset -- local tests and benches -- a fresh local
-    folder is created and registered, so nothing ever lands in a machine-local temp
-    folder on a real cluster.
+    storage).  Where it is unset, a local master (tests, benches) gets a fresh local folder;
+    any other master is refused, as executors would write to disks of their own.
     """
     root = spark.conf.get("spark.checkpoint.dir", None)
     if not root:
         root = spark.sparkContext.getCheckpointDir()
     if not root:
+        if not spark.sparkContext.master.split("[")[0] == "local":
+            raise ValueError("set spark.checkpoint.dir to a folder that the driver and all executors share")
         root = tempfile.mkdtemp(prefix="sensortwin-ckpt-")
         spark.conf.set("spark.checkpoint.dir", root)
         spark.sparkContext.setCheckpointDir(root)

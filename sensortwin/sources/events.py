@@ -87,10 +87,14 @@ def to_landing_json(df: DataFrame) -> DataFrame:
     return df.select(*cols)
 
 
-def replay_to_landing(df: DataFrame, path: str, files: int = 8, mode: str = "append") -> None:
+def replay_to_landing(df: DataFrame, path: str, files: int | None = None, mode: str = "append",
+                      rows_per_file: int = 1_000_000) -> None:
     """Write a table of events as JSON-lines files into a landing directory.
 
-    ``files`` output files per call, hash-spread over the event id so the files are even.
+    Each partition of ``df`` writes its own files of at most ``rows_per_file`` events, so the
+    number of writers follows the data; ``files`` asks for an exact number instead.
     """
-    (to_landing_json(df).repartition(files, "event_id")
-     .write.mode(mode).option("ignoreNullFields", "true").json(path))
+    out = to_landing_json(df)
+    if files:
+        out = out.repartition(files, "event_id")
+    (out.write.mode(mode).option("ignoreNullFields", "true").option("maxRecordsPerFile", rows_per_file).json(path))

@@ -36,7 +36,8 @@ def load_reference(spark: SparkSession, path: str, schema, table: str,
 
 
 def write_table(df: DataFrame, path: str, mode: str = "overwrite", partition_by=None) -> None:
-    w = df.write.mode(mode)
+    """Write a table; ``overwrite`` replaces it as a whole, whatever the session's partition mode."""
+    w = df.write.mode(mode).option("partitionOverwriteMode", "static")
     if partition_by:
         w = w.partitionBy(*partition_by)
     w.parquet(path)

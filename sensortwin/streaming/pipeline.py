@@ -7,8 +7,9 @@
   from silver -- reading only the touched ``event_date`` partitions -- and written with
   dynamic partition overwrite.  A re-run of a micro-batch rewrites the same partitions,
   so the refresh is idempotent after executor or driver loss.
-* batch yield is refreshed through mergeable per-(batch, plant, date) partials, so a
-  micro-batch re-reads one day of silver, never a batch's whole history.
+* batch yield is refreshed through mergeable per-(batch, plant, date) partials, stored by batch
+  bucket and date: a micro-batch re-reads the touched days of silver and, of the partials, the
+  buckets of the touched batches.
 """
 
 from __future__ import annotations
@@ -149,7 +150,9 @@ def read_or_empty(spark: SparkSession, path: str, schema: T.StructType) -> DataF
     schema when nothing has been written there yet (no data has arrived)."""
     try:
         return spark.read.schema(schema).parquet(path)
-    except AnalysisException:
+    except AnalysisException as e:
+        if getattr(e, "getCondition", lambda: None)() != "PATH_NOT_FOUND":
+            raise
         return spark.createDataFrame([], schema)
 
 
@@ -180,44 +183,34 @@ def _bucket(col: str = "batch_id", buckets: int = BATCH_BUCKETS):
     return F.pmod(F.xxhash64(F.col(col)), F.lit(buckets)).cast("int")
 
 
-def _overwrite(df: DataFrame, path: str, partition: str) -> None:
-    """Dynamic partition overwrite, one writer per partition value.
-
-    Gold rows per date (machines x windows, plants x lines x hours, batches) do not grow
-    with the event volume, so routing each partition to one task is cheap and avoids
-    every task writing a small file into every touched partition.
-    """
-    (df.repartition(partition).write.mode("overwrite").option("partitionOverwriteMode", "dynamic")
-     .partitionBy(partition).parquet(path))
+def _overwrite(df: DataFrame, path: str, *partition: str) -> None:
+    """Dynamic partition overwrite.  Rows of a partition value are brought together, but by a
+    rebalance: adaptive execution splits large values over several writers."""
+    (df.hint("rebalance", *[F.col(p) for p in partition]).write.mode("overwrite").option("partitionOverwriteMode", "dynamic")
+     .partitionBy(*partition).parquet(path))
 
 
 GOLD_TABLES = ("equipment_metrics", "sustainability_hourly", "batch_yield")
 
 
-MAX_DATES_PER_PASS = 31
-
-
 def refresh_gold(spark: SparkSession, paths: TwinPaths, dates, buckets, computed_at=None,
-                 tables=GOLD_TABLES, max_dates: int = MAX_DATES_PER_PASS) -> None:
+                 tables=GOLD_TABLES) -> None:
     """Recompute gold for the touched ``dates`` / batch ``buckets`` and overwrite them.
 
-    Dates are processed in passes of at most ``max_dates`` (a rebuild over years of
-    history is many bounded passes, not one pass over everything).  Each pass reads only
-    its date partitions of silver (static partition pruning on the literal list); the
-    aggregates of a pass run as concurrent jobs, each scanning just the columns it uses.
-    Equipment and sustainability rows are keyed by date, so their date partitions are
-    replaced whole; batch yield goes through daily partials and is merged once at the end
-    for the touched buckets.  Every write is a dynamic partition overwrite, so re-running
-    the refresh (after any failure) converges to the same tables.
+    Only the touched date partitions of silver are read (static partition pruning on the
+    literal list); the aggregates run as concurrent jobs, each scanning just the columns it
+    uses.  Equipment and sustainability rows are keyed by date, so their date partitions are
+    replaced whole; batch yield goes through daily partials, stored by batch bucket and date, of
+    which only the touched buckets are read and merged.  Every write is a dynamic partition
+    overwrite, so re-running the refresh (after any failure) converges to the same tables.
     """
     dates = sorted(dates)
     if not dates:
         return
-    for i in range(0, len(dates), max_dates):
-        silver = read_silver(spark, paths).filter(F.col("event_date").isin(dates[i:i + max_dates]))
-        _refresh_dates(spark, paths, silver, computed_at, tables)
+    silver = read_silver(spark, paths).filter(F.col("event_date").isin(dates))
+    _refresh_dates(spark, paths, silver, computed_at, tables)
     if "batch_yield" in tables and buckets:
-        p = spark.read.parquet(paths.partials).filter(_bucket().isin(list(buckets)))
+        p = spark.read.parquet(paths.partials).filter(F.col("batch_bucket").isin(list(buckets)))
         gb = batch_yield_from_partials(p, computed_at=computed_at).withColumn("batch_bucket", _bucket())
         _overwrite(gb, paths.gold_batch, "batch_bucket")
 
@@ -232,8 +225,8 @@ def _refresh_dates(spark: SparkSession, paths: TwinPaths, silver: DataFrame, com
                                                      "event_date"), paths.gold_eq, "event_date"),
         "sustainability_hourly": lambda: _overwrite(last(sustainability_hourly(silver, computed_at=computed_at),
                                                          "event_date"), paths.gold_sus, "event_date"),
-        "batch_yield": lambda: _overwrite(last(batch_partials(silver), "event_date"), paths.partials,
-                                          "event_date"),
+        "batch_yield": lambda: _overwrite(last(batch_partials(silver), "event_date").withColumn("batch_bucket", _bucket()),
+                                          paths.partials, "batch_bucket", "event_date"),
     }
     # independent jobs over the same date slice: submit them concurrently, carrying the
     # caller's job group / description so that stopping the stream cancels them too
@@ -355,15 +348,47 @@ def alert_stream(silver: DataFrame, salt_buckets: int = 1) -> DataFrame:
     return a.dropDuplicates(["equipment_id"])
 
 
+DEDUP_KEYS = ("event_ts", "equipment_id", "event_type")
+
+
+def dedup_foreach_batch(out: str, keys=DEDUP_KEYS):
+    """X8/D3 without loss: the ``foreachBatch`` function that appends to the table at ``out`` the
+    first event of each key, however late it arrives.
+
+    A micro-batch drops its own repeats (the smallest event id stays), then the keys that the
+    table already holds; only the table's partitions of the dates the batch touches are read.
+    Rows go to a partition of the batch's own number, which a re-run of the batch ignores and
+    replaces, so a retry neither loses nor repeats an event.  Events without a time or date stay
+    in the null partition.
+    """
+    from ..operators.serving import dedup_events
+
+    def run(batch_df: DataFrame, epoch: int) -> None:
+        spark = batch_df.sparkSession
+        dates = [r[0] for r in batch_df.select("event_date").distinct().collect()]  # days of one micro-batch
+        new = dedup_events(batch_df, keys)
+        schema = T.StructType([f for f in batch_df.schema.fields if f.name != "event_date"]
+                              + [batch_df.schema["event_date"], T.StructField("epoch", T.LongType())])
+        touched = F.col("event_date").isin([d for d in dates if d is not None])
+        touched = touched | F.col("event_date").isNull() if None in dates else touched
+        held = read_or_empty(spark, out, schema).where(touched & (F.col("epoch") < epoch)).select(
+            *[F.col(k).alias(f"_{k}") for k in keys])
+        new = new.join(held, [F.col(k).eqNullSafe(F.col(f"_{k}")) for k in keys], "left_anti").withColumn("epoch", F.lit(epoch).cast("long"))
+        _overwrite(new.select(*schema.names), out, "event_date", "epoch")
+
+    return run
+
+
 def dedup_stream(events: DataFrame, delay: str = "10 minutes",
-                 keys=("event_ts", "equipment_id", "event_type"), salt_buckets: int = 1) -> DataFrame:
-    """Drop repeats of (event_ts, machine, type) seen within ``delay``; state is
-    evicted as the watermark passes, so memory stays bounded.
+                 keys=DEDUP_KEYS, salt_buckets: int = 1) -> DataFrame:
+    """D3 with bounded state, for a live view only: repeats of (event_ts, machine, type) seen
+    within ``delay`` are dropped, and so is **any event later than ``delay``**, repeated or not
+    (the watermark discards it).  Where no event may be lost use :func:`dedup_foreach_batch`.
 
     ``salt_buckets > 1`` splits hot groups of copies: a first dedup on the key plus the
     input partition id (mod the bucket count) spreads the copies of one key over up to
     that many tasks and leaves at most one copy per bucket; the second dedup on the key
-    alone then sees at most ``salt_buckets`` copies per key.  Same surviving keys.
+    alone then sees at most ``salt_buckets`` copies per key.
     """
     w = events.withWatermark("event_ts", delay)
     if salt_buckets > 1:
