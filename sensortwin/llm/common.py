@@ -88,33 +88,38 @@ def join_path(*parts: str) -> str:
     return posixpath.join(*parts)
 
 
+#: Edges that one task may contract (about 100 bytes each).
+EDGES_PER_TASK = 300_000
+
+
 def components(edges: DataFrame, a: str = "a", b: str = "b") -> DataFrame:
     """Connected components of an undirected graph of long ids: one row ``(node, root)`` for every
     node of an edge; ``root`` is the smallest id of the component.
 
     Every round contracts the edges of each partition to a star forest (union-find over the
     partition, so at most one edge per node leaves it), then jumps each parent to its own parent.
-    Rounds end when no node has two parents and no parent has a parent.  Only edges move; each
-    round is written to the shared folder.  Self-loops are allowed, null ids are left out.
+    Rounds end when no node has two parents and no parent has a parent, or when the forest is small
+    enough (``EDGES_PER_TASK``) for one task to contract the rest.  Only edges move; each round is
+    written to the shared folder.  Self-loops are allowed, null ids are left out.
     """
     ship(edges.sparkSession)
-    flat = edges.select(F.greatest(a, b).cast("long").alias("x"), F.least(a, b).cast("long").alias("r")).where(
-        F.col(a).isNotNull() & F.col(b).isNotNull()).distinct()
-    loops = stored(flat, "cc-edges")
+    loops = stored(edges.select(F.greatest(a, b).cast("long").alias("x"), F.least(a, b).cast("long").alias("r")).where(
+        F.col(a).isNotNull() & F.col(b).isNotNull()), "cc-edges")
     state = loops.where("x != r")
     while True:
+        if state.count() <= EDGES_PER_TASK:
+            state = stored(state.coalesce(1).mapInArrow(_contract, "x long, r long"), "cc-roots")
+            break
         forest = stored(state.repartition("x").mapInArrow(_contract, "x long, r long").distinct(), "cc-forest")
         parent = forest.groupBy("x").agg(F.min("r").alias("p"), F.max("r").alias("q"))
-        # a child with two parents keeps the smaller one and links both parents
-        split = parent.where("p != q").select(F.col("q").alias("x"), F.col("p").alias("r"))
+        # a child with two parents keeps the smaller one and links all others to it
         extra = forest.join(parent.where("p != q").select("x", "p"), "x").where("r != p").select(
             F.col("r").alias("x"), F.col("p").alias("r"))
         single = parent.select("x", F.col("p").alias("r"))
         up = parent.select(F.col("x").alias("r"), F.col("p").alias("rr"))
         jumped = single.join(up, "r", "left").select(
             "x", F.coalesce("rr", "r").alias("r"), F.col("rr").isNotNull().alias("moved"))
-        step = stored(jumped.unionByName(extra.unionByName(split).select(
-            "x", "r", F.lit(True).alias("moved"))), "cc-step")
+        step = stored(jumped.unionByName(extra.withColumn("moved", F.lit(True))), "cc-step")
         state = step.select(F.greatest("x", "r").alias("x"), F.least("x", "r").alias("r")).where("x != r")
         if step.where("moved").isEmpty():
             break

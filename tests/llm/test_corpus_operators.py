@@ -18,9 +18,10 @@ from sensortwin.session import scratch_path
 
 
 # -- components -------------------------------------------------------------------------------
-@pytest.mark.parametrize("seed", range(3))
-def test_components_equal_union_find(spark, seed):
-    r = random.Random(seed)
+@pytest.mark.parametrize("one_task", [0, 300_000])
+def test_components_equal_union_find(spark, monkeypatch, one_task):
+    monkeypatch.setattr(common, "EDGES_PER_TASK", one_task)  # 0: by rounds alone
+    r = random.Random(1)
     edges = [(r.randrange(150), r.randrange(150)) for _ in range(90)] + [(200 + i, 201 + i) for i in range(40)] + [(7, 7), (None, 3), (999, 999)]
     up = {}
 
@@ -173,9 +174,9 @@ def test_ngram_join_equals_all_pairs(spark, monkeypatch, n, t):
     monkeypatch.setattr(ngram_join, "CHUNK", 4)  # groups then span several chunks
     _, rows = awkward(spark)
     rows = [r for r in rows if r[0] != 7] + [(None, prose(6, 80)), (None, prose(77, 60)), (700, "a b c d"), (701, "A b  c D"), (702, "a b c e")]
-    for g in range(12):
-        base = prose(500 + g, 40 + 25 * g)
-        rows += [(1000 + 100 * g + k, edited(base, 10_000 + 31 * g + k, k % 5)) for k in range(12)]
+    for g in range(6):
+        base = prose(500 + g, 40 + 45 * g)
+        rows += [(1000 + 100 * g + k, edited(base, 10_000 + 31 * g + k, k % 5)) for k in range(9)]
     chain = prose(900, 200)
     for k in range(8):  # each links with the next, the ends not with each other
         rows.append((5000 + k, chain))
