@@ -40,10 +40,10 @@ def latest_equipment_metrics(gold_eq: DataFrame, partitioned: bool = False) -> D
     return (latest_window(gold_eq, partitioned)
             .select("equipment_id", "equipment_name", "equipment_type", "plant_id", "line_id",
                     F.col("window_5min").cast("string").alias("window_5min"),
-                    F.col("avg_temperature_c").cast("double").alias("avg_temperature_c"),
-                    F.col("max_temperature_c").cast("double").alias("max_temperature_c"),
-                    F.col("total_energy_kwh").cast("double").alias("total_energy_kwh"),
-                    F.col("avg_flow_rate_l_min").cast("double").alias("avg_flow_rate_l_min"),
+                    "avg_temperature_c",
+                    "max_temperature_c",
+                    "total_energy_kwh",
+                    "avg_flow_rate_l_min",
                     F.col("alarm_count").cast("int").alias("alarm_count"),
                     F.col("event_count").cast("int").alias("event_count"))
             .orderBy("plant_id", "line_id", "equipment_name", "equipment_id"))
@@ -61,10 +61,10 @@ def equipment_history(gold_eq: DataFrame, equipment_id: str | None = None, hours
     g = since(g, "window_5min", as_of, hours=hours, date_col="event_date")
     return (g.select("equipment_id",
                      F.col("window_5min").cast("string").alias("window_5min"),
-                     F.col("avg_temperature_c").cast("double").alias("avg_temperature_c"),
-                     F.col("total_energy_kwh").cast("double").alias("total_energy_kwh"),
+                     "avg_temperature_c",
+                     "total_energy_kwh",
                      F.col("alarm_count").cast("int").alias("alarm_count"),
-                     F.col("avg_flow_rate_l_min").cast("double").alias("avg_flow_rate_l_min"))
+                     "avg_flow_rate_l_min")
             .orderBy("equipment_id", "window_5min"))
 
 
@@ -207,10 +207,10 @@ def sustainability(gold_sus: DataFrame, as_of=None, hours: int = 720) -> DataFra
     """The hourly sustainability listing, oldest first."""
     return (sustainability_window(gold_sus, as_of, hours)
             .select("plant_id", "line_id", F.col("hour_bucket").cast("string").alias("hour_bucket"),
-                    F.col("total_energy_kwh").cast("double").alias("total_energy_kwh"),
-                    F.col("cip_water_liters").cast("double").alias("cip_water_liters"),
-                    F.col("total_water_liters").cast("double").alias("total_water_liters"),
-                    F.col("estimated_co2_kg").cast("double").alias("estimated_co2_kg"),
+                    "total_energy_kwh",
+                    "cip_water_liters",
+                    "total_water_liters",
+                    "estimated_co2_kg",
                     F.col("water_alarm_count").cast("int").alias("water_alarm_count"),
                     F.col("total_events").cast("int").alias("event_count"))
             .orderBy("hour_bucket", "plant_id", "line_id"))
@@ -219,10 +219,10 @@ def sustainability(gold_sus: DataFrame, as_of=None, hours: int = 720) -> DataFra
 def plant_summary(gold_sus: DataFrame) -> DataFrame:
     """A4: totals per plant (sums the already rounded hourly CO2, as the application does)."""
     return (gold_sus.groupBy("plant_id")
-            .agg(F.sum("total_energy_kwh").cast("double").alias("total_energy_kwh"),
-                 F.sum("total_water_liters").cast("double").alias("total_water_liters"),
-                 F.sum("cip_water_liters").cast("double").alias("cip_water_liters"),
-                 F.sum("estimated_co2_kg").cast("double").alias("estimated_co2_kg"),
+            .agg(F.sum("total_energy_kwh").alias("total_energy_kwh"),
+                 F.sum("total_water_liters").alias("total_water_liters"),
+                 F.sum("cip_water_liters").alias("cip_water_liters"),
+                 F.sum("estimated_co2_kg").alias("estimated_co2_kg"),
                  F.sum("water_alarm_count").cast("int").alias("water_alarm_count"))
             .orderBy("plant_id"))
 
