@@ -187,33 +187,43 @@ class Slice:
         near = np.searchsorted(mark, mark + 2 * self.most[item], "right") - np.arange(len(mark))
         item, begin = item[near >= self.need[item]], begin[near >= self.need[item]]
         group = self.group_of[item]
-        pairs: set[tuple[int, int]] = set()
+        found: dict[int, tuple[int, int, int]] = {}
         for n in np.unique(group).tolist():
             length, most, tables = self.groups[n]
-            base = np.unique(begin[group == n])
-            starts = np.unique((base[:, None] + np.arange(2 * most + 1)).ravel())
-            starts = starts[(starts > -length) & (starts < len(doc))]
-            for part in np.array_split(starts, max(1, -(-len(starts) * length // 500_000))):
-                pick = part[:, None] + np.arange(length)
-                inside = (pick >= 0) & (pick < len(doc))
-                windows = np.where(inside, doc[np.clip(pick, 0, len(doc) - 1)], _U(0))
-                for r, (place, keys, members) in enumerate(tables):
-                    key = self._keys(windows, r, place)
+            # each item has its own windows; one found without an edit needs no further walk
+            of, first = item[group == n], begin[group == n]
+            todo = set(of.tolist())
+            tried: set[tuple[int, int]] = set()
+            for r, (place, keys, members) in enumerate(tables):
+                base = np.unique(first[np.isin(of, list(todo))])
+                starts = np.unique((base[:, None] + np.arange(2 * most + 1)).ravel())
+                starts = starts[(starts > -length) & (starts < len(doc))]
+                pairs: set[tuple[int, int]] = set()
+                for part in np.array_split(starts, max(1, -(-len(starts) * length // 500_000))):
+                    pick = part[:, None] + np.arange(length)
+                    inside = (pick >= 0) & (pick < len(doc))
+                    key = self._keys(np.where(inside, doc[np.clip(pick, 0, len(doc) - 1)], _U(0)), r, place)
                     a, b = np.searchsorted(keys, key, "left"), np.searchsorted(keys, key, "right")
                     for w in np.nonzero(b > a)[0].tolist():
                         pairs.update((int(k), int(part[w])) for k in members[a[w] : b[w]])
-        found: dict[int, tuple[int, int, int]] = {}
-        for k, start in sorted(pairs, key=lambda p: (p[0], p[1])):
-            item = self.items[k][1]
-            most = allowed(len(item), self.edits)
-            if k in found and found[k][0] == 0:
-                continue
-            a = max(0, start - most)
-            d, x, y = distance_in(item, doc[a : start + len(item) + 2 * most], most)
-            if d <= most and (k not in found or d < found[k][0]):
-                found[k] = (d, a + x, a + y)
+                for k, start in sorted(pairs - tried):
+                    if k in todo:
+                        self._verify(doc, k, start, found)
+                        if k in found and not found[k][0]:
+                            todo.discard(k)
+                tried |= pairs
+                if not todo:
+                    break
         return [(self.items[k][0], *found[k], len(self.items[k][1])) for k in sorted(found)]
 
+    def _verify(self, doc: np.ndarray, k: int, start: int, found: dict) -> None:
+        """Exact distance of item k around a window; the smallest one so far stays in ``found``."""
+        item, most = self.items[k][1], int(self.most[k])
+        a = max(0, start - most)
+        d, x, y = distance_in(item, doc[a : start + len(item) + 2 * most], most)
+        if d <= most and (k not in found or (d, a + x) < found[k][:2]):
+            found[k] = (d, a + x, a + y)
+
 
 def rounds(length: int, most: int, recall: float = RECALL) -> int:
     """Independent walks for the target recall.  A walk meets an edit at any of about ``most`` places
