@@ -8,7 +8,9 @@ from collections import Counter
 import duckdb
 import pytest
 
-from __spark_entry__ import entry, oracle_sql, queries
+from __spark_entry__ import entry
+from sensortwin.plans.catalog import queries
+from sensortwin.plans.oracle import oracle_sql
 
 from conftest import SF_SMALL
 

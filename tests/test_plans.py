@@ -12,7 +12,7 @@ import re
 
 import pytest
 
-from __spark_entry__ import queries
+from sensortwin.plans.catalog import queries
 
 from conftest import SF_SMALL
 
