@@ -75,5 +75,33 @@ def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
     return {f.__name__: f for f in (op1_toxicity, op2_secrets, op3_html_text, op4_suffix_dedup, op5_fingerprints, op6_bpe, op7_token_counts, op8_ngram_join, op9_warc, op10_decontamination)}
 
 
+_OP8 = r"""
+WITH RECURSIVE words AS (
+  SELECT doc_id, regexp_extract_all(translate(coalesce(text, ''), 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz'),
+    '[^\x20\x09-\x0D]+') AS w FROM documents),
+sets AS (
+  SELECT doc_id, CASE WHEN len(w) = 0 THEN [] WHEN len(w) < 3 THEN [array_to_string(w, ' ')]
+    ELSE list_distinct(list_transform(range(1, len(w) - 1), lambda i: w[i] || ' ' || w[i + 1] || ' ' || w[i + 2])) END AS s FROM words),
+sized AS (SELECT doc_id, s, CAST(len(s) AS BIGINT) AS n_shingles FROM sets),
+flat AS (SELECT doc_id, n_shingles, unnest(s) AS g FROM sized),
+links AS (
+  SELECT a.doc_id AS a, b.doc_id AS b FROM flat a JOIN flat b ON a.g = b.g AND a.doc_id <> b.doc_id
+  GROUP BY a.doc_id, b.doc_id, a.n_shingles, b.n_shingles HAVING 100 * count(*) >= 90 * (a.n_shingles + b.n_shingles - count(*))),
+reach AS (SELECT a, b FROM links UNION SELECT reach.a, links.b FROM reach JOIN links ON reach.b = links.a)
+SELECT doc_id, n_shingles, least(doc_id, coalesce((SELECT min(b) FROM reach WHERE reach.a = sized.doc_id), doc_id)) AS component_id FROM sized"""
+
+_OP9 = """
+WITH payloads AS (SELECT page_id, encode(coalesce(html, '')) AS payload FROM pages),
+digests AS (SELECT page_id, CAST(octet_length(payload) AS BIGINT) AS payload_bytes, sha1(payload) AS hex FROM payloads),
+owners AS (SELECT *, min(page_id) OVER (PARTITION BY hex, payload_bytes) AS owner FROM digests)
+SELECT page_id, payload_bytes,
+  array_to_string(list_transform(range(32), lambda i: substr('ABCDEFGHIJKLMNOPQRSTUVWXYZ234567',
+    1 + CAST((CAST('0x' || substr(hex, CAST(5 * (i // 4) + 1 AS BIGINT), 5) AS BIGINT) >> (15 - 5 * (i % 4))) & 31 AS BIGINT), 1)), '') AS payload_digest,
+  CASE WHEN owner = page_id THEN 'response' ELSE 'revisit' END AS record_type,
+  CASE WHEN owner <> page_id THEN owner END AS refers_to
+FROM owners"""
+
+
 def oracle_sql() -> dict[str, str]:
-    return {}
+    """SQL for what SQL can express; the other queries are tested against brute force."""
+    return {"op8_ngram_join": _OP8, "op9_warc": _OP9}
