@@ -43,6 +43,7 @@ def _q(fn):
         return present(fn(Inputs(spark, sf_dir)))
     run.__doc__ = fn.__doc__
     run.__name__ = fn.__name__
+    run.__wrapped__ = fn
     return run
 
 
@@ -366,6 +367,56 @@ def _what_if_compare(t: Inputs):
     return whatif.what_if_compare(_what_if(t))
 
 
+def _requests(t: Inputs) -> DataFrame:
+    """Scenario requests in the endpoint's form, one per customer row: some name no batch or an
+    unknown one, some leave the heat setting open, some lie out of range."""
+    c = t.table("customer")
+    k = F.col("c_custkey")
+    return c.select(F.when(k % 11 != 0, F.concat(F.lit("BATCH-"), (k % 20).cast("string"))).alias("batch_id"),
+                    F.col("c_mktsegment").alias("preset"),
+                    ((F.col("c_nationkey") - 12).cast("double") / 10.0).alias("fat_delta_pct"),
+                    ((k % 25 - 12).cast("double") / 10.0).alias("protein_delta_pct"),
+                    F.when(k % 7 != 0, (k % 45 + 55).cast("double")).alias("heat_setting_c"))
+
+
+@_reg("what_if_requests")
+def _what_if_requests(t: Inputs):
+    """K11 -> J3 + K10: a table of requests validated, joined to its batches and scored."""
+    ok, _rejected = whatif.validate_scenarios(_requests(t))
+    return whatif.what_if(ok, t.gold_batch)
+
+
+@_reg("what_if_request_scores")
+def _what_if_request_scores(t: Inputs):
+    """K13 on requests: five scores per scored request."""
+    return whatif.what_if_scores(_what_if_requests.__wrapped__(t))
+
+
+@_reg("what_if_rejected")
+def _what_if_rejected(t: Inputs):
+    """The requests that validation rejects, with the reason."""
+    return whatif.validate_scenarios(_requests(t))[1]
+
+
+@_reg("what_if_unknown")
+def _what_if_unknown(t: Inputs):
+    """Valid requests that name a batch without a baseline."""
+    return whatif.unknown_batches(whatif.validate_scenarios(_requests(t))[0], t.gold_batch)
+
+
+@_reg("equipment_point_history")
+def _point_history(t: Inputs):
+    """P11 + P12: the last 30 days of one machine, the one of the smallest id."""
+    one = t.registry.agg(F.min("equipment_id")).scalar()
+    return serving.equipment_history(t.gold_eq.filter(F.col("equipment_id") == one), as_of=t.as_of, hours=720)
+
+
+@_reg("sustainability_all_hours")
+def _sustainability_all(t: Inputs):
+    """T10 + P13: without a time filter."""
+    return serving.sustainability(t.gold_sus, hours=0)
+
+
 # --- alarms ----------------------------------------------------------------------------------
 
 @_reg("alarm_detection")

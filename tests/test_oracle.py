@@ -14,7 +14,7 @@ from sensortwin.plans.oracle import oracle_sql
 
 from conftest import SF_SMALL
 
-TABLES = ("events", "supplier")
+TABLES = ("events", "supplier", "customer")
 SPARK_TO_DUCK = {"int": "INTEGER", "bigint": "BIGINT", "double": "DOUBLE", "string": "VARCHAR",
                  "timestamp_ntz": "TIMESTAMP", "date": "DATE", "boolean": "BOOLEAN"}
 
