@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from __spark_entry__ import queries
+from sensortwin.plans.catalog import queries
 from sensortwin.session import scratch_path
 
 from conftest import SF_SMALL
@@ -12,7 +12,7 @@ ONE_ROW = {"bronze_row_count", "dashboard_kpis", "sustainability_kpis", "graph_s
 
 def test_all_queries_on_empty_tables(spark):
     empty = scratch_path(spark, "empty-sf")
-    for name in ("events", "supplier"):
+    for name in ("events", "supplier", "customer"):
         spark.read.parquet(f"{SF_SMALL}/{name}.parquet").limit(0).write.parquet(f"{empty}/{name}.parquet")
     for name, fn in sorted(queries().items()):
         n = fn(spark, empty).count()
