@@ -29,6 +29,7 @@ from collections.abc import Iterator
 
 import numpy as np
 import pyarrow as pa
+import pyarrow.compute as pc
 import xxhash
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
@@ -163,29 +164,27 @@ def _induce(s: np.ndarray, is_s: np.ndarray, lms: np.ndarray) -> np.ndarray:
 def _induce_plain(s: np.ndarray, is_s: np.ndarray, lms: np.ndarray) -> np.ndarray:
     """The same, one suffix at a time, for alphabets almost as large as the text."""
     starts, ends = (x.tolist() for x in _buckets(s))
-    n, text, kind = len(s), s.tolist(), is_s.tolist()
-    sa, tail = [-1] * n, [e - 1 for e in ends]
-    for i in reversed(lms.tolist()):
-        c = text[i]
+    n = len(s)
+    # the letter of an L (S) suffix, -1 for the other kind; the last place stands for "before the text"
+    as_l = np.append(np.where(is_s, -1, s), -1).tolist()
+    as_s = np.append(np.where(is_s, s, -1), -1).tolist()
+    sa, tail = [0] * n, [e - 1 for e in ends]
+    for i, c in zip(lms[::-1].tolist(), s[lms[::-1]].tolist(), strict=True):
         sa[tail[c]] = i
         tail[c] -= 1
-    head = starts[:]
-    sa_head = text[n - 1]
-    first = head[sa_head]
-    sa[first] = n - 1
-    head[sa_head] += 1
-    for k in range(n):
-        j = sa[k] - 1
-        if j >= 0 and not kind[j]:
-            c = text[j]
-            sa[head[c]] = j
+    head, last = starts[:], int(s[n - 1])
+    sa[head[last]] = n - 1
+    head[last] += 1
+    for i in sa:  # entries are filled in ahead of the loop
+        c = as_l[i - 1]
+        if c >= 0:
+            sa[head[c]] = i - 1
             head[c] += 1
     tail = [e - 1 for e in ends]
-    for k in range(n - 1, -1, -1):
-        j = sa[k] - 1
-        if j >= 0 and kind[j]:
-            c = text[j]
-            sa[tail[c]] = j
+    for i in reversed(sa):
+        c = as_s[i - 1]
+        if c >= 0:
+            sa[tail[c]] = i - 1
             tail[c] -= 1
     return np.array(sa)
 
@@ -329,21 +328,25 @@ def _shard(length: int, schema: pa.Schema):
     """Repeated strings among the snippets of one shard, as intervals."""
 
     def run(table: pa.Table) -> pa.Table:
-        docs, starts = table.column("doc").to_pylist(), table.column("start").to_numpy()
+        table = table.combine_chunks()
+        doc, starts = table.column("doc").combine_chunks(), table.column("start").to_numpy()
         counts = table.column("n").to_numpy().astype(np.int64)
-        order = np.empty(len(docs), np.int64)
-        order[sorted(range(len(docs)), key=lambda k: (_place(docs[k]), starts[k]))] = np.arange(len(docs))
+        place = pa.table({"id": doc.field("id"), "d": doc.field("d"), "start": table.column("start")})
+        by = pc.sort_indices(place, sort_keys=[(c, "ascending") for c in place.column_names], null_placement="at_start")
+        order = np.empty(len(starts), np.int64)
+        order[by.to_numpy()] = np.arange(len(starts))
         got = repeated_starts(table.column("bytes").to_pylist(), order, counts, length)
-        rows = [(docs[k], int(starts[k]) + a, int(starts[k]) + b) for k, late in enumerate(got) if len(late)
-                for a, b in spans([(x, x + length) for x in late.tolist()])]
-        cols = zip(*rows, strict=True) if rows else ((), (), ())
-        return pa.Table.from_arrays([pa.array(c, f.type) for c, f in zip(cols, schema, strict=True)], schema=schema)
+        rows = [(k, a, b) for k, late in enumerate(got) if len(late) for a, b in _runs(late + starts[k], length)]
+        k, a, b = zip(*rows, strict=True) if rows else ((), (), ())
+        return pa.Table.from_arrays([doc.take(pa.array(k, pa.int64())), pa.array(a, pa.int64()), pa.array(b, pa.int64())], schema=schema)
 
     return run
 
 
-def _place(doc: dict) -> tuple:
-    return (doc["id"] is not None, doc["id"] if doc["id"] is not None else 0, doc["d"])
+def _runs(at: np.ndarray, length: int) -> list[tuple[int, int]]:
+    """Union of the strings that start at the sorted places ``at``."""
+    cut = np.nonzero(np.diff(at) > length)[0]
+    return list(zip(at[np.r_[0, cut + 1]].tolist(), (at[np.r_[cut, len(at) - 1]] + length).tolist(), strict=True))
 
 
 def repeats(docs: DataFrame, length: int = LENGTH, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
