@@ -51,8 +51,9 @@ from sensortwin.llm.common import components, map_rows, ship, slices, stored
 SPARE = 0.1
 #: Sketches a set with too many empty words takes part in before its empty words become keys as well.
 SKETCHES = 4
-#: Sets of a group that one task compares with as many others.
-CHUNK = 256
+#: Sets of a group, and their shingles, that one task compares with as many others.
+CHUNK = 1024
+CHUNK_SHINGLES = 1_000_000
 _U = np.uint64
 _M1, _M2, _M3 = _U(0x9E3779B97F4A7C15), _U(0xBF58476D1CE4E5B9), _U(0x94D049BB133111EB)
 
@@ -300,34 +301,42 @@ def join(docs: DataFrame, n: int = 5, similarity: float | Fraction = Fraction(8,
             side, F.coalesce("root", side)).drop("root")
     failed = stored(failed.where("x != y").distinct(), "ngram-failed")
     if not failed.isEmpty():
-        label = stored(_closed(docs, ids, label, failed, bands, n), "ngram-closed")
+        label = stored(_closed(docs, rows, ids, label, failed, bands, n), "ngram-closed")
     of_key = node.join(label, "node", "left").select("set_key", F.coalesce("root", "node").alias("root"))
     return rows.join(of_key, "set_key", "left").select(
         F.col("id").alias(id_col), "n_shingles", F.when(F.col("set_key").isNull(), F.col("id")).otherwise(F.col("root")).alias("component_id"))
 
 
-def _closed(docs: DataFrame, ids: DataFrame, label: DataFrame, failed: DataFrame, bands: Bands, n: int) -> DataFrame:
+def _closed(docs: DataFrame, rows: DataFrame, ids: DataFrame, label: DataFrame, failed: DataFrame, bands: Bands, n: int) -> DataFrame:
     """Labels after the comparison inside groups of components that failed star pairs connect."""
     group = stored(components(failed, "x", "y").select(F.col("node").alias("label"), F.col("root").alias("g")), "ngram-groups")
     member = ids.join(label, ids["id"] == label["node"], "left").select("id", F.coalesce("root", "id").alias("label")).join(group, "label")
+    # linked sets lie in the same size cell or in neighbouring ones (cells grow by 1/t)
+    size = rows.where("id is not null").groupBy("id").agg(F.max("n_shingles").alias("m"))
+    cell = F.floor(F.log("m") / math.log(1 / bands.t) + 1e-9).cast("int")
+    member = stored(member.join(size, "id").withColumn("z", cell), "ngram-sized")
     # members of a component of a chunk or more form chunks of that component alone ("pure", never
     # compared with each other); the rest of the group shares mixed chunks
     sizes = member.groupBy("g", "label").count().where(F.col("count") >= CHUNK)
     member = member.join(sizes, ["g", "label"], "left").withColumn("pure", F.when(F.col("count").isNotNull(), F.col("label")))
-    per = member.groupBy(F.col("g").alias("pg"), F.col("pure").alias("pp")).agg(F.ceil(F.count("*") / CHUNK).cast("int").alias("chunks"))
+    per = member.groupBy(F.col("g").alias("pg"), F.col("pure").alias("pp"), F.col("z").alias("pz")).agg(
+        F.greatest(F.ceil(F.count("*") / CHUNK), F.ceil(F.sum("m") / CHUNK_SHINGLES)).cast("int").alias("chunks"))
     spread = F.pmod(F.xxhash64("id"), F.col("chunks")).cast("int")
-    member = stored(member.join(per, (F.col("g") == F.col("pg")) & F.col("pure").eqNullSafe(F.col("pp"))).select(
-        "g", "label", "id", "pure", spread.alias("c")), "ngram-members")
-    chunk = member.select("g", "pure", "c").distinct()
-    a, b = (chunk.select("g", F.col("pure").alias(f"p{s}"), F.col("c").alias(f"c{s}")) for s in "ab")
-    order_a, order_b = (F.struct(F.coalesce(f"p{s}", F.lit(-1)), f"c{s}") for s in "ab")
+    member = stored(member.join(per, (F.col("g") == F.col("pg")) & F.col("pure").eqNullSafe(F.col("pp")) & (F.col("z") == F.col("pz"))).select(
+        "g", "label", "id", "pure", "z", spread.alias("c")), "ngram-members")
+    chunk = member.select("g", "pure", "z", "c").distinct()
+    a, b = (chunk.select("g", F.col("pure").alias(f"p{s}"), F.col("z").alias(f"z{s}"), F.col("c").alias(f"c{s}")) for s in "ab")
+    order_a, order_b = (F.struct(F.coalesce(f"p{s}", F.lit(-1)), f"z{s}", f"c{s}") for s in "ab")
     # pairs of chunks, not of members
-    tasks = a.join(b, "g").where((order_a <= order_b) & (F.col("pa").isNull() | ~F.col("pa").eqNullSafe(F.col("pb"))))
-    tasks = tasks.withColumn("task", F.xxhash64("g", "pa", "ca", "pb", "cb")).withColumn("same", order_a == order_b)
-    one = tasks.select(F.col("g").alias("tg"), F.col("pa").alias("tp"), F.col("ca").alias("tc"), "task", F.when(F.col("same"), 2).otherwise(0).alias("side"))
-    two = tasks.where("not same").select(F.col("g").alias("tg"), F.col("pb").alias("tp"), F.col("cb").alias("tc"), "task", F.lit(1).alias("side"))
-    sent = member.join(one.union(two), (F.col("g") == F.col("tg")) & F.col("pure").eqNullSafe(F.col("tp")) & (F.col("c") == F.col("tc"))).select(
-        "task", "side", "id", "label")
+    tasks = a.join(b, "g").where((order_a <= order_b) & (F.abs(F.col("za") - F.col("zb")) <= 1)
+                                 & (F.col("pa").isNull() | ~F.col("pa").eqNullSafe(F.col("pb"))))
+    tasks = tasks.withColumn("task", F.xxhash64("g", "pa", "za", "ca", "pb", "zb", "cb")).withColumn("same", order_a == order_b)
+    one = tasks.select(F.col("g").alias("tg"), F.col("pa").alias("tp"), F.col("za").alias("tz"), F.col("ca").alias("tc"), "task",
+                       F.when(F.col("same"), 2).otherwise(0).alias("side"))
+    two = tasks.where("not same").select(F.col("g").alias("tg"), F.col("pb").alias("tp"), F.col("zb").alias("tz"), F.col("cb").alias("tc"),
+                                         "task", F.lit(1).alias("side"))
+    sent = member.join(one.union(two), (F.col("g") == F.col("tg")) & F.col("pure").eqNullSafe(F.col("tp")) & (F.col("z") == F.col("tz"))
+                       & (F.col("c") == F.col("tc"))).select("task", "side", "id", "label")
     sets = _sets(docs, member.select("id"), n).dropDuplicates(["id"])
     links = sent.join(sets, "id").groupBy("task").applyInArrow(_compare(bands), "a long, b long")
     found = stored(links.distinct(), "ngram-links")

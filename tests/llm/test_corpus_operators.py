@@ -45,7 +45,7 @@ def test_suffix_arrays_and_prefixes_equal_sorting():
         s = np.array([r.randrange(r.choice([1, 2, 3, 250])) for _ in range(r.randrange(1, 60))], np.uint8)
         want = sorted(range(len(s)), key=lambda i: bytes(s[i:]))
         assert suffix_dedup.suffix_array(s).tolist() == want
-        assert suffix_dedup.suffix_array(s.astype(np.int64) * 5000).tolist() == want
+        assert suffix_dedup.suffix_array(s.astype(np.int64) + 4096).tolist() == want
         sa, got = np.array(want), suffix_dedup.common_prefixes(s, np.array(want), 10)
         for x, y in zip(sa[:-1], sa[1:], strict=True):
             n = 0
