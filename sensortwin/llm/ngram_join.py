@@ -184,7 +184,7 @@ def _star_rows(docs: DataFrame, n: int, bands: Bands) -> DataFrame:
                     k = bands.keys(s)
                     keys.append(k)
                     ids.append(np.full(len(k), i, np.int64))
-                if not keys:
+                if not any(map(len, keys)):
                     continue
                 key, idn = np.concatenate(keys).view(np.int64), np.concatenate(ids)
                 order = np.lexsort((idn, key))
