@@ -109,9 +109,10 @@ def compare_with_next(docs: DataFrame, id_col: str = "doc_id", text_col: str = "
     def key(c: str, k: str) -> list[Column]:  # a null id is a key like any other
         return [F.coalesce(F.col(c).cast("string"), F.lit("")).alias(k), F.col(c).isNull().alias(f"{k}_null")]
 
-    rows = docs.select(F.col(id_col).alias("id"), F.coalesce(F.col(text_col), F.lit("")).alias("text")).select("*", *key("id", "k"))
+    # the same columns on both sides of the last join, so that one shuffle of the texts serves both
+    rows = docs.select(F.coalesce(F.col(text_col), F.lit("")).alias("text"), *key(id_col, "k"))
     half = F.floor(F.length("text") / 2).cast("int")
-    link = following(rows.select("id")).select(*key("id", "k"), *key("prev", "f"))
+    link = following(docs.select(F.col(id_col).alias("id"))).select(*key("id", "k"), *key("prev", "f"))
     need = rows.groupBy(F.col("k").alias("f"), F.col("k_null").alias("f_null")).agg(F.max(half).alias("need"))
     # for every next document: whose edited text it serves and with how many of its code points
     serves = link.join(need, ["f", "f_null"])
@@ -120,7 +121,8 @@ def compare_with_next(docs: DataFrame, id_col: str = "doc_id", text_col: str = "
     out = rows.join(sent, ["k", "k_null"], "left")
     n = F.length("text")
     edited = F.concat(F.substring("text", F.lit(1), n - half), F.substring("next.head", F.lit(1), half))
-    out = out.select(F.col("id").alias(id_col), n.cast("long").alias("n_chars"), F.sha2(edited, 256).alias("edited_sha256"),
+    own_id = F.when(~F.col("k_null"), F.col("k").cast(docs.schema[id_col].dataType))
+    out = out.select(own_id.alias(id_col), n.cast("long").alias("n_chars"), F.sha2(edited, 256).alias("edited_sha256"),
                      packed(F.col("text"), bins, bits, words).alias("fingerprint"), packed(edited, bins, bits, words).alias("edited_fingerprint"),
                      F.col("next.fp").alias("next_fp"))
     return out.select(id_col, "n_chars", "edited_sha256", "fingerprint", "edited_fingerprint",
