@@ -22,7 +22,7 @@ BATCH = sorted(n for n in queries() if not n.startswith("stream_") and n != "jso
 WINDOW_OK = {"carbon_traceback", "carbon_insight", "batch_yield_from_partials"}
 # queries without silver's null guard: the registry listing, and bronze-level queries
 # (bronze keeps every landed row by design; only silver filters)
-NO_NULL_GUARD = {"equipment_reference", "bronze_events", "bronze_row_count", "alarm_detection"}
+NO_NULL_GUARD = {"what_if_rejected", "equipment_reference", "bronze_events", "bronze_row_count", "alarm_detection"}
 
 
 def _plan(df) -> str:
