@@ -4,8 +4,10 @@ Fit
   1. Labelled training rows (ids whose crc32 modulo the number of folds is not 0) are thinned to
      about ``max_examples`` by a hash of the id; that documented bound also bounds what is broadcast.
   2. Terms are words and their leading 3 to 6 letters.  Those of the sample whose document frequency
-     differs between the labels (chi-square) and that mark toxic examples make up the vocabulary,
-     at most ``max_terms`` by chi-square; beginnings that add nothing to a shorter one are left out.
+     differs between the labels (chi-square) and that are more frequent in toxic examples than in the
+     sample make up the vocabulary, at most ``max_terms`` by chi-square; how far a term speaks for
+     either label is left to the votes.  Words and beginnings that occur in the same documents as a
+     shorter beginning of theirs are left out.
   3. Document frequencies of these terms are counted over *all* documents.
   4. The sample's TF-IDF vectors (unit length) are grouped by equality: one index entry holds how
      many examples of either label it stands for and the smallest id as evidence.  Entries are sorted
@@ -36,7 +38,7 @@ from dataclasses import dataclass, field
 
 import numpy as np
 import pyarrow as pa
-from pyspark.sql import DataFrame, Window
+from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from sensortwin.llm.common import map_rows, ship, slices, stored, texts_of
@@ -45,8 +47,6 @@ MAX_EXAMPLES = 20_000
 MAX_TERMS = 4_096
 MIN_CHI2 = 30.0
 MIN_COUNT = 3
-#: Share of toxic examples among those with the term.
-MIN_PRECISION = 0.8
 NEIGHBOURS = 25
 FOLDS = 5
 BLOCK = 64
@@ -253,11 +253,17 @@ def fit(docs: DataFrame, labels: DataFrame, max_examples: int = MAX_EXAMPLES, ma
         a, m, big_n, big_p = F.col("a"), F.col("n"), F.lit(float(n)), F.lit(float(p))
         chi2 = big_n * F.pow(a * (big_n - big_p) - (m - a) * big_p, 2) / (
             m * (big_n - m) * big_p * (big_n - big_p))
-        usable_terms = counted.where((m < big_n) & (a >= MIN_COUNT) & (a >= MIN_PRECISION * m)).select(
+        usable_terms = counted.where((m < big_n) & (a >= MIN_COUNT) & (a * big_n > m * big_p)).select(
             "term", "n", "a", chi2.alias("chi2")).where(F.col("chi2") >= min_chi2)
-        # of beginnings and words that occur in as many documents of either label the shortest speaks for all
-        alike = Window.partitionBy("n", "a", F.substring("term", 1, _PREFIXES[0])).orderBy(F.length("term"), "term")
-        chosen_terms = [r["term"] for r in usable_terms.withColumn("nth", F.row_number().over(alike)).where("nth = 1").orderBy(
+
+        def begun(term, other):
+            return (other != term) & other.endswith("*") & term.startswith(F.regexp_replace(other, r"\*$", ""))
+
+        # a beginning occurs wherever its continuations do: with equal counts these are the same documents
+        alike = usable_terms.groupBy("n", "a", F.substring("term", 1, _PREFIXES[0])).agg(
+            F.collect_list("term").alias("terms"), F.first("chi2").alias("chi2"))
+        chosen_terms = [r["term"] for r in alike.select("chi2", F.explode(F.filter(
+            "terms", lambda t: ~F.exists("terms", lambda u: begun(t, u)))).alias("term")).orderBy(
             F.desc("chi2"), "term").limit(max_terms).collect()]
     # document frequencies of the chosen terms over every document
     plain = Vocabulary(dict.fromkeys(chosen_terms, 1.0))

@@ -7,6 +7,7 @@ import hashlib
 import math
 import random
 import re
+import zlib
 
 import numpy as np
 import pytest
@@ -190,3 +191,25 @@ def test_toxicity_learns_and_takes_awkward_rows(spark):
     none = toxicity.fit(docs, labels.limit(0))
     assert {r["score"] for r in toxicity.score(docs, none).collect()} == {0.5}
     assert toxicity.score(docs.limit(0), model).count() == 0
+
+
+def test_toxicity_is_found_where_many_labels_miss_it(spark):
+    insults = ["vile", "scoundrel", "wretch", "knave", "bastard"]
+    r = random.Random(10)
+    toxic = {i: i % 4 == 0 for i in range(900)}
+    docs = documents(spark, [(i, prose(i, 40) + "".join(f" {w}" for w in r.sample(insults, 3)) * toxic[i]) for i in toxic])
+    missed = set(r.sample([i for i in range(600) if toxic[i]], 50))  # a third of them
+    labels = spark.createDataFrame([(i, int(toxic[i] and i not in missed)) for i in range(600)], "doc_id long, toxic int")
+    out = {x["doc_id"]: x["predicted"] for x in toxicity.score(docs, toxicity.fit(docs, labels)).collect()}
+    unseen = range(600, 900)
+    assert sum(out[i] for i in unseen if toxic[i]) >= 0.8 * sum(toxic[i] for i in unseen)
+    assert sum(out[i] for i in unseen if not toxic[i]) <= 2
+
+
+def test_equally_frequent_terms_are_merged_only_with_their_own_beginning(spark):
+    docs = documents(spark, [(i, "scout " + prose(i, 40) + {0: " scoundrel", 2: " scourer"}.get(i % 8, "")) for i in range(400)])
+    train = [i for i in range(400) if zlib.crc32(str(i).encode()) % 5]
+    least = min(sum(i % 8 == k for i in train) for k in (0, 2))
+    train = sorted(sum(([i for i in train if i % 8 == k][:least] for k in (0, 2)), [i for i in train if i % 8 not in (0, 2)]))
+    labels = spark.createDataFrame([(i, int(i % 8 in (0, 2))) for i in train], "doc_id long, toxic int")
+    assert toxicity.fit(docs, labels).vocabulary.terms == ["scoun*", "scour*"]
