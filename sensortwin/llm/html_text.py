@@ -3,8 +3,11 @@
 A tree builder reads the markup with the implied tags of HTML (a block start ends an open paragraph,
 ``li``, ``dt``/``dd``, ``option``, table rows and cells end their open siblings, void elements have no
 content, script-like elements hold raw text).  Elements that a browser does not show are left out:
-script-like and head content, the ``hidden`` attribute, ``display:none`` and ``visibility:hidden``
-styles, hidden inputs, closed dialogs, and the content of closed ``details`` but for the summary.
+script-like and head content, the ``hidden`` attribute, ``display:none`` styles, hidden inputs, closed
+dialogs, and the content of closed ``details`` but for the summary.  ``visibility`` is inherited: a
+visible element within a hidden one is shown.  Of inline SVG the ``text`` elements and foreign objects
+are shown, of MathML all but annotations, with ``/`` in fractions; of ``object`` the content where no
+``data`` is to be loaded in its place.
 
 Everything else is rendered in document order: white space collapses as in a browser, blocks start on
 a new line, blocks with margins are divided by a blank line, ``br`` and ``pre`` keep their breaks,
@@ -35,11 +38,12 @@ _MARK = re.compile(r"<!--(?:.*?-->|.*\Z)|<[!?][^>]*(?:>|\Z)|<(?=/?[a-zA-Z])", re
 _TAG = re.compile(r"""<(/?)([a-zA-Z][^\s/>]*)((?:[^>=]|=\s*(?:"[^"]*"|'[^']*')|=)*+)>""", re.S)
 _ATTR = re.compile(r"""([^\s=/>"']+)(?:\s*=\s*("[^"]*"|'[^']*'|[^\s"'>]+))?""")
 _SPACE = re.compile(r"[ \t\r\n\f]+")
-_NONE = re.compile(r"(?:display\s*:\s*none|visibility\s*:\s*(?:hidden|collapse))", re.I)
+_NONE = re.compile(r"(?:display\s*:\s*none|content-visibility\s*:\s*hidden)", re.I)
+_VISIBILITY = re.compile(r"(?<![\w-])visibility\s*:\s*(visible|hidden|collapse)", re.I)
 # fixed values: element classes of HTML
 VOID = frozenset("area base br col embed hr img input link meta param source track wbr".split())
 RAW = frozenset("script style textarea title xmp iframe noembed noframes noscript".split())
-UNSEEN = frozenset("script style template head title noembed noframes iframe noscript datalist audio video canvas svg math object rp area".split())
+UNSEEN = frozenset("script style template head title noembed noframes iframe noscript datalist audio video canvas rp area".split())
 MARGIN = frozenset("p h1 h2 h3 h4 h5 h6 ul ol dl blockquote pre table figure fieldset hr menu".split())
 BLOCK = MARGIN | frozenset(
     "address article aside body caption center dd details dialog dir div dt figcaption footer form header hgroup html legend li "
@@ -55,14 +59,26 @@ ENDS = {
     "thead": ({"thead", "tbody", "tfoot", "tr", "caption"}, {"table"}), "tbody": ({"thead", "tbody", "tfoot", "tr", "caption"}, {"table"}),
     "tfoot": ({"thead", "tbody", "tfoot", "tr", "caption"}, {"table"}), "body": ({"head"}, {"html"}),
 }
+#: Never shown within SVG or MathML.
+FOREIGN_UNSEEN = frozenset("title desc metadata defs symbol clippath mask pattern marker annotation annotation-xml mphantom".split())
+#: Within SVG or MathML these hold HTML again.
+TO_HTML = frozenset("foreignobject desc title annotation-xml mi mo mn ms mtext".split())
+#: A start tag of these ends open SVG and MathML.
+BREAKS_OUT = frozenset(
+    "b big blockquote body br center code dd div dl dt em embed h1 h2 h3 h4 h5 h6 head hr i img li listing menu meta nobr ol p pre "
+    "ruby s small span strong strike sub sup table tt u ul var".split())
 WALLS = frozenset("td th caption table template html".split())
+P_WALLS = WALLS | TO_HTML | {"button"}
 
 
 class Node:
-    __slots__ = ("tag", "children", "seen", "attrs")
+    """``seen``: whether the element and its content are rendered; ``hidden``: takes room without being
+    shown; ``kind``: what its text belongs to, html, svg (not shown), svgtext or math."""
 
-    def __init__(self, tag: str, attrs: dict[str, str] | None = None, seen: bool = True):
-        self.tag, self.attrs, self.seen, self.children = tag, attrs or {}, seen, []
+    __slots__ = ("tag", "children", "seen", "attrs", "hidden", "kind")
+
+    def __init__(self, tag: str, attrs: dict[str, str] | None = None, seen: bool = True, hidden: bool = False, kind: str = "html"):
+        self.tag, self.attrs, self.seen, self.hidden, self.kind, self.children = tag, attrs or {}, seen, hidden, kind, []
 
 
 def _attributes(raw: str) -> dict[str, str]:
@@ -74,8 +90,28 @@ def _attributes(raw: str) -> dict[str, str]:
     return out
 
 
+def _node(tag: str, attrs: dict[str, str], parent: Node) -> Node:
+    """An element with what it inherits."""
+    kind, foreign = parent.kind, parent.kind != "html"
+    if tag in ("svg", "math"):
+        kind = tag
+    elif foreign and tag in TO_HTML:
+        kind = "html"
+    elif kind == "svg" and tag == "text":
+        kind = "svgtext"
+    seen = _visible(tag, attrs) and not (foreign and (tag in FOREIGN_UNSEEN or attrs.get("display") == "none"))
+    hidden = parent.hidden
+    said = _VISIBILITY.findall(attrs["style"]) if "style" in attrs else ()
+    value = said[-1].lower() if said else attrs.get("visibility", "") if foreign or kind != "html" else ""
+    if value == "collapse" and tag in ("tr", "thead", "tbody", "tfoot"):
+        seen = False
+    elif value in ("visible", "hidden", "collapse"):
+        hidden = value != "visible"
+    return Node(tag, attrs, seen, hidden, kind)
+
+
 def _visible(tag: str, attrs: dict[str, str]) -> bool:
-    if tag in UNSEEN or "hidden" in attrs:
+    if tag in UNSEEN or "hidden" in attrs or tag == "object" and "data" in attrs:
         return False
     if tag == "input" and attrs.get("type", "").lower() == "hidden" or tag == "dialog" and "open" not in attrs:
         return False
@@ -88,8 +124,14 @@ def parse(markup: str) -> Node:
     stack, at, end = [root], 0, len(markup)
 
     def text(piece: str) -> None:
-        if piece:
-            stack[-1].children.append(html.unescape(piece) if "&" in piece else piece)
+        if not piece:
+            return
+        if stack[-1].tag == "head" and piece.strip(" \t\r\n\f"):
+            open_[stack.pop().tag] -= 1  # the body begins without a tag
+        inside = stack[-1]
+        if inside.hidden or inside.kind == "svg" or inside.kind == "math" and not piece.strip(" \t\r\n\f"):
+            return
+        inside.children.append(html.unescape(piece) if "&" in piece else piece)
 
     open_ = Counter()
 
@@ -128,8 +170,11 @@ def parse(markup: str) -> Node:
             continue
         if tag == "html":
             continue
+        if tag in BREAKS_OUT:
+            while stack[-1].kind != "html":
+                open_[stack.pop().tag] -= 1
         if tag in ENDS_P:
-            pop_to({"p"}, WALLS | {"button"})
+            pop_to({"p"}, P_WALLS)
         if tag in ENDS:
             tags, walls = ENDS[tag]
             for _ in range(4):  # a section ends its row, the row its cell
@@ -140,15 +185,18 @@ def parse(markup: str) -> Node:
         elif stack[-1].tag == "head" and tag not in ("meta", "title", "link", "base", "script", "style", "noscript", "template"):
             open_[stack.pop().tag] -= 1  # the body begins without a tag
         attrs = _attributes(m.group(3)) if m.group(3).strip() else {}
-        node = Node(tag, attrs, _visible(tag, attrs))
+        node = _node(tag, attrs, stack[-1])
+        closed = m.group(3).endswith("/") and (tag in ("svg", "math") or stack[-1].kind != "html")
         stack[-1].children.append(node)
+        if closed:
+            continue
         if tag in RAW:
             close = re.compile(rf"</{re.escape(tag)}[^>]*>", re.I).search(markup, at)
             body = markup[at : close.start()] if close else markup[at:]
-            if tag in ("textarea", "xmp"):
+            if tag in ("textarea", "xmp") and not node.hidden:
                 node.children.append(html.unescape(body) if tag == "textarea" else body)
             at = close.end() if close else end
-        elif tag not in VOID and not (m.group(3).endswith("/") and tag in ("svg", "math")):
+        elif tag not in VOID:
             stack.append(node)
             open_[tag] += 1
     return root
@@ -298,12 +346,12 @@ def render(root: Node, depth: int = 0) -> str:
             continue
         tag = n.tag
         if tag == "br":
-            page.end(force=True)
+            page.end(force=not n.hidden)
             continue
         if tag == "wbr" or tag == "img":
             continue
         if tag == "input":
-            if n.attrs.get("type", "text").lower() in ("button", "submit", "reset", "text", "search", "email", "url", "tel", "number"):
+            if not n.hidden and n.attrs.get("type", "text").lower() in ("button", "submit", "reset", "text", "search", "email", "url", "tel", "number"):
                 page.put(n.attrs.get("value", ""), False, indent)
             continue
         if tag in ("td", "th") and not page.space:
@@ -312,7 +360,7 @@ def render(root: Node, depth: int = 0) -> str:
             page.end()
             page.blank |= tag in MARGIN and not (numbers and tag in ("ul", "ol", "menu"))
         if tag == "hr":
-            page.put("----", True, indent)
+            page.put("" if n.hidden else "----", True, indent)
             page.end()
             page.blank = True
             continue
@@ -334,17 +382,24 @@ def render(root: Node, depth: int = 0) -> str:
                 mark = f"{numbers[-1]}. "
             else:
                 mark = "- "
-            page.mark, inner = indent + mark, indent + " " * len(mark)
+            page.mark, inner = None if n.hidden else indent + mark, indent + " " * len(mark)
         elif tag in ("dd", "blockquote"):
             inner = indent + "  "
-        if tag == "q":
+        if tag == "q" and not n.hidden:
             page.put('"', pre, indent)
         inside = n.children
+        if n.kind == "svgtext" and tag == "text":  # a label of its own
+            page.put(" ", False, indent)
+            todo.append((" ", False, False, indent, None))
+        elif n.kind == "math" and tag == "mfrac" and len(inside) == 2:
+            inside = [inside[0], "/", inside[1]] if not n.hidden else inside
+        elif n.kind == "math" and tag in ("mtd", "mtr"):
+            page.put(" ", False, indent)
         if tag == "details" and "open" not in n.attrs:
             inside = [c for c in n.children if isinstance(c, Node) and c.tag == "summary"]
         if tag in BLOCK:
             todo.append((n, True, pre, indent, None))
-        elif tag == "q":
+        elif tag == "q" and not n.hidden:
             todo.append(('"', False, pre, indent, None))
         keep = pre or tag in ("pre", "listing", "xmp", "textarea")
         if keep and not pre and inside and isinstance(inside[0], str) and inside[0].startswith("\n"):

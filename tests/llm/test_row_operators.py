@@ -140,6 +140,23 @@ def test_html_layout(markup, text):
     assert html_text.html_to_text(markup) == text
 
 
+@pytest.mark.parametrize(("markup", "text"), [
+    ("<p>a <svg><title>t</title><desc>d<p>e</p></desc><defs><text>f</text></defs><path d='M0 0'/>x<g><text x=1>Jan<tspan>uary</tspan></text>"
+     "<text>Feb</text></g></svg>b", "a January Feb b"),
+    ("<svg><style/><text>a</text><foreignObject><p>b</p></foreignObject><text display=none>c</text></svg>d", "a\n\nb\n\nd"),
+    ("x<svg><path><text>y<p>shown", "x y\n\nshown"),
+    ("so <math><semantics><mrow><mi>x</mi> <mo>=</mo> <mfrac><mn>1</mn><mn>2</mn></mfrac><mspace/></mrow><annotation>x=1/2</annotation></semantics></math>.", "so x=1/2."),
+    ("<object data=a.swf>no</object><object><p>yes</object>", "yes"),
+    ("<head><title>t</title>text<p>more", "text\n\nmore"), ("<head>\n<title>t</title>\n<style>x</style><body>a", "a"),
+    ("a<span style='visibility:hidden'>b<q>c</q><b style='visibility: visible'>d</b>e</span>f", "adf"),
+    ("<ul style='visibility:hidden'><li>a<li style='visibility:visible'>b</ul>", "- b"),
+    ("<table><tr><td>a<td style='visibility:hidden'>bbb<td>c<tr style='visibility:collapse'><td>no</table>", "a    c"),
+    ("<p style='backface-visibility:hidden'>a", "a"),
+])
+def test_html_shows_what_a_browser_shows(markup, text):
+    assert html_text.html_to_text(markup) == text
+
+
 def test_html_survives_any_markup(spark):
     r = random.Random(5)
     bits = ["<p>", "</p>", "<div>", "<table>", "<tr>", "<td>", "</table>", "<li>", "<ul>", "</ul>", "x ", "<b", ">", '"', "'", "<!--", "-->", "</", "<script>", "&amp", "<pre>", "\n"]
