@@ -59,11 +59,11 @@ def op8_ngram_join(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def op9_warc(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """Write every page as a WARC record, index the archive and read it back through the index."""
+    """Write every page as a WARC record, index the archive and look every URL key up in the index."""
     folder = scratch_path(spark, "llm-warc")
     locations = warc.write_archive(table(spark, sf_dir, "pages"), folder, least=0)
     master = warc.write_index(locations, folder)
-    return warc.read_archive(spark, folder, master).select("page_id", "payload_bytes", "payload_digest", "record_type", "refers_to")
+    return warc.lookup(spark, folder, master, locations).select("page_id", "payload_bytes", "payload_digest", "record_type", "refers_to")
 
 
 def op10_decontamination(spark: SparkSession, sf_dir: str) -> DataFrame:

@@ -222,9 +222,8 @@ def write_index(locations: DataFrame, folder: str) -> DataFrame:
 def blocks_for(directory: list, key: str) -> list[tuple[int, int]]:
     """Blocks (offset, length) that may hold ``key``, by bisection of the first keys: the last block
     that starts before the key and those that start with it."""
-    firsts = [d[0] for d in directory]
-    a = max(0, bisect.bisect_left(firsts, key) - 1)
-    return [(o, n) for _, o, n in directory[a : bisect.bisect_right(firsts, key)]]
+    a = max(0, bisect.bisect_left(directory, key, key=lambda d: d[0]) - 1)
+    return [(o, n) for _, o, n in directory[a : bisect.bisect_right(directory, key, key=lambda d: d[0])]]
 
 
 def _fetch(fs: pafs.FileSystem, path: str, offset: int, length: int) -> tuple[dict[str, str], bytes]:
@@ -245,33 +244,43 @@ def _row(headers: dict[str, str], block: bytes, key: str) -> dict:
             "record_type": headers["WARC-Type"], "refers_to": int(ref) if ref else None, "payload": block if headers["WARC-Type"] == "response" else None}
 
 
-def lookup(spark: SparkSession, folder: str, master: DataFrame, keys: DataFrame) -> DataFrame:
-    """Records of the wanted ``key`` values.  Each key meets the index files whose key range holds it
-    (the master has one row per file); tasks then bisect the file's directory and read only blocks
-    and records they need, all keys of a file in the order of their blocks."""
+def locate(spark: SparkSession, folder: str, master: DataFrame, keys: DataFrame) -> DataFrame:
+    """Index lines of the wanted ``key`` values.  Each key meets the index files whose key range holds it
+    (the master has one row per file); tasks take ranges of keys of a file in order, bisect the file's
+    directory and read each block they need once."""
     ship(spark)
     wanted = keys.select("key").distinct()
     # one row per index file: its bounds make this a range condition of a small known side
     routed = wanted.join(F.broadcast(master), F.col("key").between(F.col("first_key"), F.col("last_key")))
-    routed = routed.repartition("file", F.pmod(F.xxhash64("key"), F.lit(16))).sortWithinPartitions("file", "key")
+    routed = routed.repartitionByRange("file", "key").sortWithinPartitions("file", "key")
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         fs, root = open_store(folder)
-        directory, of, block, at = None, None, [], None
+        directory, of, block, lines, at = None, None, [], [], None
         for batch in batches:
+            hits = []
             for key, file, off, n in zip(*(batch.column(c).to_pylist() for c in ("key", "file", "directory_offset", "directory_length")), strict=True):
                 path = join_path(root, file)
                 if of != file:
                     directory, of, at = json.loads(gzip.decompress(read_range(fs, path, off, n))), file, None
                 for place in blocks_for(directory, key):
-                    if at != (file, *place):
+                    if at != place:
                         block = [json.loads(x) for x in gzip.decompress(read_range(fs, path, *place)).splitlines()]
-                        at = (file, *place)
-                    lines = [x[0] for x in block]
-                    hits = block[bisect.bisect_left(lines, key) : bisect.bisect_right(lines, key)]
-                    yield from _records(fs, root, hits)
+                        lines, at = [x[0] for x in block], place
+                    hits += block[bisect.bisect_left(lines, key) : bisect.bisect_right(lines, key)]
+                    if len(hits) >= BLOCK_LINES:
+                        yield pa.RecordBatch.from_arrays([pa.array(c, t) for c, t in zip(zip(*hits, strict=True), types, strict=True)], names)
+                        hits = []
+            if hits:
+                yield pa.RecordBatch.from_arrays([pa.array(c, t) for c, t in zip(zip(*hits, strict=True), types, strict=True)], names)
+
+    names, types = ["key", "page_id", "file", "offset", "length"], [pa.string(), pa.int64(), pa.string(), pa.int64(), pa.int64()]
+    return routed.mapInArrow(run, f"key string, page_id long, {_LOCATION}")
 
-    return routed.mapInArrow(run, _RECORD)
+
+def lookup(spark: SparkSession, folder: str, master: DataFrame, keys: DataFrame) -> DataFrame:
+    """Records of the wanted ``key`` values: index lines by bisection, then range reads."""
+    return _fetched(folder, locate(spark, folder, master, keys))
 
 
 def _records(fs, root, hits: list) -> Iterator[pa.RecordBatch]:
@@ -286,6 +295,20 @@ def _records(fs, root, hits: list) -> Iterator[pa.RecordBatch]:
         yield pa.RecordBatch.from_pylist(rows, schema=_RECORD_SCHEMA)
 
 
+def _fetched(folder: str, found: DataFrame) -> DataFrame:
+    """The records of index lines, each by its byte range, in the order of the archive files."""
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        fs, root = open_store(folder)
+        for batch in batches:
+            hits = list(zip(*(batch.column(c).to_pylist() for c in ("key", "page_id", "file", "offset", "length")), strict=True))
+            hits.sort(key=lambda h: (h[2], h[3]))
+            yield from _records(fs, root, hits)
+
+    # ranges of a file stay together, large files are shared by tasks
+    return found.repartitionByRange("file", "offset").mapInArrow(run, _RECORD)
+
+
 def read_index_blocks(spark: SparkSession, folder: str, master: DataFrame) -> DataFrame:
     """Every (index file, block offset, block length) by the files' directories."""
 
@@ -315,13 +338,4 @@ def read_archive(spark: SparkSession, folder: str, master: DataFrame) -> DataFra
         return dict(zip(("key", "page_id", "file", "offset", "length"), cols, strict=True))
 
     found = map_rows(read_index_blocks(spark, folder, master).repartition("file", "offset"), lines, f"key string, page_id long, {_LOCATION}")
-
-    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        fs, root = open_store(folder)
-        for batch in batches:
-            hits = list(zip(*(batch.column(c).to_pylist() for c in ("key", "page_id", "file", "offset", "length")), strict=True))
-            hits.sort(key=lambda h: (h[2], h[3]))
-            yield from _records(fs, root, hits)
-
-    # ranges of a file stay together, large files are shared by tasks
-    return found.repartitionByRange("file", "offset").mapInArrow(run, _RECORD)
+    return _fetched(folder, found)

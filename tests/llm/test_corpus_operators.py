@@ -246,6 +246,17 @@ def test_warc_round_trip_and_lookup(spark, tmp_path, monkeypatch):
     assert warc.read_archive(spark, folder + "0", empty).count() == 0
 
 
+def test_warc_query_reads_back_by_bisection(spark, tmp_path, monkeypatch):
+    from sensortwin.llm import queries
+
+    monkeypatch.setattr(warc, "BLOCK_LINES", 4)
+    rows = [(i, [None, "", "http://a.org/hot", f"http://b.org/{i % 9}", f"http://c{i}.org/é"][i % 5], f"<p>{i}") for i in range(120)] + [(None, None, None)]
+    spark.createDataFrame(rows, "page_id long, url string, html string").write.parquet(f"{tmp_path}/pages.parquet")
+    monkeypatch.setattr(warc, "read_archive", None)
+    got = queries.op9_warc(spark, str(tmp_path)).collect()
+    assert sorted(r["page_id"] if r["page_id"] is not None else -1 for r in got) == [-1, *range(120)]
+
+
 def test_url_keys():
     assert warc.url_key("http://www.Example.com:80/a?b=1#c") == "com,example,www)/a?b=1"
     assert warc.url_key("https://example.com:8443") == "com,example:8443)/"
