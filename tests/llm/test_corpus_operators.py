@@ -11,11 +11,12 @@ from fractions import Fraction
 
 import numpy as np
 import pytest
-from helpers import awkward, documents, edited, prose
 
 from sensortwin.llm import common, decontam, fingerprints, ngram_join, suffix_dedup, token_counts, warc
 from sensortwin.session import scratch_path
 
+from .helpers import awkward, documents, edited, prose
+
 
 # -- components -------------------------------------------------------------------------------
 @pytest.mark.parametrize("one_task", [0, 300_000])

@@ -11,10 +11,11 @@ import zlib
 
 import numpy as np
 import pytest
-from helpers import awkward, documents, prose
 
 from sensortwin.llm import bpe, html_text, secrets, toxicity
 
+from .helpers import awkward, documents, prose
+
 
 # -- secrets ----------------------------------------------------------------------------------
 def plain_spans(text):
