@@ -5,7 +5,7 @@ from __future__ import annotations
 from sensortwin.plans.catalog import queries
 from sensortwin.session import scratch_path
 
-from conftest import SF_SMALL
+from twin_rows import SF_SMALL
 
 ONE_ROW = {"bronze_row_count", "dashboard_kpis", "sustainability_kpis", "graph_stats"}
 

@@ -11,7 +11,7 @@ from sensortwin.operators.gold import (batch_partials, batch_yield, batch_yield_
 from sensortwin.operators.layers import to_bronze, to_silver
 from sensortwin.plans.inputs import Inputs
 
-from conftest import SF_SMALL, make_raw, ts
+from twin_rows import SF_SMALL, make_raw, ts
 
 
 def _silver(spark, rows):

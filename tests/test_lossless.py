@@ -3,7 +3,7 @@
 from __future__ import annotations
 
 import pytest
-from conftest import make_raw, ts
+from twin_rows import make_raw, ts
 from pyspark.sql import functions as F
 
 from sensortwin import session

@@ -12,7 +12,7 @@ from __spark_entry__ import entry
 from sensortwin.plans.catalog import queries
 from sensortwin.plans.oracle import oracle_sql
 
-from conftest import SF_SMALL
+from twin_rows import SF_SMALL
 
 TABLES = ("events", "supplier", "customer")
 SPARK_TO_DUCK = {"int": "INTEGER", "bigint": "BIGINT", "double": "DOUBLE", "string": "VARCHAR",

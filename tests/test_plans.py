@@ -14,7 +14,7 @@ import pytest
 
 from sensortwin.plans.catalog import queries
 
-from conftest import SF_SMALL
+from twin_rows import SF_SMALL
 
 BATCH = sorted(n for n in queries() if not n.startswith("stream_") and n != "json_replay_silver")
 # partition-less windows are allowed only over bounded inputs (the <= 20 traceback rows,

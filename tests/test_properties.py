@@ -11,7 +11,7 @@ from sensortwin.functions import classify_energy, classify_moisture
 from sensortwin.operators import graph
 from sensortwin.plans.inputs import Inputs
 
-from conftest import SF_SMALL
+from twin_rows import SF_SMALL
 
 
 def _moisture(m):

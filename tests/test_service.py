@@ -10,7 +10,7 @@ from sensortwin.service import TwinService
 from sensortwin.sources.events import replay_to_landing
 from sensortwin.streaming.pipeline import new_paths, run_available
 
-from conftest import SF_SMALL
+from twin_rows import SF_SMALL
 
 
 def _ids(df, col="equipment_id"):

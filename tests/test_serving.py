@@ -11,7 +11,7 @@ from sensortwin.operators.gold import equipment_metrics
 from sensortwin.operators.layers import to_bronze, to_silver
 from sensortwin.schemas import SCENARIO_SCHEMA
 
-from conftest import make_raw, ts
+from twin_rows import make_raw, ts
 
 BATCH_COLS = ("batch_id string, plant_id string, avg_viscosity_cp double, avg_protein_pct double, "
               "avg_fat_pct double, total_energy_kwh double, ftr_rate_pct double, alarm_count long")

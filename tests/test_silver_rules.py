@@ -8,7 +8,7 @@ from pyspark.sql import functions as F
 from sensortwin.functions import classify_energy, classify_moisture
 from sensortwin.operators.layers import to_bronze, to_silver
 
-from conftest import make_raw, ts
+from twin_rows import make_raw, ts
 
 
 @pytest.mark.parametrize("value,expected", [

@@ -16,7 +16,7 @@ from sensortwin.sources import (batches_reference, create_namespace, load_refere
                                 read_equipment_csv, row_count, to_landing_json, with_ingest_metadata)
 from sensortwin.streaming.pipeline import live_tail, new_paths, run_available, silver_stream
 
-from conftest import make_raw, ts
+from twin_rows import make_raw, ts
 
 EQUIPMENT_CSV = """equipment_id,name,type,line_id,plant_id,capacity_kg_h,commissioned_year
 EQ-A,Dryer Ä,spray_dryer,LINE-A,PLANT-ÉTOILE,12000,2018

@@ -14,7 +14,7 @@ from sensortwin.session import local_path, scratch_path
 from sensortwin.sources.events import read_events_batch, replay_to_landing, split_corrupt
 from sensortwin.streaming.pipeline import new_paths, read_gold, read_silver, rebuild_all, run_available
 
-from conftest import SF_SMALL
+from twin_rows import SF_SMALL
 
 
 def _rows(df, keys, drop=("_computed_at",)):
@@ -148,7 +148,7 @@ def test_salted_stream_dedup_handles_a_hot_group_of_copies(spark):
     """A third of the rows are copies of one event; the salted two-stage dedup keeps every
     distinct key exactly once, like the plain one."""
     from sensortwin.streaming.pipeline import dedup_stream
-    from conftest import make_raw, ts
+    from twin_rows import make_raw, ts
 
     base = [{"event_id": f"u{i}", "event_ts": ts("2024-01-01T00:00:00").replace(second=i % 60, minute=i // 60),
              "temperature_c": float(i)} for i in range(200)]
