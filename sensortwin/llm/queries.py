@@ -7,7 +7,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from sensortwin.llm import bpe, decontam, fingerprints, html_text, ngram_join, secrets, suffix_dedup, token_counts, toxicity, warc
+from sensortwin.llm import bpe, centroids, collocations, decontam, fingerprints, html_text, ngram_join, secrets, suffix_dedup, token_counts, toxicity, warc
 from sensortwin.llm.common import table
 from sensortwin.session import scratch_path
 
@@ -71,8 +71,19 @@ def op10_decontamination(spark: SparkSession, sf_dir: str) -> DataFrame:
     return decontam.find(table(spark, sf_dir, "documents"), table(spark, sf_dir, "benchmark"))
 
 
+def op12_collocations(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The first 2000 phrases of each language by the score of their lowest cut (SETM)."""
+    return collocations.mine(table(spark, sf_dir, "documents"))
+
+
+def op13_centroids(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Cluster of every vector after three rounds from sixteen hashed starts (PCA-rotated filter)."""
+    return centroids.digest(*centroids.cluster(table(spark, sf_dir, "embeddings")))
+
+
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
-    return {f.__name__: f for f in (op1_toxicity, op2_secrets, op3_html_text, op4_suffix_dedup, op5_fingerprints, op6_bpe, op7_token_counts, op8_ngram_join, op9_warc, op10_decontamination)}
+    return {f.__name__: f for f in (op1_toxicity, op2_secrets, op3_html_text, op4_suffix_dedup, op5_fingerprints, op6_bpe, op7_token_counts, op8_ngram_join, op9_warc, op10_decontamination,
+                                   op12_collocations, op13_centroids)}
 
 
 _OP8 = r"""
@@ -102,6 +113,58 @@ SELECT page_id, payload_bytes,
 FROM owners"""
 
 
+_OP12 = r"""
+WITH pieces AS (
+  SELECT coalesce(lang, 'und') AS lang, unnest(regexp_split_to_array(
+    translate(coalesce(text, ''), 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz'), '[.,;:!?\x0A-\x0D]')) AS piece FROM documents),
+words AS (SELECT lang, regexp_extract_all(piece, '[^\x20\x09]+') AS w FROM pieces),
+grams AS (
+  SELECT lang, size.k AS k, unnest(list_transform(range(1, len(w) - size.k + 2), lambda i: array_to_string(w[i : i + size.k - 1], ' '))) AS phrase
+  FROM words JOIN range(1, 6) size(k) ON len(w) >= size.k),
+f AS (SELECT lang, k, phrase, count(*) AS f FROM grams GROUP BY lang, k, phrase),
+total AS (SELECT lang, sum(f) AS n FROM f WHERE k = 1 GROUP BY lang),
+candidates AS (SELECT lang, k, phrase, string_split(phrase, ' ') AS w, f AS a FROM f WHERE k >= 2 AND f >= 100),
+cuts AS (
+  SELECT lang, phrase, k, a, cut, array_to_string(w[1 : cut], ' ') AS head, array_to_string(w[cut + 1 : k], ' ') AS rest
+  FROM (SELECT *, unnest(range(1, k)) AS cut FROM candidates)),
+scored AS (
+  SELECT c.lang, c.phrase, c.k, c.a, x.f AS l, y.f AS r, t.n, c.cut, (1000::HUGEINT * c.a * t.n) // (x.f::HUGEINT * y.f) AS score
+  FROM cuts c JOIN f x ON x.lang = c.lang AND x.phrase = c.head JOIN f y ON y.lang = c.lang AND y.phrase = c.rest JOIN total t ON t.lang = c.lang),
+best AS (SELECT * FROM scored QUALIFY row_number() OVER (PARTITION BY lang, phrase ORDER BY score, cut) = 1),
+inner_phrases AS (
+  SELECT lang, a, array_to_string(w[s : s + m - 1], ' ') AS phrase
+  FROM (SELECT *, unnest(range(1, k - m + 2)) AS s FROM (SELECT *, unnest(range(2, k)) AS m FROM candidates))),
+held AS (SELECT lang, phrase, max(a) AS longer FROM inner_phrases GROUP BY lang, phrase),
+ranked AS (
+  SELECT b.*, row_number() OVER (PARTITION BY b.lang ORDER BY score DESC, b.a DESC, encode(b.phrase)) AS place
+  FROM best b LEFT JOIN held h ON h.lang = b.lang AND h.phrase = b.phrase WHERE h.longer IS NULL OR 100 * h.longer < 100 * b.a)
+SELECT lang, place AS rank, phrase, a, l, r, CAST(n AS BIGINT) AS n, CAST(score AS BIGINT) AS score FROM ranked WHERE place <= 2000"""
+
+_OP13_STEP = """
+d{i} AS (
+  SELECT v.vec_id, v.x, c.no, list_sum(list_transform(range(1, 65), lambda j: CAST((v.x[j] - c.x[j]) AS HUGEINT) * (v.x[j] - c.x[j]))) AS d
+  FROM vectors v JOIN c{i} c ON c.no >= 0),
+n{i} AS (SELECT * FROM d{i} QUALIFY row_number() OVER (PARTITION BY vec_id ORDER BY d, no) = 1),"""
+
+_OP13_MOVE = """
+s{i} AS (SELECT no, j, sum(x[j]) AS s, count(*) AS n FROM (SELECT no, x, unnest(range(1, 65)) AS j FROM n{i}) GROUP BY no, j),
+m{i} AS (SELECT no, list((s - ((s % n) + n) % n) // n ORDER BY j) AS x FROM s{i} GROUP BY no),
+c{next} AS (SELECT c.no, coalesce(m.x, c.x) AS x FROM c{i} c LEFT JOIN m{i} m ON m.no = c.no),"""
+
+_OP13 = """
+WITH vectors AS (
+  SELECT vec_id, list_transform(embedding, lambda v: CAST(floor(64 * CAST(v AS DOUBLE)) AS HUGEINT)) AS x
+  FROM embeddings WHERE len(embedding) = 64 AND len(list_filter(embedding, lambda v: v IS NULL OR NOT isfinite(v))) = 0),
+c0 AS (
+  SELECT row_number() OVER (ORDER BY hash) - 1 AS no, x
+  FROM (SELECT x, sha256('1:' || vec_id) AS hash FROM vectors ORDER BY hash LIMIT 16)),""" + "".join(
+    _OP13_STEP.format(i=i) + (_OP13_MOVE.format(i=i, next=i + 1) if i < 3 else "") for i in range(4)) + """
+digests AS (SELECT no, sha256(array_to_string(x, ',')) AS centroid_sha256 FROM c3)
+SELECT n3.vec_id, CAST(n3.no AS INTEGER) AS cluster, CAST(n3.d AS BIGINT) AS distance,
+  CAST(sum(n3.d) OVER (PARTITION BY n3.no) AS BIGINT) AS cluster_inertia, CAST(sum(n3.d) OVER () AS BIGINT) AS inertia, centroid_sha256
+FROM n3 JOIN digests ON digests.no = n3.no"""
+
+
 def oracle_sql() -> dict[str, str]:
     """SQL for what SQL can express; the other queries are tested against brute force."""
-    return {"op8_ngram_join": _OP8, "op9_warc": _OP9}
+    return {"op8_ngram_join": _OP8, "op9_warc": _OP9, "op12_collocations": _OP12, "op13_centroids": _OP13}
