@@ -7,8 +7,8 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from sensortwin.llm import bpe, centroids, collocations, decontam, fingerprints, html_text, ngram_join, secrets, suffix_dedup, token_counts, toxicity, warc
-from sensortwin.llm.common import table
+from sensortwin.llm import bpe, centroids, collocations, decontam, fingerprints, html_text, ngram_join, quality_rules, secrets, suffix_dedup, token_counts, toxicity, warc
+from sensortwin.llm.common import stored, table
 from sensortwin.session import scratch_path
 
 
@@ -71,6 +71,12 @@ def op10_decontamination(spark: SparkSession, sf_dir: str) -> DataFrame:
     return decontam.find(table(spark, sf_dir, "documents"), table(spark, sf_dir, "benchmark"))
 
 
+def op11_quality_rules(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Quality statistics of every document and the verdict of the base rules and the learned decision list."""
+    measured = stored(quality_rules.features(table(spark, sf_dir, "documents")), "quality-measures")
+    return quality_rules.verdicts(measured, quality_rules.learn(measured, table(spark, sf_dir, "labels")))
+
+
 def op12_collocations(spark: SparkSession, sf_dir: str) -> DataFrame:
     """The first 2000 phrases of each language by the score of their lowest cut (SETM)."""
     return collocations.mine(table(spark, sf_dir, "documents"))
@@ -83,7 +89,7 @@ def op13_centroids(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
     return {f.__name__: f for f in (op1_toxicity, op2_secrets, op3_html_text, op4_suffix_dedup, op5_fingerprints, op6_bpe, op7_token_counts, op8_ngram_join, op9_warc, op10_decontamination,
-                                   op12_collocations, op13_centroids)}
+                                   op11_quality_rules, op12_collocations, op13_centroids)}
 
 
 _OP8 = r"""
