@@ -14,7 +14,7 @@ rest.  The first rule that holds for a document names the reason it goes.
 
 Distribution: measures need no shuffle and are written once (numbers only); labels join those by id.  Every
 growing step is one aggregate over the binned labelled rows that returns a count per measure and bin, so the driver
-holds at most ``len(MEASURES) * (2 * CUTS + 1)`` counts, and all labelled rows are used at any size.
+holds at most ``len(MEASURES) * (2 * CUTS + 3)`` counts, and all labelled rows are used at any size.
 
 Defined cases:
 * null and empty texts have no words: all counts 0, every measure 0, base rules failed, not kept;
@@ -36,7 +36,7 @@ from pyspark.sql import functions as F
 
 from sensortwin.llm.common import stored
 
-#: Quantiles by which each measure is cut, for the good and for the bad rows.
+#: Steps between the quantiles, least to greatest value, by which each measure is cut, for the good and for the bad rows.
 CUTS = 16
 MAX_RULES, MAX_CONDITIONS = 12, 3
 #: Precision that a rule must have, with one good and one bad row added to those it covers.
@@ -173,7 +173,7 @@ def learn(measured: DataFrame, labels: DataFrame, id: str = "doc_id", quality: s
 
 def _cuts(rows: DataFrame) -> dict[str, list[float]] | None:
     """Thresholds of each measure: quantiles of the bad rows and of the good ones."""
-    steps = [i / CUTS for i in range(1, CUTS)]
+    steps = [i / CUTS for i in range(CUTS + 1)]
     found = rows.groupBy("bad").agg(*[F.percentile_approx(m, steps, 10_000).alias(m) for m in MEASURES]).collect()  # two rows
     return {m: sorted({v for r in found for v in r[m]}) for m in MEASURES} if len(found) == 2 else None
 

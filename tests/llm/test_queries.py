@@ -9,7 +9,7 @@ from sensortwin.llm import queries
 from sensortwin.session import scratch_path
 
 SF = "/root/testdata/sf0.001"
-TABLES = ("documents", "labels", "pages", "benchmark")
+TABLES = ("documents", "labels", "pages", "benchmark", "embeddings")
 
 
 def test_every_query_takes_empty_tables(spark):
