@@ -83,4 +83,5 @@ POLL_LIMIT = 60
 HISTORY_SECONDS = 300
 HISTORY_LIMIT = 500
 FEED_ROWS = 8
+BUFFER_ROWS = 300
 RATE_TICK_SECONDS = 5

@@ -43,14 +43,23 @@ def _severity(alarm_count):
     return F.when(alarm_count >= C.CRITICAL_ALARM_COUNT, F.lit("critical")).otherwise(F.lit("warning"))
 
 
-def _alert_text(df: DataFrame) -> DataFrame:
+# --- fixed values: alert texts -------------------------------------------
+ALERT_TITLE = "%s Alert — %s"
+ALERT_META = "%s · Line %s · Plant %s"
+CRITICAL_MESSAGE = "%s active alarms detected. Current temp %s°C — thermal runaway risk. Inspect immediately."
+
+
+def alert_columns(df: DataFrame) -> DataFrame:
+    """Severity by the alarm count, and the texts of an alert.  Only critical alerts have a message made of data
+    (the predictive one names a random number of hours); an unknown temperature leaves its place empty."""
+    df = df.withColumn("severity", _severity(F.col("alarm_count")))
     crit = F.col("severity") == "critical"
+    degrees = F.coalesce(F.round("avg_temperature_c", 1).cast("decimal(18,1)").cast("string"), F.lit(""))
     return df.select(
         "*",
-        F.format_string("%s Alert — %s", F.when(crit, "Critical").otherwise("Predictive"),
-                        F.col("equipment_name")).alias("title"),
-        F.format_string("%s · Line %s · Plant %s", F.col("equipment_type"), F.col("line_id"),
-                        F.col("plant_id")).alias("meta"))
+        F.format_string(ALERT_TITLE, F.when(crit, "Critical").otherwise("Predictive"), F.col("equipment_name")).alias("title"),
+        F.when(crit, F.format_string(CRITICAL_MESSAGE, F.col("alarm_count").cast("string"), degrees)).alias("message"),
+        F.format_string(ALERT_META, F.col("equipment_type"), F.col("line_id"), F.col("plant_id")).alias("meta"))
 
 
 def alerts(gold_eq: DataFrame, partitioned: bool = False) -> DataFrame:
@@ -61,7 +70,7 @@ def alerts(gold_eq: DataFrame, partitioned: bool = False) -> DataFrame:
                           "avg_temperature_c", "window_5min"),
                  F.struct("equipment_name", "equipment_type", "line_id", "plant_id")).alias("_a"))
     a = picked.select("equipment_id", "_a.*")
-    return _alert_text(a.withColumn("severity", _severity(F.col("alarm_count"))))
+    return alert_columns(a)
 
 
 def alert_history(gold_eq: DataFrame) -> DataFrame:
@@ -76,4 +85,4 @@ def alert_history(gold_eq: DataFrame) -> DataFrame:
                           "alarm_count", "avg_temperature_c"),
                  F.struct("window_5min", "equipment_name", "equipment_type", "line_id", "plant_id")).alias("_a"))
     a = first.select("equipment_id", "_a.*")
-    return _alert_text(a.withColumn("severity", _severity(F.col("alarm_count"))))
+    return alert_columns(a)

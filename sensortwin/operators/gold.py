@@ -41,36 +41,40 @@ def equipment_metrics(silver: DataFrame, window: str = C.EQUIPMENT_WINDOW,
 
     The distinct alarm types are counted in the same exchange as a set per group, which the
     fixed alarm vocabulary bounds; ``approx_rsd`` switches to an estimate (exact by default)."""
-    alarm = F.when(F.col("is_alarm"), F.col("alarm_code"))
     s = silver.filter(F.col("event_type").isin(*C.MEASURED_EVENT_TYPES))
+    return (s.groupBy(*EQUIPMENT_KEYS, bucket_start("event_ts", window).alias("window_5min"), "event_date")
+            .agg(*equipment_aggs(approx_rsd), *_computed(computed_at)))
+
+
+def equipment_aggs(approx_rsd: float | None = None) -> list[Column]:
+    """The aggregates of A1 over silver rows."""
+    alarm = F.when(F.col("is_alarm"), F.col("alarm_code"))
     qc = bool_count("is_quality_check")
     ftr = bool_count("first_time_right")
-    return (s.groupBy(*EQUIPMENT_KEYS, bucket_start("event_ts", window).alias("window_5min"), "event_date")
-            .agg(F.count(F.lit(1)).alias("event_count"),
-                 F.avg("temperature_c").alias("avg_temperature_c"),
-                 F.min("temperature_c").alias("min_temperature_c"),
-                 F.max("temperature_c").alias("max_temperature_c"),
-                 F.avg("inlet_temperature_c").alias("avg_inlet_temp_c"),
-                 F.avg("outlet_temperature_c").alias("avg_outlet_temp_c"),
-                 F.avg("pressure_kpa").alias("avg_pressure_kpa"),
-                 F.max("pressure_kpa").alias("max_pressure_kpa"),
-                 F.avg("flow_rate_l_min").alias("avg_flow_rate_l_min"),
-                 F.sum("energy_kwh").alias("total_energy_kwh"),
-                 F.sum("water_liters").alias("total_water_liters"),
-                 F.sum("water_steam_liters").alias("total_steam_liters"),
-                 F.avg("energy_kwh").alias("avg_energy_kwh"),
-                 F.avg("moisture_pct").alias("avg_moisture_pct"),
-                 F.avg("viscosity_cp").alias("avg_viscosity_cp"),
-                 F.avg("protein_pct").alias("avg_protein_pct"),
-                 F.avg("fat_pct").alias("avg_fat_pct"),
-                 F.avg("powder_output_kg_h").alias("avg_powder_output_kg_h"),
-                 bool_count("is_alarm").alias("alarm_count"),
-                 (F.size(F.collect_set(alarm)).cast("long") if approx_rsd is None else F.approx_count_distinct(alarm, approx_rsd)
-                  ).alias("distinct_alarm_types"),
-                 ftr.alias("ftr_pass_count"),
-                 qc.alias("quality_check_count"),
-                 F.when(qc > 0, pct(ftr, qc)).alias("ftr_rate_pct"),
-                 *_computed(computed_at)))
+    return [F.count(F.lit(1)).alias("event_count"),
+            F.avg("temperature_c").alias("avg_temperature_c"),
+            F.min("temperature_c").alias("min_temperature_c"),
+            F.max("temperature_c").alias("max_temperature_c"),
+            F.avg("inlet_temperature_c").alias("avg_inlet_temp_c"),
+            F.avg("outlet_temperature_c").alias("avg_outlet_temp_c"),
+            F.avg("pressure_kpa").alias("avg_pressure_kpa"),
+            F.max("pressure_kpa").alias("max_pressure_kpa"),
+            F.avg("flow_rate_l_min").alias("avg_flow_rate_l_min"),
+            F.sum("energy_kwh").alias("total_energy_kwh"),
+            F.sum("water_liters").alias("total_water_liters"),
+            F.sum("water_steam_liters").alias("total_steam_liters"),
+            F.avg("energy_kwh").alias("avg_energy_kwh"),
+            F.avg("moisture_pct").alias("avg_moisture_pct"),
+            F.avg("viscosity_cp").alias("avg_viscosity_cp"),
+            F.avg("protein_pct").alias("avg_protein_pct"),
+            F.avg("fat_pct").alias("avg_fat_pct"),
+            F.avg("powder_output_kg_h").alias("avg_powder_output_kg_h"),
+            bool_count("is_alarm").alias("alarm_count"),
+            (F.size(F.collect_set(alarm)).cast("long") if approx_rsd is None else F.approx_count_distinct(alarm, approx_rsd)
+             ).alias("distinct_alarm_types"),
+            ftr.alias("ftr_pass_count"),
+            qc.alias("quality_check_count"),
+            F.when(qc > 0, pct(ftr, qc)).alias("ftr_rate_pct")]
 
 
 def _batch_aggs() -> list[Column]:

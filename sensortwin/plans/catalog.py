@@ -18,7 +18,7 @@ from ..operators.gold import batch_partials, batch_yield_from_partials
 from ..operators.layers import to_bronze, to_silver
 from ..session import scratch_path
 from ..sources.events import read_events_batch, replay_to_landing, split_corrupt
-from .inputs import Inputs
+from .inputs import BusyInputs, Inputs
 from .present import present
 
 Query = Callable[[SparkSession, str], DataFrame]
@@ -33,6 +33,7 @@ def register(name: str):
 
 
 def queries() -> dict[str, Query]:
+    from . import source_queries as _sources  # noqa: F401  (registers queries of sources and named tables)
     from ..streaming import queries as _stream  # noqa: F401  (registers streaming queries)
     return dict(_REGISTRY)
 
@@ -438,3 +439,33 @@ def _alerts(t: Inputs):
 def _alert_history(t: Inputs):
     """D4."""
     return alarms.alert_history(t.gold_eq)
+
+
+# --- the same operators on a busy half hour ---------------------------------------------------
+
+#: Queries whose limits, filters or branches the plain table leaves untouched.
+BUSY = ("silver_events", "recent_events", "event_history", "event_feed", "event_dedup", "event_rate", "latest_equipment_metrics", "equipment_status",
+        "equipment_grid", "dashboard_kpis", "alerts_latest", "alert_history", "graph_edges", "graph_dangling_edges", "alarm_impact")
+
+
+def _register_busy(name: str) -> None:
+    def run(spark: SparkSession, sf_dir: str) -> DataFrame:
+        return present(_REGISTRY[name].__wrapped__(BusyInputs(spark, sf_dir)))
+    run.__doc__ = f"{_REGISTRY[name].__doc__.splitlines()[0]} (busy half hour)"
+    register(f"busy_{name}")(run)
+
+
+for _name in BUSY:
+    _register_busy(_name)
+
+
+@_reg("sustainability_recent")
+def _sustainability_recent(t: Inputs):
+    """T10 + P13: the last ten days, which leaves rows out."""
+    return serving.sustainability(t.gold_sus, as_of=t.as_of, hours=240)
+
+
+@register("busy_flow_gauge")
+def _flow_gauge(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """K15 with a gauge of 120 l/min, which many machines exceed."""
+    return present(serving.equipment_grid(BusyInputs(spark, sf_dir).gold_eq, full_scale=120.0))

@@ -14,7 +14,7 @@ from ..functions import latest_ts
 from ..operators.gold import batch_yield, equipment_metrics, sustainability_hourly
 from ..operators.layers import to_bronze, to_silver
 from ..operators.serving import plant_summary
-from ..sources.adapter import load_events, load_registry, read_table
+from ..sources.adapter import busy_events, load_events, load_registry, read_table, sensor_events
 
 
 class Inputs:
@@ -61,3 +61,11 @@ class Inputs:
     def as_of(self) -> Column:
         """``as_of = MAX(event_ts)`` as a scalar subquery (reproducible "now")."""
         return latest_ts(self.silver)
+
+
+class BusyInputs(Inputs):
+    """The same tables as a busy half hour (``busy_events``)."""
+
+    @cached_property
+    def raw(self) -> DataFrame:
+        return sensor_events(busy_events(self.table("events")))

@@ -21,6 +21,7 @@ LINE_BY_MOD3 = ("LINE-A", "LINE-B", "LINE-C")
 ALARM_CODE_BY_TYPE = (("spray_dryer", "MOISTURE_OUT_OF_SPEC"), ("mixer", "VISCOSITY_OUT_OF_RANGE"),
                       ("cip_unit", "WATER_OVERCONSUMPTION"))
 BATCH_COUNT = 15
+REPEAT_OFFSET = 1_500_000_000  # a multiple of BATCH_COUNT: a repeat names the same batch
 
 
 def _pick(index: Column, values) -> Column:
@@ -98,6 +99,18 @@ def sensor_events(events: DataFrame) -> DataFrame:
     return typed.select(*out)
 
 
+def busy_events(events: DataFrame, speed: int = 1440) -> DataFrame:
+    """Driver ``events`` as a busy half hour: a day's events within a minute, every tenth event sent twice (under another
+    number), one in 97 without a time.  All rows stay; limits, recency filters, repeats and the null guard then
+    bind."""
+    first = events.select(F.min(F.unix_micros(F.col("ts").cast("timestamp")))).scalar()
+    timed = events.select("*", (F.unix_micros(F.col("ts").cast("timestamp")) - first).alias("_after"), first.alias("_first"))
+    squeezed = timed.withColumn("ts", F.expr(f"CASE WHEN event_id % 97 <> 5 THEN CAST(timestamp_micros(_first + _after div {speed}) AS TIMESTAMP_NTZ) END"))
+    squeezed = squeezed.select(*events.columns)
+    again = squeezed.where("event_id % 10 = 3").withColumn("event_id", F.col("event_id") + REPEAT_OFFSET)
+    return squeezed.unionByName(again)
+
+
 def equipment_registry(supplier: DataFrame) -> DataFrame:
     """Driver ``supplier`` -> equipment registry (same modulo rules as the events)."""
     sk = F.col("s_suppkey")

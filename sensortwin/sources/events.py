@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 from pyspark.errors import AnalysisException
@@ -74,6 +74,12 @@ def split_corrupt(df: DataFrame) -> tuple[DataFrame, DataFrame]:
     return good, bad
 
 
+def quarantine_reason(corrupt: str = CORRUPT_COLUMN) -> Column:
+    """Why :func:`split_corrupt` set a row aside."""
+    return (F.when(F.col(corrupt).isNotNull() & F.col("event_id").isNull(), F.lit("malformed"))
+            .when(F.col("event_id").isNull(), F.lit("no event id")).otherwise(F.lit("unusable event time")))
+
+
 def to_landing_json(df: DataFrame) -> DataFrame:
     """Raw events in the landing-file form: ``event_ts`` as ISO-8601 text with offset."""
     ts = df.schema["event_ts"].dataType

@@ -2,14 +2,11 @@
 
 * bronze / quarantine / silver are append-only file sinks with their own checkpoints
   (exactly-once through the sink's commit log);
-* gold is kept exact and late-safe without streaming state: each silver micro-batch
-  names the date partitions (and batch buckets) it touched, those are re-aggregated
-  from silver -- reading only the touched ``event_date`` partitions -- and written with
-  dynamic partition overwrite.  A re-run of a micro-batch rewrites the same partitions,
-  so the refresh is idempotent after executor or driver loss.
-* batch yield is refreshed through mergeable per-(batch, plant, date) partials, stored by batch
-  bucket and date: a micro-batch re-reads the touched days of silver and, of the partials, the
-  buckets of the touched batches.
+* gold is kept exact and late-safe without streaming state: a silver micro-batch adds the
+  partial states of its own rows to a table of deltas (``deltas.py``), which are merged when
+  gold is read and compacted by powers of their number.  A micro-batch reads neither silver
+  nor gold, late rows merge like all others, and one that runs again after a loss writes the
+  same deltas again.
 """
 
 from __future__ import annotations
@@ -24,13 +21,13 @@ from pyspark.sql import types as T
 from pyspark.errors import AnalysisException
 from pyspark.sql.streaming import StreamingQuery
 
-from ..operators.gold import batch_partials, batch_yield_from_partials, equipment_metrics, sustainability_hourly
+from ..operators import partials as P
+from ..operators.gold import batch_partials, batch_yield_from_partials
 from ..operators.layers import to_bronze, to_silver
 from ..session import scratch_path
 from ..schemas import EVENT_SCHEMA
 from ..sources.events import read_events_stream, split_corrupt, with_ingest_metadata
-
-BATCH_BUCKETS = 16
+from .deltas import DeltaTable
 
 BRONZE_SCHEMA = T.StructType(
     [T.StructField(f.name, T.TimestampType() if f.name == "event_ts" else f.dataType) for f in EVENT_SCHEMA.fields]
@@ -65,15 +62,6 @@ class TwinPaths:
     def quarantine(self): return self.path("quarantine")
     @property
     def silver(self): return self.path("silver")
-    @property
-    def gold_eq(self): return self.path("gold_equipment_metrics")
-    @property
-    def gold_sus(self): return self.path("gold_sustainability_hourly")
-    @property
-    def gold_batch(self): return self.path("gold_batch_yield")
-    @property
-    def partials(self): return self.path("gold_batch_partials")
-
     def ckpt(self, name: str) -> str:
         return self.path(f"_checkpoints/{name}")
 
@@ -160,29 +148,11 @@ def read_silver(spark: SparkSession, paths: TwinPaths) -> DataFrame:
     return read_or_empty(spark, paths.silver, silver_schema(spark))
 
 
-@lru_cache(maxsize=8)
-def gold_schemas(spark: SparkSession) -> dict[str, T.StructType]:
-    """Stored gold schemas (partition column last), derived from the gold functions."""
-    empty = spark.createDataFrame([], silver_schema(spark))
-
-    def last(df: DataFrame, col: str) -> T.StructType:
-        return df.select(*[c for c in df.columns if c != col], col).schema
-
-    gb = batch_yield_from_partials(batch_partials(empty)).withColumn("batch_bucket", F.lit(0))
-    return {"equipment_metrics": last(equipment_metrics(empty), "event_date"),
-            "sustainability_hourly": last(sustainability_hourly(empty), "event_date"),
-            "batch_yield": gb.schema}
-
-
 # ---------------------------------------------------------------------------
 # incremental gold
 # ---------------------------------------------------------------------------
 
 
-def _bucket(col: str = "batch_id", buckets: int = BATCH_BUCKETS):
-    return F.pmod(F.xxhash64(F.col(col)), F.lit(buckets)).cast("int")
-
-
 def _overwrite(df: DataFrame, path: str, *partition: str) -> None:
     """Dynamic partition overwrite.  Rows of a partition value are brought together, but by a
     rebalance: adaptive execution splits large values over several writers."""
@@ -192,57 +162,54 @@ def _overwrite(df: DataFrame, path: str, *partition: str) -> None:
 
 GOLD_TABLES = ("equipment_metrics", "sustainability_hourly", "batch_yield")
 
+# what a slice of silver adds to the delta tables behind each gold table, how deltas merge, and what they are clustered by
+_DELTAS = {
+    "equipment_metrics": {"equipment": (P.equipment_partials, P.merge_equipment_partials, ("event_date", "window_5min"))},
+    "sustainability_hourly": {"sustainability": (P.sustainability_partials, P.merge_sustainability_partials, ("event_date", "hour_bucket")),
+                              "members": (P.sustainability_members, P.merge_members, ("event_date", "hour_bucket"))},
+    "batch_yield": {"batch": (batch_partials, P.merge_batch_partials, ("batch_id",))},
+}
 
-def refresh_gold(spark: SparkSession, paths: TwinPaths, dates, buckets, computed_at=None,
-                 tables=GOLD_TABLES) -> None:
-    """Recompute gold for the touched ``dates`` / batch ``buckets`` and overwrite them.
 
-    Only the touched date partitions of silver are read (static partition pruning on the
-    literal list); the aggregates run as concurrent jobs, each scanning just the columns it
-    uses.  Equipment and sustainability rows are keyed by date, so their date partitions are
-    replaced whole; batch yield goes through daily partials, stored by batch bucket and date, of
-    which only the touched buckets are read and merged.  Every write is a dynamic partition
-    overwrite, so re-running the refresh (after any failure) converges to the same tables.
-    """
-    dates = sorted(dates)
-    if not dates:
-        return
-    silver = read_silver(spark, paths).filter(F.col("event_date").isin(dates))
-    _refresh_dates(spark, paths, silver, computed_at, tables)
-    if "batch_yield" in tables and buckets:
-        p = spark.read.parquet(paths.partials).filter(F.col("batch_bucket").isin(list(buckets)))
-        gb = batch_yield_from_partials(p, computed_at=computed_at).withColumn("batch_bucket", _bucket())
-        _overwrite(gb, paths.gold_batch, "batch_bucket")
-
-
-def _refresh_dates(spark: SparkSession, paths: TwinPaths, silver: DataFrame, computed_at,
-                   tables=GOLD_TABLES) -> None:
-    def last(df: DataFrame, col: str) -> DataFrame:
-        return df.select(*[c for c in df.columns if c != col], col)
-
-    jobs = {
-        "equipment_metrics": lambda: _overwrite(last(equipment_metrics(silver, computed_at=computed_at),
-                                                     "event_date"), paths.gold_eq, "event_date"),
-        "sustainability_hourly": lambda: _overwrite(last(sustainability_hourly(silver, computed_at=computed_at),
-                                                         "event_date"), paths.gold_sus, "event_date"),
-        "batch_yield": lambda: _overwrite(last(batch_partials(silver), "event_date").withColumn("batch_bucket", _bucket()),
-                                          paths.partials, "batch_bucket", "event_date"),
-    }
-    # independent jobs over the same date slice: submit them concurrently, carrying the
-    # caller's job group / description so that stopping the stream cancels them too
+@lru_cache(maxsize=8)
+def _delta_schemas(spark: SparkSession) -> dict[str, T.StructType]:
+    empty = spark.createDataFrame([], silver_schema(spark))
+    return {name: partial(empty).schema for tables in _DELTAS.values() for name, (partial, _, _) in tables.items()}
+
+
+def delta_table(spark: SparkSession, paths: TwinPaths, name: str) -> DeltaTable:
+    """One of the delta tables behind gold: equipment, sustainability, members or batch."""
+    merge, cluster = next(tables[name][1:] for tables in _DELTAS.values() if name in tables)
+    return DeltaTable(spark, paths.path(f"gold_deltas/{name}"), _delta_schemas(spark)[name], merge, cluster)
+
+
+def gold_foreach_batch(paths: TwinPaths, computed_at=None, tables=GOLD_TABLES):
+    """S10 + X5: the ``foreachBatch`` function.  No watermark: late rows are always counted."""
+    def run(batch_df: DataFrame, epoch_id: int) -> None:
+        spark = batch_df.sparkSession
+
+        def append(name, partial):
+            stamped = {"computed_at": computed_at} if partial in (P.equipment_partials, P.sustainability_partials) else {}
+            delta_table(spark, paths, name).append(partial(batch_df, **stamped), epoch_id)
+
+        _together(spark, [lambda n=name, p=partial: append(n, p) for t in tables for name, (partial, _, _) in _DELTAS[t].items()])
+    return run
+
+
+def _together(spark: SparkSession, jobs) -> None:
+    """Independent jobs over the same slice, submitted concurrently (each scans just its columns) with the
+    caller's job group and description, so that stopping the stream cancels them too."""
     sc = spark.sparkContext
     props = {k: sc.getLocalProperty(k) for k in _INHERITED_PROPERTIES}
 
-    def with_props(fn):
-        def run():
-            for k, v in props.items():
-                if v is not None:
-                    sc.setLocalProperty(k, v)
-            fn()
-        return run
+    def run(job):
+        for k, v in props.items():
+            if v is not None:
+                sc.setLocalProperty(k, v)
+        job()
 
-    with ThreadPoolExecutor(max_workers=3) as pool:
-        for f in [pool.submit(with_props(jobs[t])) for t in tables]:
+    with ThreadPoolExecutor(max_workers=4) as pool:
+        for f in [pool.submit(run, job) for job in jobs]:
             f.result()
 
 
@@ -250,20 +217,6 @@ _INHERITED_PROPERTIES = ("spark.jobGroup.id", "spark.job.description", "spark.jo
                          "spark.scheduler.pool", "sql.streaming.queryId", "streaming.sql.batchId")
 
 
-def gold_foreach_batch(paths: TwinPaths, computed_at=None, tables=GOLD_TABLES):
-    """The ``foreachBatch`` function. No watermark: late rows are always counted."""
-    def run(batch_df: DataFrame, epoch_id: int) -> None:
-        spark = batch_df.sparkSession
-        # dates from the event time itself (event_date is to_date(event_ts) by definition)
-        keys = (batch_df.select(F.to_date("event_ts").alias("event_date"),
-                                F.when(F.col("batch_id").isNotNull(), _bucket()).alias("b"))
-                .distinct().collect())  # bounded: days x buckets touched by one micro-batch
-        dates = sorted({r["event_date"] for r in keys if r["event_date"] is not None})
-        buckets = sorted({r["b"] for r in keys if r["b"] is not None})
-        refresh_gold(spark, paths, dates, buckets, computed_at, tables)
-    return run
-
-
 def start_gold(spark: SparkSession, paths: TwinPaths, trigger=None, computed_at=None,
                tables=GOLD_TABLES, max_files: int | None = None) -> StreamingQuery:
     src = _file_stream(spark, silver_schema(spark), max_files).parquet(paths.silver)
@@ -273,18 +226,19 @@ def start_gold(spark: SparkSession, paths: TwinPaths, trigger=None, computed_at=
 
 
 def read_gold(spark: SparkSession, paths: TwinPaths, table: str | None = None):
-    """The stored gold tables (all as a dict, or one by name); empty until data arrives."""
-    schemas = gold_schemas(spark)
-    locations = {"equipment_metrics": paths.gold_eq, "sustainability_hourly": paths.gold_sus,
-                 "batch_yield": paths.gold_batch}
-
-    def read(name: str) -> DataFrame:
-        df = read_or_empty(spark, locations[name], schemas[name])
-        return df.drop("batch_bucket") if name == "batch_yield" else df
-
+    """The gold tables, merged from their deltas (all as a dict, or one by name); empty until data
+    arrives.  Filters on windows, hours and dates reach the scan of the deltas."""
+    def held(name: str) -> DataFrame:
+        return delta_table(spark, paths, name).read()
+
+    frames = {
+        "equipment_metrics": lambda: P.equipment_from_partials(held("equipment"), computed_at=True),
+        "sustainability_hourly": lambda: P.sustainability_from_partials(held("sustainability"), held("members"), computed_at=True),
+        "batch_yield": lambda: batch_yield_from_partials(held("batch")),
+    }
     if table is not None:
-        return read(table)
-    return {k: read(k) for k in locations}
+        return frames[table]()
+    return {name: frame() for name, frame in frames.items()}
 
 
 def run_available(spark: SparkSession, paths: TwinPaths, quarantine: bool = True, gold: bool = True,

@@ -1,0 +1,88 @@
+"""Named tables join without an exchange; parameterised SQL equals the DataFrame form for any id."""
+
+from __future__ import annotations
+
+import datetime as dt
+import uuid
+
+from pyspark.sql import functions as F
+
+from sensortwin.operators import serving, sql_lookups, whatif
+from sensortwin.plans.inputs import BusyInputs, Inputs
+from sensortwin.session import scratch_path
+from sensortwin.sources.catalog import TwinCatalog
+from twin_rows import SF_SMALL, make_raw, ts
+
+
+def _catalog(spark):
+    return TwinCatalog(spark, f"test_{uuid.uuid4().hex[:8]}", scratch_path(spark, "catalog"), buckets=4).create()
+
+
+def _plan(df):
+    return df._jdf.queryExecution().executedPlan().toString()
+
+
+def _unbucketed(df):
+    return df._jdf.queryExecution().executedPlan().toString().count("hashpartitioning")
+
+
+def test_machine_and_batch_joins_read_buckets_as_they_lie(spark):
+    t = Inputs(spark, SF_SMALL)
+    catalog = _catalog(spark)
+    catalog.publish(t.silver, t.gold_eq, t.gold_batch, t.gold_sus, t.registry)
+    eq, registry, batches = (catalog.table(n) for n in ("equipment_metrics", "equipment", "batch_yield"))
+    j1 = registry.join(serving.latest_window(eq, partitioned=True), "equipment_id", "left")
+    assert "SortMergeJoin" in _plan(j1) and _unbucketed(j1) == 0
+    assert "Bucketed: true" in _plan(j1)
+    requests = catalog.save(whatif.preset_requests(serving.simulatable_batches(t.gold_batch)), "scenarios", "batch_id")
+    j3 = requests.join(batches, "batch_id")
+    assert "SortMergeJoin" in _plan(j3) and _unbucketed(j3) == 0
+    assert _unbucketed(t.registry.join(t.gold_eq, "equipment_id", "left")) > 0  # the same join of computed frames does shuffle
+    assert [tuple(r) for r in serving.equipment_status(registry, eq, partitioned=True).collect()] == \
+        [tuple(r) for r in serving.equipment_status(t.registry, t.gold_eq).collect()]
+    assert catalog.table("silver_events").count() == t.silver.count()
+    catalog.drop()
+    assert catalog.database not in [d.name for d in spark.catalog.listDatabases()]
+
+
+def test_a_saved_table_replaces_the_old_one(spark):
+    catalog = _catalog(spark)
+    catalog.save(spark.range(5), "t", "id")
+    assert catalog.save(spark.range(3), "t", "id").count() == 3
+
+
+def test_parameters_are_values_whatever_they_hold(spark):
+    odd = ["EQ-1", "EQ'1", 'EQ"1', "x'; DROP TABLE t; --", "a\\'b", ":since", "{gold}", "", "Ä;"]
+    rows = [{"event_id": f"e{i}", "equipment_id": v, "batch_id": v, "event_ts": ts("2024-01-01T10:00:00").replace(minute=i), "temperature_c": float(i)}
+            for i, v in enumerate(odd)]
+    from sensortwin.operators.gold import batch_yield, equipment_metrics
+    from sensortwin.operators.layers import to_bronze, to_silver
+    silver = to_silver(to_bronze(make_raw(spark, rows)))
+    gold, as_of = equipment_metrics(silver, computed_at=False), dt.datetime(2024, 1, 1, 10, 30, tzinfo=dt.timezone.utc)
+    for v in odd:
+        got = sql_lookups.machine_history(spark, gold, v, as_of, hours=2).collect()
+        want = serving.equipment_history(gold, v, hours=2, as_of=as_of).collect()
+        assert got == want and len(got) == 1
+        newest = sql_lookups.newest_of_batch(spark, silver, v, as_of).collect()
+        assert [r.batch_id for r in newest] == [v]
+        assert [r.batch_id for r in sql_lookups.batch_baseline(spark, batch_yield(silver, computed_at=False), v).collect()] == [v]
+    assert sql_lookups.machine_history(spark, gold, "x' OR '1'='1", as_of).count() == 0
+
+
+def test_parameters_reach_the_scan(spark):
+    t = Inputs(spark, SF_SMALL)
+    catalog = _catalog(spark)
+    eq = catalog.save(t.gold_eq, "equipment_metrics", "equipment_id", ("window_5min",), ("event_date",))
+    found = sql_lookups.machine_history(spark, eq, "EQ-1", dt.datetime(2024, 1, 20), hours=24)
+    plan = spark._jvm.PythonSQLUtils.explainString(found._jdf.queryExecution(), "formatted")
+    assert "EqualTo(equipment_id,EQ-1)" in plan and "SelectedBucketsCount: 1 out of 4" in plan
+    assert "event_date" in next(line for line in plan.splitlines() if line.startswith("PartitionFilters"))
+
+
+def test_busy_events_keep_all_rows_and_repeat_some(spark):
+    t, busy = Inputs(spark, SF_SMALL), BusyInputs(spark, SF_SMALL)
+    n = t.raw.count()
+    assert busy.raw.count() == n + t.raw.where("cast(event_id as long) % 10 = 3").count()
+    assert busy.raw.where("event_ts IS NULL").count() > 0
+    span = busy.raw.agg((F.max("event_ts").cast("timestamp").cast("long") - F.min("event_ts").cast("timestamp").cast("long")).alias("s")).first().s
+    assert span <= 30 * 60

@@ -77,8 +77,9 @@ def test_stream_equals_batch_with_late_instalments(spark):
     # a full refresh (X9) over the same landing files gives the same gold
     fresh = rebuild_all(spark, paths, "test-rebuild", max_files=2)  # in bounded, restartable steps
     again = read_gold(spark, fresh)
-    assert again["equipment_metrics"].count() == gold["equipment_metrics"].count()
-    assert again["batch_yield"].count() == gold["batch_yield"].count()
+    _same(_rows(again["equipment_metrics"], eq_keys), _rows(gold["equipment_metrics"], eq_keys))
+    _same(_rows(again["batch_yield"], b_keys), _rows(gold["batch_yield"], b_keys))
+    _same(_rows(again["sustainability_hourly"], sus_keys), _rows(gold["sustainability_hourly"], sus_keys))
 
 
 def test_malformed_lines_are_quarantined_not_fatal(spark):
@@ -114,8 +115,8 @@ def test_malformed_lines_are_quarantined_not_fatal(spark):
 
 
 def test_gold_recovers_from_a_failed_micro_batch(spark):
-    """A micro-batch that dies after writing part of gold is re-run on restart from the
-    checkpoint; the dynamic-overwrite refresh is idempotent, so gold ends up exact."""
+    """A micro-batch that dies after writing part of gold is re-run on restart from the checkpoint; it writes
+    the same deltas again, so gold ends up exact."""
     from sensortwin.streaming import pipeline as P
 
     t = Inputs(spark, SF_SMALL)
@@ -124,9 +125,7 @@ def test_gold_recovers_from_a_failed_micro_batch(spark):
     run_available(spark, paths, gold=False)
 
     def failing(batch_df, epoch_id):
-        dates = sorted(r[0] for r in batch_df.select("event_date").distinct().collect())
-        P.refresh_gold(batch_df.sparkSession, paths, dates[: len(dates) // 2], [],
-                       tables=("equipment_metrics",))
+        P.gold_foreach_batch(paths, tables=("equipment_metrics",))(batch_df, epoch_id)
         raise RuntimeError("executor lost mid-batch")
 
     src = spark.readStream.schema(P.silver_schema(spark)).parquet(paths.silver)
@@ -235,26 +234,3 @@ def test_event_time_offsets_are_normalised_to_utc(spark):
     assert (str(s["a"]["event_date"]), s["a"]["event_hour"]) == ("2026-02-28", 23)
     assert (str(s["b"]["event_date"]), s["b"]["event_hour"]) == ("2026-03-01", 6)
     assert (str(s["c"]["event_date"]), s["c"]["event_hour"]) == ("2026-03-01", 1)
-
-
-def test_refresh_in_bounded_date_passes_equals_batch(spark):
-    """A rebuild over all history, processed seven dates per pass, gives the batch results."""
-    from sensortwin.streaming.pipeline import _bucket, refresh_gold
-
-    t = Inputs(spark, SF_SMALL)
-    paths = new_paths(spark, "test-passes")
-    replay_to_landing(t.raw, paths.landing, files=2)
-    run_available(spark, paths, gold=False)
-    silver = read_silver(spark, paths)
-    dates = [r[0] for r in silver.select("event_date").distinct().collect()]
-    buckets = [r[0] for r in silver.filter("batch_id IS NOT NULL").select(_bucket()).distinct().collect()]
-    assert len(dates) > 7
-    refresh_gold(spark, paths, dates, buckets, computed_at=False, max_dates=7)
-    gold = read_gold(spark, paths)
-    eq_keys = ("equipment_id", "equipment_name", "equipment_type", "line_id", "plant_id", "window_5min")
-    _same(_rows(gold["equipment_metrics"].withColumn("window_5min", F.col("window_5min").cast("timestamp_ntz")),
-                eq_keys), _rows(equipment_metrics(t.silver, computed_at=False), eq_keys))
-    b_keys = ("batch_id", "plant_id")
-    _same(_rows(gold["batch_yield"].withColumn("batch_first_seen", F.col("batch_first_seen").cast("timestamp_ntz"))
-                .withColumn("batch_last_seen", F.col("batch_last_seen").cast("timestamp_ntz")), b_keys),
-          _rows(batch_yield(t.silver, computed_at=False), b_keys))
