@@ -46,8 +46,10 @@ def ship(spark: SparkSession) -> None:
     sc._sensortwin_shipped = True
 
 
-def map_rows(df: DataFrame, fn: Callable[[pa.RecordBatch], dict], schema: str) -> DataFrame:
-    """``mapInArrow`` over batches: ``fn`` gets one batch and returns ``{column: values}``."""
+def map_rows(df: DataFrame, fn: Callable[[pa.RecordBatch], dict], schema: str, slice_bytes: int | None = None,
+             done: Callable[[], None] | None = None) -> DataFrame:
+    """``mapInArrow`` over batches: ``fn`` gets one batch of about ``slice_bytes`` and returns ``{column: values}``;
+    ``done`` is called at the end of each task (to empty what the worker has remembered)."""
     ship(df.sparkSession)
     struct = T._parse_datatype_string(schema)
     names = [f.name for f in struct.fields]
@@ -56,12 +58,16 @@ def map_rows(df: DataFrame, fn: Callable[[pa.RecordBatch], dict], schema: str) -
     arrow = to_arrow_schema(struct)
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for batch in batches:
-            for part in slices(batch):
-                out = fn(part)
-                if out is not None:
-                    yield pa.RecordBatch.from_arrays(
-                        [pa.array(out[n], type=arrow.field(n).type) for n in names], schema=arrow)
+        try:
+            for batch in batches:
+                for part in slices(batch, slice_bytes or SLICE_BYTES):
+                    out = fn(part)
+                    if out is not None:
+                        yield pa.RecordBatch.from_arrays([out[n].cast(arrow.field(n).type) if isinstance(out[n], pa.Array)
+                                                          else pa.array(out[n], type=arrow.field(n).type) for n in names], schema=arrow)
+        finally:
+            if done:
+                done()
 
     return df.mapInArrow(run, struct)
 
@@ -70,11 +76,11 @@ def map_rows(df: DataFrame, fn: Callable[[pa.RecordBatch], dict], schema: str) -
 SLICE_BYTES = 16 << 20
 
 
-def slices(batch: pa.RecordBatch) -> Iterator[pa.RecordBatch]:
-    """Cut a batch into parts of about ``SLICE_BYTES`` (one row at least): bounded task memory."""
+def slices(batch: pa.RecordBatch, size: int | None = None) -> Iterator[pa.RecordBatch]:
+    """Cut a batch into parts of about ``size`` bytes (one row at least): bounded task memory."""
     if not batch.num_rows:
         return
-    step = max(1, int(batch.num_rows * SLICE_BYTES / max(batch.nbytes, 1)))
+    step = max(1, int(batch.num_rows * (size or SLICE_BYTES) / max(batch.nbytes, 1)))
     for at in range(0, batch.num_rows, step):
         yield batch.slice(at, step)
 

@@ -24,11 +24,15 @@ smallest id only (a star).  Then
      are never compared with each other again.
 This finds the exact components; no cap, sample or prefix is involved.
 
+A set is a node of the graph, named by a 64-bit hash of its shingles that is proven to name one set only
+(else all are named with another seed).  Ids come in at the end, as the smallest id of a component, so
+rows that share an id, or have none, each link by their own text.
+
 Nulls and edge cases: null or empty texts and texts without words have an empty set, link with
 nothing and are their own component.  Fewer words than a shingle: the whole sequence is one
-shingle.  Equal sets are one node, named by its smallest id; every input row (repeated rows too)
-gives an output row; rows without an id belong to the node of an equal set that has one and link
-through it, else their component is null.  Only the id and the text are read.
+shingle.  Every input row (repeated rows too) gives an output row; where rows of different sets share an
+id, each has the component of its own set.  A component of rows without any id is null.  Very long texts are
+one set like all others.  Only the id and the text are read.
 """
 
 from __future__ import annotations
@@ -54,6 +58,10 @@ SKETCHES = 4
 #: Sets of a group, and their shingles, that one task compares with as many others.
 CHUNK = 1024
 CHUNK_SHINGLES = 1_000_000
+#: Ids (8 bytes each) up to which the documents whose sets are compared are picked by a broadcast.
+BROADCAST_IDS = 2_000_000
+#: Parts over which the rows of one set are spread when they learn their component.
+SALT = 8
 _U = np.uint64
 _M1, _M2, _M3 = _U(0x9E3779B97F4A7C15), _U(0xBF58476D1CE4E5B9), _U(0x94D049BB133111EB)
 
@@ -83,9 +91,12 @@ def shingles(text: str | None, n: int) -> np.ndarray:
     return np.unique(acc)
 
 
-def set_key(s: np.ndarray) -> bytes | None:
-    """128-bit digest of a set; none for an empty one."""
-    return hashlib.blake2b(s.tobytes(), digest_size=16).digest() if len(s) else None
+def set_name(s: np.ndarray, seed: int = 0) -> tuple[int, int] | tuple[None, None]:
+    """The node of a set and a second hash that tells two sets of one node apart; none for an empty one."""
+    if not len(s):
+        return None, None
+    raw = hashlib.blake2b(s.tobytes(), digest_size=16, salt=seed.to_bytes(8, "little")).digest()
+    return int.from_bytes(raw[:8], "little", signed=True), int.from_bytes(raw[8:], "little", signed=True)
 
 
 class Bands:
@@ -154,62 +165,78 @@ class Bands:
         return both * self.t.denominator >= self.t.numerator * (a + b - both)
 
 
-def _describe(docs: DataFrame, n: int) -> DataFrame:
-    """(id, n_shingles, set_key) of every row."""
-
-    def run(batch):
-        sets = [shingles(t, n) for t in batch.column("text").to_pylist()]
-        return {"id": batch.column("id"), "n_shingles": [len(s) for s in sets],
-                "set_key": [set_key(s) for s in sets]}
+def _describe(docs: DataFrame, n: int) -> tuple[DataFrame, int]:
+    """(id, n_shingles, node, mark) of every row, with its other columns but the text, and the seed of the names."""
+    seed = 0
+    rest = [c for c in docs.columns if c not in ("id", "text")]
+    while True:
+        def run(batch, seed=seed):
+            sets = [shingles(t, n) for t in batch.column("text").to_pylist()]
+            node, mark = zip(*[set_name(s, seed) for s in sets], strict=True)
+            return {"id": batch.column("id"), "n_shingles": [len(s) for s in sets], "node": node, "mark": mark, **{c: batch.column(c) for c in rest}}
 
-    return map_rows(docs, run, "id long, n_shingles long, set_key binary")
+        rows = stored(map_rows(docs, run, "id long, n_shingles long, node long, mark long" + "".join(f", {c} long" for c in rest)), "ngram-rows")
+        two = rows.where("node is not null").groupBy("node").agg(F.min("mark").alias("a"), F.max("mark").alias("z")).where("a != z")
+        if two.isEmpty():
+            return rows, seed
+        seed += 1
 
 
-def _star_rows(docs: DataFrame, n: int, bands: Bands) -> DataFrame:
-    """(key, id, tied): ids under their sketch keys; ids tied to a smaller one already in their map
+def _star_rows(docs: DataFrame, n: int, bands: Bands, seed: int) -> DataFrame:
+    """(key, node, tied): nodes under their sketch keys; nodes tied to a smaller one already in their map
     batch come under a key of their own with ``tied`` set."""
-    schema = pa.schema([("key", pa.int64()), ("id", pa.int64()), ("tied", pa.int64())])
+    schema = pa.schema([("key", pa.int64()), ("node", pa.int64()), ("tied", pa.int64())])
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
             for part in slices(batch):
-                seen: set[bytes] = set()
-                keys, ids = [], []
-                for i, t in zip(part.column("id").to_pylist(), part.column("text").to_pylist(), strict=True):
+                seen: set[int] = set()
+                keys, nodes = [], []
+                for t in part.column("text").to_pylist():
                     s = shingles(t, n)
-                    raw = set_key(s)
-                    if i is None or raw is None or raw in seen:
+                    i, _ = set_name(s, seed)
+                    if i is None or i in seen:
                         continue  # an equal set of this batch has the keys already
-                    seen.add(raw)
+                    seen.add(i)
                     k = bands.keys(s)
                     keys.append(k)
-                    ids.append(np.full(len(k), i, np.int64))
+                    nodes.append(np.full(len(k), i, np.int64))
                 if not any(map(len, keys)):
                     continue
-                key, idn = np.concatenate(keys).view(np.int64), np.concatenate(ids)
-                order = np.lexsort((idn, key))
-                key, idn = key[order], idn[order]
+                key, node = np.concatenate(keys).view(np.int64), np.concatenate(nodes)
+                order = np.lexsort((node, key))
+                key, node = key[order], node[order]
                 first = np.r_[True, key[1:] != key[:-1]]
-                lead = idn[np.maximum.accumulate(np.where(first, np.arange(len(key)), 0))]
-                tied = ~first & (lead != idn)
+                lead = node[np.maximum.accumulate(np.where(first, np.arange(len(key)), 0))]
+                tied = ~first & (lead != node)
                 # all pairs of one batch that many keys repeat are one row
-                pairs = np.unique(np.stack([idn[tied], lead[tied]], 1), axis=0) if tied.any() else np.empty((0, 2), np.int64)
+                pairs = np.unique(np.stack([node[tied], lead[tied]], 1), axis=0) if tied.any() else np.empty((0, 2), np.int64)
                 own = mix((pairs[:, 0].view(np.uint64) * _M2 + pairs[:, 1].view(np.uint64)) * _M1).view(np.int64)
                 yield pa.RecordBatch.from_arrays(
-                    [pa.array(np.r_[key[first], own]), pa.array(np.r_[idn[first], pairs[:, 0]]),
+                    [pa.array(np.r_[key[first], own]), pa.array(np.r_[node[first], pairs[:, 0]]),
                      pa.array(np.r_[np.zeros(first.sum(), np.int64), pairs[:, 1]], mask=np.r_[np.ones(first.sum(), bool), np.zeros(len(pairs), bool)])],
                     schema=schema)
 
-    return docs.mapInArrow(run, "key long, id long, tied long")
+    return docs.select("text").mapInArrow(run, "key long, node long, tied long")
 
 
-def _sets(docs: DataFrame, ids: DataFrame, n: int) -> DataFrame:
-    """(id, set): the sets of the documents whose ids are asked for."""
+def _sets(docs: DataFrame, names: DataFrame, wanted: DataFrame, n: int, seed: int) -> DataFrame:
+    """(node, set) of the wanted nodes, written once.  The documents are picked by the id that names each node; those
+    without an id are all looked at."""
 
     def run(batch):
-        return {"id": batch.column("id"), "set": [shingles(t, n).view(np.int64) for t in batch.column("text").to_pylist()]}
+        out: dict[int, np.ndarray] = {}
+        for t in batch.column("text").to_pylist():
+            s = shingles(t, n)
+            if len(s):
+                out.setdefault(set_name(s, seed)[0], s.view(np.int64))
+        return {"node": list(out), "set": list(out.values())} if out else None
 
-    return map_rows(docs.join(ids, "id", "left_semi"), run, "id long, set array<long>")
+    ids = stored(names.join(wanted, "node").where("id is not null").select("id").distinct(), "ngram-wanted")
+    if ids.count() <= BROADCAST_IDS:
+        ids = F.broadcast(ids)
+    picked = docs.join(ids, "id", "left_semi").select("text").union(docs.where("id is null").select("text"))
+    return stored(map_rows(picked, run, "node long, set array<long>").dropDuplicates(["node"]), "ngram-sets")
 
 
 def _compare(bands: Bands):
@@ -219,7 +246,7 @@ def _compare(bands: Bands):
     c, t = float(bands.c), float(bands.t)
 
     def run(table: pa.Table) -> pa.Table:
-        side, ids = table.column("side").to_numpy(), table.column("id").to_numpy()
+        side = table.column("side").to_numpy()
         label = table.column("label").to_pylist()
         sets = [np.asarray(x, np.int64) for x in table.column("set").to_pylist()]
         size = np.array([len(s) for s in sets])
@@ -268,29 +295,32 @@ def join(docs: DataFrame, n: int = 5, similarity: float | Fraction = Fraction(8,
     ship(docs.sparkSession)
     bands = Bands(Fraction(similarity).limit_denominator(1000))
     docs = docs.select(F.col(id_col).cast("long").alias("id"), F.col(text_col).alias("text"))
-    rows = stored(_describe(docs, n), "ngram-rows")
-    node = rows.where("set_key is not null").groupBy("set_key").agg(F.min("id").alias("node"), F.count("*").alias("copies"))
-    # equal sets under other ids: few against all rows, or one per copy
-    copies = stored(rows.where("id is not null").join(node.where("copies > 1 and node is not null"), "set_key").where("id != node").select(
-        F.col("id"), "node").distinct(), "ngram-copies")
+    rows, seed = _describe(docs, n)
+    of_node = _components(docs, rows, n, bands, seed)
+    spread = of_node.select("node", "component_id", F.explode(F.array(*map(F.lit, range(SALT)))).alias("salt"))
+    known = rows.where("node is not null").withColumn("salt", F.pmod(F.xxhash64("id"), F.lit(SALT)).cast("int"))
+    found = known.join(spread, ["node", "salt"]).select(F.col("id").alias(id_col), "n_shingles", "component_id")
+    return found.union(rows.where("node is null").select(F.col("id").alias(id_col), "n_shingles", F.col("id").alias("component_id")))
+
+
+def _components(docs: DataFrame, rows: DataFrame, n: int, bands: Bands, seed: int) -> DataFrame:
+    """(node, root, component_id) of every node: the component's own name and its smallest id."""
+    names = stored(rows.where("node is not null").groupBy("node").agg(F.min("id").alias("id"), F.max("n_shingles").alias("m")), "ngram-names")
 
     # star pairs of sketch keys, between nodes
-    keyed = _star_rows(docs, n, bands)
-    star = keyed.withColumn("lead", F.min(F.when(F.col("tied").isNull(), F.col("id"))).over(Window.partitionBy("key"))).select(
-        F.col("id").alias("x"), F.coalesce("tied", "lead").alias("y")).where("x != y").distinct()
-    for side in ("x", "y"):
-        star = star.join(copies.select(F.col("id").alias(side), F.col("node").alias("as")), side, "left").withColumn(
-            side, F.coalesce("as", side)).drop("as")
-    star = stored(star.where("x != y").select(F.greatest("x", "y").alias("x"), F.least("x", "y").alias("y")).distinct(), "ngram-star")
+    keyed = _star_rows(docs, n, bands, seed)
+    star = keyed.withColumn("lead", F.min(F.when(F.col("tied").isNull(), F.col("node"))).over(Window.partitionBy("key"))).select(
+        F.col("node").alias("x"), F.coalesce("tied", "lead").alias("y")).where("x != y")
+    star = stored(star.select(F.greatest("x", "y").alias("x"), F.least("x", "y").alias("y")).distinct(), "ngram-star")
 
     # 1. exact check of the star pairs; a pair of nodes costs one set on either side
-    ids = star.select(F.col("x").alias("id")).union(star.select(F.col("y").alias("id"))).distinct()
-    sets = _sets(docs, ids, n).dropDuplicates(["id"])
+    nodes = stored(star.select(F.col("x").alias("node")).union(star.select(F.col("y").alias("node"))).distinct(), "ngram-nodes")
+    sets = _sets(docs, names, nodes, n, seed)
     both = F.size(F.array_intersect("s", "r"))
     t = bands.t
     checked = stored(
-        star.join(sets.select(F.col("id").alias("x"), F.col("set").alias("s")), "x")
-        .join(sets.select(F.col("id").alias("y"), F.col("set").alias("r")), "y")
+        star.join(sets.select(F.col("node").alias("x"), F.col("set").alias("s")), "x")
+        .join(sets.select(F.col("node").alias("y"), F.col("set").alias("r")), "y")
         .select("x", "y", (both * t.denominator >= t.numerator * (F.size("s") + F.size("r") - both)).alias("linked")), "ngram-checked")
     label = stored(components(checked.where("linked"), "x", "y"), "ngram-label")
 
@@ -301,32 +331,32 @@ def join(docs: DataFrame, n: int = 5, similarity: float | Fraction = Fraction(8,
             side, F.coalesce("root", side)).drop("root")
     failed = stored(failed.where("x != y").distinct(), "ngram-failed")
     if not failed.isEmpty():
-        label = stored(_closed(docs, rows, ids, label, failed, bands, n), "ngram-closed")
-    of_key = node.join(label, "node", "left").select("set_key", F.coalesce("root", "node").alias("root"))
-    return rows.join(of_key, "set_key", "left").select(
-        F.col("id").alias(id_col), "n_shingles", F.when(F.col("set_key").isNull(), F.col("id")).otherwise(F.col("root")).alias("component_id"))
+        label = stored(_closed(sets, names.join(nodes, "node", "left_semi"), label, failed, bands), "ngram-closed")
+    rooted = names.join(label, "node", "left").select("node", "id", F.coalesce("root", "node").alias("root"))
+    least = rooted.groupBy("root").agg(F.min("id").alias("component_id"))
+    return rooted.join(least, "root").select("node", "root", "component_id")
 
 
-def _closed(docs: DataFrame, rows: DataFrame, ids: DataFrame, label: DataFrame, failed: DataFrame, bands: Bands, n: int) -> DataFrame:
+def _closed(sets: DataFrame, nodes: DataFrame, label: DataFrame, failed: DataFrame, bands: Bands) -> DataFrame:
     """Labels after the comparison inside groups of components that failed star pairs connect."""
     group = stored(components(failed, "x", "y").select(F.col("node").alias("label"), F.col("root").alias("g")), "ngram-groups")
-    member = ids.join(label, ids["id"] == label["node"], "left").select("id", F.coalesce("root", "id").alias("label")).join(group, "label")
+    labels = label.select("node", "root")
+    member = nodes.join(labels, "node", "left").select("node", "m", F.coalesce("root", "node").alias("label")).join(group, "label")
     # linked sets lie in the same size cell or in neighbouring ones (cells grow by 1/t)
-    size = rows.where("id is not null").groupBy("id").agg(F.max("n_shingles").alias("m"))
     cell = F.floor(F.log("m") / math.log(1 / bands.t) + 1e-9).cast("int")
-    member = stored(member.join(size, "id").withColumn("z", cell), "ngram-sized")
+    member = stored(member.withColumn("z", cell), "ngram-sized")
     # members of a component of a chunk or more form chunks of that component alone ("pure", never
     # compared with each other); the rest of the group shares mixed chunks
     sizes = member.groupBy("g", "label").count().where(F.col("count") >= CHUNK)
     member = member.join(sizes, ["g", "label"], "left").withColumn("pure", F.when(F.col("count").isNotNull(), F.col("label")))
     per = member.groupBy(F.col("g").alias("pg"), F.col("pure").alias("pp"), F.col("z").alias("pz")).agg(
         F.greatest(F.ceil(F.count("*") / CHUNK), F.ceil(F.sum("m") / CHUNK_SHINGLES)).cast("int").alias("chunks"))
-    spread = F.pmod(F.xxhash64("id"), F.col("chunks")).cast("int")
+    spread = F.pmod(F.xxhash64("node"), F.col("chunks")).cast("int")
     member = stored(member.join(per, (F.col("g") == F.col("pg")) & F.col("pure").eqNullSafe(F.col("pp")) & (F.col("z") == F.col("pz"))).select(
-        "g", "label", "id", "pure", "z", spread.alias("c")), "ngram-members")
+        "g", "label", "node", "pure", "z", spread.alias("c")), "ngram-members")
     chunk = member.select("g", "pure", "z", "c").distinct()
     a, b = (chunk.select("g", F.col("pure").alias(f"p{s}"), F.col("z").alias(f"z{s}"), F.col("c").alias(f"c{s}")) for s in "ab")
-    order_a, order_b = (F.struct(F.coalesce(f"p{s}", F.lit(-1)), f"z{s}", f"c{s}") for s in "ab")
+    order_a, order_b = (F.struct(F.col(f"p{s}").isNotNull(), F.coalesce(f"p{s}", F.lit(0)), f"z{s}", f"c{s}") for s in "ab")
     # pairs of chunks, not of members
     tasks = a.join(b, "g").where((order_a <= order_b) & (F.abs(F.col("za") - F.col("zb")) <= 1)
                                  & (F.col("pa").isNull() | ~F.col("pa").eqNullSafe(F.col("pb"))))
@@ -336,21 +366,53 @@ def _closed(docs: DataFrame, rows: DataFrame, ids: DataFrame, label: DataFrame,
     two = tasks.where("not same").select(F.col("g").alias("tg"), F.col("pb").alias("tp"), F.col("zb").alias("tz"), F.col("cb").alias("tc"),
                                          "task", F.lit(1).alias("side"))
     sent = member.join(one.union(two), (F.col("g") == F.col("tg")) & F.col("pure").eqNullSafe(F.col("tp")) & (F.col("z") == F.col("tz"))
-                       & (F.col("c") == F.col("tc"))).select("task", "side", "id", "label")
-    sets = _sets(docs, member.select("id"), n).dropDuplicates(["id"])
-    links = sent.join(sets, "id").groupBy("task").applyInArrow(_compare(bands), "a long, b long")
+                       & (F.col("c") == F.col("tc"))).select("task", "side", "node", "label")
+    links = sent.join(sets, "node").groupBy("task").applyInArrow(_compare(bands), "a long, b long")
     found = stored(links.distinct(), "ngram-links")
     merged = components(found)
     out = label.join(merged.select(F.col("node").alias("root"), F.col("root").alias("top")), "root", "left").select(
         "node", F.coalesce("top", "root").alias("root"))
     # nodes that had no verified pair of their own yet
-    alone = merged.join(label, "node", "left_anti")
+    alone = merged.join(labels, "node", "left_anti")
     return out.union(alone.select("node", "root"))
 
 
-def representatives(docs: DataFrame, joined: DataFrame, id_col: str = "doc_id") -> DataFrame:
-    """The documents that stay when one of each group stays: the smallest id of a component, and of
-    repeated rows with that id one."""
-    keep = joined.where(F.col(id_col) == F.col("component_id")).select(id_col).distinct()
-    kept = docs.join(keep, id_col, "left_semi").dropDuplicates([id_col])
-    return kept.unionByName(docs.where(F.col(id_col).isNull()))
+def representatives(docs: DataFrame, n: int = 5, similarity: float | Fraction = Fraction(8, 10), id_col: str = "doc_id",
+                    text_col: str = "text") -> DataFrame:
+    """The documents, all columns, that stay when one of each component stays: the row of the smallest id (none is
+    the largest), and of rows with that id the one whose text has the smallest hash, so neither order nor repeated ids
+    decide.  Copies without an id go like all others; of rows equal in id and text one stays.  Rows without words
+    link with nothing and all stay.
+
+    Texts move only where the rows to drop are too many for a broadcast.
+    """
+    ship(docs.sparkSession)
+    bands = Bands(Fraction(similarity).limit_denominator(1000))
+    key = ["_row_id", "_text_a", "_text_b"]
+    text = F.coalesce(F.col(text_col), F.lit(""))
+    keyed = docs.select("*", F.col(id_col).cast("long").alias(key[0]), F.xxhash64(text).alias(key[1]), F.xxhash64(F.lit(1), text).alias(key[2]))
+    plain = keyed.select(F.col(key[0]).alias("id"), F.col(text_col).alias("text"), F.col(key[1]).alias("a"), F.col(key[2]).alias("b"))
+    rows, seed = _describe(plain, n)
+    of_node = _components(plain.select("id", "text"), rows, n, bands, seed)
+
+    each = rows.where("node is not null").groupBy("node", "id", "a", "b").agg(F.count("*").alias("copies"))
+    rank = F.struct(F.col("id").isNull().alias("none"), "id", "a", "b")
+    best = F.min(rank).alias("best")
+    members = stored(each.join(of_node.select("node", "root"), "node").select("root", "id", "a", "b", "copies"), "ngram-texts")
+    members = stored(members.join(members.groupBy("root").agg(best), "root").select(
+        F.col("id").alias(key[0]), F.col("a").alias(key[1]), F.col("b").alias(key[2]), "copies", (rank != F.col("best")).alias("goes")), "ngram-best")
+
+    def same(side: DataFrame):
+        return keyed[key[0]].eqNullSafe(side["_i"]) & (keyed[key[1]] == side["_a"]) & (keyed[key[2]] == side["_b"])
+
+    def keys_of(where: str) -> DataFrame:
+        found = members.where(where).select(F.col(key[0]).alias("_i"), F.col(key[1]).alias("_a"), F.col(key[2]).alias("_b"))
+        return F.broadcast(found) if found.count() <= BROADCAST_IDS else found
+
+    goes, repeats = keys_of("goes"), keys_of("copies > 1 and not goes")
+    every = docs.columns
+    stays = keyed.join(goes, same(goes), "left_anti")
+    once = stays.join(repeats, same(repeats), "left_anti").select(*every)
+    one = F.struct(*every)
+    again = stays.join(repeats, same(repeats), "left_semi").groupBy(*key).agg(F.min_by(one, F.to_json(one)).alias("_one")).select("_one.*")
+    return once.unionByName(again)

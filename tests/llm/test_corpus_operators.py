@@ -203,13 +203,57 @@ def test_linked_sets_always_share_a_key():
         assert tried > 200
 
 
-def test_representatives_keep_one_of_each_group(spark):
+@pytest.mark.parametrize("broadcast", [True, False])
+def test_rows_that_share_an_id_link_by_their_own_text(spark, monkeypatch, broadcast):
+    if not broadcast:
+        monkeypatch.setattr(ngram_join, "BROADCAST_IDS", 0)
+    rows = []
+    for k in range(12):  # each id holds two texts; the second is a near copy of another document
+        base = prose(3000 + k, 90)
+        rows += [(1000 + k, prose(4000 + k, 70)), (1000 + k, edited(base, k, 1)), (500 + k, base), (None, edited(base, 50 + k, 1))]
+    got = ngram_join.join(documents(spark, rows).repartition(4), n=5, similarity=0.8).collect()
+    assert sorted((r["doc_id"] if r["doc_id"] is not None else -1, r["n_shingles"], r["component_id"]) for r in got) == plain_join(rows, 5, Fraction(8, 10))
+    linked = [r for r in got if r["doc_id"] is not None and r["doc_id"] >= 1000 and r["component_id"] < 1000]
+    assert len(linked) == 12
+
+
+def kept_texts(rows, n=5, t=Fraction(8, 10)):
+    """One text of each component by plain counting: the smallest id, none last; then any of that id."""
+    comp = defaultdict(list)
+    sets = [(i, x, frozenset(zip(*[(w := (x or "").lower().split())[k:] for k in range(n)])) or frozenset([tuple(w)] if w else [])) for i, x in rows]
+    name = list(range(len(rows)))
+    for a in range(len(rows)):
+        for b in range(a):
+            if sets[a][2] and sets[b][2] and len(sets[a][2] & sets[b][2]) >= t * len(sets[a][2] | sets[b][2]):
+                old, new = name[a], name[b]
+                name = [new if x == old else x for x in name]
+    for k, (i, x, s) in enumerate(sets):
+        comp[name[k] if s else ("empty", k)].append((i is None, i, x))
+    return [(min(m, key=lambda r: (r[0], r[1] or 0))[:2], {r[2] for r in m if r[:2] == min(m, key=lambda r: (r[0], r[1] or 0))[:2]}) for m in comp.values()]
+
+
+@pytest.mark.parametrize("broadcast", [True, False])
+def test_representatives_keep_one_of_each_group_in_any_order(spark, monkeypatch, broadcast):
+    if not broadcast:
+        monkeypatch.setattr(ngram_join, "BROADCAST_IDS", 0)
     docs, rows = awkward(spark)
-    kept = ngram_join.representatives(docs, ngram_join.join(docs))
-    ids = [r["doc_id"] for r in kept.collect()]
-    assert kept.columns == docs.columns
-    assert sorted(i for i in ids if i is not None) == [1, 3, 4, 5, 6, 7, 9, 10] and ids.count(None) == 2
-    assert ngram_join.join(docs.limit(0)).count() == 0
+    rows = [r for r in rows if r[0] != 7]
+    two, unique = prose(70, 60), prose(71, 60)
+    rows += [(50, two), (51, edited(two, 1, 1)), (51, unique), (None, two.upper()), (None, prose(72, 40)), (None, prose(72, 40)), (60, unique + " x"), (50, two)]
+    seen = []
+    for order in (rows, rows[::-1]):
+        kept = ngram_join.representatives(documents(spark, order).repartition(3))
+        assert kept.columns == docs.columns
+        seen.append(sorted((r["doc_id"] is None, r["doc_id"] or 0, r["text"] or "") for r in kept.collect()))
+    assert seen[0] == seen[1]
+    want = kept_texts(rows)
+    assert len(seen[0]) == len(want)
+    left = list(seen[0])
+    for (none, i), texts in want:
+        hit = next(x for x in left if x[:2] == (none, i or 0) and x[2] in {t or "" for t in texts})
+        left.remove(hit)
+    assert not left
+    assert ngram_join.representatives(docs.limit(0)).count() == 0 and ngram_join.join(docs.limit(0)).count() == 0
 
 
 # -- WARC -------------------------------------------------------------------------------------
