@@ -8,10 +8,10 @@ climbs to the root in logarithmic time.  Encoding ends when the root holds no pa
 
 Short words of a batch share one numpy array of trees, one row each, and take their merges in
 step; long words walk a tree of their own.  Words repeat, so results are kept by word in a
-bounded cache of the Python worker.
+cache of the Python worker that is bounded in bytes and emptied at the end of each task.
 
 Nulls and edge cases: a null text counts as empty; an empty text or one of white space only has
-no tokens and decodes to the empty text.  Every input row gives one output row, repeated rows and
+no tokens and decodes to the empty text.  A very long text is encoded whole, as a batch of its own.  Every input row gives one output row, repeated rows and
 null ids included; columns other than the id and the text are not read.
 """
 
@@ -23,6 +23,7 @@ import unicodedata
 from functools import lru_cache
 
 import numpy as np
+import pyarrow as pa
 import regex
 from pyspark.sql import DataFrame
 
@@ -31,8 +32,12 @@ from sensortwin.llm.common import map_rows, texts_of
 DEFAULT_TOKENIZER = "word_bpe_49k.json"
 #: Words up to this many symbols are merged in step; longer ones one by one.
 SHORT = 32
-#: Chunks a worker remembers before it starts afresh.
-CACHE_WORDS = 400_000
+#: Bytes of remembered chunks (about, with what Python adds to each) after which a worker starts afresh.
+CACHE_BYTES = 96 << 20
+#: Bytes of texts encoded at once: they bound what one call adds to the cache.
+SLICE_BYTES = 1 << 20
+#: What Python adds to a chunk: three strings and two entries of a dictionary.
+_ENTRY = 360
 _NONE = np.iinfo(np.int64).max
 _SEPARATORS = frozenset("\x1c\x1d\x1e\x1f")
 _SPACE = regex.compile(r"\p{White_Space}+")
@@ -93,7 +98,7 @@ class BPE:
         self.byte_of = {c: b for b, c in enumerate(chars)}
         #: Latin, Greek and Cyrillic letters, general punctuation and CJK, whose classes are long settled.
         self.common = regex.compile("[\\x00-\\u0370\\u0391-\\u03A1\\u03A3-\\u03CE\\u0400-\\u0481\\u2010-\\u2027\\u2030-\\u205E\\u20AC\\u2122\\u4E00-\\u9FA5]*").fullmatch
-        self._forget()
+        self.forget()
 
     # -- ranks -----------------------------------------------------------------------------
     def _keys(self, a: np.ndarray, b: np.ndarray, pos: np.ndarray, width: int) -> np.ndarray:
@@ -214,12 +219,15 @@ class BPE:
                 part = group[at : at + 8192]
                 raw = [w.encode() for w in part]
                 for w, ids in zip(part, self._merge_many(raw, width) if width else map(self._merge_one, raw), strict=True):
-                    word_ids[w], word_tokens[w] = " ".join(map(number, ids)), " ".join(map(token, ids))
+                    word_ids[w], word_tokens[w] = i, t = " ".join(map(number, ids)), " ".join(map(token, ids))
+                    self.held += len(w) + len(i) + len(t) + _ENTRY
         for c, words in zip(chunks, split, strict=True):
             if len(words) == 1:
                 self.ids[c], self.tokens[c] = word_ids[words[0]], word_tokens[words[0]]
+                self.held += len(c) + _ENTRY // 2
             else:
-                self.ids[c], self.tokens[c] = " ".join([word_ids[w] for w in words]), " ".join([word_tokens[w] for w in words])
+                self.ids[c], self.tokens[c] = i, t = " ".join([word_ids[w] for w in words]), " ".join([word_tokens[w] for w in words])
+                self.held += len(c) + len(i) + len(t) + _ENTRY
 
     def _words(self, chunk: str) -> tuple[str, ...] | list[str]:
         """Normalised words of a chunk without white space.  Beyond the common scripts the tokenizer
@@ -254,8 +262,8 @@ class BPE:
     def encode_batch(self, texts: list[str]) -> list[tuple[int, str, str]]:
         """(number of tokens, ids joined by a space, decoded text) of every text."""
         split = [self._chunks(t) for t in texts]
-        if len(self.ids) > CACHE_WORDS:
-            self._forget()
+        if self.held > CACHE_BYTES:
+            self.forget()
         known = self.ids
         self._learn(list({c for chunks in split for c in chunks if c not in known}))
         out = []
@@ -264,7 +272,8 @@ class BPE:
             out.append((ids.count(" ") + 1 if ids else 0, ids, " ".join(map(self.tokens.__getitem__, chunks))))
         return out
 
-    def _forget(self) -> None:
+    def forget(self) -> None:
+        self.held = 0
         self.word_ids: dict[str, str] = {}
         self.word_tokens: dict[str, str] = {}
         self.ids = {" " + name: str(i) for name, i in self.specials.items()}
@@ -287,9 +296,12 @@ def encode(docs: DataFrame, path: str = DEFAULT_TOKENIZER, id_col: str = "doc_id
 
     def run(batch):
         rows = load(path).encode_batch(texts_of(batch))
-        return {id_col: batch.column(0), "ids": [list(map(int, i.split())) for _, i, _ in rows], "decoded": [d for _, _, d in rows]}
+        sizes = np.cumsum([0, *[n for n, _, _ in rows]], dtype=np.int32)
+        flat = np.fromstring(" ".join([i for n, i, _ in rows if n]), np.int32, sep=" ")
+        return {id_col: batch.column(0), "ids": pa.ListArray.from_arrays(pa.array(sizes), pa.array(flat)), "decoded": [d for _, _, d in rows]}
 
-    return map_rows(docs.select(id_col, docs[text_col].alias("text")), run, f"`{id_col}` {id_type}, ids array<int>, decoded string")
+    return map_rows(docs.select(id_col, docs[text_col].alias("text")), run, f"`{id_col}` {id_type}, ids array<int>, decoded string",
+                    SLICE_BYTES, lambda: load(path).forget())
 
 
 def digests(docs: DataFrame, path: str = DEFAULT_TOKENIZER, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
@@ -304,4 +316,4 @@ def digests(docs: DataFrame, path: str = DEFAULT_TOKENIZER, id_col: str = "doc_i
                 "decoded_sha256": [hashlib.sha256(d.encode("utf-8", "surrogatepass")).hexdigest() for _, _, d in rows]}
 
     return map_rows(docs.select(id_col, docs[text_col].alias("text")), run,
-                    f"`{id_col}` {id_type}, n_tokens long, ids_sha256 string, decoded_sha256 string")
+                    f"`{id_col}` {id_type}, n_tokens long, ids_sha256 string, decoded_sha256 string", SLICE_BYTES, lambda: load(path).forget())
