@@ -6,12 +6,13 @@ stage returns the encoded corpus.
 
 1. ``toxicity``: documents scored 0.5 or more by their nearest labelled examples go.
 2. ``near_duplicates``: of each group of documents linked by 5-word shingle sets of Jaccard similarity
-   0.8 or more the one of the smallest id stays.
+   0.8 or more the one of the smallest id stays (of rows with that id, the one of the smallest text hash).
 3. ``benchmark``: documents that hold a passage of a benchmark item, up to edits, go.
 4. ``secrets``: secret spans are replaced by a mark (``n_chars`` follows the text).
 5. ``bpe``: documents become token ids and their decoded text.
 
-Rows without an id stay until they are rejected by their own text; null texts count as empty and stay.
+Every stage judges rows by their own text, so rows without an id, or with one that other texts share, are kept or
+rejected like all others, whatever the order of rows.  Null and empty texts stay.  Very long texts are judged whole.
 """
 
 from __future__ import annotations
@@ -31,7 +32,7 @@ def drop_toxic(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
 
 def drop_near_duplicates(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """One document of each group of near duplicates."""
-    return ngram_join.representatives(docs, ngram_join.join(docs, n=5, similarity=0.8))
+    return ngram_join.representatives(docs, n=5, similarity=0.8)
 
 
 def drop_benchmark(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
