@@ -21,9 +21,12 @@ those L words too.
 Items come from a table of any size: they are sent to the tasks in slices of at most
 ``ITEM_WORDS`` words, one pass over the documents per slice.
 
-Nulls and edge cases: null or empty texts match nothing; items with fewer than ``GRAM`` words after
-normalisation, or without an id, are left out; repeated items of one id count as one (the greatest
-text); documents that repeat give their rows again; equal distances keep the first window.
+Items with fewer than ``GRAM`` words have no runs and allow no edits: their words are looked up as they are.
+
+Nulls and edge cases: null or empty texts match nothing, and items without a word after normalisation are in
+no document; every other item is searched, without an id too, and each text where several share an id; items equal in
+id and text count as one; documents that repeat give their rows again; equal distances keep the first window;
+very long texts are searched whole.
 """
 
 from __future__ import annotations
@@ -45,7 +48,6 @@ EDITS = 0.15
 GRAM = 3
 SAMPLES = 4
 RECALL = 0.95
-MAX_ROUNDS = 64
 #: Words of benchmark items sent to a task at once (16 bytes each and tables of about 50).
 ITEM_WORDS = 1_000_000
 _DROP = bytes.maketrans(string.punctuation.encode(), b" " * len(string.punctuation))
@@ -129,6 +131,7 @@ class Slice:
     groups: list = field(init=False)
 
     def __post_init__(self):
+        self.short = [self._lookup([(i, h) for i, h in self.items if len(h) == n], n) for n in range(1, GRAM)]
         self.items = [(i, h) for i, h in self.items if len(h) >= GRAM]
         by_length: dict[int, list[int]] = {}
         for k, (_, h) in enumerate(self.items):
@@ -167,8 +170,28 @@ class Slice:
             key = _mix((key + seen[:, c]) * _M1)
         return key
 
+    @staticmethod
+    def _lookup(items: list, n: int) -> tuple[int, np.ndarray, list]:
+        """Items of n words by the hash of their run."""
+        key = np.array([grams(h, n)[0] for _, h in items], np.uint64)
+        order = np.argsort(key, kind="stable")
+        return n, key[order], [items[k][0] for k in order]
+
     def matches(self, doc: np.ndarray) -> list[tuple[object, int, int, int, int]]:
         """(item id, distance, start word, end word, item words) of every item the document holds."""
+        return self._short_matches(doc) + self._long_matches(doc)
+
+    def _short_matches(self, doc: np.ndarray) -> list[tuple[object, int, int, int, int]]:
+        out = []
+        for n, keys, ids in self.short:
+            if len(keys) and len(doc) >= n:
+                runs, first = np.unique(grams(doc, n), return_index=True)
+                at = np.searchsorted(runs, keys)
+                hit = np.nonzero(runs[np.minimum(at, len(runs) - 1)] == keys)[0]
+                out += [(ids[k], 0, int(first[at[k]]), int(first[at[k]]) + n, n) for k in hit.tolist()]
+        return out
+
+    def _long_matches(self, doc: np.ndarray) -> list[tuple[object, int, int, int, int]]:
         g = grams(doc)
         if not len(g) or not len(self.gram):
             return []
@@ -230,20 +253,20 @@ def rounds(length: int, most: int, recall: float = RECALL) -> int:
     of its 2L sampled steps and leaves step with probability 1/2 for a few steps each, so a sample
     agrees with probability of about 1 - 3 * most / length or more."""
     agree = max(0.3, 1 - 3 * most / max(length, 1)) ** min(SAMPLES, 2 * length)
-    return 1 if not most else min(MAX_ROUNDS, max(2, math.ceil(math.log(1 - recall) / math.log(1 - agree))))
+    return 1 if not most else max(2, math.ceil(math.log(1 - recall) / math.log(1 - agree)))
 
 
 def item_slices(items: DataFrame, id_col: str, text_col: str) -> list[list]:
     """The benchmark as lists of (id, word hashes) of at most ``ITEM_WORDS`` words each (or one
     item).  Slices are numbered by Spark; one slice at a time is fetched."""
-    one = items.where(F.col(id_col).isNotNull()).groupBy(F.col(id_col).alias("item")).agg(F.max(text_col).alias("text"))
+    one = items.where(F.col(text_col).isNotNull()).select(F.col(id_col).alias("item"), F.col(text_col).alias("text")).distinct()
     # words are at least a character and a space, so characters / 2 bound them
-    size = F.coalesce(F.length("text"), F.lit(0)) / 2 + 1
+    size = F.length("text") / 2 + 1
     total = one.agg(F.sum(size).alias("s")).first()["s"] or 0
     parts = max(1, math.ceil(total / ITEM_WORDS))
-    sliced = one.withColumn("part", F.pmod(F.xxhash64("item"), F.lit(parts)))
+    sliced = one.withColumn("part", F.pmod(F.xxhash64("item", "text"), F.lit(parts)))
     for part in range(parts):
-        yield [(r["item"], word_hashes(r["text"])) for r in sliced.where(F.col("part") == part).orderBy("item").collect()]
+        yield [(r["item"], word_hashes(r["text"])) for r in sliced.where(F.col("part") == part).orderBy("item", "text").collect()]
 
 
 def find(docs: DataFrame, items: DataFrame, edits: float = EDITS, id_col: str = "doc_id", text_col: str = "text",

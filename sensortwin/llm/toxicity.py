@@ -3,30 +3,31 @@
 Fit
   1. Labelled training rows (ids whose crc32 modulo the number of folds is not 0) are thinned to
      about ``max_examples`` by a hash of the id; that documented bound also bounds what is broadcast.
-  2. Terms are words and their leading 3 to 6 letters.  Those of the sample whose document frequency
-     differs between the labels (chi-square) and that are more frequent in toxic examples than in the
-     sample make up the vocabulary, at most ``max_terms`` by chi-square; how far a term speaks for
-     either label is left to the votes.  Words and beginnings that occur in the same documents as a
-     shorter beginning of theirs are left out.
+  2. Terms are words and their leading 3 to 6 letters.  The vocabulary is the ``max_terms`` terms of the sample that
+     rank first by chi-square among those more frequent in toxic examples than in the sample, and the
+     ``background`` most frequent three-letter beginnings, which give texts without any of the former their
+     neighbours.  How far a term speaks for either label is left to the votes.  Words and beginnings that occur in
+     the same documents as a shorter beginning of theirs are left out.
   3. Document frequencies of these terms are counted over *all* documents.
   4. The sample's TF-IDF vectors (unit length) are grouped by equality: one index entry holds how
      many examples of either label it stands for and the smallest id as evidence.  Entries are sorted
-     so that similar ones are neighbours and cut into blocks; each term keeps its postings by block
-     and the largest weight in each block.
+     so that similar ones are neighbours and cut into blocks; the index is held by term and block, with
+     the largest weight of each term in each block.
   5. The raw votes of the sample, each example left out of its own neighbours, give a logistic
      calibration.
 
 Score
-  For a document the block maxima bound the cosine of every entry of a block; blocks are scored in
-  the order of their bounds until the bound falls below the k-th best cosine, so the k nearest
-  entries are exact, and all ties of the k-th are taken.  They vote with weight 1/(1 - cosine + 0.05),
+  Documents are scored in batches.  The block maxima bound the cosine of every entry of a block; runs of blocks are
+  scored in the order of their bounds, for those documents whose bound reaches their k-th best cosine so far, so the k
+  nearest entries are exact, and all ties of the k-th are taken.  They vote with weight 1/(1 - cosine + 0.05),
   smoothed by the rate of the sample; a document without any term takes the rate of the examples
   without any.  The calibrated vote is the score, the nearest entries are the evidence.
 
 Nulls and edge cases: a null or empty text has no terms and takes that rate; labels that are null or
 not 0/1 are ignored, repeated labels of one id count as the larger; ids that repeat in the documents
 each get a row; with no usable label, or labels of one kind only, every score is the smoothed rate
-(0.5 without any).  The id is only used to pick the fold and as evidence, other columns are not read.
+(0.5 without any).  Very long texts are scored whole.  Ids are integers; they only pick the fold and name the evidence;
+other columns are not read.
 """
 
 from __future__ import annotations
@@ -44,12 +45,15 @@ from pyspark.sql import functions as F
 from sensortwin.llm.common import map_rows, ship, slices, stored, texts_of
 
 MAX_EXAMPLES = 20_000
-MAX_TERMS = 4_096
-MIN_CHI2 = 30.0
-MIN_COUNT = 3
+MAX_TERMS = 256
+BACKGROUND = 64
+MIN_COUNT = 2
 NEIGHBOURS = 25
 FOLDS = 5
 BLOCK = 64
+#: Blocks scored together, and documents scored together.
+RUN = 16
+BATCH = 512
 _LETTERS = re.compile(r"[^\W\d_]+")
 _PREFIXES = (3, 4, 5, 6)
 
@@ -84,7 +88,7 @@ class Vocabulary:
         """How often each chosen term occurs."""
         out: Counter = Counter()
         known = self.known
-        if len(known) > 300_000:
+        if len(known) > 100_000:
             known.clear()
         for w in words(text):
             got = known.get(w)
@@ -103,60 +107,80 @@ class Vocabulary:
 
 @dataclass
 class Index:
-    """Block-max inverted index of distinct labelled vectors."""
+    """Block-max inverted index of distinct labelled vectors: weights by term, block and place in the block."""
 
     vectors: list
     negatives: np.ndarray
     positives: np.ndarray
     evidence: list
-    postings: dict = field(init=False)
-    blocks: int = field(init=False)
+    terms: int = 0
 
     def __post_init__(self):
         order = sorted(range(len(self.vectors)), key=lambda i: sorted(self.vectors[i], key=lambda p: -p[1]))
-        self.vectors = [self.vectors[i] for i in order]
         self.negatives, self.positives = self.negatives[order].astype(float), self.positives[order].astype(float)
         self.evidence = [self.evidence[i] for i in order]
-        self.entry = {v: i for i, v in enumerate(self.vectors)}
-        self.blocks = -(-len(order) // BLOCK)
-        by_term: dict[int, list[tuple[int, float]]] = {}
-        for i, v in enumerate(self.vectors):
-            for t, w in v:
-                by_term.setdefault(t, []).append((i, w))
-        self.postings = {}
-        for t, rows in by_term.items():
-            ids, weights = np.array([i for i, _ in rows]), np.array([w for _, w in rows])
-            starts = np.searchsorted(ids, np.arange(self.blocks + 1) * BLOCK)
-            largest = np.zeros(self.blocks)
-            np.maximum.at(largest, ids // BLOCK, weights)
-            self.postings[t] = (ids, weights, starts, largest)
+        rows = [self.vectors[i] for i in order]
+        self.terms = max([self.terms, *(t + 1 for v in rows for t, _ in v)])
+        # as arrays they travel compactly
+        self.starts = np.cumsum([0, *map(len, rows)])
+        self.vectors = (np.array([t for v in rows for t, _ in v], np.int32), np.array([w for v in rows for _, w in v], float))
+        self.size = len(rows)
+
+    def __getstate__(self):
+        return {k: v for k, v in self.__dict__.items() if k not in ("weights", "largest")}
+
+    def _load(self) -> None:
+        """Weights as a (term, entry) array, entries filled up to whole runs, and their block maxima."""
+        if "weights" in self.__dict__:
+            return
+        full = -(-max(self.size, 1) // (BLOCK * RUN)) * BLOCK * RUN
+        self.weights = np.zeros((self.terms, full))
+        terms, weights = self.vectors
+        self.weights[terms, np.repeat(np.arange(self.size), np.diff(self.starts))] = weights
+        self.largest = self.weights.reshape(self.terms, -1, BLOCK).max(2)
+
+    def vector(self, entry: int) -> tuple[tuple[int, float], ...]:
+        a, z = self.starts[entry], self.starts[entry + 1]
+        return tuple(zip(self.vectors[0][a:z].tolist(), self.vectors[1][a:z].tolist(), strict=True))
 
     def nearest(self, vector, k: int) -> tuple[np.ndarray, np.ndarray]:
         """Entries and cosines of the k nearest entries of positive cosine and all ties of the k-th."""
-        query = [(w, self.postings[t]) for t, w in vector if t in self.postings]
-        if not query:
-            return np.empty(0, int), np.empty(0)
-        bound = np.sum([w * p[3] for w, p in query], axis=0)
-        order = np.argsort(-bound, kind="stable")
-        found, cosines, kth = [], np.empty(0), 0.0
-        for b in order:
-            if bound[b] <= 0 or bound[b] < kth - 1e-9:
-                break
-            acc = np.zeros(BLOCK)
-            for w, (ids, weights, starts, _) in query:
-                a, z = starts[b], starts[b + 1]
-                acc[ids[a:z] - b * BLOCK] += w * weights[a:z]
-            hit = np.nonzero(acc > max(0.0, kth - 1e-9))[0]
-            if len(hit):
-                found.append(hit + b * BLOCK)
-                cosines = np.concatenate([cosines, acc[hit]])
-                if len(cosines) >= k:
-                    kth = np.partition(cosines, len(cosines) - k)[len(cosines) - k]
-        entries = np.concatenate(found) if found else np.empty(0, int)
-        keep = cosines >= kth - 1e-9
-        entries, cosines = entries[keep], np.minimum(cosines[keep], 1.0)
-        best = np.lexsort((entries, -cosines.round(9)))
-        return entries[best], cosines[best]
+        return self.nearest_of([vector], k)[0]
+
+    def nearest_of(self, vectors: list, k: int) -> list[tuple[np.ndarray, np.ndarray]]:
+        """The same for many vectors."""
+        n = len(vectors)
+        if not self.terms or not self.size:
+            return [(np.empty(0, int), np.empty(0))] * n
+        self._load()
+        q = np.zeros((n, self.terms))
+        for i, v in enumerate(vectors):
+            for t, w in v:
+                if t < self.terms:
+                    q[i, t] = w
+        bound = (q @ self.largest).reshape(n, -1, RUN).max(2)  # of each run of blocks
+        top, kth = np.zeros((n, k)), np.zeros(n)
+        found: list[tuple[np.ndarray, np.ndarray, np.ndarray]] = []
+        for run in np.argsort(-bound.sum(0), kind="stable").tolist():
+            at = np.flatnonzero((bound[:, run] > 0) & (bound[:, run] >= kth - 1e-9))
+            if not len(at):
+                continue
+            first = run * RUN * BLOCK
+            cosines = q[at] @ self.weights[:, first : first + RUN * BLOCK]
+            both = np.concatenate([top[at], cosines], 1)
+            top[at] = np.partition(both, both.shape[1] - k, 1)[:, -k:]
+            kth[at] = top[at].min(1)
+            d, e = np.nonzero(cosines > np.maximum(0.0, kth[at] - 1e-9)[:, None])
+            found.append((at[d], e + first, cosines[d, e]))
+        if not found:
+            return [(np.empty(0, int), np.empty(0))] * n
+        d, e, c = (np.concatenate(x) for x in zip(*found, strict=True))
+        keep = c >= kth[d] - 1e-9
+        d, e, c = d[keep], e[keep], np.minimum(c[keep], 1.0)
+        order = np.lexsort((e, -c.round(9), d))
+        d, e, c = d[order], e[order], c[order]
+        ends = np.searchsorted(d, np.arange(n + 1))
+        return [(e[a:z], c[a:z]) for a, z in zip(ends, ends[1:], strict=False)]
 
 
 @dataclass
@@ -168,37 +192,45 @@ class Model:
     slope: float = 1.0
     offset: float = 0.0
     k: int = NEIGHBOURS
-    kept: dict = field(default_factory=dict)
-
-    def vote(self, vector, without: int | None = None) -> tuple[float, list[tuple[int, float]]]:
-        """Raw vote for toxic (0 to 1) and the neighbours; ``without``: a label whose one example of
-        this very vector does not vote."""
-        entries, cosines = self.index.nearest(vector, self.k)
-        if not len(entries):
-            return (self.empty_rate if not vector else self.rate), []
+
+    def _vote(self, entries: np.ndarray, cosines: np.ndarray, without: tuple[int, int] | None = None) -> float:
+        """Raw vote for toxic (0 to 1); ``without``: an entry and label of which one example does not vote."""
         weight = 1.0 / (1.0 - cosines + 0.05)
         pos, neg = self.index.positives[entries], self.index.negatives[entries]
-        if without is not None and (own := self.index.entry.get(vector)) is not None:
-            at = np.nonzero(entries == own)[0]
-            (pos if without else neg)[at] -= 1  # fancy indexing made copies above
+        if without is not None:
+            (pos if without[1] else neg)[entries == without[0]] -= 1  # fancy indexing made copies above
         yes, every = float((weight * pos).sum()), float((weight * (pos + neg)).sum())
-        return (yes + self.rate) / (every + 1.0), list(zip(entries.tolist(), cosines.tolist(), strict=True))
-
-    def score(self, vector) -> tuple[float, list[tuple[int, float]]]:
-        """Calibrated probability and the neighbours.  Equal vectors are scored once per worker."""
-        got = self.kept.get(vector)
-        if got is None:
-            vote, near = self.vote(vector)
-            if vector:
+        return (yes + self.rate) / (every + 1.0)
+
+    def votes_left_out(self, entries: list[int], labels: list[int]) -> list[float]:
+        """The raw vote of an example of each entry, by all others."""
+        out = []
+        for at in range(0, len(entries), BATCH):
+            part = entries[at : at + BATCH]
+            near = self.index.nearest_of([self.index.vector(e) for e in part], self.k)
+            out += [self._vote(*found, (e, y)) for found, e, y in zip(near, part, labels[at : at + BATCH], strict=True)]
+        return out
+
+    def score_texts(self, texts: list[str]) -> list[tuple[float, list[tuple[int, float]]]]:
+        """Calibrated probability and the neighbours of every text."""
+        out = []
+        for at in range(0, len(texts), BATCH):
+            vectors = [self.vocabulary.vector(self.vocabulary.count(t)) for t in texts[at : at + BATCH]]
+            for v, (entries, cosines) in zip(vectors, self.index.nearest_of(vectors, self.k), strict=True):
+                if not v:
+                    out.append((self.empty_rate, []))
+                    continue
+                vote = self._vote(entries, cosines) if len(entries) else self.rate
                 vote = min(max(vote, 1e-6), 1 - 1e-6)
-                vote = 1 / (1 + math.exp(-(self.slope * math.log(vote / (1 - vote)) + self.offset)))
-            if len(self.kept) > 50_000:
-                self.kept.clear()
-            got = self.kept[vector] = (vote, near)
-        return got
+                score = 1 / (1 + math.exp(-(self.slope * math.log(vote / (1 - vote)) + self.offset)))
+                out.append((score, list(zip(entries.tolist(), cosines.tolist(), strict=True))))
+        return out
 
-    def __getstate__(self):
-        return {**self.__dict__, "kept": {}}
+    def forget(self) -> None:
+        """Drop what can be made again, so that a reused worker holds nothing of this model but its arrays."""
+        self.vocabulary.known.clear()
+        self.index.__dict__.pop("weights", None)
+        self.index.__dict__.pop("largest", None)
 
 
 def calibration(votes: np.ndarray, labels: np.ndarray, counts: np.ndarray) -> tuple[float, float]:
@@ -220,7 +252,7 @@ def calibration(votes: np.ndarray, labels: np.ndarray, counts: np.ndarray) -> tu
 
 
 def fit(docs: DataFrame, labels: DataFrame, max_examples: int = MAX_EXAMPLES, max_terms: int = MAX_TERMS,
-        min_chi2: float = MIN_CHI2, k: int = NEIGHBOURS, id_col: str = "doc_id", text_col: str = "text",
+        background: int = BACKGROUND, k: int = NEIGHBOURS, id_col: str = "doc_id", text_col: str = "text",
         label_col: str = "toxic") -> Model:
     """Fit on labelled rows of ``docs`` outside the held-out fold (see the module's text)."""
     spark = docs.sparkSession
@@ -253,8 +285,9 @@ def fit(docs: DataFrame, labels: DataFrame, max_examples: int = MAX_EXAMPLES, ma
         a, m, big_n, big_p = F.col("a"), F.col("n"), F.lit(float(n)), F.lit(float(p))
         chi2 = big_n * F.pow(a * (big_n - big_p) - (m - a) * big_p, 2) / (
             m * (big_n - m) * big_p * (big_n - big_p))
-        usable_terms = counted.where((m < big_n) & (a >= MIN_COUNT) & (a * big_n > m * big_p)).select(
-            "term", "n", "a", chi2.alias("chi2")).where(F.col("chi2") >= min_chi2)
+        ranked = counted.where((m < big_n) & (a >= MIN_COUNT) & (a * big_n > m * big_p)).select("term", "n", "a", chi2.alias("chi2"))
+        # several for each place, as those that tell the same documents apart are merged
+        usable_terms = ranked.orderBy(F.desc("chi2"), "term").limit(16 * max_terms)
 
         def begun(term, other):
             return (other != term) & other.endswith("*") & term.startswith(F.regexp_replace(other, r"\*$", ""))
@@ -265,6 +298,8 @@ def fit(docs: DataFrame, labels: DataFrame, max_examples: int = MAX_EXAMPLES, ma
         chosen_terms = [r["term"] for r in alike.select("chi2", F.explode(F.filter(
             "terms", lambda t: ~F.exists("terms", lambda u: begun(t, u)))).alias("term")).orderBy(
             F.desc("chi2"), "term").limit(max_terms).collect()]
+        frequent = counted.where((m < big_n) & (F.length("term") == _PREFIXES[0] + 1) & F.col("term").endswith("*"))
+        chosen_terms += [r["term"] for r in frequent.orderBy(F.desc("n"), "term").limit(background).collect() if r["term"] not in set(chosen_terms)]
     # document frequencies of the chosen terms over every document
     plain = Vocabulary(dict.fromkeys(chosen_terms, 1.0))
     sent = spark.sparkContext.broadcast(plain)
@@ -290,7 +325,7 @@ def fit(docs: DataFrame, labels: DataFrame, max_examples: int = MAX_EXAMPLES, ma
     groups = [(tuple((x["t"], x["w"]) for x in g["vector"]), g["neg"], g["pos"], g["id"]) for g in groups]
     none = [(neg, pos) for v, neg, pos, _ in groups if not v]
     groups = [g for g in groups if g[0]]
-    index = Index([g[0] for g in groups], np.array([g[1] for g in groups]), np.array([g[2] for g in groups]), [g[3] for g in groups])
+    index = Index([g[0] for g in groups], np.array([g[1] for g in groups]), np.array([g[2] for g in groups]), [g[3] for g in groups], len(plain.terms))
     model = Model(vocabulary, index, rate, (none[0][1] + rate) / (sum(none[0]) + 1) if none else rate, k=k)
     if groups:
         fitted = spark.sparkContext.broadcast(model)
@@ -299,9 +334,8 @@ def fit(docs: DataFrame, labels: DataFrame, max_examples: int = MAX_EXAMPLES, ma
                                      "entry int, y int, c long").repartition(spark.sparkContext.defaultParallelism)
 
         def left_out(batch):
-            m, ys = fitted.value, batch.column("y").to_pylist()
-            got = [m.vote(m.index.vectors[e], y)[0] for e, y in zip(batch.column("entry").to_pylist(), ys, strict=True)]
-            return {"vote": got, "y": ys, "c": batch.column("c")}
+            entries, ys = batch.column("entry").to_pylist(), batch.column("y").to_pylist()
+            return {"vote": fitted.value.votes_left_out(entries, ys), "y": ys, "c": batch.column("c")}
 
         votes = map_rows(rows, left_out, "vote double, y int, c long").groupBy(
             F.round("vote", 3).alias("vote")).agg(F.sum("c").alias("c"), F.sum(F.col("c") * F.col("y")).alias("p")).orderBy("vote").collect()
@@ -318,13 +352,14 @@ def score(docs: DataFrame, model: Model, evidence: int = 3, id_col: str = "doc_i
 
     def run(batch):
         m = sent.value
-        scored = [m.score(m.vocabulary.vector(m.vocabulary.count(t))) for t in texts_of(batch)]
+        scored = m.score_texts(texts_of(batch))
         return {id_col: batch.column(0), "score": [s for s, _ in scored], "predicted": [int(s >= 0.5) for s, _ in scored],
                 "evidence": [[{"example": m.index.evidence[e], "cosine": c, "toxic": int(m.index.positives[e]), "clean": int(m.index.negatives[e])}
                               for e, c in near[:evidence]] for _, near in scored]}
 
     return map_rows(docs.select(id_col, docs[text_col].alias("text")), run,
-                    f"`{id_col}` {id_type}, score double, predicted int, evidence array<struct<example:long,cosine:double,toxic:int,clean:int>>")
+                    f"`{id_col}` {id_type}, score double, predicted int, evidence array<struct<example:long,cosine:double,toxic:int,clean:int>>",
+                    done=lambda: sent.value.forget())
 
 
 def keep(docs: DataFrame, model: Model, text_col: str = "text", threshold: float = 0.5) -> DataFrame:
@@ -335,10 +370,13 @@ def keep(docs: DataFrame, model: Model, text_col: str = "text", threshold: float
 
     def run(batches):
         m = sent.value
-        for batch in batches:
-            for part in slices(batch):
-                low = [m.score(m.vocabulary.vector(m.vocabulary.count(t or "")))[0] < threshold for t in part.column(place).to_pylist()]
-                yield part.filter(pa.array(low, pa.bool_()))
+        try:
+            for batch in batches:
+                for part in slices(batch):
+                    low = [s < threshold for s, _ in m.score_texts([t or "" for t in part.column(place).to_pylist()])]
+                    yield part.filter(pa.array(low, pa.bool_()))
+        finally:
+            m.forget()
 
     ship(docs.sparkSession)
     return docs.mapInArrow(run, docs.schema)

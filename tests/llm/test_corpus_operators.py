@@ -374,3 +374,19 @@ def test_pipeline_stages_and_result(spark):
         docs = after
     assert docs.count() == docs.select("doc_id").distinct().count()
     assert scratch_path(spark, "x").startswith(spark.conf.get("spark.checkpoint.dir"))
+
+
+def test_every_item_is_searched(spark):
+    """Items of one or two words, without an id, and several texts under one id."""
+    items = [(1, prose(1, 25)), (1, prose(2, 25)), (None, prose(3, 25)), (4, "Zebra!"), (5, "blue zebra"), (6, ""), (7, None), (8, " . ")]
+    rows = [(10, prose(50, 30) + " " + prose(1, 25)), (11, prose(2, 25)), (12, "x " + prose(3, 25) + " y"), (13, "a zebra b"), (14, "so blue, ZEBRA ran"),
+            (15, prose(60, 40)), (16, "zebras"), (17, None), (18, "")]
+    docs = documents(spark, rows)
+    bench = spark.createDataFrame(items, "item_id long, text string")
+    got = {(r.doc_id, r.item_id, r.distance) for r in decontam.find(docs, bench).collect()}
+    assert got == {(10, 1, 0), (11, 1, 0), (12, None, 0), (13, 4, 0), (14, 4, 0), (14, 5, 0)}
+    assert sorted(r.doc_id for r in decontam.clean(docs, bench).collect()) == [15, 16, 17, 18]
+
+
+def test_walks_follow_the_recall_asked_for():
+    assert decontam.rounds(30, 7) > 64 and decontam.rounds(30, 0) == 1

@@ -181,15 +181,15 @@ def test_block_max_search_equals_brute_force():
     vectors = list(vectors)
     index = toxicity.Index(vectors, np.ones(400), np.ones(400), list(range(400)))
     dense = np.zeros((400, 30))
-    for i, v in enumerate(index.vectors):
-        for t, w in v:
+    for i in range(400):
+        for t, w in index.vector(i):
             dense[i, t] = w
     for q in range(100):
         cos = dense @ dense[q]
         for k in (1, 5, 25):
             kth = np.sort(cos[cos > 0])[::-1][: k][-1]
             want = set(np.nonzero((cos >= kth - 1e-9) & (cos > 0))[0])
-            entries, cosines = index.nearest(index.vectors[q], k)
+            entries, cosines = index.nearest(index.vector(q), k)
             assert set(entries) == want and np.allclose(cosines, np.minimum(cos[entries], 1))
 
 
@@ -230,4 +230,42 @@ def test_equally_frequent_terms_are_merged_only_with_their_own_beginning(spark):
     least = min(sum(i % 8 == k for i in train) for k in (0, 2))
     train = sorted(sum(([i for i in train if i % 8 == k][:least] for k in (0, 2)), [i for i in train if i % 8 not in (0, 2)]))
     labels = spark.createDataFrame([(i, int(i % 8 in (0, 2))) for i in train], "doc_id long, toxic int")
-    assert toxicity.fit(docs, labels).vocabulary.terms == ["scoun*", "scour*"]
+    terms = toxicity.fit(docs, labels, max_terms=2, background=0).vocabulary.terms
+    assert terms == ["scoun*", "scour*"]
+
+
+def test_every_document_with_words_has_neighbours_at_any_size(spark):
+    sf = "/root/testdata/sf0.001"
+    docs = spark.read.parquet(f"{sf}/documents.parquet")
+    out = toxicity.score(docs, toxicity.fit(docs, spark.read.parquet(f"{sf}/labels.parquet"))).collect()
+    texts = {r.doc_id: r.text for r in docs.collect()}
+    assert len({r.score for r in out}) > 20
+    assert sum(bool(r.evidence) for r in out) >= 0.95 * sum(bool(re.search(r"[^\W\d_]{3}", texts[r.doc_id] or "")) for r in out)
+
+
+def test_toxicity_of_held_out_documents(spark):
+    sf = "/root/testdata/sf0.1"
+    docs, labels = spark.read.parquet(f"{sf}/documents.parquet"), spark.read.parquet(f"{sf}/labels.parquet")
+    out = toxicity.score(docs, toxicity.fit(docs, labels)).where(toxicity.held_out("doc_id")).join(labels, "doc_id").collect()
+    hit = sum(r.predicted for r in out if r.toxic == 1)
+    assert hit >= 0.9 * sum(r.toxic == 1 for r in out)                    # recall
+    assert hit >= 0.9 * sum(r.predicted for r in out)                      # precision
+
+
+def test_votes_and_scores_equal_a_plain_computation(spark):
+    """Scores of the operator against plain cosines, votes and calibration."""
+    docs, _ = documents(spark, [(i, prose(i, 50) + (" vile knave" if i % 5 == 0 else "")) for i in range(150)]), None
+    labels = spark.createDataFrame([(i, int(i % 5 == 0)) for i in range(100)], "doc_id long, toxic int")
+    model = toxicity.fit(docs, labels)
+    entries = [dict(model.index.vector(e)) for e in range(model.index.size)]
+    for r in docs.join(toxicity.score(docs, model), "doc_id").select("text", toxicity.F.col("predicted"), "evidence", docs["doc_id"]).collect()[:40]:
+        v = dict(model.vocabulary.vector(model.vocabulary.count(r.text)))
+        cos = [sum(w * e.get(t, 0.0) for t, w in v.items()) for e in entries]
+        kth = sorted(cos, reverse=True)[model.k - 1]
+        near = [(i, min(c, 1.0)) for i, c in enumerate(cos) if c > 0 and c >= kth - 1e-9]
+        yes = sum(model.index.positives[i] / (1.05 - c) for i, c in near)
+        every = sum((model.index.positives[i] + model.index.negatives[i]) / (1.05 - c) for i, c in near)
+        vote = (yes + model.rate) / (every + 1)
+        want = 1 / (1 + math.exp(-(model.slope * math.log(vote / (1 - vote)) + model.offset)))
+        assert abs(model.score_texts([r.text])[0][0] - want) < 1e-9 and r.predicted == int(want >= 0.5)
+        assert abs(r.evidence[0].cosine - max(c for _, c in near)) < 1e-9
