@@ -11,28 +11,34 @@ are shown, of MathML all but annotations, with ``/`` in fractions; of ``object``
 
 Everything else is rendered in document order: white space collapses as in a browser, blocks start on
 a new line, blocks with margins are divided by a blank line, ``br`` and ``pre`` keep their breaks,
-list items are marked and indented by depth, and table cells stand in aligned columns.
+list items are marked and indented by depth.  A table is a grid: cells are laid out as blocks of their own, with their
+breaks, lists and tables, and stand in columns as wide as their widest line; ``colspan`` and ``rowspan`` cells keep the
+places they cover.
 
 Nulls and edge cases: a null or empty page has an empty text; broken or endless markup never fails,
-what is open at the end is closed; deep nesting uses no recursion (tables nested deeper than
-``MAX_TABLES`` are rendered as blocks); every input row gives an output row; only the id and the html
-are read.
+what is open at the end is closed; nesting of any depth, of tables too, uses no recursion (inner tables are laid out
+first); very long pages are rendered whole; every input row gives an output row, repeated rows too; only the id and the
+html are read.
 """
 
 from __future__ import annotations
 
+import bisect
 import html
+import itertools
 import re
 import unicodedata
 from collections import Counter
+from dataclasses import dataclass
 
 from pyspark.sql import DataFrame
 
 from sensortwin.llm.common import map_rows, texts_of
 
-MAX_TABLES = 8
-#: Cells wider than this do not widen their column.
-CELL_WIDTH = 60
+#: Between two columns of a table.
+GAP = "  "
+# fixed values: the largest spans of HTML
+MAX_COLSPAN, MAX_ROWSPAN = 1000, 65534
 
 _MARK = re.compile(r"<!--(?:.*?-->|.*\Z)|<[!?][^>]*(?:>|\Z)|<(?=/?[a-zA-Z])", re.S)
 _TAG = re.compile(r"""<(/?)([a-zA-Z][^\s/>]*)((?:[^>=]|=\s*(?:"[^"]*"|'[^']*')|=)*+)>""", re.S)
@@ -75,10 +81,11 @@ class Node:
     """``seen``: whether the element and its content are rendered; ``hidden``: takes room without being
     shown; ``kind``: what its text belongs to, html, svg (not shown), svgtext or math."""
 
-    __slots__ = ("tag", "children", "seen", "attrs", "hidden", "kind")
+    __slots__ = ("tag", "children", "seen", "attrs", "hidden", "kind", "lines")
 
     def __init__(self, tag: str, attrs: dict[str, str] | None = None, seen: bool = True, hidden: bool = False, kind: str = "html"):
         self.tag, self.attrs, self.seen, self.hidden, self.kind, self.children = tag, attrs or {}, seen, hidden, kind, []
+        self.lines: list[str] = []  # of a table, once it is laid out
 
 
 def _attributes(raw: str) -> dict[str, str]:
@@ -260,36 +267,55 @@ class _Page:
         return "\n".join(self.lines).strip("\n")
 
 
-def _cells(table: Node) -> tuple[list[Node], list[list[tuple[Node, int]]]]:
-    """Captions, and the rows of a table as (cell, column span); loose content makes a row of its own."""
-    captions, rows, todo = [], [], list(reversed(table.children))
+@dataclass
+class _Cell:
+    """A cell's lines and the grid places it takes."""
+    lines: list[str]
+    row: int
+    column: int
+    columns: int
+    rows: int
+
+
+def _span(node: Node, name: str, most: int) -> int | None:
+    """A span attribute; 0 is None (up to the end of the row group)."""
+    value = node.attrs.get(name, "1")
+    if not (value.isascii() and value.isdigit()):
+        return 1
+    return min(int(value[:9]), most) or (None if name == "rowspan" else 1)
+
+
+def _rows(table: Node) -> tuple[list[Node], list[list[list[Node]]]]:
+    """Captions, and the rows of a table as cells by row group; loose content makes a row of its own."""
+    captions, groups, todo = [], [[]], list(reversed(table.children))
     while todo:
         n = todo.pop()
-        if isinstance(n, str):
+        if n is None:  # a row group ends
+            groups.append([])
+        elif isinstance(n, str):
             if n.strip():
-                rows.append([(_wrap([n]), 1)])
+                groups[-1].append([_wrap([n])])
         elif not n.seen:
             continue
         elif n.tag == "caption":
             captions.append(n)
         elif n.tag in ("thead", "tbody", "tfoot"):
-            todo += reversed(n.children)
+            groups.append([])
+            todo += [None, *reversed(n.children)]
         elif n.tag == "tr":
             row, loose = [], []
             for c in n.children:
                 if isinstance(c, Node) and c.tag in ("td", "th"):
-                    span = c.attrs.get("colspan", "1")
                     if c.seen:
-                        row.append((c, min(max(int(span), 1), 100) if span.isascii() and span.isdigit() else 1))
+                        row.append(c)
                 else:
                     loose.append(c)
             if any(isinstance(c, Node) or c.strip() for c in loose):
-                row.append((_wrap(loose), 1))
-            if row:
-                rows.append(row)
+                row.append(_wrap(loose))
+            groups[-1].append(row)
         elif n.tag not in ("col", "colgroup"):
-            rows.append([(_wrap([n]), 1)])
-    return captions, rows
+            groups[-1].append([_wrap([n])])
+    return captions, groups
 
 
 def _wrap(children: list) -> Node:
@@ -298,34 +324,75 @@ def _wrap(children: list) -> Node:
     return out
 
 
-def _table(page: _Page, table: Node, indent: str, depth: int) -> None:
-    captions, rows = _cells(table)
-    for c in captions:
-        page.put(_SPACE.sub(" ", render(c, depth + 1)), False, indent)
-        page.end()
-    grid = [[(_SPACE.sub(" ", render(c, depth + 1)), span) for c, span in row] for row in rows]
-    widths: dict[int, int] = {}
-    for row in grid:
-        at = 0
-        for cell, span in row:
-            w = width(cell)
-            if span == 1 and w <= CELL_WIDTH:
-                widths[at] = max(widths.get(at, 0), w)
-            at += span
+def _place(groups: list[list[list[Node]]]) -> tuple[list[_Cell], int]:
+    """Every cell on the grid: a cell takes the first free column of its row, and spans keep the places they cover."""
+    cells, at = [], 0
+    for group in groups:
+        until: dict[int, int] = {}  # column -> first row that is free again
+        for k, row in enumerate(group):
+            column = 0
+            for node in row:
+                while until.get(column, 0) > at + k:
+                    column += 1
+                columns = _span(node, "colspan", MAX_COLSPAN)
+                rows = min(_span(node, "rowspan", MAX_ROWSPAN) or len(group), len(group) - k)
+                if rows > 1:
+                    until.update((column + c, at + k + rows) for c in range(columns))
+                cells.append(_Cell(render(node).split("\n"), at + k, column, columns, rows))
+                column += columns
+        at += len(group)
+    return cells, at
+
+
+def _table_lines(table: Node) -> list[str]:
+    """The lines of a table whose inner tables have theirs already."""
+    captions, groups = _rows(table)
+    lines = [x for c in captions if (t := render(c)) for x in t.split("\n")]
+    cells, n_rows = _place(groups)
+    if len(cells) == 1:
+        return lines + [x for x in cells[0].lines if len(cells[0].lines) > 1 or x]
+    starts = sorted({c.column for c in cells})  # columns in which a cell begins; others have no room of their own
+    covered = {id(c): range(bisect.bisect_left(starts, c.column), bisect.bisect_left(starts, c.column + c.columns)) for c in cells}
+    widths = [0] * len(starts)
+    for c in sorted(cells, key=lambda c: len(covered[id(c)])):
+        over = covered[id(c)]
+        room = sum(widths[k] for k in over[:-1]) + len(GAP) * (len(over) - 1)
+        widths[over[-1]] = max(widths[over[-1]], max(map(width, c.lines)) - room)
+    heights = [0] * n_rows
+    for c in sorted(cells, key=lambda c: c.rows):
+        high = len(c.lines) if len(c.lines) > 1 or c.lines[0] else 0
+        last = c.row + c.rows - 1
+        heights[last] = max(heights[last], high - sum(heights[c.row : last]))
+    tops = [0, *itertools.accumulate(heights)]
+    left = [0, *itertools.accumulate(w + len(GAP) for w in widths)]
+    grid: list[list[tuple[int, str]]] = [[] for _ in range(tops[-1])]
+    for c in cells:
+        for k, line in enumerate(c.lines):
+            if line:
+                grid[tops[c.row] + k].append((left[covered[id(c)][0]], line))
     for row in grid:
-        line, at = [], 0
-        for cell, span in row:
-            room = sum(widths.get(at + k, 0) for k in range(span)) + 2 * (span - 1)
-            line.append(cell + " " * max(0, room - width(cell)))
-            at += span
-        joined = "  ".join(line).rstrip()
-        if joined:
-            page.put(joined, True, indent)
-            page.end()
+        out, at = [], 0
+        for place, line in sorted(row):
+            out.append(" " * (place - at) + line)
+            at = place + width(line)
+        lines.append("".join(out).rstrip())
+    return lines
+
+
+def _lay_out_tables(root: Node) -> None:
+    """Give every shown table its lines, inner ones first, so that no depth of nesting needs recursion."""
+    tables, todo = [], [root]
+    while todo:
+        n = todo.pop()
+        if n.tag == "table":
+            tables.append(n)
+        todo += [c for c in n.children if isinstance(c, Node) and c.seen]
+    for t in reversed(tables):
+        t.lines = _table_lines(t)
 
 
-def render(root: Node, depth: int = 0) -> str:
-    """Text of a tree (see the module's text).  ``depth`` counts enclosing tables."""
+def render(root: Node) -> str:
+    """Text of a tree whose tables are laid out (see the module's text)."""
     page = _Page()
     # (node, False) enters it, (node, True) leaves it; pre and indent hold for its content
     todo: list[tuple] = [(c, False, False, "", None) for c in reversed(root.children)]
@@ -364,9 +431,11 @@ def render(root: Node, depth: int = 0) -> str:
             page.end()
             page.blank = True
             continue
-        if tag == "table" and depth < MAX_TABLES:
-            _table(page, n, indent, depth)
-            page.end()
+        if tag == "table":
+            for line in n.lines:
+                if line:
+                    page.put(line, True, indent)
+                page.end(force=True)
             page.blank = True
             continue
         inner = indent
@@ -409,7 +478,11 @@ def render(root: Node, depth: int = 0) -> str:
 
 
 def html_to_text(markup: str | None) -> str:
-    return render(parse(markup)) if markup else ""
+    if not markup:
+        return ""
+    root = parse(markup)
+    _lay_out_tables(root)
+    return render(root)
 
 
 def extract(pages: DataFrame, id_col: str = "page_id", html_col: str = "html") -> DataFrame:

@@ -8,6 +8,7 @@ import math
 import random
 import re
 import zlib
+from html.parser import HTMLParser
 
 import numpy as np
 import pytest
@@ -169,6 +170,63 @@ def test_html_survives_any_markup(spark):
     assert html_text.extract(pages.limit(0)).count() == 0
 
 
+@pytest.mark.parametrize(("markup", "text"), [
+    ("<table><tr><td>a<br>b<td>c<tr><td>d<td>e</table>", "a  c\nb\nd  e"),
+    ("<table><tr><td><ul><li>x<li>y</ul><td>z</table>", "- x  z\n- y"),
+    ("<table><tr><td><pre>p\n  q</pre><td>r</table>", "p    r\n  q"),
+    ("<table><tr><td><p>one<p>two<td>z</table>", "one  z\n\ntwo"),
+    (f"<table><tr><td>{'w' * 70}<td>1<tr><td>s<td>2</table>", f"{'w' * 70}  1\ns{' ' * 69}  2"),
+    ("<table><tr><td rowspan=2>a<td>b<tr><td>c<tr><td>d<td>e</table>", "a  b\n   c\nd  e"),
+    ("<table><tr><td rowspan=2>a<br>a2<br>a3<td>b<tr><td>c</table>", "a   b\na2  c\na3"),
+    ("<table><tr><td>a<td rowspan=0>all<tr><td>b<tr><td>c</table>x", "a  all\nb\nc\n\nx"),
+    ("<table><tr><td colspan=2>wide head<td>z<tr><td>a<td>b<td>c</table>", "wide head  z\na  b       c"),
+    ("<table><tr><td colspan=9999>a<td>b<tr><td>c</table>", "a  b\nc"),
+    ("<table><tr><td>p<td><table><tr><td>q<td>longer<tr><td>s<td>t</table><tr><td>u<td>z</table>", "p  q  longer\n   s  t\nu  z"),
+    ("<table><tr><td>" * 10 + "deep<br>er" + "</table>" * 10, "deep\ner"),
+    ("<table><tr><td><td><tr><td>x</table>", "x"),
+])
+def test_cells_keep_their_layout(markup, text):
+    assert html_text.html_to_text(markup) == text
+
+
+class _Words(HTMLParser):
+    """Visible words by the standard library's parser, for pages of plain markup."""
+    HIDDEN = {"script", "style", "template", "head", "title", "noscript", "iframe", "svg", "audio", "video", "canvas", "datalist"}
+
+    def __init__(self):
+        super().__init__()
+        self.words, self.inside = [], []
+
+    def handle_starttag(self, tag, attrs):
+        if tag in self.HIDDEN or (self.inside and tag == self.inside[-1]):
+            self.inside.append(tag)
+
+    def handle_endtag(self, tag):
+        if self.inside and tag == self.inside[-1]:
+            self.inside.pop()
+
+    def handle_data(self, data):
+        if not self.inside:
+            self.words += data.split()
+
+
+def test_pages_hold_the_words_of_a_plain_renderer(spark):
+    """Over all pages of a table: the same visible words, whatever the layout (list marks and rules aside)."""
+    pages = spark.read.parquet("/root/testdata/sf0.001/pages.parquet").collect()
+    odd = re.compile(r"hidden|display|visibility|<details|<dialog|<input|<q[ >]|<object|<select|<svg|<math|<textarea|<rp", re.I)
+    compared = 0
+    for page in pages:
+        if odd.search(page.html or ""):
+            continue  # rules that the plain renderer doesn't know
+        plain = _Words()
+        plain.feed(page.html or "")
+        plain.close()
+        got = [w for line in html_text.html_to_text(page.html).split("\n") for w in re.sub(r"^\s*(?:(?:- |\d+\. )+|----$)", "", line).split()]
+        assert sorted("".join(got)) == sorted("".join(plain.words)), page.page_id
+        compared += 1
+    assert compared > len(pages) / 4
+
+
 # -- toxicity ---------------------------------------------------------------------------------
 def test_block_max_search_equals_brute_force():
     r = np.random.default_rng(6)
