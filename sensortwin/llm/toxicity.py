@@ -222,8 +222,8 @@ class Model:
                     continue
                 vote = self._vote(entries, cosines) if len(entries) else self.rate
                 vote = min(max(vote, 1e-6), 1 - 1e-6)
-                score = 1 / (1 + math.exp(-(self.slope * math.log(vote / (1 - vote)) + self.offset)))
-                out.append((score, list(zip(entries.tolist(), cosines.tolist(), strict=True))))
+                odds = self.slope * math.log(vote / (1 - vote)) + self.offset
+                out.append((1 / (1 + math.exp(-min(max(odds, -30.0), 30.0))), list(zip(entries.tolist(), cosines.tolist(), strict=True))))
         return out
 
     def forget(self) -> None:

@@ -310,6 +310,14 @@ def test_toxicity_of_held_out_documents(spark):
     assert hit >= 0.9 * sum(r.predicted for r in out)                      # precision
 
 
+def test_steep_calibrations_stay_finite():
+    vocabulary = toxicity.Vocabulary({"vile": 1.0})
+    index = toxicity.Index([((0, 1.0),)], np.zeros(1), np.ones(1), [1], 1)
+    for slope in (1e3, -1e3):
+        score = toxicity.Model(vocabulary, index, 0.01, 0.01, slope, 0.0).score_texts(["vile", "kind", ""])
+        assert all(0 <= s <= 1 for s, _ in score) and score[1] == score[2] == (0.01, [])
+
+
 def test_votes_and_scores_equal_a_plain_computation(spark):
     """Scores of the operator against plain cosines, votes and calibration."""
     docs, _ = documents(spark, [(i, prose(i, 50) + (" vile knave" if i % 5 == 0 else "")) for i in range(150)]), None
@@ -324,6 +332,6 @@ def test_votes_and_scores_equal_a_plain_computation(spark):
         yes = sum(model.index.positives[i] / (1.05 - c) for i, c in near)
         every = sum((model.index.positives[i] + model.index.negatives[i]) / (1.05 - c) for i, c in near)
         vote = (yes + model.rate) / (every + 1)
-        want = 1 / (1 + math.exp(-(model.slope * math.log(vote / (1 - vote)) + model.offset)))
+        want = 1 / (1 + math.exp(-min(max(model.slope * math.log(vote / (1 - vote)) + model.offset, -30), 30)))
         assert abs(model.score_texts([r.text])[0][0] - want) < 1e-9 and r.predicted == int(want >= 0.5)
         assert abs(r.evidence[0].cosine - max(c for _, c in near)) < 1e-9
