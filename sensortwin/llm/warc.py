@@ -9,16 +9,17 @@ whole archive.  Each index file holds gzip blocks of ``BLOCK_LINES`` sorted line
 sparse directory (first key, offset and length of every block).  The master table has one row per
 index file with its first key.
 
-Look up: the master and then the file's directory are searched by bisection, only the block is
-fetched, and the record is read by its byte range.
+Look up: every task takes a range of the wanted keys in order.  It reads the master once (one line per index
+file, written as one sorted file beside the index), bisects it for each key, then the directory of the file found,
+fetches only the block, and the record is read by its byte range.
 
 Files are written under a name of the task attempt's own and become part of the archive only by the
 rows the finished task returns, so a lost executor or a second attempt leaves no half record behind.
 
 Nulls and edge cases: null html is an empty payload, a null url an empty target whose key is empty;
 rows without a page id are written too, order after all others and are never the response while an
-id exists; repeated rows are records of their own (of equal ids and payloads one is the response, the
-others revisit that id); pages of an empty table give an archive without files.
+id exists; repeated rows are records of their own (of equal ids and payloads one is the response, which one
+is decided by url and then by order, the others revisit that id); pages of an empty table give an archive without files.
 """
 
 from __future__ import annotations
@@ -33,6 +34,7 @@ from collections.abc import Iterator
 from urllib.parse import urlsplit
 
 import pyarrow as pa
+import pyarrow.parquet as pq
 from pyarrow import fs as pafs
 from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
@@ -136,7 +138,7 @@ def write_archive(pages: DataFrame, folder: str, least: int = 0, id_col: str = "
     again = _repeated(pages, id_col, html_col, least)
     if again is not None:
         plan = plan.join(again, (F.col("page_id") == F.col("aid")) & (F.sha1("payload") == F.col("ad")), "left")
-        nth = F.row_number().over(Window.partitionBy("page_id", "ad").orderBy(F.lit(0)))
+        nth = F.row_number().over(Window.partitionBy("page_id", "ad").orderBy(F.col("url").asc_nulls_last()))
         single = plan.where("aid is null")
         plan = single.select("page_id", "url", "payload", "n", "refers_to").unionByName(
             plan.where("aid is not null").withColumn("nth", nth).select(
@@ -244,38 +246,63 @@ def _row(headers: dict[str, str], block: bytes, key: str) -> dict:
             "record_type": headers["WARC-Type"], "refers_to": int(ref) if ref else None, "payload": block if headers["WARC-Type"] == "response" else None}
 
 
+def _master_file(master: DataFrame) -> str | None:
+    """The master as one sorted Parquet file, by path; none where there is no index file."""
+    one = stored(master.coalesce(1).sortWithinPartitions("first_key", "last_key", "file"), "warc-master-sorted")
+    files = one.inputFiles()
+    return files[0] if files and not one.isEmpty() else None
+
+
+class Master:
+    """The bounds and directories of all index files, in the order of their first keys."""
+
+    def __init__(self, path: str):
+        fs, file = open_store(path)
+        with fs.open_input_file(file) as f:
+            rows = pq.read_table(f).to_pydict()
+        self.first, self.last = rows["first_key"], rows["last_key"]
+        self.where = list(zip(rows["file"], rows["directory_offset"], rows["directory_length"], strict=True))
+
+    def files_for(self, key: str) -> Iterator[tuple[str, int, int]]:
+        """Index files that may hold ``key``, by bisection: the last that starts at or before it, and those before
+        that one which end with it."""
+        at = bisect.bisect_right(self.first, key) - 1
+        while at >= 0 and self.last[at] >= key:
+            yield self.where[at]
+            at -= 1
+
+
 def locate(spark: SparkSession, folder: str, master: DataFrame, keys: DataFrame) -> DataFrame:
-    """Index lines of the wanted ``key`` values.  Each key meets the index files whose key range holds it
-    (the master has one row per file); tasks take ranges of keys of a file in order, bisect the file's
-    directory and read each block they need once."""
+    """Index lines of the wanted ``key`` values; tasks take ranges of keys in order, so each opens few index files and reads
+    each block it needs once."""
     ship(spark)
-    wanted = keys.select("key").distinct()
-    # one row per index file: its bounds make this a range condition of a small known side
-    routed = wanted.join(F.broadcast(master), F.col("key").between(F.col("first_key"), F.col("last_key")))
-    routed = routed.repartitionByRange("file", "key").sortWithinPartitions("file", "key")
+    wanted = keys.select("key").distinct().repartitionByRange("key").sortWithinPartitions("key")
+    top = _master_file(master)
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         fs, root = open_store(folder)
+        files = Master(top) if top else None
         directory, of, block, lines, at = None, None, [], [], None
-        for batch in batches:
+        for batch in batches if files else ():
             hits = []
-            for key, file, off, n in zip(*(batch.column(c).to_pylist() for c in ("key", "file", "directory_offset", "directory_length")), strict=True):
-                path = join_path(root, file)
-                if of != file:
-                    directory, of, at = json.loads(gzip.decompress(read_range(fs, path, off, n))), file, None
-                for place in blocks_for(directory, key):
-                    if at != place:
-                        block = [json.loads(x) for x in gzip.decompress(read_range(fs, path, *place)).splitlines()]
-                        lines, at = [x[0] for x in block], place
-                    hits += block[bisect.bisect_left(lines, key) : bisect.bisect_right(lines, key)]
-                    if len(hits) >= BLOCK_LINES:
-                        yield pa.RecordBatch.from_arrays([pa.array(c, t) for c, t in zip(zip(*hits, strict=True), types, strict=True)], names)
-                        hits = []
+            for key in batch.column("key").to_pylist():
+                for file, off, n in files.files_for(key):
+                    path = join_path(root, file)
+                    if of != file:
+                        directory, of, at = json.loads(gzip.decompress(read_range(fs, path, off, n))), file, None
+                    for place in blocks_for(directory, key):
+                        if at != place:
+                            block = [json.loads(x) for x in gzip.decompress(read_range(fs, path, *place)).splitlines()]
+                            lines, at = [x[0] for x in block], place
+                        hits += block[bisect.bisect_left(lines, key) : bisect.bisect_right(lines, key)]
+                if len(hits) >= BLOCK_LINES:
+                    yield pa.RecordBatch.from_arrays([pa.array(c, t) for c, t in zip(zip(*hits, strict=True), types, strict=True)], names)
+                    hits = []
             if hits:
                 yield pa.RecordBatch.from_arrays([pa.array(c, t) for c, t in zip(zip(*hits, strict=True), types, strict=True)], names)
 
     names, types = ["key", "page_id", "file", "offset", "length"], [pa.string(), pa.int64(), pa.string(), pa.int64(), pa.int64()]
-    return routed.mapInArrow(run, f"key string, page_id long, {_LOCATION}")
+    return wanted.mapInArrow(run, f"key string, page_id long, {_LOCATION}")
 
 
 def lookup(spark: SparkSession, folder: str, master: DataFrame, keys: DataFrame) -> DataFrame:
