@@ -278,6 +278,17 @@ def spans(intervals: list[tuple[int, int]]) -> list[tuple[int, int]]:
     return [(a, b) for a, b in out]
 
 
+def _unions(doc: np.ndarray, start: np.ndarray, end: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+    """The unions of intervals, by document; they come in the order of document and start, touching ones are joined."""
+    if not len(doc):
+        return doc, start, end
+    step = int(end.max()) + 1
+    reach = np.maximum.accumulate(end + doc * step)  # no interval reaches into the next document
+    first = np.r_[True, start[1:] + doc[1:] * step > reach[:-1]]
+    last = np.r_[np.flatnonzero(first)[1:] - 1, len(doc) - 1]
+    return doc[first], start[first], reach[last] - doc[first] * step
+
+
 # -- the operator -----------------------------------------------------------------------------
 _OCCURRENCE = "h long, s long, doc struct<id:{t},d:long>, start long, n int, whole boolean"
 
@@ -291,31 +302,46 @@ def _occurrences(docs: DataFrame, length: int, id_type: str) -> DataFrame:
     ddl = _OCCURRENCE.format(t=id_type)
     schema = to_arrow_schema(T._parse_datatype_string(ddl))
 
+    doc_type = schema.field("doc").type
+    digest = xxhash.xxh3_64_intdigest
+
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
             for part in slices(batch):
-                rows = []
                 texts = {}
                 for i, t in zip(part.column("id").to_pylist(), part.column("text").to_pylist(), strict=True):
                     data = (t or "").encode("utf-8", "surrogatepass")
                     if len(data) >= length:
                         texts[(i is not None, i, digest64(data))] = data  # rows of equal id and text are one
-                seen: set[tuple[int, int]] = set()
-                for (_, i, d), data in sorted(texts.items(), key=lambda x: (x[0][0], x[0][1] if x[0][0] else 0, x[0][2])):
-                    doc, whole = {"id": i, "d": d}, []
+                names = sorted(texts, key=lambda x: (x[0], x[1] if x[0] else 0, x[2]))
+                found = []  # of each document in order: hashes of anchors and snippets, document, starts, numbers of strings
+                for k, name in enumerate(names):
+                    data = texts[name]
                     for h, start, n in anchors(np.frombuffer(data, np.uint8), length):
-                        for x, a, m in zip(h.view(np.int64).tolist(), start.tolist(), n.tolist(), strict=True):
-                            s = xxhash.xxh3_64_intdigest(data[a : a + m + length - 1]) - (1 << 63)
-                            if (x, s) in seen:
-                                whole.append((a, a + m + length - 1))
-                            else:
-                                seen.add((x, s))
-                                rows.append((x, s, doc, a, m, False))
-                    # a key of their own spreads these rows; n is the number of strings again
-                    rows += [(xxhash.xxh3_64_intdigest(f"{i} {d} {a}") - (1 << 63), 0, doc, a, b - a - length + 1, True) for a, b in spans(whole)]
-                for at in range(0, len(rows), 100_000):
-                    cols = zip(*rows[at : at + 100_000], strict=True)
-                    yield pa.RecordBatch.from_arrays([pa.array(c, f.type) for c, f in zip(cols, schema, strict=True)], schema=schema)
+                        ends = start + n + (length - 1)
+                        own = np.fromiter([digest(data[a:b]) for a, b in zip(start.tolist(), ends.tolist(), strict=True)], np.uint64, len(start))
+                        found.append((h, own, np.full(len(start), k), start, n))
+                if not found:
+                    continue
+                h, own, doc, start, n = (np.concatenate(c) for c in zip(*found, strict=True))
+                order = np.lexsort((own, h))  # stable: of equal snippets the earliest comes first
+                new = np.r_[True, (h[order][1:] != h[order][:-1]) | (own[order][1:] != own[order][:-1])]
+                keep, again = np.sort(order[new]), np.sort(order[~new])
+                w_doc, w_start, w_end = _unions(doc[again], start[again], start[again] + n[again] + (length - 1))
+                # a key of their own spreads these rows; n is the number of strings again
+                w_key = np.fromiter([digest(f"{names[k][1]} {names[k][2]} {a}") for k, a in zip(w_doc.tolist(), w_start.tolist(), strict=True)],
+                                    np.uint64, len(w_doc))
+                top = _U(1 << 63)
+                cols = [np.r_[h[keep], w_key - top].view(np.int64), np.r_[own[keep] - top, np.zeros(len(w_doc), np.uint64)].view(np.int64),
+                        np.r_[doc[keep], w_doc], np.r_[start[keep], w_start], np.r_[n[keep], w_end - w_start - length + 1],
+                        np.r_[np.zeros(len(keep), bool), np.ones(len(w_doc), bool)]]
+                ids, digests = pa.array([x[1] for x in names], doc_type.field(0).type), pa.array([x[2] for x in names], pa.int64())
+                for at in range(0, len(cols[0]), 100_000):
+                    x, y, k, a, m, whole = (c[at : at + 100_000] for c in cols)
+                    place = pa.array(k)
+                    struct = pa.StructArray.from_arrays([ids.take(place), digests.take(place)], fields=list(doc_type))
+                    yield pa.RecordBatch.from_arrays([pa.array(x), pa.array(y), struct, pa.array(a, pa.int64()), pa.array(m.astype(np.int32)), pa.array(whole)],
+                                                     schema=schema)
 
     return docs.mapInArrow(run, ddl)
 
