@@ -38,19 +38,19 @@ def queries() -> dict[str, Query]:
     return dict(_REGISTRY)
 
 
-def _q(fn):
+def _q(fn, exact: bool = False):
     """Wrap ``fn(inputs) -> DataFrame`` as a registered-style callable."""
     def run(spark: SparkSession, sf_dir: str) -> DataFrame:
-        return present(fn(Inputs(spark, sf_dir)))
+        return present(fn(Inputs(spark, sf_dir)), exact)
     run.__doc__ = fn.__doc__
     run.__name__ = fn.__name__
     run.__wrapped__ = fn
     return run
 
 
-def _reg(name):
+def _reg(name, exact: bool = False):
     def deco(fn):
-        return register(name)(_q(fn))
+        return register(name)(_q(fn, exact))
     return deco
 
 
@@ -63,7 +63,7 @@ def to_ntz(df: DataFrame) -> DataFrame:
 
 # --- layers and sources -------------------------------------------------------
 
-@_reg("bronze_events")
+@_reg("bronze_events", exact=True)
 def _bronze(t: Inputs):
     """Typed 31-column bronze projection."""
     return t.bronze
@@ -75,7 +75,7 @@ def _bronze_count(t: Inputs):
     return t.bronze.agg(F.count(F.lit(1)).alias("row_count"))
 
 
-@_reg("silver_events")
+@_reg("silver_events", exact=True)
 def _silver(t: Inputs):
     """Cleaned, enriched silver events."""
     return t.silver
@@ -90,7 +90,7 @@ def json_replay_silver(spark: SparkSession, sf_dir: str) -> DataFrame:
     landing = scratch_path(spark, "landing")
     replay_to_landing(t.raw, landing)
     good, _bad = split_corrupt(read_events_batch(spark, landing))
-    return present(to_ntz(to_silver(to_bronze(good))))
+    return present(to_ntz(to_silver(to_bronze(good))), exact=True)
 
 
 # --- gold ---------------------------------------------------------------------
@@ -248,7 +248,7 @@ def _series(t: Inputs):
     return serving.live_series(t.silver)
 
 
-@_reg("event_dedup")
+@_reg("event_dedup", exact=True)
 def _dedup(t: Inputs):
     """D3 (batch)."""
     return serving.dedup_events(t.silver)
@@ -450,7 +450,7 @@ BUSY = ("silver_events", "recent_events", "event_history", "event_feed", "event_
 
 def _register_busy(name: str) -> None:
     def run(spark: SparkSession, sf_dir: str) -> DataFrame:
-        return present(_REGISTRY[name].__wrapped__(BusyInputs(spark, sf_dir)))
+        return present(_REGISTRY[name].__wrapped__(BusyInputs(spark, sf_dir)), exact=name in ("silver_events", "event_dedup"))
     run.__doc__ = f"{_REGISTRY[name].__doc__.splitlines()[0]} (busy half hour)"
     register(f"busy_{name}")(run)
 

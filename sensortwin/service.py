@@ -9,12 +9,13 @@ collect or write the result.  ``as_of`` defaults to the current time, as in the
 from __future__ import annotations
 
 from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import functions as F
 
 from . import config as C
 from .functions import latest_ts, since
 from .operators import alarms, graph, serving, whatif
 from .schemas import SCENARIO_SCHEMA
-from .streaming.pipeline import TwinPaths, read_gold, read_silver
+from .streaming.pipeline import TwinPaths, read_alerts, read_buffer, read_clustered, read_gold, read_silver
 
 
 class TwinService:
@@ -106,6 +107,18 @@ class TwinService:
     def alerts(self) -> DataFrame:
         return alarms.alerts(self.gold_eq(), partitioned=True)
 
+    def alert_board(self) -> DataFrame:
+        """Every machine that ever raised an alarm, with its first one."""
+        return read_alerts(self.spark, self.paths)
+
+    def feed_buffer(self) -> DataFrame:
+        """The newest events of the live feed."""
+        return read_buffer(self.spark, self.paths)
+
+    def machine_events(self, equipment_id: str) -> DataFrame:
+        """All events of one machine, from the clustered copy of silver."""
+        return read_clustered(self.spark, self.paths).where(F.col("equipment_id") == F.lit(equipment_id)).orderBy("event_ts", "event_id")
+
     def equipment_grid(self) -> DataFrame:
         return serving.equipment_grid(self.gold_eq(), partitioned=True)
 

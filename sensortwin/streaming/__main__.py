@@ -1,7 +1,7 @@
 """Run the pipeline continuously: ``python -m sensortwin.streaming --landing L --root R``.
 
-Starts bronze, quarantine, silver and incremental gold as four Structured Streaming
-queries with a processing-time trigger (or drains what has landed with ``--available-now``)
+Starts bronze, quarantine, silver, incremental gold and the live views (first alarms, feed buffer,
+clustered silver) as Structured Streaming queries with a processing-time trigger (or drains what has landed with ``--available-now``)
 and waits.  ``--root`` is the shared folder for tables and checkpoints; the landing
 folder is where event files arrive.
 """
@@ -11,7 +11,10 @@ from __future__ import annotations
 import argparse
 
 from ..session import build_session
-from .pipeline import TwinPaths, run_available, start_bronze, start_gold, start_quarantine, start_silver
+from .pipeline import (TwinPaths, run_available, start_alarms, start_bronze, start_buffer, start_clustered, start_gold, start_quarantine,
+                       start_silver)
+
+LIVE = (start_alarms, start_buffer, start_clustered)
 
 
 def main(argv=None) -> None:
@@ -27,11 +30,12 @@ def main(argv=None) -> None:
     spark = build_session(args.master, app_name="sensortwin-pipeline")
     paths = TwinPaths(args.root, args.landing)
     if args.available_now:
-        run_available(spark, paths)
+        run_available(spark, paths, live=LIVE)
         return
     queries = [start_bronze(spark, paths, args.trigger, args.max_files), start_quarantine(spark, paths, args.trigger),
                start_silver(spark, paths, args.trigger, args.max_files),
-               start_gold(spark, paths, args.trigger, max_files=args.max_files)]
+               start_gold(spark, paths, args.trigger, max_files=args.max_files),
+               *[start(spark, paths, args.trigger) for start in LIVE]]
     try:
         spark.streams.awaitAnyTermination()
     finally:

@@ -27,6 +27,7 @@ from ..operators.layers import to_bronze, to_silver
 from ..session import scratch_path
 from ..schemas import EVENT_SCHEMA
 from ..sources.events import read_events_stream, split_corrupt, with_ingest_metadata
+from . import views
 from .deltas import DeltaTable
 
 BRONZE_SCHEMA = T.StructType(
@@ -225,6 +226,48 @@ def start_gold(spark: SparkSession, paths: TwinPaths, trigger=None, computed_at=
     return _trigger(w, trigger).start()
 
 
+# ---------------------------------------------------------------------------
+# live views beside gold (X6, X7, S9): streams over the stored silver table
+# ---------------------------------------------------------------------------
+
+
+def _silver_to(spark: SparkSession, paths: TwinPaths, name: str, each, trigger, max_files: int | None = None) -> StreamingQuery:
+    src = _file_stream(spark, silver_schema(spark), max_files).parquet(paths.silver)
+    return _trigger(src.writeStream.foreachBatch(each).option("checkpointLocation", paths.ckpt(name)), trigger).start()
+
+
+def start_alarms(spark: SparkSession, paths: TwinPaths, trigger=None) -> StreamingQuery:
+    """Keep the first alarm of each machine."""
+    return _silver_to(spark, paths, "alarms", views.alarms_foreach_batch(paths.path("alarms"), silver_schema(spark)), trigger)
+
+
+def start_buffer(spark: SparkSession, paths: TwinPaths, trigger=None) -> StreamingQuery:
+    """X6 + T8: keep the live feed's newest events."""
+    return _silver_to(spark, paths, "buffer", views.buffer_foreach_batch(paths.path("buffer"), silver_schema(spark)), trigger)
+
+
+def start_clustered(spark: SparkSession, paths: TwinPaths, trigger=None, row_group_bytes: int | None = None) -> StreamingQuery:
+    """Keep a copy of silver laid out by plant, type and machine, for lookups."""
+    each = views.clustered_foreach_batch(paths.path("silver_clustered"), silver_schema(spark), row_group_bytes)
+    return _silver_to(spark, paths, "silver_clustered", each, trigger)
+
+
+def read_alerts(spark: SparkSession, paths: TwinPaths) -> DataFrame:
+    """X7 + K2: the alert board."""
+    first = views.first_alarm_table(spark, paths.path("alarms"), silver_schema(spark)).read()
+    return views.alert_board(first, read_gold(spark, paths, "equipment_metrics"))
+
+
+def read_buffer(spark: SparkSession, paths: TwinPaths) -> DataFrame:
+    """X6 + T8: the live feed's newest events."""
+    return views.buffer_events(views.feed_buffer(spark, paths.path("buffer"), silver_schema(spark)))
+
+
+def read_clustered(spark: SparkSession, paths: TwinPaths) -> DataFrame:
+    """Silver by plant, type and machine."""
+    return views.clustered_table(spark, paths.path("silver_clustered"), silver_schema(spark)).read()
+
+
 def read_gold(spark: SparkSession, paths: TwinPaths, table: str | None = None):
     """The gold tables, merged from their deltas (all as a dict, or one by name); empty until data
     arrives.  Filters on windows, hours and dates reach the scan of the deltas."""
@@ -242,8 +285,9 @@ def read_gold(spark: SparkSession, paths: TwinPaths, table: str | None = None):
 
 
 def run_available(spark: SparkSession, paths: TwinPaths, quarantine: bool = True, gold: bool = True,
-                  tables=GOLD_TABLES) -> None:
-    """Drain everything that has landed: bronze, (quarantine), silver, (gold), in order.
+                  tables=GOLD_TABLES, live: tuple = ()) -> None:
+    """Drain everything that has landed: bronze, (quarantine), silver, (gold and the ``live`` views, such as
+    ``start_alarms``), in order.
 
     Each stage runs with ``availableNow`` and restarts from its checkpoint, so calling
     this after every landing instalment behaves like a continuously running pipeline.
@@ -253,8 +297,10 @@ def run_available(spark: SparkSession, paths: TwinPaths, quarantine: bool = True
     for q in first:
         _await(q)
     _await(start_silver(spark, paths))
-    if gold:
-        _await(start_gold(spark, paths, tables=tables))
+    # gold and the views read silver independently
+    last = [start_gold(spark, paths, tables=tables)] if gold else []
+    for q in last + [start(spark, paths) for start in live]:
+        _await(q)
 
 
 def _await(q: StreamingQuery) -> None:
@@ -286,22 +332,6 @@ def rebuild_all(spark: SparkSession, old: TwinPaths, name: str = "twin",
 # ---------------------------------------------------------------------------
 
 
-def alert_stream(silver: DataFrame, salt_buckets: int = 1) -> DataFrame:
-    """The first alarm row per machine, emitted once (state = number of machines).
-
-    ``salt_buckets > 1`` adds a first dedup on (machine, input partition id mod n), so a
-    machine raising a large share of a micro-batch's alarms is spread over n tasks;
-    state stays bounded by machines x n.
-    """
-    a = (silver.filter(F.col("is_alarm"))
-         .select("equipment_id", "equipment_name", "equipment_type", "line_id", "plant_id", "event_ts",
-                 "alarm_code", "alarm_severity"))
-    if salt_buckets > 1:
-        a = (a.withColumn("_salt", F.pmod(F.spark_partition_id(), F.lit(salt_buckets)))
-             .dropDuplicates(["equipment_id", "_salt"]).drop("_salt"))
-    return a.dropDuplicates(["equipment_id"])
-
-
 DEDUP_KEYS = ("event_ts", "equipment_id", "event_type")
 
 

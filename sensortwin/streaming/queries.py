@@ -19,8 +19,8 @@ from ..operators.gold import batch_yield, equipment_metrics, sustainability_hour
 from ..operators.layers import to_silver
 from ..operators.partials import distinct_estimates
 from . import views
-from .pipeline import (BRONZE_SCHEMA, GOLD_TABLES, TwinPaths, bronze_stream, dedup_foreach_batch, delta_table, live_tail, new_paths, read_gold,
-                       read_or_empty, read_silver, rebuild_all, run_available, silver_schema, silver_stream)
+from .pipeline import (BRONZE_SCHEMA, GOLD_TABLES, TwinPaths, bronze_stream, dedup_foreach_batch, delta_table, live_tail, new_paths, read_alerts,
+                       read_gold, read_or_empty, read_silver, rebuild_all, run_available, silver_schema, silver_stream, start_alarms)
 
 INSTALMENTS = 3
 
@@ -66,16 +66,14 @@ def _in_time_order(raw: DataFrame, n: int = INSTALMENTS) -> list[DataFrame]:
 
 
 def run_pipeline(spark: SparkSession, sf_dir: str, gold: bool = True, tables=GOLD_TABLES, quarantine: bool = False,
-                 after=None) -> TwinPaths:
+                 live: tuple = ()) -> TwinPaths:
     """Replay the whole table in instalments; after each, drain bronze (+ quarantine) + silver, then the
-    deltas of the gold ``tables``, then what ``after(paths)`` runs."""
+    deltas of the gold ``tables`` and the ``live`` views."""
     t = Inputs(spark, sf_dir)
     paths = new_paths(spark, "twin")
     for part in _instalments(t.raw):
         replay_to_landing(part, paths.landing)
-        run_available(spark, paths, quarantine=quarantine, gold=gold, tables=tables)
-        if after:
-            after(paths)
+        run_available(spark, paths, quarantine=quarantine, gold=gold, tables=tables, live=live)
     return paths
 
 
@@ -84,7 +82,7 @@ def stream_silver_events(spark: SparkSession, sf_dir: str) -> DataFrame:
     """X1 + X2 + S3 + S8 + S9: silver (and the quarantine beside it) produced by the chained
     streams."""
     silver = read_silver(spark, run_pipeline(spark, sf_dir, gold=False, quarantine=True))
-    return present(to_ntz(_canonical(silver, _empty_silver(spark))))
+    return present(to_ntz(_canonical(silver, _empty_silver(spark))), exact=True)
 
 
 @register("stream_equipment_metrics")
@@ -115,20 +113,15 @@ def stream_sustainability_hourly(spark: SparkSession, sf_dir: str) -> DataFrame:
 def stream_alerts(spark: SparkSession, sf_dir: str) -> DataFrame:
     """X7 + K2: an alert per machine that ever raised an alarm, with its first alarm and the severity of
     the gold window it fell in; alarms arrive in any order."""
-    def alarms(paths: TwinPaths) -> None:
-        stream = spark.readStream.schema(silver_schema(spark)).parquet(paths.silver)
-        _drain(stream.writeStream.foreachBatch(views.alarms_foreach_batch(paths.path("alarms"), silver_schema(spark))), paths, "alarms")
-
-    paths = run_pipeline(spark, sf_dir, tables=("equipment_metrics",), after=alarms)
-    first = views.first_alarm_table(spark, paths.path("alarms"), silver_schema(spark)).read()
-    return present(to_ntz(views.alert_board(first, read_gold(spark, paths, "equipment_metrics"))))
+    paths = run_pipeline(spark, sf_dir, tables=("equipment_metrics",), live=(start_alarms,))
+    return present(to_ntz(read_alerts(spark, paths)))
 
 
 @register("stream_full_refresh")
 def stream_full_refresh(spark: SparkSession, sf_dir: str) -> DataFrame:
     """The hourly table after a full refresh over the landing files of a pipeline that ran before, a
     few files at a time."""
-    fresh = rebuild_all(spark, run_pipeline(spark, sf_dir, gold=False), max_files=4)
+    fresh = rebuild_all(spark, run_pipeline(spark, sf_dir, gold=False), max_files=200)
     like = sustainability_hourly(_empty_silver(spark))
     return present(to_ntz(_canonical(read_gold(spark, fresh, "sustainability_hourly"), like)))
 
@@ -256,4 +249,4 @@ def stream_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
         s = to_silver(bronze_stream(spark, paths.landing))
         _drain(s.writeStream.foreachBatch(dedup_foreach_batch(out)), paths, "dedup")
     like = _empty_silver(spark)
-    return present(to_ntz(_canonical(read_or_empty(spark, out, silver_schema(spark)), like)))
+    return present(to_ntz(_canonical(read_or_empty(spark, out, silver_schema(spark)), like)), exact=True)

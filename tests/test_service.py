@@ -5,10 +5,11 @@ from __future__ import annotations
 from pyspark.sql import functions as F
 
 from sensortwin.operators import serving
+from sensortwin.operators.alarms import alert_history
 from sensortwin.plans.inputs import Inputs
 from sensortwin.service import TwinService
 from sensortwin.sources.events import replay_to_landing
-from sensortwin.streaming.pipeline import new_paths, run_available
+from sensortwin.streaming.pipeline import new_paths, run_available, start_alarms, start_buffer, start_clustered
 
 from twin_rows import SF_SMALL
 
@@ -21,8 +22,12 @@ def test_service_endpoints(spark):
     t = Inputs(spark, SF_SMALL)
     paths = new_paths(spark, "svc")
     replay_to_landing(t.raw, paths.landing, files=2)
-    run_available(spark, paths)
+    run_available(spark, paths, live=(start_alarms, start_buffer, start_clustered))
     svc = TwinService(spark, paths, registry=t.registry)
+    assert _ids(svc.alert_board()) == _ids(alert_history(t.gold_eq))
+    assert svc.feed_buffer().count() == 300
+    one = t.registry.first().equipment_id
+    assert svc.machine_events(one).count() == t.silver.where(F.col("equipment_id") == one).count()
 
     assert _ids(svc.equipment_metrics()) == _ids(serving.latest_equipment_metrics(t.gold_eq))
     assert svc.equipment_reference().count() == t.registry.count()
