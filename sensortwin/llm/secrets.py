@@ -25,12 +25,13 @@ from __future__ import annotations
 import hashlib
 import math
 import re
-from collections.abc import Iterable
+from collections.abc import Iterable, Iterator
 from dataclasses import dataclass
 
+import pyarrow as pa
 from pyspark.sql import DataFrame
 
-from sensortwin.llm.common import map_rows, texts_of
+from sensortwin.llm.common import map_rows, ship, slices, texts_of
 
 BASE_KINDS = ("assign", "access", "hex")
 _NAMES = ("password", "passwd", "secret", "token", "apikey", "api_key")
@@ -197,17 +198,25 @@ def digest(found: DataFrame, id_col: str = "doc_id") -> DataFrame:
 def redact(docs: DataFrame, mark: str = "[secret]", text_col: str = "text") -> DataFrame:
     """The documents with every span replaced by ``mark``; overlapping spans become one mark.  All
     columns stay as they are but for the text and, where present, ``n_chars``; a null text stays null."""
-    from pyspark.sql import functions as F
-    from pyspark.sql.functions import pandas_udf
+    ship(docs.sparkSession)
+    place = docs.columns.index(text_col)
+    counted = docs.columns.index("n_chars") if "n_chars" in docs.columns else None
 
-    @pandas_udf("string")
-    def clean(texts):
-        return texts.map(lambda t: _redact(t, mark), na_action="ignore")
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            for part in slices(batch, SLICE_BYTES):
+                texts = [None if t is None else _redact(t, mark) for t in part.column(place).to_pylist()]
+                columns = list(part.columns)
+                columns[place] = pa.array(texts, part.schema.field(place).type)
+                if counted is not None:
+                    columns[counted] = pa.array([None if t is None else len(t) for t in texts], pa.int64()).cast(part.schema.field(counted).type)
+                yield pa.RecordBatch.from_arrays(columns, schema=part.schema)
 
-    out = docs.withColumn(text_col, clean(F.col(text_col)))
-    return out.withColumn("n_chars", F.length(text_col).cast(docs.schema["n_chars"].dataType)) if "n_chars" in docs.columns else out
+    return docs.mapInArrow(run, docs.schema)
 
 
+#: Bytes of documents redacted at once.
+SLICE_BYTES = 4 << 20
 _DEFAULT = Scanner()
 
 

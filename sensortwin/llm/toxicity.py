@@ -87,15 +87,19 @@ class Vocabulary:
     def count(self, text: str) -> Counter:
         """How often each chosen term occurs."""
         out: Counter = Counter()
-        known = self.known
-        if len(known) > 100_000:
+        known, number = self.known, self.number
+        if len(known) > 300_000:
             known.clear()
-        for w in words(text):
-            got = known.get(w)
+        most = _PREFIXES[-1]
+        for w, n in Counter(words(text)).items():
+            head = w[:most]  # all of a word's beginnings
+            got = known.get(head)
             if got is None:
-                got = known[w] = tuple(self.number[t] for t in terms_of(w) if t in self.number)
-            if got:
-                out.update(got)
+                got = known[head] = tuple(number[t] for t in terms_of(head)[1:] if t in number)
+            for t in got:
+                out[t] += n
+            if (whole := number.get(w)) is not None:
+                out[whole] += n
         return out
 
     def vector(self, counts: Counter) -> tuple[tuple[int, float], ...]:
@@ -337,7 +341,7 @@ def fit(docs: DataFrame, labels: DataFrame, max_examples: int = MAX_EXAMPLES, ma
             entries, ys = batch.column("entry").to_pylist(), batch.column("y").to_pylist()
             return {"vote": fitted.value.votes_left_out(entries, ys), "y": ys, "c": batch.column("c")}
 
-        votes = map_rows(rows, left_out, "vote double, y int, c long").groupBy(
+        votes = map_rows(rows, left_out, "vote double, y int, c long", done=lambda: fitted.value.forget()).groupBy(
             F.round("vote", 3).alias("vote")).agg(F.sum("c").alias("c"), F.sum(F.col("c") * F.col("y")).alias("p")).orderBy("vote").collect()
         model.slope, model.offset = calibration(
             *(np.array(x, float) for x in ([v["vote"] for v in votes], [v["p"] / v["c"] for v in votes], [v["c"] for v in votes])))
