@@ -2,6 +2,8 @@
 
 from __future__ import annotations
 
+import hashlib
+
 import duckdb
 import pytest
 
@@ -32,3 +34,28 @@ def test_query_equals_its_sql(spark, name):
     assert sorted(df.columns) == sorted(rel.columns)
     want = sorted(tuple(r) for r in rel.select(*[duckdb.ColumnExpression(c) for c in df.columns]).fetchall())
     assert sorted(tuple(r) for r in df.collect()) == want
+
+
+def test_fingerprint_likeness_of_the_query_is_near_exact_jaccard(spark):
+    """op5: edited texts by plain slicing, near_edited and near_next against exact 5-word Jaccard."""
+    texts = {r.doc_id: r.text or "" for r in spark.read.parquet(f"{SF}/documents.parquet").collect()}
+    order = sorted(texts, reverse=True)
+    following = dict(zip(order, order[1:] + order[:1], strict=True))
+
+    def shingles(t):
+        w = t.lower().split()
+        return set(zip(*[w[k:] for k in range(5)])) or ({tuple(w)} if w else set())
+
+    def jaccard(a, b):
+        a, b = shingles(a), shingles(b)
+        return 1.0 if a == b else len(a & b) / len(a | b)
+
+    errors = []
+    for r in queries.queries()["op5_fingerprints"](spark, SF).collect():
+        t, after = texts[r.doc_id], texts[following[r.doc_id]]
+        half = len(t) // 2
+        head = after[:half]
+        edited = t[: len(t) - half] + head
+        assert r.edited_sha256 == hashlib.sha256(edited.encode()).hexdigest() and r.n_chars == len(t)
+        errors += [abs(r.near_edited - jaccard(t, edited)), abs(r.near_next - jaccard(t, after))]
+    assert sum(errors) / len(errors) < 0.04 and max(errors) < 0.2
