@@ -51,6 +51,12 @@ def graph_nodes(registry: DataFrame, gold_eq: DataFrame, gold_batch: DataFrame,
     return nodes.select(*NODE_COLUMNS)
 
 
+def node_ids(registry: DataFrame, gold_batch: DataFrame, n: int | None = C.GRAPH_BATCHES) -> DataFrame:
+    """The ids of :func:`graph_nodes` alone: machines by the registry and the listed batches, without the nodes' metrics."""
+    b = gold_batch if n is None else newest_batches(gold_batch.select("batch_id", "plant_id", "batch_first_seen"), n)
+    return registry.select(F.col("equipment_id").alias("id")).union(b.select("batch_id"))
+
+
 def graph_edges(silver: DataFrame, as_of=None, hours: int = C.GRAPH_EDGE_HOURS,
                 n: int | None = C.GRAPH_EDGE_LIMIT) -> DataFrame:
     """A5 + K9 + T5: batch -> machine event counts of the last ``hours``, top ``n`` (the page's
@@ -72,7 +78,7 @@ def graph_edges(silver: DataFrame, as_of=None, hours: int = C.GRAPH_EDGE_HOURS,
 
 def _endpoints(edges: DataFrame, nodes: DataFrame) -> DataFrame:
     """Edges with flags for listed endpoints: two left joins to the *distinct* node ids (no
-    fan-out), so the edge list is computed once."""
+    fan-out), so the edge list is computed once.  Only the ids of ``nodes`` are used (:func:`node_ids`)."""
     ids = nodes.select(F.col("id").alias("_nid")).distinct()
     src = ids.select(F.col("_nid").alias("_sid"), F.lit(True).alias("source_known"))
     tgt = ids.select(F.col("_nid").alias("_tid"), F.lit(True).alias("target_known"))

@@ -309,13 +309,13 @@ def _graph_edges(t: Inputs):
 @_reg("graph_edges_resolved")
 def _graph_resolved(t: Inputs):
     """Edges whose endpoints are both listed."""
-    return graph.resolve_edges(_edges(t), _nodes(t))
+    return graph.resolve_edges(_edges(t), graph.node_ids(t.registry, t.gold_batch))
 
 
 @_reg("graph_dangling_edges")
 def _graph_dangling(t: Inputs):
     """Edges with an unlisted endpoint, flagged."""
-    return graph.dangling_edges(_edges(t), _nodes(t))
+    return graph.dangling_edges(_edges(t), graph.node_ids(t.registry, t.gold_batch))
 
 
 @_reg("graph_stats")
