@@ -318,10 +318,13 @@ def _components(docs: DataFrame, rows: DataFrame, n: int, bands: Bands, seed: in
     sets = _sets(docs, names, nodes, n, seed)
     both = F.size(F.array_intersect("s", "r"))
     t = bands.t
-    checked = stored(
-        star.join(sets.select(F.col("node").alias("x"), F.col("set").alias("s")), "x")
-        .join(sets.select(F.col("node").alias("y"), F.col("set").alias("r")), "y")
-        .select("x", "y", (both * t.denominator >= t.numerator * (F.size("s") + F.size("r") - both)).alias("linked")), "ngram-checked")
+    # sizes alone rule out most pairs; only the sets of the others are sent
+    sized = star.join(names.select(F.col("node").alias("x"), F.col("m").alias("mx")), "x").join(names.select(F.col("node").alias("y"), F.col("m").alias("my")), "y")
+    sized = stored(sized.select("x", "y", (F.least("mx", "my") * t.denominator >= F.greatest("mx", "my") * t.numerator).alias("near")), "ngram-sizes")
+    verified = (sized.where("near").join(sets.select(F.col("node").alias("x"), F.col("set").alias("s")), "x")
+                .join(sets.select(F.col("node").alias("y"), F.col("set").alias("r")), "y")
+                .select("x", "y", (both * t.denominator >= t.numerator * (F.size("s") + F.size("r") - both)).alias("linked")))
+    checked = stored(verified.union(sized.where("not near").select("x", "y", F.lit(False).alias("linked"))), "ngram-checked")
     label = stored(components(checked.where("linked"), "x", "y"), "ngram-label")
 
     # 2. components that failed pairs connect
