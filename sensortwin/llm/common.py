@@ -11,7 +11,8 @@ from collections.abc import Callable, Iterator
 from pathlib import Path
 
 import pyarrow as pa
-from pyspark.sql import DataFrame, SparkSession
+from pyarrow import fs as pafs
+from pyspark.sql import DataFrame, DataFrameWriter, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
@@ -32,13 +33,27 @@ def stored(df: DataFrame, name: str) -> DataFrame:
     shuffle files go with its end, as nothing else reads them."""
     spark = df.sparkSession
     path = scratch_path(spark, f"llm-{name}")
+    write_once(df.write, spark, path)
+    return spark.read.schema(df.schema).parquet(path)
+
+
+def write_once(writer: DataFrameWriter, spark: SparkSession, path: str) -> None:
+    """Write Parquet to ``path``; the shuffle files of the write are removed when it ends."""
     before = spark.conf.get(_CLEANUP, None)
     spark.conf.set(_CLEANUP, "true")
     try:
-        df.write.parquet(path)
+        writer.parquet(path)
     finally:
         spark.conf.unset(_CLEANUP) if before is None else spark.conf.set(_CLEANUP, before)
-    return spark.read.schema(df.schema).parquet(path)
+
+
+def open_store(uri: str) -> tuple[pafs.FileSystem, str]:
+    """File system and path of a folder, by URI or local path."""
+    if "://" not in uri and not uri.startswith("file:"):
+        return pafs.LocalFileSystem(), uri
+    if uri.startswith("file:"):
+        return pafs.LocalFileSystem(), "/" + uri[5:].lstrip("/")
+    return pafs.FileSystem.from_uri(uri)
 
 
 def ship(spark: SparkSession) -> None:

@@ -45,11 +45,14 @@ from fractions import Fraction
 
 import numpy as np
 import pyarrow as pa
+import pyarrow.parquet as pq
 import xxhash
+from pyarrow import fs as pafs
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
-from sensortwin.llm.common import components, map_rows, ship, slices, stored
+from sensortwin.llm.common import components, join_path, map_rows, open_store, ship, slices, stored, write_once
+from sensortwin.session import scratch_path
 
 #: Words of a sketch beyond the largest difference, as a share of it: so many empty words do no harm.
 SPARE = 0.1
@@ -239,16 +242,38 @@ def _sets(docs: DataFrame, names: DataFrame, wanted: DataFrame, n: int, seed: in
     return stored(map_rows(picked, run, "node long, set array<long>").dropDuplicates(["node"]), "ngram-sets")
 
 
-def _compare(bands: Bands):
-    """Links between different components among the sets of two chunks of a group."""
+def _read_chunk(fs, root: str, chunk: int) -> pa.Table:
+    """(node, label, set) of one chunk."""
+    files = [f.path for f in fs.get_file_info(pafs.FileSelector(join_path(root, f"chunk={chunk}"))) if f.base_name.endswith(".parquet")]
+    return pa.concat_tables([pq.ParquetFile(fs.open_input_file(f)).read(["node", "label", "set"]) for f in sorted(files)])
+
+
+def _compare(bands: Bands, folder: str):
+    """Links between different components among the sets of two chunks, which the task reads from ``folder``."""
+    link = _linker(bands)
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        fs, root = open_store(folder)
+        for batch in batches:
+            for a, b in zip(batch.column("a").to_pylist(), batch.column("b").to_pylist(), strict=True):
+                one = _read_chunk(fs, root, a)
+                two = one.slice(0, 0) if a == b else _read_chunk(fs, root, b)
+                yield from link(pa.concat_tables([one, two]), np.r_[np.full(len(one), 2 if a == b else 0), np.ones(len(two), np.int64)]).to_batches()
+
+    return run
+
+
+def _linker(bands: Bands):
     schema = pa.schema([("a", pa.int64()), ("b", pa.int64())])
     width = 2048  # bits of the sketch that sorts out pairs before the exact check
     c, t = float(bands.c), float(bands.t)
 
-    def run(table: pa.Table) -> pa.Table:
-        side = table.column("side").to_numpy()
+    def run(table: pa.Table, side: np.ndarray) -> pa.Table:
+        """``side``: 2 for a group or chunk compared with itself, else 0 and 1 for the two chunks."""
         label = table.column("label").to_pylist()
-        sets = [np.asarray(x, np.int64) for x in table.column("set").to_pylist()]
+        lists = table.column("set").combine_chunks()
+        flat, ends = lists.flatten().to_numpy(zero_copy_only=False), np.cumsum(np.r_[0, lists.value_lengths().to_numpy(zero_copy_only=False)])
+        sets = [flat[x:y] for x, y in zip(ends, ends[1:], strict=False)]
         size = np.array([len(s) for s in sets])
         bits = np.zeros((len(sets), width), np.uint8)
         for i, s in enumerate(sets):
@@ -348,6 +373,14 @@ def _closed(sets: DataFrame, nodes: DataFrame, label: DataFrame, failed: DataFra
     # linked sets lie in the same size cell or in neighbouring ones (cells grow by 1/t)
     cell = F.floor(F.log("m") / math.log(1 / bands.t) + 1e-9).cast("int")
     member = stored(member.withColumn("z", cell), "ngram-sized")
+    # a group that one task can hold is sent to it whole; larger ones are cut into chunks
+    total = member.groupBy("g").agg(((F.count("*") <= CHUNK) & (F.sum("m") <= CHUNK_SHINGLES)).alias("small"))
+    member = stored(member.join(total, "g"), "ngram-grouped")
+    whole = _linker(bands)
+    small = member.where("small").select("g", "node", "label").join(sets, "node").select("g", "label", "set").groupBy("g").applyInArrow(
+        lambda group: whole(group, np.full(len(group), 2)), "a long, b long")
+    small = stored(small, "ngram-small")
+    member = member.where("not small").drop("small")
     # members of a component of a chunk or more form chunks of that component alone ("pure", never
     # compared with each other); the rest of the group shares mixed chunks
     sizes = member.groupBy("g", "label").count().where(F.col("count") >= CHUNK)
@@ -363,15 +396,17 @@ def _closed(sets: DataFrame, nodes: DataFrame, label: DataFrame, failed: DataFra
     # pairs of chunks, not of members
     tasks = a.join(b, "g").where((order_a <= order_b) & (F.abs(F.col("za") - F.col("zb")) <= 1)
                                  & (F.col("pa").isNull() | ~F.col("pa").eqNullSafe(F.col("pb"))))
-    tasks = tasks.withColumn("task", F.xxhash64("g", "pa", "za", "ca", "pb", "zb", "cb")).withColumn("same", order_a == order_b)
-    one = tasks.select(F.col("g").alias("tg"), F.col("pa").alias("tp"), F.col("za").alias("tz"), F.col("ca").alias("tc"), "task",
-                       F.when(F.col("same"), 2).otherwise(0).alias("side"))
-    two = tasks.where("not same").select(F.col("g").alias("tg"), F.col("pb").alias("tp"), F.col("zb").alias("tz"), F.col("cb").alias("tc"),
-                                         "task", F.lit(1).alias("side"))
-    sent = member.join(one.union(two), (F.col("g") == F.col("tg")) & F.col("pure").eqNullSafe(F.col("tp")) & (F.col("z") == F.col("tz"))
-                       & (F.col("c") == F.col("tc"))).select("task", "side", "node", "label")
-    links = sent.join(sets, "node").groupBy("task").applyInArrow(_compare(bands), "a long, b long")
-    found = stored(links.distinct(), "ngram-links")
+    # sets of large groups are written once, by chunk, and read by the tasks that compare them: no copies per pair of chunks
+    def chunk_id(*parts: str):
+        return F.xxhash64("g", *parts)
+
+    spark = sets.sparkSession
+    folder = scratch_path(spark, "llm-ngram-chunks")
+    placed = member.select(chunk_id("pure", "z", "c").alias("chunk"), "node", "label").join(sets, "node").repartition("chunk")
+    write_once(placed.select("node", "label", "set", "chunk").write.partitionBy("chunk"), spark, folder)
+    pairs = stored(tasks.select(chunk_id("pa", "za", "ca").alias("a"), chunk_id("pb", "zb", "cb").alias("b")).distinct(), "ngram-tasks")
+    links = pairs.repartition("a", "b").mapInArrow(_compare(bands, folder), "a long, b long")
+    found = stored(links.union(small).distinct(), "ngram-links")
     merged = components(found)
     out = label.join(merged.select(F.col("node").alias("root"), F.col("root").alias("top")), "root", "left").select(
         "node", F.coalesce("top", "root").alias("root"))
