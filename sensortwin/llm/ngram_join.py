@@ -18,10 +18,12 @@ before the shuffle, so a hot key sends one row per batch; after it every id is p
 smallest id only (a star).  Then
   1. star pairs are verified exactly on the sets, and the links found give components;
   2. linked sets of which no star pair shows the link still share a key, hence a chain of star pairs.
-     Components that failed star pairs connect form groups; inside a group the sets of *different*
-     components are compared, in tasks of two bounded chunks, by sketch distance and then exactly,
-     and only links that join two components leave the task.  Sets that one component already holds
-     are never compared with each other again.
+     Components that failed star pairs connect form groups; inside a group the sketches of *different*
+     components are compared, in tasks of two bounded chunks.  The sets near enough to one of another
+     component are then compared exactly in such tasks, and only links that join two components leave
+     the task.  Sets that one component already holds are never compared with each other again.
+Sets move for pairs whose sketches (``WIDTH`` bits) are near enough only, and intermediate tables go once
+the components are known.
 This finds the exact components; no cap, sample or prefix is involved.
 
 A set is a node of the graph, named by a 64-bit hash of its shingles that is proven to name one set only
@@ -51,7 +53,7 @@ from pyarrow import fs as pafs
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
-from sensortwin.llm.common import components, join_path, map_rows, open_store, ship, slices, stored, write_once
+from sensortwin.llm.common import Scratch, components, join_path, map_rows, open_store, ship, slices, stored, write_once
 from sensortwin.session import scratch_path
 
 #: Words of a sketch beyond the largest difference, as a share of it: so many empty words do no harm.
@@ -61,6 +63,10 @@ SKETCHES = 4
 #: Sets of a group, and their shingles, that one task compares with as many others.
 CHUNK = 1024
 CHUNK_SHINGLES = 1_000_000
+#: Bits of the sketch that sorts out pairs before their sets are sent.
+WIDTH = 2048
+#: Comparisons of two chunks for each task that makes them, and the most tasks.
+CHUNK_PAIRS, MOST_TASKS = 4, 10_000
 #: Ids (8 bytes each) up to which the documents whose sets are compared are picked by a broadcast.
 BROADCAST_IDS = 2_000_000
 #: Parts over which the rows of one set are spread when they learn their component.
@@ -223,63 +229,98 @@ def _star_rows(docs: DataFrame, n: int, bands: Bands, seed: int) -> DataFrame:
     return docs.select("text").mapInArrow(run, "key long, node long, tied long")
 
 
-def _sets(docs: DataFrame, names: DataFrame, wanted: DataFrame, n: int, seed: int) -> DataFrame:
-    """(node, set) of the wanted nodes, written once.  The documents are picked by the id that names each node; those
-    without an id are all looked at."""
+def parity(s: np.ndarray) -> np.ndarray:
+    """The set's sketch in ``WIDTH`` bits: two of them differ in no more bits than their sets in shingles."""
+    x = mix(s) & _U(WIDTH - 1)
+    return np.packbits((np.bincount(x.astype(np.int64), minlength=WIDTH) & 1).astype(np.uint8)).view(np.int64)
+
+
+def _of_nodes(docs: DataFrame, names: DataFrame, wanted: DataFrame, n: int, seed: int, held: Scratch, column: str, value) -> DataFrame:
+    """(node, ``value`` of its set) of the wanted nodes, written once.  The documents are picked by the id that names
+    each node; those without an id are all looked at."""
 
     def run(batch):
         out: dict[int, np.ndarray] = {}
         for t in batch.column("text").to_pylist():
             s = shingles(t, n)
-            if len(s):
-                out.setdefault(set_name(s, seed)[0], s.view(np.int64))
-        return {"node": list(out), "set": list(out.values())} if out else None
+            if len(s) and (node := set_name(s, seed)[0]) not in out:
+                out[node] = value(s)
+        return {"node": list(out), column: list(out.values())} if out else None
 
-    ids = stored(names.join(wanted, "node").where("id is not null").select("id").distinct(), "ngram-wanted")
+    wanted = held.stored(wanted.distinct(), "ngram-asked")
+    ids = held.stored(names.join(wanted, "node").where("id is not null").select("id").distinct(), "ngram-wanted")
     if ids.count() <= BROADCAST_IDS:
         ids = F.broadcast(ids)
     picked = docs.join(ids, "id", "left_semi").select("text").union(docs.where("id is null").select("text"))
-    return stored(map_rows(picked, run, "node long, set array<long>").dropDuplicates(["node"]), "ngram-sets")
+    rows = map_rows(picked, run, f"node long, {column} array<long>").join(wanted, "node", "left_semi")
+    return held.stored(rows.dropDuplicates(["node"]), f"ngram-{column}")
+
 
+def _sets(docs: DataFrame, names: DataFrame, wanted: DataFrame, n: int, seed: int, held: Scratch) -> DataFrame:
+    return _of_nodes(docs, names, wanted, n, seed, held, "set", lambda s: s.view(np.int64))
 
-def _read_chunk(fs, root: str, chunk: int) -> pa.Table:
-    """(node, label, set) of one chunk."""
+
+def _read_chunk(fs, root: str, chunk: int, column: str) -> pa.Table:
+    """(node, label, m, value) of one chunk."""
     files = [f.path for f in fs.get_file_info(pafs.FileSelector(join_path(root, f"chunk={chunk}"))) if f.base_name.endswith(".parquet")]
-    return pa.concat_tables([pq.ParquetFile(fs.open_input_file(f)).read(["node", "label", "set"]) for f in sorted(files)])
+    return pa.concat_tables([pq.ParquetFile(fs.open_input_file(f)).read(["node", "label", "m", column]) for f in sorted(files)])
 
 
-def _compare(bands: Bands, folder: str):
-    """Links between different components among the sets of two chunks, which the task reads from ``folder``."""
-    link = _linker(bands)
+def _compare(check, folder: str, column: str):
+    """What ``check`` finds among the rows of two chunks, which the task reads from ``folder``."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         fs, root = open_store(folder)
         for batch in batches:
             for a, b in zip(batch.column("a").to_pylist(), batch.column("b").to_pylist(), strict=True):
-                one = _read_chunk(fs, root, a)
-                two = one.slice(0, 0) if a == b else _read_chunk(fs, root, b)
-                yield from link(pa.concat_tables([one, two]), np.r_[np.full(len(one), 2 if a == b else 0), np.ones(len(two), np.int64)]).to_batches()
+                one = _read_chunk(fs, root, a, column)
+                two = one.slice(0, 0) if a == b else _read_chunk(fs, root, b, column)
+                yield from check(pa.concat_tables([one, two]), np.r_[np.full(len(one), 2 if a == b else 0), np.ones(len(two), np.int64)]).to_batches()
+
+    return run
+
+
+def _partners(side: np.ndarray) -> Iterator[tuple[int, np.ndarray]]:
+    """Each row with those it is compared with.  ``side``: 2 for a group or chunk compared with itself, else 0 and 1
+    for the two chunks."""
+    right = np.nonzero(side == 1)[0]
+    for i in np.nonzero(side != 1)[0]:
+        others = np.arange(i + 1, len(side)) if side[i] == 2 else right
+        if len(others):
+            yield i, others
+
+
+def _likely(bands: Bands):
+    """Nodes whose sketch is near enough to that of a node of another component."""
+    schema = pa.schema([("node", pa.int64())])
+    far, all_ = bands.t.denominator - bands.t.numerator, bands.t.denominator + bands.t.numerator
+
+    def run(table: pa.Table, side: np.ndarray) -> pa.Table:
+        node, label, size = (table.column(c).to_numpy() for c in ("node", "label", "m"))
+        words = table.column("bits").combine_chunks().flatten().to_numpy(zero_copy_only=False).view(np.uint64).reshape(len(table), WIDTH // 64)
+        found = np.zeros(len(table), bool)
+        for i, others in _partners(side):
+            others = others[label[others] != label[i]]
+            near = others[np.bitwise_count(words[others] ^ words[i]).sum(1, dtype=np.int64) * all_ <= (size[others] + size[i]) * far]
+            if len(near):
+                found[near] = found[i] = True
+        return pa.Table.from_arrays([pa.array(node[found], pa.int64())], schema=schema)
 
     return run
 
 
 def _linker(bands: Bands):
+    """Links between different components."""
     schema = pa.schema([("a", pa.int64()), ("b", pa.int64())])
-    width = 2048  # bits of the sketch that sorts out pairs before the exact check
     c, t = float(bands.c), float(bands.t)
 
     def run(table: pa.Table, side: np.ndarray) -> pa.Table:
-        """``side``: 2 for a group or chunk compared with itself, else 0 and 1 for the two chunks."""
         label = table.column("label").to_pylist()
         lists = table.column("set").combine_chunks()
         flat, ends = lists.flatten().to_numpy(zero_copy_only=False), np.cumsum(np.r_[0, lists.value_lengths().to_numpy(zero_copy_only=False)])
         sets = [flat[x:y] for x, y in zip(ends, ends[1:], strict=False)]
         size = np.array([len(s) for s in sets])
-        bits = np.zeros((len(sets), width), np.uint8)
-        for i, s in enumerate(sets):
-            x = mix(s.view(np.uint64))
-            bits[i] = np.bincount((x & _U(width - 1)).astype(np.int64), minlength=width) & 1
-        words = np.packbits(bits, axis=1).view(np.uint64)
+        words = np.array([parity(s.view(np.uint64)) for s in sets]).view(np.uint64)
         up = {x: x for x in label}
 
         def find(x):
@@ -288,12 +329,7 @@ def _linker(bands: Bands):
             return x
 
         links = []
-        left = np.nonzero(side != 1)[0]
-        for i in left:
-            # a chunk with itself: later rows only; else the other chunk
-            others = np.arange(i + 1, len(sets)) if side[i] == 2 else np.nonzero(side == 1)[0]
-            if not len(others):
-                continue
+        for i, others in _partners(side):
             least, most = np.minimum(size[others], size[i]), np.maximum(size[others], size[i])
             others = others[least * bands.t.denominator >= bands.t.numerator * most]
             apart = np.bitwise_count(words[others] ^ words[i]).sum(1, dtype=np.int64)
@@ -330,88 +366,114 @@ def join(docs: DataFrame, n: int = 5, similarity: float | Fraction = Fraction(8,
 
 def _components(docs: DataFrame, rows: DataFrame, n: int, bands: Bands, seed: int) -> DataFrame:
     """(node, root, component_id) of every node: the component's own name and its smallest id."""
-    names = stored(rows.where("node is not null").groupBy("node").agg(F.min("id").alias("id"), F.max("n_shingles").alias("m")), "ngram-names")
+    held = Scratch(docs.sparkSession)
+    names = held.stored(rows.where("node is not null").groupBy("node").agg(F.min("id").alias("id"), F.max("n_shingles").alias("m")), "ngram-names")
 
     # star pairs of sketch keys, between nodes
     keyed = _star_rows(docs, n, bands, seed)
     star = keyed.withColumn("lead", F.min(F.when(F.col("tied").isNull(), F.col("node"))).over(Window.partitionBy("key"))).select(
         F.col("node").alias("x"), F.coalesce("tied", "lead").alias("y")).where("x != y")
-    star = stored(star.select(F.greatest("x", "y").alias("x"), F.least("x", "y").alias("y")).distinct(), "ngram-star")
+    star = held.stored(star.select(F.greatest("x", "y").alias("x"), F.least("x", "y").alias("y")).distinct(), "ngram-star")
 
-    # 1. exact check of the star pairs; a pair of nodes costs one set on either side
-    nodes = stored(star.select(F.col("x").alias("node")).union(star.select(F.col("y").alias("node"))).distinct(), "ngram-nodes")
-    sets = _sets(docs, names, nodes, n, seed)
-    both = F.size(F.array_intersect("s", "r"))
+    # 1. exact check of the star pairs.  Sizes alone rule out some, sketches nearly all others that fail: only the sets
+    # of pairs that may be linked are sent
+    nodes = held.stored(star.select(F.col("x").alias("node")).union(star.select(F.col("y").alias("node"))).distinct(), "ngram-nodes")
+    bits = _of_nodes(docs, names, nodes, n, seed, held, "bits", parity)
     t = bands.t
-    # sizes alone rule out most pairs; only the sets of the others are sent
     sized = star.join(names.select(F.col("node").alias("x"), F.col("m").alias("mx")), "x").join(names.select(F.col("node").alias("y"), F.col("m").alias("my")), "y")
-    sized = stored(sized.select("x", "y", (F.least("mx", "my") * t.denominator >= F.greatest("mx", "my") * t.numerator).alias("near")), "ngram-sizes")
-    verified = (sized.where("near").join(sets.select(F.col("node").alias("x"), F.col("set").alias("s")), "x")
+    near = F.least("mx", "my") * t.denominator >= F.greatest("mx", "my") * t.numerator
+    sized = held.stored(sized.withColumn("near", near), "ngram-sizes")
+    apart = F.aggregate(F.zip_with("bx", "by", lambda a, b: F.bit_count(a.bitwiseXOR(b))), F.lit(0), lambda total, one: total + one)
+    near = apart * (t.denominator + t.numerator) <= (F.col("mx") + F.col("my")) * (t.denominator - t.numerator)
+    close = (sized.where("near").join(bits.select(F.col("node").alias("x"), F.col("bits").alias("bx")), "x")
+             .join(bits.select(F.col("node").alias("y"), F.col("bits").alias("by")), "y").select("x", "y", near.alias("near")))
+    close = held.stored(close.union(sized.where("not near").select("x", "y", "near")), "ngram-close")
+    maybe = close.where("near")
+    sets = _sets(docs, names, maybe.select(F.col("x").alias("node")).union(maybe.select(F.col("y").alias("node"))), n, seed, held)
+    both = F.size(F.array_intersect("s", "r"))
+    verified = (maybe.join(sets.select(F.col("node").alias("x"), F.col("set").alias("s")), "x")
                 .join(sets.select(F.col("node").alias("y"), F.col("set").alias("r")), "y")
                 .select("x", "y", (both * t.denominator >= t.numerator * (F.size("s") + F.size("r") - both)).alias("linked")))
-    checked = stored(verified.union(sized.where("not near").select("x", "y", F.lit(False).alias("linked"))), "ngram-checked")
-    label = stored(components(checked.where("linked"), "x", "y"), "ngram-label")
+    checked = held.stored(verified.union(close.where("not near").select("x", "y", F.lit(False).alias("linked"))), "ngram-checked")
+    label = held.stored(components(checked.where("linked"), "x", "y"), "ngram-label")
 
     # 2. components that failed pairs connect
     failed = checked.where("not linked").select("x", "y")
     for side in ("x", "y"):
         failed = failed.join(label.select(F.col("node").alias(side), "root"), side, "left").withColumn(
             side, F.coalesce("root", side)).drop("root")
-    failed = stored(failed.where("x != y").distinct(), "ngram-failed")
+    failed = held.stored(failed.where("x != y").distinct(), "ngram-failed")
     if not failed.isEmpty():
-        label = stored(_closed(sets, names.join(nodes, "node", "left_semi"), label, failed, bands), "ngram-closed")
+        member = _grouped(names.join(nodes, "node", "left_semi"), label, failed, bands, held)
+        # sketches tell which members may have a link to another component; only the sets of those are compared
+        likely = _inside(member, bits, "bits", F.lit(WIDTH // 64), _likely(bands), "node long", held)
+        member = held.stored(member.join(likely, "node", "left_semi"), "ngram-likely")
+        sets = _sets(docs, names, member.select("node"), n, seed, held)
+        links = _inside(member, sets, "set", F.col("m"), _linker(bands), "a long, b long", held)
+        label = held.stored(_merged(label, links), "ngram-closed")
     rooted = names.join(label, "node", "left").select("node", "id", F.coalesce("root", "node").alias("root"))
     least = rooted.groupBy("root").agg(F.min("id").alias("component_id"))
-    return rooted.join(least, "root").select("node", "root", "component_id")
+    found = stored(rooted.join(least, "root").select("node", "root", "component_id"), "ngram-components")
+    held.clear()
+    return found
 
 
-def _closed(sets: DataFrame, nodes: DataFrame, label: DataFrame, failed: DataFrame, bands: Bands) -> DataFrame:
-    """Labels after the comparison inside groups of components that failed star pairs connect."""
-    group = stored(components(failed, "x", "y").select(F.col("node").alias("label"), F.col("root").alias("g")), "ngram-groups")
-    labels = label.select("node", "root")
-    member = nodes.join(labels, "node", "left").select("node", "m", F.coalesce("root", "node").alias("label")).join(group, "label")
+def _grouped(nodes: DataFrame, label: DataFrame, failed: DataFrame, bands: Bands, held: Scratch) -> DataFrame:
+    """(g, node, label, m, z) of the nodes in groups of components that failed star pairs connect."""
+    group = held.stored(components(failed, "x", "y").select(F.col("node").alias("label"), F.col("root").alias("g")), "ngram-groups")
+    member = nodes.join(label.select("node", "root"), "node", "left").select("node", "m", F.coalesce("root", "node").alias("label")).join(group, "label")
     # linked sets lie in the same size cell or in neighbouring ones (cells grow by 1/t)
     cell = F.floor(F.log("m") / math.log(1 / bands.t) + 1e-9).cast("int")
-    member = stored(member.withColumn("z", cell), "ngram-sized")
+    return held.stored(member.select("g", "node", "label", "m", cell.alias("z")), "ngram-sized")
+
+
+def _inside(member: DataFrame, values: DataFrame, column: str, longs, check, schema: str, held: Scratch) -> DataFrame:
+    """What ``check`` finds among the members of each group, by their ``values`` (``longs`` numbers each)."""
     # a group that one task can hold is sent to it whole; larger ones are cut into chunks
-    total = member.groupBy("g").agg(((F.count("*") <= CHUNK) & (F.sum("m") <= CHUNK_SHINGLES)).alias("small"))
-    member = stored(member.join(total, "g"), "ngram-grouped")
-    whole = _linker(bands)
-    small = member.where("small").select("g", "node", "label").join(sets, "node").select("g", "label", "set").groupBy("g").applyInArrow(
-        lambda group: whole(group, np.full(len(group), 2)), "a long, b long")
-    small = stored(small, "ngram-small")
+    member = member.withColumn("longs", longs)
+    total = member.groupBy("g").agg(((F.count("*") <= CHUNK) & (F.sum("longs") <= CHUNK_SHINGLES)).alias("small"))
+    member = held.stored(member.join(total, "g"), "ngram-grouped")
+    small = member.where("small").select("g", "node", "label", "m").join(values, "node").select("g", "node", "label", "m", column).groupBy("g").applyInArrow(
+        lambda group: check(group, np.full(len(group), 2)), schema)
+    small = held.stored(small, "ngram-small")
     member = member.where("not small").drop("small")
     # members of a component of a chunk or more form chunks of that component alone ("pure", never
     # compared with each other); the rest of the group shares mixed chunks
     sizes = member.groupBy("g", "label").count().where(F.col("count") >= CHUNK)
     member = member.join(sizes, ["g", "label"], "left").withColumn("pure", F.when(F.col("count").isNotNull(), F.col("label")))
     per = member.groupBy(F.col("g").alias("pg"), F.col("pure").alias("pp"), F.col("z").alias("pz")).agg(
-        F.greatest(F.ceil(F.count("*") / CHUNK), F.ceil(F.sum("m") / CHUNK_SHINGLES)).cast("int").alias("chunks"))
+        F.greatest(F.ceil(F.count("*") / CHUNK), F.ceil(F.sum("longs") / CHUNK_SHINGLES)).cast("int").alias("chunks"))
     spread = F.pmod(F.xxhash64("node"), F.col("chunks")).cast("int")
-    member = stored(member.join(per, (F.col("g") == F.col("pg")) & F.col("pure").eqNullSafe(F.col("pp")) & (F.col("z") == F.col("pz"))).select(
-        "g", "label", "node", "pure", "z", spread.alias("c")), "ngram-members")
+    member = held.stored(member.join(per, (F.col("g") == F.col("pg")) & F.col("pure").eqNullSafe(F.col("pp")) & (F.col("z") == F.col("pz"))).select(
+        "g", "label", "node", "m", "pure", "z", spread.alias("c")), "ngram-members")
     chunk = member.select("g", "pure", "z", "c").distinct()
     a, b = (chunk.select("g", F.col("pure").alias(f"p{s}"), F.col("z").alias(f"z{s}"), F.col("c").alias(f"c{s}")) for s in "ab")
     order_a, order_b = (F.struct(F.col(f"p{s}").isNotNull(), F.coalesce(f"p{s}", F.lit(0)), f"z{s}", f"c{s}") for s in "ab")
     # pairs of chunks, not of members
     tasks = a.join(b, "g").where((order_a <= order_b) & (F.abs(F.col("za") - F.col("zb")) <= 1)
                                  & (F.col("pa").isNull() | ~F.col("pa").eqNullSafe(F.col("pb"))))
-    # sets of large groups are written once, by chunk, and read by the tasks that compare them: no copies per pair of chunks
+    # large groups are written once, by chunk, and read by the tasks that compare them: no copies per pair of chunks
     def chunk_id(*parts: str):
         return F.xxhash64("g", *parts)
 
-    spark = sets.sparkSession
-    folder = scratch_path(spark, "llm-ngram-chunks")
-    placed = member.select(chunk_id("pure", "z", "c").alias("chunk"), "node", "label").join(sets, "node").repartition("chunk")
-    write_once(placed.select("node", "label", "set", "chunk").write.partitionBy("chunk"), spark, folder)
-    pairs = stored(tasks.select(chunk_id("pa", "za", "ca").alias("a"), chunk_id("pb", "zb", "cb").alias("b")).distinct(), "ngram-tasks")
-    links = pairs.repartition("a", "b").mapInArrow(_compare(bands, folder), "a long, b long")
-    found = stored(links.union(small).distinct(), "ngram-links")
-    merged = components(found)
+    spark = values.sparkSession
+    folder = held.folder("ngram-chunks")
+    placed = member.select(chunk_id("pure", "z", "c").alias("chunk"), "node", "label", "m").join(values, "node").repartition("chunk")
+    write_once(placed.select("node", "label", "m", column, "chunk").write.partitionBy("chunk"), spark, folder)
+    pairs = held.stored(tasks.select(chunk_id("pa", "za", "ca").alias("a"), chunk_id("pb", "zb", "cb").alias("b")).distinct(), "ngram-tasks")
+    # their rows are few and small, so that adaptive execution would give them all to one task: as many as the work needs
+    many = min(MOST_TASKS, 1 + pairs.count() // CHUNK_PAIRS)
+    found = pairs.repartition(many, "a", "b").mapInArrow(_compare(check, folder, column), schema)
+    return held.stored(found.union(small).distinct(), "ngram-links")
+
+
+def _merged(label: DataFrame, links: DataFrame) -> DataFrame:
+    """Labels after links between components."""
+    merged = components(links)
     out = label.join(merged.select(F.col("node").alias("root"), F.col("root").alias("top")), "root", "left").select(
         "node", F.coalesce("top", "root").alias("root"))
     # nodes that had no verified pair of their own yet
-    alone = merged.join(labels, "node", "left_anti")
+    alone = merged.join(label.select("node", "root"), "node", "left_anti")
     return out.union(alone.select("node", "root"))
 
 

@@ -188,6 +188,27 @@ def test_ngram_join_equals_all_pairs(spark, monkeypatch, n, t):
                   for r in got) == plain_join(rows, n, t)
 
 
+def test_ngram_join_sends_near_sets_only_and_removes_its_tables(spark, monkeypatch):
+    monkeypatch.setattr(ngram_join, "CHUNK", 4)
+    monkeypatch.setattr(ngram_join, "CHUNK_PAIRS", 1)
+    shared = prose(42, 120)
+    rows = [(k, shared + " " + prose(100 + k, 60)) for k in range(60)]  # share keys, but no two are linked
+    rows += [(900, edited(rows[7][1], 1, 1))]
+    sent, stored, clear = [], [], common.Scratch.clear
+
+    def look(self):
+        sent.extend(spark.read.parquet(f).count() for f in self.folders if "ngram-set-" in f)
+        stored.extend(self.folders)
+        clear(self)
+
+    monkeypatch.setattr(common.Scratch, "clear", look)
+    got = ngram_join.join(documents(spark, rows).repartition(3), n=5, similarity=0.8)
+    assert sent and max(sent) < 20
+    left = [f for f in stored if spark._jvm.java.io.File(f.removeprefix("file:")).exists()]
+    assert any("ngram-chunks" in f for f in stored) and not left
+    assert sorted((r["doc_id"], r["n_shingles"], r["component_id"]) for r in got.collect()) == plain_join(rows, 5, Fraction(8, 10))
+
+
 def test_linked_sets_always_share_a_key():
     r = np.random.default_rng(0)
     for t in (Fraction(9, 10), Fraction(8, 10)):
