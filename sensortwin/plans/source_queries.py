@@ -48,7 +48,7 @@ def stream_quarantine(spark: SparkSession, sf_dir: str) -> DataFrame:
 def ingest_metadata(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Events per type that carry a landing file of theirs, its time, and a later time of ingest."""
     landing = scratch_path(spark, "landing")
-    replay_to_landing(Inputs(spark, sf_dir).raw, landing)
+    replay_to_landing(Inputs(spark, sf_dir).replayed, landing)
     e = with_ingest_metadata(read_events_batch(spark, landing))
     folder = landing.rstrip("/").rsplit("/", 1)[1]
     return e.groupBy("event_type").agg(
