@@ -17,7 +17,9 @@ Fit
      calibration.
 
 Score
-  Documents are scored in batches.  The block maxima bound the cosine of every entry of a block; runs of blocks are
+  Documents are scored in batches, and only the nearest entries asked for leave a batch (none when documents are
+  merely kept or rejected).  The index stays sparse; one run of blocks at a time is spread out as a dense array.
+  The block maxima bound the cosine of every entry of a block; runs of blocks are
   scored in the order of their bounds, for those documents whose bound reaches their k-th best cosine so far, so the k
   nearest entries are exact, and all ties of the k-th are taken.  They vote with weight 1/(1 - cosine + 0.05),
   smoothed by the rate of the sample; a document without any term takes the rate of the examples
@@ -35,10 +37,11 @@ from __future__ import annotations
 import math
 import re
 from collections import Counter
-from dataclasses import dataclass, field
+from dataclasses import dataclass
 
 import numpy as np
 import pyarrow as pa
+import pyarrow.compute as pc
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
@@ -54,6 +57,9 @@ BLOCK = 64
 #: Blocks scored together, and documents scored together.
 RUN = 16
 BATCH = 512
+#: Bytes of texts that are Python strings at once, and word beginnings a worker remembers.
+SLICE_BYTES = 4 << 20
+KNOWN = 100_000
 _LETTERS = re.compile(r"[^\W\d_]+")
 _PREFIXES = (3, 4, 5, 6)
 
@@ -88,7 +94,7 @@ class Vocabulary:
         """How often each chosen term occurs."""
         out: Counter = Counter()
         known, number = self.known, self.number
-        if len(known) > 300_000:
+        if len(known) > KNOWN:
             known.clear()
         most = _PREFIXES[-1]
         for w, n in Counter(words(text)).items():
@@ -109,39 +115,59 @@ class Vocabulary:
         return tuple((t, round(float(w / norm), 6)) for t, w in raw) if norm else ()
 
 
+def packed(vectors: list) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+    """(starts, terms, weights) of many vectors, end to end."""
+    starts = np.cumsum([0, *map(len, vectors)], dtype=np.int32)
+    return starts, np.array([t for v in vectors for t, _ in v], np.int32), np.array([w for v in vectors for _, w in v], float)
+
+
 @dataclass
 class Index:
-    """Block-max inverted index of distinct labelled vectors: weights by term, block and place in the block."""
+    """Block-max inverted index of distinct labelled vectors: weights by term, block and place in the block.
+    ``vectors``: a list of vectors, or what :func:`packed` makes of it."""
 
-    vectors: list
+    vectors: list | tuple
     negatives: np.ndarray
     positives: np.ndarray
     evidence: list
     terms: int = 0
 
     def __post_init__(self):
-        order = sorted(range(len(self.vectors)), key=lambda i: sorted(self.vectors[i], key=lambda p: -p[1]))
+        starts, terms, weights = self.vectors if isinstance(self.vectors, tuple) else packed(self.vectors)
+        self.size = len(starts) - 1
+        lengths = np.diff(starts)
+        # bytes that sort as the (term, weight) pairs of a vector by falling weight do
+        falling = np.lexsort((-weights, np.repeat(np.arange(self.size), lengths)))
+        pairs = np.empty(len(terms), [("t", ">i4"), ("w", ">f8")])
+        pairs["t"], pairs["w"] = terms[falling], weights[falling]
+        raw, wide = pairs.tobytes(), pairs.itemsize
+        keys = [raw[wide * a : wide * z] for a, z in zip(starts.tolist(), starts[1:].tolist(), strict=False)]
+        order = np.array(sorted(range(self.size), key=keys.__getitem__), int)
         self.negatives, self.positives = self.negatives[order].astype(float), self.positives[order].astype(float)
-        self.evidence = [self.evidence[i] for i in order]
-        rows = [self.vectors[i] for i in order]
-        self.terms = max([self.terms, *(t + 1 for v in rows for t, _ in v)])
+        self.evidence = [self.evidence[i] for i in order.tolist()]
         # as arrays they travel compactly
-        self.starts = np.cumsum([0, *map(len, rows)])
-        self.vectors = (np.array([t for v in rows for t, _ in v], np.int32), np.array([w for v in rows for _, w in v], float))
-        self.size = len(rows)
+        self.starts = np.cumsum([0, *lengths[order]])
+        moved = np.arange(len(terms)) + np.repeat(starts[order] - self.starts[:-1], lengths[order])
+        self.vectors = (terms[moved], weights[moved])
+        self.terms = max(self.terms, int(terms.max(initial=-1)) + 1)
 
     def __getstate__(self):
-        return {k: v for k, v in self.__dict__.items() if k not in ("weights", "largest")}
+        return {k: v for k, v in self.__dict__.items() if k != "largest"}
 
-    def _load(self) -> None:
-        """Weights as a (term, entry) array, entries filled up to whole runs, and their block maxima."""
-        if "weights" in self.__dict__:
-            return
-        full = -(-max(self.size, 1) // (BLOCK * RUN)) * BLOCK * RUN
-        self.weights = np.zeros((self.terms, full))
+    def _run(self, run: int) -> np.ndarray:
+        """Weights of a run of blocks as a (term, entry) array, entries filled up to a whole run."""
+        out = np.zeros((self.terms, RUN * BLOCK))
+        first, end = run * RUN * BLOCK, min((run + 1) * RUN * BLOCK, self.size)
+        a, z = self.starts[first], self.starts[end]
         terms, weights = self.vectors
-        self.weights[terms, np.repeat(np.arange(self.size), np.diff(self.starts))] = weights
-        self.largest = self.weights.reshape(self.terms, -1, BLOCK).max(2)
+        out[terms[a:z], np.repeat(np.arange(end - first), np.diff(self.starts[first : end + 1]))] = weights[a:z]
+        return out
+
+    def _load(self) -> None:
+        """Block maxima, by term."""
+        if "largest" not in self.__dict__:
+            runs = -(-self.size // (BLOCK * RUN))
+            self.largest = np.concatenate([self._run(r).reshape(self.terms, RUN, BLOCK).max(2) for r in range(runs)], 1)
 
     def vector(self, entry: int) -> tuple[tuple[int, float], ...]:
         a, z = self.starts[entry], self.starts[entry + 1]
@@ -170,7 +196,7 @@ class Index:
             if not len(at):
                 continue
             first = run * RUN * BLOCK
-            cosines = q[at] @ self.weights[:, first : first + RUN * BLOCK]
+            cosines = q[at] @ self._run(run)
             both = np.concatenate([top[at], cosines], 1)
             top[at] = np.partition(both, both.shape[1] - k, 1)[:, -k:]
             kth[at] = top[at].min(1)
@@ -215,8 +241,8 @@ class Model:
             out += [self._vote(*found, (e, y)) for found, e, y in zip(near, part, labels[at : at + BATCH], strict=True)]
         return out
 
-    def score_texts(self, texts: list[str]) -> list[tuple[float, list[tuple[int, float]]]]:
-        """Calibrated probability and the neighbours of every text."""
+    def score_texts(self, texts: list[str], most: int | None = None) -> list[tuple[float, list[tuple[int, float]]]]:
+        """Calibrated probability and the neighbours of every text, of these the ``most`` nearest (None: all)."""
         out = []
         for at in range(0, len(texts), BATCH):
             vectors = [self.vocabulary.vector(self.vocabulary.count(t)) for t in texts[at : at + BATCH]]
@@ -227,13 +253,13 @@ class Model:
                 vote = self._vote(entries, cosines) if len(entries) else self.rate
                 vote = min(max(vote, 1e-6), 1 - 1e-6)
                 odds = self.slope * math.log(vote / (1 - vote)) + self.offset
-                out.append((1 / (1 + math.exp(-min(max(odds, -30.0), 30.0))), list(zip(entries.tolist(), cosines.tolist(), strict=True))))
+                near = list(zip(entries[:most].tolist(), cosines[:most].tolist(), strict=True))
+                out.append((1 / (1 + math.exp(-min(max(odds, -30.0), 30.0))), near))
         return out
 
     def forget(self) -> None:
         """Drop what can be made again, so that a reused worker holds nothing of this model but its arrays."""
         self.vocabulary.known.clear()
-        self.index.__dict__.pop("weights", None)
         self.index.__dict__.pop("largest", None)
 
 
@@ -314,24 +340,31 @@ def fit(docs: DataFrame, labels: DataFrame, max_examples: int = MAX_EXAMPLES, ma
             seen.update(sent.value.count(t).keys())
         return {"term": [-1, *seen], "df": [batch.num_rows, *seen.values()]}
 
-    df = {r["term"]: r["df"] for r in map_rows(docs.select("text"), frequencies, "term int, df long").groupBy("term").agg(
+    df = {r["term"]: r["df"] for r in map_rows(docs.select("text"), frequencies, "term int, df long", SLICE_BYTES,
+                                               lambda: sent.value.known.clear()).groupBy("term").agg(
         F.sum("df").alias("df")).collect()} if chosen_terms else {}
+    sent.unpersist()
     every = df.get(-1, 0)
     vocabulary = Vocabulary({t: math.log(1 + every / max(1, df.get(i, 0))) for t, i in plain.number.items()})
     seen = spark.sparkContext.broadcast(vocabulary)
 
     def vectors(batch):
-        got = [seen.value.vector(seen.value.count(t)) for t in texts_of(batch)]
-        return {"vector": [[{"t": t, "w": w} for t, w in v] for v in got], "y": batch.column("y"), "id": batch.column("id")}
-
-    groups = map_rows(sample, vectors, "vector array<struct<t:int,w:double>>, y int, id long").groupBy("vector").agg(
-        F.sum(1 - F.col("y")).alias("neg"), F.sum("y").alias("pos"), F.min("id").alias("id")).collect()
-    groups = [(tuple((x["t"], x["w"]) for x in g["vector"]), g["neg"], g["pos"], g["id"]) for g in groups]
-    none = [(neg, pos) for v, neg, pos, _ in groups if not v]
-    groups = [g for g in groups if g[0]]
-    index = Index([g[0] for g in groups], np.array([g[1] for g in groups]), np.array([g[2] for g in groups]), [g[3] for g in groups], len(plain.terms))
+        starts, terms, weights = packed([seen.value.vector(seen.value.count(t)) for t in texts_of(batch)])
+        return {"terms": pa.ListArray.from_arrays(pa.array(starts), pa.array(terms)), "weights": pa.ListArray.from_arrays(pa.array(starts), pa.array(weights)),
+                "y": batch.column("y"), "id": batch.column("id")}
+
+    # arrays from the tasks to the index: a Python object for each weight would be hundreds of MB
+    groups = map_rows(sample, vectors, "terms array<int>, weights array<double>, y int, id long", SLICE_BYTES,
+                      lambda: seen.value.known.clear()).groupBy("terms", "weights").agg(
+        F.sum(1 - F.col("y")).alias("neg"), F.sum("y").alias("pos"), F.min("id").alias("id")).toArrow()
+    seen.unpersist()
+    lengths, neg, pos, ids = (x.to_numpy() for x in (pc.list_value_length(groups["terms"]), groups["neg"], groups["pos"], groups["id"]))
+    some = lengths > 0
+    none = list(zip(neg[~some].tolist(), pos[~some].tolist(), strict=True))
+    flat = np.cumsum([0, *lengths[some]], dtype=np.int32), *(pc.list_flatten(groups[c]).to_numpy() for c in ("terms", "weights"))
+    index = Index(flat, neg[some], pos[some], ids[some].tolist(), len(plain.terms))
     model = Model(vocabulary, index, rate, (none[0][1] + rate) / (sum(none[0]) + 1) if none else rate, k=k)
-    if groups:
+    if index.size:
         fitted = spark.sparkContext.broadcast(model)
         counts = zip(index.negatives.tolist(), index.positives.tolist(), strict=True)
         rows = spark.createDataFrame([(e, y, int(c)) for e, both in enumerate(counts) for y, c in enumerate(both) if c],
@@ -343,6 +376,7 @@ def fit(docs: DataFrame, labels: DataFrame, max_examples: int = MAX_EXAMPLES, ma
 
         votes = map_rows(rows, left_out, "vote double, y int, c long", done=lambda: fitted.value.forget()).groupBy(
             F.round("vote", 3).alias("vote")).agg(F.sum("c").alias("c"), F.sum(F.col("c") * F.col("y")).alias("p")).orderBy("vote").collect()
+        fitted.unpersist()
         model.slope, model.offset = calibration(
             *(np.array(x, float) for x in ([v["vote"] for v in votes], [v["p"] / v["c"] for v in votes], [v["c"] for v in votes])))
     return model
@@ -356,14 +390,14 @@ def score(docs: DataFrame, model: Model, evidence: int = 3, id_col: str = "doc_i
 
     def run(batch):
         m = sent.value
-        scored = m.score_texts(texts_of(batch))
+        scored = m.score_texts(texts_of(batch), evidence)
         return {id_col: batch.column(0), "score": [s for s, _ in scored], "predicted": [int(s >= 0.5) for s, _ in scored],
                 "evidence": [[{"example": m.index.evidence[e], "cosine": c, "toxic": int(m.index.positives[e]), "clean": int(m.index.negatives[e])}
-                              for e, c in near[:evidence]] for _, near in scored]}
+                              for e, c in near] for _, near in scored]}
 
     return map_rows(docs.select(id_col, docs[text_col].alias("text")), run,
                     f"`{id_col}` {id_type}, score double, predicted int, evidence array<struct<example:long,cosine:double,toxic:int,clean:int>>",
-                    done=lambda: sent.value.forget())
+                    SLICE_BYTES, done=lambda: sent.value.forget())
 
 
 def keep(docs: DataFrame, model: Model, text_col: str = "text", threshold: float = 0.5) -> DataFrame:
@@ -376,8 +410,8 @@ def keep(docs: DataFrame, model: Model, text_col: str = "text", threshold: float
         m = sent.value
         try:
             for batch in batches:
-                for part in slices(batch):
-                    low = [s < threshold for s, _ in m.score_texts([t or "" for t in part.column(place).to_pylist()])]
+                for part in slices(batch, SLICE_BYTES):
+                    low = [s < threshold for s, _ in m.score_texts([t or "" for t in part.column(place).to_pylist()], 0)]
                     yield part.filter(pa.array(low, pa.bool_()))
         finally:
             m.forget()

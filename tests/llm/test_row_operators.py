@@ -4,9 +4,11 @@ from __future__ import annotations
 
 import base64
 import hashlib
+import itertools
 import math
 import random
 import re
+import tracemalloc
 import zlib
 from html.parser import HTMLParser
 
@@ -318,6 +320,46 @@ def test_steep_calibrations_stay_finite():
         assert all(0 <= s <= 1 for s, _ in score) and score[1] == score[2] == (0.01, [])
 
 
+def traced(work):
+    """Result of ``work()`` and the most MB that it held in this process."""
+    tracemalloc.start()
+    try:
+        return work(), tracemalloc.get_traced_memory()[1] / 1e6
+    finally:
+        tracemalloc.stop()
+
+
+def test_a_task_that_keeps_documents_holds_neither_a_dense_index_nor_their_neighbours(spark, monkeypatch):
+    r = np.random.default_rng(12)
+    names = ["".join(x) for x in itertools.product("abcdefg", repeat=3)][:300]
+    vectors = [tuple((int(t), round(float(w), 6)) for t, w in zip(np.sort(r.choice(300, 15, replace=False)), r.random(15) / 4 + 0.01, strict=True)) for _ in range(20_000)]
+    toxic = r.random(20_000) < 0.5
+    model = toxicity.Model(toxicity.Vocabulary(dict.fromkeys(names, 1.0)), toxicity.Index(vectors, (~toxic).astype(int), toxic.astype(int), list(range(20_000)), 300), 0.5, 0.5)
+    texts = [" ".join(r.choice(names, 20)) for _ in range(1000)]
+    docs, ran = documents(spark, list(enumerate(texts))), []
+    monkeypatch.setattr(type(docs), "mapInArrow", lambda self, run, schema: ran.append(run) or self)
+    toxicity.keep(docs, model)
+    batches = docs.toArrow().combine_chunks().to_batches()
+    kept, most = traced(lambda: [i for b in ran[0](iter(batches)) for i in b.column("doc_id").to_pylist()])
+    every = model.score_texts(texts)
+    assert kept == [i for i, (s, _) in enumerate(every) if s < 0.5] and 0 < len(kept) < 1000
+    assert most < 35, most
+    assert model.score_texts(texts[:50], 3) == [(s, near[:3]) for s, near in model.score_texts(texts[:50])] and all(len(near) >= 25 for _, near in every)
+
+
+def test_the_index_reaches_the_driver_as_arrays(spark):
+    r = random.Random(13)
+    names = ["".join(x) for x in itertools.product("abcdefg", repeat=3)][:300]
+    rows = [(i, " ".join(r.choices(names, k=150)) + " vile" * (i % 4 == 0)) for i in range(1500)]
+    labels = spark.createDataFrame([(i, int(i % 4 == 0)) for i in range(1500)], "doc_id long, toxic int")
+    docs = documents(spark, rows)
+    model, most = traced(lambda: toxicity.fit(docs, labels, background=300))
+    assert model.index.size > 1000 and len(model.index.vectors[0]) > 100_000
+    got = {e: model.index.vector(i) for i, e in enumerate(model.index.evidence)}
+    assert all(model.vocabulary.vector(model.vocabulary.count(rows[e][1])) == got[e] for e in list(got)[:50])
+    assert most < 15, most
+
+
 def test_votes_and_scores_equal_a_plain_computation(spark):
     """Scores of the operator against plain cosines, votes and calibration."""
     docs, _ = documents(spark, [(i, prose(i, 50) + (" vile knave" if i % 5 == 0 else "")) for i in range(150)]), None
