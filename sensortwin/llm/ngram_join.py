@@ -10,18 +10,22 @@ at most and linked sets share the others (pigeonhole).  (band, word number, word
 
 Unrelated sets share empty words by chance.  With fewer empty words than spare ones a set must share
 a word with bits with every partner, so empty ones are no keys.  A set with more of them takes part in
-a further sketch as well, and in the last one with all its words; two such sets meet there.  (Sets so
+a further sketch as well, and in the last one with all its words too; two such sets meet there.  (Sets so
 small that d is 0 link with equal sets only.)
 
-Nothing emits all pairs of a key.  Equal keys inside a map batch are tied to their smallest id
-before the shuffle, so a hot key sends one row per batch; after it every id is paired with the key's
-smallest id only (a star).  Then
+A set of the band's size differs from its partners in fewer than d shingles mostly, so it shares several
+words with each of them: ``need``, at least one.  Keys are put in one order, the rarest first; the first key that
+two linked sets share is followed by ``need`` - 1 shared ones at least.  So the last ``need`` - 1 keys that a set has in
+common with any other do not count, and sets that meet others in fewer words than they need (a few frequent
+word sequences) meet nobody.
+
+Nothing emits all pairs of a key.  Every node is paired with the key's smallest node only (a star).  Then
   1. star pairs are verified exactly on the sets, and the links found give components;
   2. linked sets of which no star pair shows the link still share a key, hence a chain of star pairs.
-     Components that failed star pairs connect form groups; inside a group the sketches of *different*
-     components are compared, in tasks of two bounded chunks.  The sets near enough to one of another
-     component are then compared exactly in such tasks, and only links that join two components leave
-     the task.  Sets that one component already holds are never compared with each other again.
+     Components that failed star pairs connect form groups.  The sketches of *different* components are compared
+     among the sets of a group or, where that takes fewer comparisons, among those of each key of the group, in tasks of
+     two bounded chunks.  Sets that near sketches connect are then compared exactly in such tasks, and only links that
+     join two components leave the task.  Sets that one component already holds are never compared with each other again.
 Sets move for pairs whose sketches (``WIDTH`` bits) are near enough only, and intermediate tables go once
 the components are known.
 This finds the exact components; no cap, sample or prefix is involved.
@@ -60,11 +64,15 @@ from sensortwin.session import scratch_path
 SPARE = 0.1
 #: Sketches a set with too many empty words takes part in before its empty words become keys as well.
 SKETCHES = 4
+#: Low bits of a key that tell the band and sketch.
+PART = 0xFFF
 #: Sets of a group, and their shingles, that one task compares with as many others.
 CHUNK = 1024
 CHUNK_SHINGLES = 1_000_000
 #: Bits of the sketch that sorts out pairs before their sets are sent.
 WIDTH = 2048
+#: Comparisons of sketches that cost as much as sending one.
+ROW_COST = 100
 #: Comparisons of two chunks for each task that makes them, and the most tasks.
 CHUNK_PAIRS, MOST_TASKS = 4, 10_000
 #: Ids (8 bytes each) up to which the documents whose sets are compared are picked by a broadcast.
@@ -100,6 +108,11 @@ def shingles(text: str | None, n: int) -> np.ndarray:
     return np.unique(acc)
 
 
+def _marked(keys: np.ndarray, band: int, sketch: int) -> np.ndarray:
+    """Distinct keys with the band and sketch in their low bits."""
+    return np.unique(keys & ~_U(PART) | _U((band * (SKETCHES + 1) + sketch) & PART))
+
+
 def set_name(s: np.ndarray, seed: int = 0) -> tuple[int, int] | tuple[None, None]:
     """The node of a set and a second hash that tells two sets of one node apart; none for an empty one."""
     if not len(s):
@@ -138,15 +151,19 @@ class Bands:
         """Differing shingles of a linked pair at most whose larger set lies in band b."""
         return int(2 * (self.border(b + 1) - 1) * self.c)
 
-    def keys(self, s: np.ndarray) -> np.ndarray:
-        """Join keys of a set: hashes of (band, sketch, word number, bits set in the word)."""
-        out = []
+    def differ(self, size: int, b: int) -> int:
+        """Differing shingles at most of a set and a partner, if the larger one lies in band b."""
+        return int((size + min(self.border(b + 1) - 1, int(size / self.t))) * self.c)
+
+    def sketches(self, s: np.ndarray) -> Iterator[tuple[int, np.ndarray]]:
+        """For each sketch of a set the keys that it shares with every partner at least, and its distinct join keys:
+        hashes of (band, sketch, word number, bits set in the word), in the low bits the band and sketch."""
         for b in self.of(len(s)):
             most = self.apart(b)
             if not most:
                 continue  # only equal sets link, and they are one node already
             spare = 1 + math.ceil(SPARE * most)
-            words = most + spare
+            words, apart = most + spare, self.differ(len(s), b)
             for again in range(SKETCHES):
                 x = mix(s ^ _U((b << 8) + again + 1))
                 at = np.sort(((x >> _U(32)) % _U(words)) << _U(32) | x & _U(0xFFFFFFFF))
@@ -155,16 +172,20 @@ class Bands:
                 odd = np.diff(np.r_[first, len(at)]) & 1 == 1
                 at = at[first[odd]]
                 number, begin = np.unique(at >> _U(32), return_index=True)
-                enough = words - len(number) < spare
                 acc = np.add.reduceat(mix(at * _M1 + _U(b << 8 | again)), begin) if len(at) else at
-                if enough or again < SKETCHES - 1:
-                    out.append(acc)
-                else:  # empty words count too
-                    full = np.zeros(words, np.uint64)
-                    full[number.astype(np.int64)] = acc
-                    out.append(mix(full + np.arange(words, dtype=np.uint64) * _M2 + _U(b)))
-                if enough:
+                keys = _marked(acc, b, again)
+                yield max(1, len(keys) - apart), keys
+                if words - len(keys) < spare:
                     break
+            else:  # empty words count too
+                full = np.zeros(words, np.uint64)
+                full[number.astype(np.int64)] = acc
+                keys = _marked(mix(full + np.arange(words, dtype=np.uint64) * _M2 + _U(b)), b, SKETCHES)
+                yield max(1, len(keys) - apart), keys
+
+    def keys(self, s: np.ndarray) -> np.ndarray:
+        """Join keys of a set."""
+        out = [keys for _, keys in self.sketches(s)]
         return np.concatenate(out) if out else np.empty(0, np.uint64)
 
     def linked(self, a: np.ndarray, b: np.ndarray) -> bool:
@@ -191,42 +212,42 @@ def _describe(docs: DataFrame, n: int) -> tuple[DataFrame, int]:
         seed += 1
 
 
-def _star_rows(docs: DataFrame, n: int, bands: Bands, seed: int) -> DataFrame:
-    """(key, node, tied): nodes under their sketch keys; nodes tied to a smaller one already in their map
-    batch come under a key of their own with ``tied`` set."""
-    schema = pa.schema([("key", pa.int64()), ("node", pa.int64()), ("tied", pa.int64())])
+def _key_rows(docs: DataFrame, n: int, bands: Bands, seed: int) -> DataFrame:
+    """(key, node, need): nodes under their sketch keys, with the keys of that sketch that they share with every partner."""
+    schema = pa.schema([("key", pa.int64()), ("node", pa.int64()), ("need", pa.int64())])
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
             for part in slices(batch):
                 seen: set[int] = set()
-                keys, nodes = [], []
+                keys, nodes, needs = [], [], []
                 for t in part.column("text").to_pylist():
                     s = shingles(t, n)
                     i, _ = set_name(s, seed)
                     if i is None or i in seen:
                         continue  # an equal set of this batch has the keys already
                     seen.add(i)
-                    k = bands.keys(s)
-                    keys.append(k)
-                    nodes.append(np.full(len(k), i, np.int64))
-                if not any(map(len, keys)):
-                    continue
-                key, node = np.concatenate(keys).view(np.int64), np.concatenate(nodes)
-                order = np.lexsort((node, key))
-                key, node = key[order], node[order]
-                first = np.r_[True, key[1:] != key[:-1]]
-                lead = node[np.maximum.accumulate(np.where(first, np.arange(len(key)), 0))]
-                tied = ~first & (lead != node)
-                # all pairs of one batch that many keys repeat are one row
-                pairs = np.unique(np.stack([node[tied], lead[tied]], 1), axis=0) if tied.any() else np.empty((0, 2), np.int64)
-                own = mix((pairs[:, 0].view(np.uint64) * _M2 + pairs[:, 1].view(np.uint64)) * _M1).view(np.int64)
-                yield pa.RecordBatch.from_arrays(
-                    [pa.array(np.r_[key[first], own]), pa.array(np.r_[node[first], pairs[:, 0]]),
-                     pa.array(np.r_[np.zeros(first.sum(), np.int64), pairs[:, 1]], mask=np.r_[np.ones(first.sum(), bool), np.zeros(len(pairs), bool)])],
-                    schema=schema)
-
-    return docs.select("text").mapInArrow(run, "key long, node long, tied long")
+                    for need, k in bands.sketches(s):
+                        keys.append(k)
+                        nodes.append(np.full(len(k), i, np.int64))
+                        needs.append(np.full(len(k), need, np.int64))
+                if keys:
+                    yield pa.RecordBatch.from_arrays([pa.array(np.concatenate(keys).view(np.int64)), pa.array(np.concatenate(nodes)),
+                                                      pa.array(np.concatenate(needs))], schema=schema)
+
+    return docs.select("text").mapInArrow(run, "key long, node long, need long")
+
+
+def _meeting(docs: DataFrame, n: int, bands: Bands, seed: int, held: Scratch) -> DataFrame:
+    """(key, node, lead): nodes under the keys that count, where two nodes or more meet, and the smallest of them."""
+    key = Window.partitionBy("key")
+    both = held.stored(_key_rows(docs, n, bands, seed).withColumn("a", F.min("node").over(key)).withColumn("z", F.max("node").over(key)).withColumn(
+        "often", F.count("*").over(key)).where("a != z").select("key", "node", "need", "often"), "ngram-shared")
+    # a node's most frequent keys of a sketch, one fewer than it shares with any partner, do not count.  Rows that come
+    # twice have one rank
+    hottest = F.dense_rank().over(Window.partitionBy("node", F.col("key").bitwiseAND(F.lit(PART))).orderBy(F.desc("often"), F.desc("key")))
+    rows = both.withColumn("hottest", hottest).where("hottest >= need").select("key", "node").distinct()
+    return held.stored(rows.withColumn("lead", F.min("node").over(key)).withColumn("z", F.max("node").over(key)).where("lead != z").drop("z"), "ngram-keys")
 
 
 def parity(s: np.ndarray) -> np.ndarray:
@@ -291,20 +312,24 @@ def _partners(side: np.ndarray) -> Iterator[tuple[int, np.ndarray]]:
 
 
 def _likely(bands: Bands):
-    """Nodes whose sketch is near enough to that of a node of another component."""
-    schema = pa.schema([("node", pa.int64())])
+    """Pairs of nodes of different components with sketches near enough; of all such pairs as many as connect the same nodes."""
+    schema = pa.schema([("a", pa.int64()), ("b", pa.int64())])
     far, all_ = bands.t.denominator - bands.t.numerator, bands.t.denominator + bands.t.numerator
 
     def run(table: pa.Table, side: np.ndarray) -> pa.Table:
         node, label, size = (table.column(c).to_numpy() for c in ("node", "label", "m"))
         words = table.column("bits").combine_chunks().flatten().to_numpy(zero_copy_only=False).view(np.uint64).reshape(len(table), WIDTH // 64)
-        found = np.zeros(len(table), bool)
+        tied = np.arange(len(table))  # rows that the pairs found so far connect
+        found = []
         for i, others in _partners(side):
-            others = others[label[others] != label[i]]
+            others = others[(label[others] != label[i]) & (tied[others] != tied[i])]
             near = others[np.bitwise_count(words[others] ^ words[i]).sum(1, dtype=np.int64) * all_ <= (size[others] + size[i]) * far]
-            if len(near):
-                found[near] = found[i] = True
-        return pa.Table.from_arrays([pa.array(node[found], pa.int64())], schema=schema)
+            for j in near:
+                if tied[j] != tied[i]:
+                    tied[tied == tied[j]] = tied[i]
+                    found.append((node[i], node[j]))
+        a, b = zip(*found, strict=True) if found else ((), ())
+        return pa.Table.from_arrays([pa.array(a, pa.int64()), pa.array(b, pa.int64())], schema=schema)
 
     return run
 
@@ -370,10 +395,8 @@ def _components(docs: DataFrame, rows: DataFrame, n: int, bands: Bands, seed: in
     names = held.stored(rows.where("node is not null").groupBy("node").agg(F.min("id").alias("id"), F.max("n_shingles").alias("m")), "ngram-names")
 
     # star pairs of sketch keys, between nodes
-    keyed = _star_rows(docs, n, bands, seed)
-    star = keyed.withColumn("lead", F.min(F.when(F.col("tied").isNull(), F.col("node"))).over(Window.partitionBy("key"))).select(
-        F.col("node").alias("x"), F.coalesce("tied", "lead").alias("y")).where("x != y")
-    star = held.stored(star.select(F.greatest("x", "y").alias("x"), F.least("x", "y").alias("y")).distinct(), "ngram-star")
+    keyed = _meeting(docs, n, bands, seed, held)
+    star = held.stored(keyed.where("node != lead").select(F.col("node").alias("x"), F.col("lead").alias("y")).distinct(), "ngram-star")
 
     # 1. exact check of the star pairs.  Sizes alone rule out some, sketches nearly all others that fail: only the sets
     # of pairs that may be linked are sent
@@ -405,9 +428,11 @@ def _components(docs: DataFrame, rows: DataFrame, n: int, bands: Bands, seed: in
     failed = held.stored(failed.where("x != y").distinct(), "ngram-failed")
     if not failed.isEmpty():
         member = _grouped(names.join(nodes, "node", "left_semi"), label, failed, bands, held)
-        # sketches tell which members may have a link to another component; only the sets of those are compared
-        likely = _inside(member, bits, "bits", F.lit(WIDTH // 64), _likely(bands), "node long", held)
-        member = held.stored(member.join(likely, "node", "left_semi"), "ngram-likely")
+        # sketches tell which members may have a link to another component; only the sets of those are compared, with
+        # those that near sketches connect them to
+        near = _inside(_by_key(member, keyed, held), bits, "bits", F.lit(WIDTH // 64), _likely(bands), "a long, b long", held)
+        near = components(near).select("node", F.col("root").alias("g"))
+        member = held.stored(member.drop("g").join(near, "node").select("g", "node", "label", "m", "z"), "ngram-likely")
         sets = _sets(docs, names, member.select("node"), n, seed, held)
         links = _inside(member, sets, "set", F.col("m"), _linker(bands), "a long, b long", held)
         label = held.stored(_merged(label, links), "ngram-closed")
@@ -427,6 +452,20 @@ def _grouped(nodes: DataFrame, label: DataFrame, failed: DataFrame, bands: Bands
     return held.stored(member.select("g", "node", "label", "m", cell.alias("z")), "ngram-sized")
 
 
+def _by_key(member: DataFrame, keyed: DataFrame, held: Scratch) -> DataFrame:
+    """The members, in groups of those that share a key where this takes fewer comparisons than those of the whole group:
+    linked sets share one."""
+    shared = held.stored(keyed.select("key", "node").join(member, "node"), "ngram-by-key")
+    mixed = shared.groupBy("g", "key").agg(F.count("*").alias("n"), F.min("label").alias("a"), F.max("label").alias("b")).where("a != b")
+    # half the square of a key; of a group half that of each size, and the next size.  A row more costs as much as some comparisons
+    by_key = mixed.groupBy("g").agg(F.sum(F.col("n") * (F.col("n") / 2 + ROW_COST)).alias("keyed"))
+    whole = member.groupBy("g", "z").agg(F.count("*").alias("n")).groupBy("g").agg(F.sum(F.col("n") * F.col("n") * 1.5 + F.col("n") * ROW_COST).alias("whole"))
+    cut = held.stored(whole.join(by_key, "g", "left").select("g", F.coalesce(F.col("keyed") < F.col("whole"), F.lit(True)).alias("cut")), "ngram-cut")
+    apart = shared.join(mixed.select("g", "key"), ["g", "key"]).join(cut.where("cut"), "g").select(
+        F.xxhash64("g", "key").alias("g"), "node", "label", "m", "z").distinct()
+    return held.stored(member.join(cut.where("not cut"), "g").select("g", "node", "label", "m", "z").union(apart), "ngram-together")
+
+
 def _inside(member: DataFrame, values: DataFrame, column: str, longs, check, schema: str, held: Scratch) -> DataFrame:
     """What ``check`` finds among the members of each group, by their ``values`` (``longs`` numbers each)."""
     # a group that one task can hold is sent to it whole; larger ones are cut into chunks

@@ -224,6 +224,80 @@ def test_linked_sets_always_share_a_key():
         assert tried > 200
 
 
+def test_keys_that_linked_sets_keep_meet_in_any_order(monkeypatch):
+    """However keys are ranked, and whatever other sets share, the keys that count of two linked sets have one in common."""
+    r = np.random.default_rng(1)
+    for sketches, spare in ((ngram_join.SKETCHES, ngram_join.SPARE), (1, 0.0), (2, 0.05)):  # so few that sets run out of sketches
+        monkeypatch.setattr(ngram_join, "SKETCHES", sketches)
+        monkeypatch.setattr(ngram_join, "SPARE", spare)
+        for t in (Fraction(9, 10), Fraction(8, 10)):
+            bands, tried, several = ngram_join.Bands(t), 0, 0
+            for _ in range(400):
+                s = np.unique(r.integers(0, 2**63, int(np.exp(r.uniform(1, 7)))).astype(np.uint64))
+                d = int(2 * len(s) * bands.c)
+                gone = int(r.integers(0, d + 1))
+                y = np.unique(np.r_[s[r.permutation(len(s))[gone:]], r.integers(0, 2**63, d - gone).astype(np.uint64)])
+                if not bands.linked(s, y) or np.array_equal(s, y):
+                    continue
+                both, salt, kept = np.intersect1d(bands.keys(s), bands.keys(y)), np.uint64(r.integers(0, 2**63)), []
+                for x in (s, y):
+                    mine = []
+                    for need, keys in bands.sketches(x):
+                        shared = keys[np.isin(keys, both) | (r.random(len(keys)) < 0.2)]  # with the other one, or a third set
+                        mine.append(shared[np.argsort(ngram_join.mix(shared ^ salt))][: max(0, len(shared) - need + 1)])
+                        several += need > 1
+                    kept.append(np.concatenate(mine))
+                tried += 1
+                assert len(np.intersect1d(*kept))
+            assert tried > 100 and several > 20
+
+
+def test_frequent_phrases_do_not_tie_unrelated_sets_together(spark, monkeypatch):
+    r = random.Random(3)
+    phrases = [prose(8000 + k, 5) for k in range(12)]
+    rows = []
+    for k in range(150):  # all hold the same phrases among words of their own
+        words = [prose(9000 + 20 * k + i, 8) for i in range(12)]
+        rows.append((k, " ".join(f"{a} {b}" for a, b in zip(words, r.sample(phrases, 12), strict=True))))
+    rows += [(900 + k, edited(rows[k][1], k, 1)) for k in range(5)]
+    met, clear = [], common.Scratch.clear
+
+    def look(self):
+        met.extend(spark.read.parquet(f).count() for f in self.folders if "ngram-nodes-" in f)
+        clear(self)
+
+    monkeypatch.setattr(common.Scratch, "clear", look)
+    got = ngram_join.join(documents(spark, rows).repartition(3), n=5, similarity=0.8).collect()
+    assert len(met) == 1 and 10 <= met[0] < 30
+    assert sorted((r["doc_id"], r["n_shingles"], r["component_id"]) for r in got) == plain_join(rows, 5, Fraction(8, 10))
+
+
+@pytest.mark.parametrize("cost", [-1e9, 1e9])
+def test_groups_are_compared_by_key_or_as_a_whole(spark, monkeypatch, cost):
+    monkeypatch.setattr(ngram_join, "CHUNK", 4)
+    monkeypatch.setattr(ngram_join, "ROW_COST", cost)
+    shared, rows = prose(42, 120), []
+    for k in range(25):
+        text = shared + " " + prose(100 + k, 60)
+        rows += [(k, text), (500 + k, edited(text, k, 2)), (None, edited(text, 70 + k, 3))]
+    chain = prose(900, 200)
+    for k in range(12):  # each links with the next, the ends not with each other
+        rows.append((5000 + k, chain))
+        chain = edited(chain, 950 + k, 2)
+    random.Random(2).shuffle(rows)
+    made, clear = {}, common.Scratch.clear
+
+    def look(self):
+        made.update({name: spark.read.parquet(f).count() for f in self.folders for name in ("ngram-sized", "ngram-together") if f"{name}-" in f})
+        clear(self)
+
+    monkeypatch.setattr(common.Scratch, "clear", look)
+    got = ngram_join.join(documents(spark, rows).repartition(3), n=5, similarity=0.8).collect()
+    assert made["ngram-together"] > made["ngram-sized"] if cost < 0 else made["ngram-together"] <= made["ngram-sized"]
+    want = plain_join(rows, 5, Fraction(8, 10))
+    assert sorted((r["doc_id"] if r["doc_id"] is not None else -1, r["n_shingles"], r["component_id"] if r["component_id"] is not None else -1) for r in got) == want
+
+
 @pytest.mark.parametrize("broadcast", [True, False])
 def test_rows_that_share_an_id_link_by_their_own_text(spark, monkeypatch, broadcast):
     if not broadcast:
